@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, sharding, token_counts
+from . import decontamination, html_text, jaccard_join, language_id, line_dedup, mixing, projected_search, sharding, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_lines(_table(spark, sf_dir, "documents"))
+
+
+def op3_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     langs, p = language_id.learn(docs, ~language_id.held_out())
@@ -23,17 +35,29 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs).select("doc_id", "source", "n_copies", "copy", F.round("rate", 9).alias("rate"), "shuffle_key")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return sharding.hilbert_shards(docs, ["source", "lang", "n_chars"], keep=["doc_id"])
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_windows", F.round("coverage", 6).alias("coverage"), "verbatim")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_language_id, op5_poisson_mix, op7_hilbert_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_projected_search, op4_language_id, op5_poisson_mix, op6_jaccard_join, op7_hilbert_shards, op8_html_text, op9_template_leaks, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

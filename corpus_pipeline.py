@@ -1,29 +1,65 @@
 """A training corpus from raw documents: language, near duplicates, benchmark leaks, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last
-return the columns of documents.
+return the columns of documents. Between stages the rows are written to the shared folder, so a lost
+executor costs at most a stage's tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemesh.llm import language_id, mixing, sharding
-from citemesh.llm._shared import cut
+from citemesh.llm import decontamination, jaccard_join, language_id, mixing, sharding
+from citemesh.llm._shared import cut, small_or_not
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Posterior below which no learned language fits better than the others together.
+#: Posterior below which no learned language fits better than all others together.
 LEAST_SCORE = 0.5
+#: Near duplicates: shingles of five words, Jaccard of 0.8 or more.
+WORDS, PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters or with no clear language."""
+    """Rejects documents without letters or without a clear language."""
     langs, p = language_id.learn(docs, ~language_id.held_out())
-    kept = language_id.predict(docs, langs, p, keep=docs.columns).filter((docs.lang.isNotNull() | True) & "lang_pred <> 'und'")
-    return kept.filter(f"score >= {LEAST_SCORE}").select(COLUMNS)
+    named = language_id.predict(docs.select(COLUMNS), langs, p, keep=COLUMNS)
+    return named.filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(COLUMNS)
 
 
-STAGES: list = []
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each component: the one of smallest id. Rows repeated with one id are one
+    document, and one of them stays; rows without an id stay unless they equal one that has one."""
+    found = jaccard_join.jaccard_components(docs, percent=PERCENT, words=WORDS)
+    gone, _ = small_or_not(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    again, _ = small_or_not(kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).union(once.select(COLUMNS))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item or its template with other values."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.clean(docs, benchmark).select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources meet weights of n**0.5, and shuffles them."""
+    return mixing.poisson_mix(docs).select(COLUMNS)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and place, in Hilbert order of source, language and length."""
+    return sharding.hilbert_shards(docs, ["source", "lang", "n_chars"], keep=COLUMNS)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("template_decontamination", decontamination_stage),
+    ("poisson_mix", mixing_stage),
+    ("hilbert_shards", sharding_stage),
+]
 #: Language models and similarity components are no SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
