@@ -40,27 +40,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(t, _SPLIT), lambda x: F.length(x) > 0)
 
 
-def template(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return F.when(first.isin("#", "@", "~"), first).otherwise(F.lower(token))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a generator stands between it and what reads it, as
+    a plain projection would be copied into each lambda that names it and run for each element."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
-def windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """df(…, tokens) with (pos, h): each window of template tokens, and pos -1 for the whole of a shorter
+def windows(df: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """df(keep, tokens) as keep with (pos, h): each window of template tokens, and pos -1 for the whole of a shorter
     text. Windows of slots alone are left out."""
-    df = df.withColumn("__t", F.transform("tokens", template)).withColumn("__h", F.expr("transform(__t, x -> if(x in ('#', '@', '~'), cast(ascii(x) as bigint), xxhash64(x)))"))
+    hashes = F.transform("tokens", lambda x: F.when(F.substring(x, 1, 1).isin("#", "@", "~"), F.ascii(x).cast("bigint")).otherwise(F.xxhash64(F.lower(x))))
+    df = once(df, "__h", hashes)
     made = f"transform(sequence(0, size(__h) - {window}), i -> named_struct('pos', i, 'h', xxhash64(slice(__h, i + 1, {window}))))"
     whole = "array(named_struct('pos', -1, 'h', xxhash64(__h)))"
-    df = df.withColumn("__w", F.expr(f"case when size(__h) >= {window} then {made} when exists(__h, x -> not (x between 0 and 127)) then {whole} end"))
-    return df.select(*(c for c in df.columns if c[:2] != "__"), F.explode("__w").alias("__w")).select("*", "__w.pos", "__w.h").drop("__w")
+    each = F.expr(f"case when size(__h) >= {window} then {made} when exists(__h, x -> not (x between 0 and 127)) then {whole} end")
+    return once(df, "__w", each).select(*(keep or []), F.inline("__w"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, th, item_id, n_windows, coverage, verbatim) for each document and benchmark item in it; th
     hashes the text."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens")).filter("item_id is not null")
-    items = cut(items.filter(F.size("tokens") > 0))
-    of_items = windows(items, window).select("item_id", F.col("pos").alias("item_pos"), "h").dropDuplicates()
+    items = once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "tokens", tokens(F.col("text"))).select("item_id", "tokens")
+    items = cut(items.filter(F.col("item_id").isNotNull() & (F.size("tokens") > 0)))
+    of_items = windows(items, window, keep=["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h").dropDuplicates()
     # slots alone, in a row, are no evidence
     slots = F.expr("size(filter(slice(tokens, item_pos + 1, %d), x -> substring(x, 1, 1) not in ('#', '@', '~'))) > 0" % window)
     of_items = of_items.join(items, "item_id").filter((F.col("item_pos") < 0) | slots).drop("tokens")
@@ -68,7 +70,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     total = of_items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
 
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = windows(keyed.select("doc", "th", tokens(F.col("text")).alias("tokens")).select("doc", "th", "tokens"), window)
+    found = windows(once(keyed, "tokens", tokens(F.col("text"))).select("doc", "th", "tokens"), window, keep=["doc", "th"])
     hits = found.select("doc", "th", "pos", "h").join(of_items, "h").filter("(pos < 0) = (item_pos < 0)")
     hits = cut(hits.select("doc", "th", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     enough = hits.groupBy("doc", "th", "item_id").agg(F.count_distinct("item_pos").alias("n")).join(total, "item_id").filter(F.col("n") >= F.col("n_windows") * coverage)
@@ -76,13 +78,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # the aligned slots of each document, item and offset
     lines = hits.groupBy("doc", "th", "item_id", "n_windows", "shift").agg(F.collect_set("item_pos").alias("at"))
     wanted, _ = small_or_not(hits.select("doc", "th").distinct())
-    texts = keyed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", tokens(F.col("text")).alias("theirs"))
+    texts = once(keyed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]), "theirs", tokens(F.col("text"))).select("doc", "th", "theirs")
     lines = lines.join(texts, ["doc", "th"]).join(items, "item_id")
     places = F.expr(f"array_distinct(flatten(transform(at, p -> if(p < 0, sequence(0, size(tokens) - 1), sequence(p, p + {window - 1})))))")
-    lines = lines.withColumn("p", places)
-    lines = lines.withColumn("pairs", F.expr("array_distinct(transform(p, j -> named_struct('mine', tokens[j], 'theirs', theirs[j + shift])))"))
+    lines = once(lines, "p", places)
+    lines = once(lines, "pairs", F.expr("array_distinct(transform(p, j -> named_struct('mine', tokens[j], 'theirs', theirs[j + shift])))"))
     slots = F.expr("filter(pairs, x -> substring(x.mine, 1, 1) in ('#', '@', '~'))")
-    lines = lines.withColumn("slots", slots).filter("size(array_distinct(transform(slots, x -> x.mine))) = size(slots)")
+    lines = once(lines, "slots", slots).filter("size(array_distinct(transform(slots, x -> x.mine))) = size(slots)")
     lines = lines.withColumn("verbatim", F.expr("forall(slots, x -> x.mine = x.theirs)"))
     whole = lines.select("doc", "th", "item_id", "n_windows", "verbatim", F.explode("at").alias("item_pos"))
     out = whole.groupBy("doc", "th", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("n"), F.bool_and("verbatim").alias("verbatim"))
