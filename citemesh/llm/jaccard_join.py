@@ -9,7 +9,7 @@ and the next. Of subsets where a set is empty none is needed if fewer partitions
 are sure to agree (1 + m); else all are given. So every linked pair shares a signature.
 
 Equal sets are joined first, by a 128-bit fingerprint. Sets that share a signature are compared exactly,
-but not all with all: each bucket compares its members with one of them (four orders are used, so that a
+but not all with all: each bucket compares its members with one of them (a few orders are used, so that a
 group has a few such centres), then, where a bucket still holds several components, with its best linked
 member, and at last every pair across components. No pair that could change a component is left out, and
 a group of near copies costs its size, not its square. Counts of intersections run in the JVM.
@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, cut, drop, small_or_not
+from ._shared import components, cut, drop, release, small_or_not
 
 WORDS = 4
 PERCENT = 85
 STAR_ROUNDS = 2
+ORDERS = 4
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -145,20 +146,24 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """(doc_id, shingles array<bigint>)"""
+    """(doc_id, size, s0, s1): a set's size, and its hashes below and from the middle of their range."""
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                sets = [shingle_hashes(t.as_py(), known, words).view(np.int64) for t in part.column(1)]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "shingles"])
+                sets = [shingle_hashes(t.as_py(), known, words) for t in part.column(1)]
+                at = [int(np.searchsorted(s, _U(1 << 63))) for s in sets]
+                halves = [lists([s[cut_].view(np.int64) for s, cut_ in zip(sets, cuts, strict=True)]) for cuts in ([slice(None, k) for k in at], [slice(k, None) for k in at])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *halves], ["doc_id", "size", "s0", "s1"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, size bigint, s0 array<bigint>, s1 array<bigint>")
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> str:
@@ -166,11 +171,20 @@ def _similar_sizes(a: str, b: str, percent: int) -> str:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b), those whose sets have at least that Jaccard similarity."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(f"100 * i >= {percent} * (size(sa) + size(sb) - i)").select("a", "b")
+    """Of pairs (a, b), those whose sets have at least that Jaccard similarity. One half of the hash range
+    is compared after the other; pairs that could no longer get there if all the rest agreed go before the
+    second half is moved."""
+    left = pairs.withColumns({"i": F.lit(0).cast("bigint"), "ra": F.lit(None).cast("bigint"), "rb": F.lit(None).cast("bigint")})
+    for half in ("s0", "s1"):
+        one = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col(half).alias("sa"))
+        two = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col(half).alias("sb"))
+        both = left.join(one, "a").join(two, "b")
+        both = both.select("a", "b", (F.col("i") + F.size(F.array_intersect("sa", "sb"))).alias("i"), (F.coalesce("ra", "na") - F.size("sa")).alias("ra"), (F.coalesce("rb", "nb") - F.size("sb")).alias("rb"), "na", "nb")
+        top = "(i + least(ra, rb))"
+        both = cut(both.filter(f"100 * {top} >= {percent} * (na + nb - {top})").drop("na", "nb"))
+        release(pairs.sparkSession)
+        left = both
+    return left.select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -185,16 +199,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = ready.filter("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
     sigs = first.select("doc_id", "n", F.explode("sigs").alias("sig")).repartition("sig")
     by = Window.partitionBy("sig").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = sigs.withColumn("o", F.xxhash64("doc_id", F.pmod("sig", F.lit(4))))
+    members = sigs.withColumn("o", F.xxhash64("doc_id", F.pmod("sig", F.lit(ORDERS))))
     members = members.select("sig", "doc_id", "n", F.first("doc_id").over(by).alias("rep"), F.first("n").over(by).alias("rep_n"))
     members = cut(members.filter("doc_id <> rep"))
+    heads = cut(ready.select("doc_id", *key))
+    drop(ready)  # the signatures and their shuffle go before sets are compared
 
     inside = members.select("doc_id").union(members.select("rep")).distinct()
     inside, _ = small_or_not(inside)
     sets = cut(shingle_sets(docs.join(inside.withColumnRenamed("doc_id", id_col), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, words))
     pair = (F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
     tried = cut(members.filter(_similar_sizes("n", "rep_n", percent)).select(*pair).distinct())
-    links = cut(verified(tried, sets, percent))
+    links = verified(tried, sets, percent)
     everyone = members.select("sig", "doc_id", "n").union(members.select("sig", "rep", "rep_n").distinct())
     for last in [*[False] * STAR_ROUNDS, True]:
         labels = components(links)
@@ -212,7 +228,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             best = Window.partitionBy("sig").orderBy(F.desc("degree"), F.xxhash64("doc_id", "sig")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             new = left.withColumns({"rep": F.first("doc_id").over(best), "rep_n": F.first("n").over(best), "rep_comp": F.first("comp").over(best)}).filter("comp <> rep_comp")
         new = cut(new.filter(_similar_sizes("n", "rep_n", percent)).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
-        found = cut(verified(new, sets, percent))
+        found = verified(new, sets, percent)
         was = tried, links
         tried, links = cut(tried.union(new)), cut(links.union(found))
         drop(left, new, found, labels, *was)
@@ -220,5 +236,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     named = classes.join(labels.join(degree, "id", "left").withColumnRenamed("id", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     drop(tried, members, sets)
-    out = ready.select("doc_id", *key).join(named, key, "left")
+    out = heads.join(named, key, "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
