@@ -3,6 +3,8 @@ state to the checkpoint folder when one is set."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ from ..functions.columns import graph_indices
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Ends the lineage: a reliable checkpoint where a folder is set, else a cache."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None and found:
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    """Ends the lineage by a reliable checkpoint in spark.checkpoint.dir, or a folder of our own where that
+    is unset (as in tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="citemesh-"))
+    return df.checkpoint()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return inside / total - ends.agg(F.sum(F.pow(F.col("k") / (2 * total), 2.0))).first()[0]
 
 
-def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 6) -> DataFrame:
     """(id, community) by synchronous local moves: in each round a node joins the neighbouring community
     of largest modularity gain; only moves to smaller labels are taken in odd rounds and to larger in even
     ones, so that neighbours don't swap. Labels aren't those of a sequential run; modularity compares."""

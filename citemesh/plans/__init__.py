@@ -1,0 +1 @@
+from . import queries, graph_queries  # noqa: F401  they fill the catalog
