@@ -8,11 +8,14 @@ subsets of n2 - 1 parts agrees. A set's signatures are all those subsets' projec
 and the next. Of subsets where a set is empty none is needed if fewer partitions have such subsets than
 are sure to agree (1 + m); else all are given. So every linked pair shares a signature.
 
-Equal sets are joined first, by a 128-bit fingerprint. Sets that share a signature are compared exactly,
-but not all with all: each bucket compares its members with one of them (a few orders are used, so that a
-group has a few such centres), then, where a bucket still holds several components, with its best linked
-member, and at last every pair across components. No pair that could change a component is left out, and
-a group of near copies costs its size, not its square. Counts of intersections run in the JVM.
+Equal sets are joined first, by a 128-bit fingerprint. The partitions also say how many signatures linked
+sets share at least; documents that share fewer, with all others together, leave. Sets that share a
+signature are compared exactly, but not all with all: each bucket compares its members with one of them (a
+few orders are used, so that a group has a few such centres), then, where a bucket still holds several
+components, with its best linked member. At last all pairs across components are weighed in memory by
+their cells, whose differences bound the sets' from below; pairs that may be linked are compared exactly.
+No pair that could change a component is left out, and what is moved follows a group's size, not its
+square. Counts of intersections run in the JVM.
 
 Edge cases: null or empty texts and texts of white space have no shingles and stand alone; texts under
 four words are one shingle; repeated rows are equal sets; a row without an id takes the component of the
@@ -35,8 +38,10 @@ from ._shared import components, cut, drop, release, small_or_not
 
 WORDS = 4
 PERCENT = 85
-STAR_ROUNDS = 2
+#: Orders in which buckets choose their centres.
 ORDERS = 4
+#: Members of a bucket compared in one piece.
+BUCKET = 4096
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -82,88 +87,113 @@ def bands(percent: int = PERCENT, most: int = 1 << 40) -> list[int]:
 
 @lru_cache(maxsize=4096)
 def plan(top: int, percent: int = PERCENT) -> tuple | None:
-    """For sets of up to `top` elements: (partitions sure to agree, cells' lower bounds, n1, n2, subsets).
-    None where linked sets are equal."""
+    """For sets of up to `top` elements: (partitions with at most one difference, signatures that agree at
+    least, cells' lower bounds, n1, n2, subsets). None where linked sets are equal."""
     k = 2 * top * (100 - percent) // (100 + percent)
     if k == 0:
         return None
-    m = 0 if k < 4 else 1 if k < 20 else 2
+    m = 0 if k < 4 else 1 if k < 20 else 3
     n2 = 3 if top < 40 else 2
     n1 = k // 2 + 1 + m
     cells = n1 * n2
     edges = np.array([-(-(i << 64) // cells) for i in range(1, cells)], np.uint64)
-    return 1 + m, edges, n1, n2, list(combinations(range(n2), n2 - 1))
+    agree = cells - k if n2 == 2 else n1 - k // 2
+    return n1 - k // 2, agree, edges, n1, n2, list(combinations(range(n2), n2 - 1))
 
 
-def signatures(hashes: np.ndarray, tops: list[int], percent: int = PERCENT) -> np.ndarray:
-    """The signatures of a sorted set."""
-    n = len(hashes)
+def cells_of(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's sum of mixed hashes and number of elements."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ _K[6]))])
+    at = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+    return sums[at[1:]] - sums[at[:-1]], np.diff(at)
+
+
+def signatures(hashes: np.ndarray, tops: list[int], percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
+    """The signatures of a sorted set, the tag's parity in the lowest bit, and for each parity how many of
+    them a linked set shares at least."""
+    n, need = len(hashes), [0, 0]
     if n == 0:
-        return hashes
+        return hashes, need
     band = int(np.searchsorted(tops, n))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ _K[6]))])
     out = []
     for tag in (band, band + 1):
         p = plan(tops[tag], percent)
         if p is None:
             continue
-        sure, edges, n1, n2, subsets = p
-        at = np.concatenate([[0], np.searchsorted(hashes, edges), [n]])
-        part = (sums[at[1:]] - sums[at[:-1]]).reshape(n1, n2)
-        count = np.diff(at).reshape(n1, n2)
+        sure, agree, edges, n1, n2, subsets = p
+        part, count = (x.reshape(n1, n2) for x in cells_of(hashes, edges))
         salt = mix(np.arange(n1, dtype=np.uint64) * _K[1] + _U(tag * int(_K[2]) & _MASK))
         full, sig = [], []
         for s, subset in enumerate(subsets):
             total = sum((part[:, j] * _K[j] for j in subset), salt + _U(s * int(_K[5]) & _MASK))
-            sig.append(mix(total))
+            sig.append((mix(total) & ~_U(1)) | _U(tag & 1))
             full.append(sum(count[:, j] for j in subset) > 0)
         full, sig = np.array(full), np.array(sig)
+        need[tag & 1] = max(1, agree - int((~full).sum()))
         out.append(sig[full] if (~full).any(axis=0).sum() < sure else sig.ravel())
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), need
+
+
+def sketches(hashes: np.ndarray, tops: list[int], percent: int = PERCENT) -> list[bytes]:
+    """For each parity of the tag, 32 bits of each cell's sum and its number of elements."""
+    out = [b"", b""]
+    if len(hashes):
+        band = int(np.searchsorted(tops, len(hashes)))
+        for tag in (band, band + 1):
+            p = plan(tops[tag], percent)
+            if p is not None:
+                sums, count = cells_of(hashes, p[2])
+                out[tag & 1] = np.concatenate([sums.astype(np.uint32), count.astype(np.uint32)]).tobytes()
+    return out
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, k1, k2, sigs): size, fingerprint and signatures of each row's set."""
+    """(doc_id, n, k1, k2, need0, need1, sigs): size, fingerprint and signatures of each row's set, and how
+    many of them a linked set shares at least, for each parity of the tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tops = WordHash(), bands(percent)
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                n, k1, k2, sigs = [], [], [], []
+                n, k1, k2, sigs, needs = [], [], [], [], []
                 for t in part.column(1):
                     h = shingle_hashes(t.as_py(), known, words)
                     n.append(len(h))
                     k1.append(int(mix(h ^ _K[3]).sum(dtype=np.uint64).astype(np.int64)))
                     k2.append(int(mix(h ^ _K[4]).sum(dtype=np.uint64).astype(np.int64)))
-                    sigs.append(signatures(h, tops, percent).view(np.int64))
+                    own, need = signatures(h, tops, percent)
+                    sigs.append(own.view(np.int64))
+                    needs.append(need)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], ["doc_id", "n", "k1", "k2", "sigs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array([x[i] for x in needs], pa.int64()) for i in range(2)), lists], ["doc_id", "n", "k1", "k2", "need0", "need1", "sigs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, need0 bigint, need1 bigint, sigs array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """(doc_id, size, s0, s1): a set's size, and its hashes below and from the middle of their range."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(doc_id, size, s0, s1, v0, v1): a set's size, its hashes below and from the middle of their range, and
+    its sketches."""
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, tops = WordHash(), bands(percent)
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 sets = [shingle_hashes(t.as_py(), known, words) for t in part.column(1)]
                 at = [int(np.searchsorted(s, _U(1 << 63))) for s in sets]
                 halves = [lists([s[cut_].view(np.int64) for s, cut_ in zip(sets, cuts, strict=True)]) for cuts in ([slice(None, k) for k in at], [slice(k, None) for k in at])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *halves], ["doc_id", "size", "s0", "s1"])
+                both = [sketches(s, tops, percent) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *halves, *(pa.array([x[i] for x in both], pa.binary()) for i in range(2))], ["doc_id", "size", "s0", "s1", "v0", "v1"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, size bigint, s0 array<bigint>, s1 array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, size bigint, s0 array<bigint>, s1 array<bigint>, v0 binary, v1 binary")
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> str:
@@ -187,47 +217,130 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return left.select("a", "b")
 
 
+def pruned(rows: DataFrame, rounds: int = 2) -> DataFrame:
+    """Rows (sig, doc_id, need, ...) of shared signatures, without those of documents that share fewer than
+    a linked set would, under one tag."""
+    kept = None
+    for _ in range(rounds):
+        tag = F.col("sig").bitwiseAND(F.lit(1).cast("bigint"))
+        rows = rows.withColumn("tag", tag)
+        enough = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("c"), F.max("need").alias("q")).filter("c >= q").select("doc_id", "tag")
+        rows = rows.join(enough, ["doc_id", "tag"], "left_semi").drop("tag")
+        shared = rows.groupBy("sig").count().filter("count > 1").select("sig")
+        was, rows = kept, cut(rows.join(shared, "sig", "left_semi"))
+        kept = rows
+        if was is not None:
+            drop(was)
+    return rows
+
+
+def across(left: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of one bucket in two components that may be linked: left(sig, doc_id, n, comp). Buckets
+    are compared in memory, in blocks of bounded size; only pairs come out whose sketches allow a link.
+    Cells whose sums differ hold a difference for each element more, or two if they have as many."""
+    size = left.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(float(BUCKET))).cast("int").alias("g"))
+    rows = left.join(size, "sig").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.expr("sequence(0, g - 1)"))).select("sig", "doc_id", "n", "comp", "b", F.least("b", "j").alias("i"), F.greatest("b", "j").alias("j"))
+    vec = sets.select("doc_id", "v0", "v1")
+    rows = rows.join(vec, "doc_id").select("sig", "i", "j", "b", "doc_id", "n", "comp", F.when(F.col("sig").bitwiseAND(F.lit(1).cast("bigint")) == 0, F.col("v0")).otherwise(F.col("v1")).alias("v"))
+    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        group = [r for r in group if len(r[7]) == len(group[0][7])]  # a bucket is of one tag
+        two = group[0][1] != group[0][2]
+        block, ids, n, comp = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5, 6))
+        vec = np.frombuffer(b"".join(r[7] for r in group), np.uint32).reshape(len(group), -1)
+        half = vec.shape[1] // 2
+        sums, count = vec[:, :half], vec[:, half:].astype(np.int32)
+        names, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        main = inverse.ravel() == sizes.argmax()
+        out = []
+        for r in np.flatnonzero(~main):
+            other = comp != comp[r]
+            other[:r] &= main[:r]  # pairs outside the main component once
+            if two:
+                other &= block != block[r]
+            o = np.flatnonzero(other & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r])))
+            if not o.size:
+                continue
+            delta = np.abs(count[o] - count[r])
+            least = np.where(sums[o] != sums[r], np.where(delta == 0, 2, delta), 0).sum(axis=1)
+            ok = o[least * (100 + percent) <= (100 - percent) * (n[o] + n[r])]
+            out += [(min(ids[r], x), max(ids[r], x)) for x in ids[ok]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        found: set[tuple[int, int]] = set()
+
+        def flush():
+            rows = list(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in rows], pa.int64()) for i in range(2)], ["a", "b"])
+
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    found.update(compare(group))
+                    group = []
+                    if len(found) > 100_000:
+                        yield flush()
+                group.append(row)
+        if group:
+            found.update(compare(group))
+        yield flush()
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id, class_id, n_links): a row's set size, the smallest id its links reach,
     the smallest id with an equal set, and the number of links found to other classes."""
-    ready = cut(prepared(docs, id_col, text_col, percent, words))
+    spark = docs.sparkSession
+    ready = cut(prepared(docs.withColumn(id_col, F.col(id_col).cast("bigint")), id_col, text_col, percent, words))
     key = ["k1", "k2", "n"]
     classes = cut(ready.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
     several = classes.filter("copies > 1").select(*key, "class_id")
     copies = ready.filter("n > 0").select(*key, "doc_id").join(several, key).filter("doc_id <> class_id").select("doc_id")
     copies, few = small_or_not(copies)
     first = ready.filter("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
-    sigs = first.select("doc_id", "n", F.explode("sigs").alias("sig")).repartition("sig")
-    by = Window.partitionBy("sig").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = sigs.withColumn("o", F.xxhash64("doc_id", F.pmod("sig", F.lit(ORDERS))))
-    members = members.select("sig", "doc_id", "n", F.first("doc_id").over(by).alias("rep"), F.first("n").over(by).alias("rep_n"))
-    members = cut(members.filter("doc_id <> rep"))
+    # buckets: a signature's first member in a hashed order, then the others
+    sigs = first.select("doc_id", "n", "need0", "need1", F.explode("sigs").alias("sig"))
+    sigs = sigs.select("doc_id", "n", F.when(F.col("sig").bitwiseAND(F.lit(1).cast("bigint")) == 0, F.col("need0")).otherwise(F.col("need1")).alias("need"), "sig").repartition("sig")
+    by = Window.partitionBy("sig").orderBy("doc_id").rowsBetween(-1, 1)
+    shared = sigs.withColumns({"lo": F.min("doc_id").over(by), "hi": F.max("doc_id").over(by)}).filter("lo <> hi").select("sig", "doc_id", "n", "need")
+    shared = cut(shared)
     heads = cut(ready.select("doc_id", *key))
     drop(ready)  # the signatures and their shuffle go before sets are compared
+    alive = pruned(shared)
+    everyone = alive.select("sig", "doc_id", "n")
+    drop(shared)
 
-    inside = members.select("doc_id").union(members.select("rep")).distinct()
-    inside, _ = small_or_not(inside)
-    sets = cut(shingle_sets(docs.join(inside.withColumnRenamed("doc_id", id_col), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, words))
+    inside, _ = small_or_not(everyone.select("doc_id").distinct())
+    sets = cut(shingle_sets(docs.join(inside.withColumnRenamed("doc_id", id_col), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, percent, words))
     pair = (F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
+
+    def star(rows: DataFrame, *order) -> DataFrame:
+        """Rows with their bucket's first member by the order."""
+        w = Window.partitionBy("sig").orderBy(*order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({f"rep{x}": F.first(c).over(w) for x, c in (("", "doc_id"), ("_n", "n"), ("_comp", "comp")) if c in rows.columns})
+
+    members = star(everyone, F.xxhash64("doc_id", F.pmod("sig", F.lit(ORDERS)))).filter("doc_id <> rep")
     tried = cut(members.filter(_similar_sizes("n", "rep_n", percent)).select(*pair).distinct())
     links = verified(tried, sets, percent)
-    everyone = members.select("sig", "doc_id", "n").union(members.select("sig", "rep", "rep_n").distinct())
-    for last in [*[False] * STAR_ROUNDS, True]:
+    for last in (False, True):
         labels = components(links)
         degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
         known = labels.join(degree, "id", "left").withColumnRenamed("id", "doc_id")
-        named = everyone.join(known, "doc_id", "left").select("sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        named = cut(named)
+        named = cut(everyone.join(known, "doc_id", "left").select("sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")))
         split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
         left = cut(named.join(split, "sig", "left_semi"))
         drop(named)
         if last:
-            other = left.select("sig", F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"), F.col("comp").alias("rep_comp"))
-            new = left.join(other, "sig").filter("comp < rep_comp")
+            new = across(left, sets, percent)
         else:
-            best = Window.partitionBy("sig").orderBy(F.desc("degree"), F.xxhash64("doc_id", "sig")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            new = left.withColumns({"rep": F.first("doc_id").over(best), "rep_n": F.first("n").over(best), "rep_comp": F.first("comp").over(best)}).filter("comp <> rep_comp")
-        new = cut(new.filter(_similar_sizes("n", "rep_n", percent)).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+            new = star(left, F.desc("degree"), F.xxhash64("doc_id", "sig")).filter("comp <> rep_comp").filter(_similar_sizes("n", "rep_n", percent)).select(*pair).distinct()
+        new = cut(new.join(tried, ["a", "b"], "left_anti"))
         found = verified(new, sets, percent)
         was = tried, links
         tried, links = cut(tried.union(new)), cut(links.union(found))
@@ -235,6 +348,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     named = classes.join(labels.join(degree, "id", "left").withColumnRenamed("id", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    drop(tried, members, sets)
+    drop(tried, alive, sets)
     out = heads.join(named, key, "left")
+    release(spark)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -92,4 +92,4 @@ def test_linked_sets_share_a_signature(percent):
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
         if 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
-            assert set(jj.signatures(a, tops, percent).tolist()) & set(jj.signatures(b, tops, percent).tolist())
+            assert len(set(jj.signatures(a, tops, percent)[0].tolist()) & set(jj.signatures(b, tops, percent)[0].tolist())) >= min(max(x, 1) for x in jj.signatures(a, tops, percent)[1] if x)
