@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import null_labels
 from .relational import fill_tiers, top_n
@@ -19,7 +20,7 @@ def best_score(df: DataFrame, key: str, score: str, goal: str, threshold: float
     return top_n(found, [key], [F.desc(score), goal], 1, "__r").drop("__r")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - (insertions + deletions) / (both lengths), lower-cased: twice the longest common subsequence
     over the lengths' sum. Bit-parallel, one big integer per text."""
