@@ -9,7 +9,8 @@ smaller id or earlier in the same one. Strings are judged on the input; matches
    neighbour are kept (a partition's outer rows too, as their neighbours are out of sight).
 2. Kept anchors of one text per class of equal texts fetch the bytes of their windows. (A later copy of an
    equal text of 100 bytes or more goes whole and needs no search.)
-3. Anchor groups are packed into blocks of bounded size; a long group into several. A block's windows are
+3. Anchor groups are packed into blocks of bounded size; a long group into several. Of a group's rows with
+   equal bytes only the earliest is sorted, the others repeat it whole. A block's windows are
    the suffixes to sort, one bucket of first bytes at a time: by 32 bytes, longer ties by the ranks of the
    difference-cover sample behind them, which are computed once per block. Neighbours with 100 bytes in
    common are equal; all but the earliest are marked. Anchors are laid at multiples of the cover's period,
@@ -41,7 +42,7 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1  # anchors to choose from in a window
 PERIOD = 32
 SEGMENT = 1 << 20
-GROUP_ROWS = 16_384
+GROUP_ROWS = 4096
 BLOCK_BYTES = 3 << 20
 BUCKET = 1 << 18
 LAST_ID = (1 << 63) - 1
@@ -381,17 +382,34 @@ def marked(found: DataFrame) -> DataFrame:
             return None
 
         pending: list[tuple] = []
+        whole: list[tuple] = []  # spans that repeat an earlier span byte by byte
         at = None
 
         def close():
             nonlocal size
-            # a lone row has no equal here; it matters only to other blocks of its group
             edge = any(r[6] for r in pending) or len(pending) >= GROUP_ROWS
-            if len(pending) > 1 or edge:
-                groups.extend((*r[:6], edge) for r in pending)
-                size += sum(len(r[5]) for r in pending)
+            # rows with all bytes equal are one row, the earliest; the others go whole
+            first: dict[tuple, tuple] = {}
+            for r in pending:
+                same = first.setdefault((r[4], r[5]), r)
+                if r[1:4] < same[1:4]:
+                    first[r[4], r[5]] = r
+            if len(first) < len(pending):
+                for r in pending:
+                    if r[1:4] != first[r[4], r[5]][1:4]:
+                        whole.append((r[1], r[2], r[3], r[3] + len(r[5])))
+            # a lone row has no equal here; it matters only to other blocks of its group
+            if len(first) > 1 or edge:
+                groups.extend((*r[:6], edge) for r in first.values())
+                size += sum(len(r[5]) for r in first.values())
             pending.clear()
 
+        def spans():
+            n = len(whole)
+            cols = [np.zeros(n, np.int32), *(np.array([r[i] for r in whole], np.int64) for i in range(4)), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+            whole.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
         for b in batches:
             c = [b.column(i).to_pylist() for i in range(8)]
             for h, salt, edge, doc, key, lo, ahead, data in zip(*c, strict=True):
@@ -400,8 +418,12 @@ def marked(found: DataFrame) -> DataFrame:
                     at = (h, salt)
                     if size >= BLOCK_BYTES and (out := solve()) is not None:
                         yield out
+                    if len(whole) >= 50_000:
+                        yield spans()
                 pending.append((h, doc, key, lo, ahead, data, edge))
         close()
+        if whole:
+            yield spans()
         if groups and (out := solve()) is not None:
             yield out
 
