@@ -32,8 +32,8 @@ from ._shared import cut
 NEAREST = 10
 DIMENSIONS = 8
 SURE = 0.97
-BLOCK_ROWS = 65_536
-LEAF = 24
+BLOCK_ROWS = 16_384
+LEAF = 64
 SEED = 3
 
 
@@ -114,6 +114,9 @@ class Block:
                 break
             diff = self.vectors[rows] - q
             dist = np.sqrt((diff * diff).sum(axis=1))
+            if len(best) == self.k:
+                close = dist <= -best[0][0]
+                dist, rows = dist[close], rows[close]
             for d, row in zip(dist.tolist(), rows.tolist(), strict=True):
                 if len(best) == self.k and d > -best[0][0]:
                     continue
