@@ -90,7 +90,8 @@ def join_hot(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner"
     if few:
         return big.join(small, on, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+    # a salt from the row itself, so that a repeated task deals its rows as before
+    return big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
 
 
 def utf8(col: str | Column) -> Column:
