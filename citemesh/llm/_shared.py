@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 import weakref
 
@@ -71,9 +72,12 @@ def drop(*cuts: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's references to them do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files go when the driver's references to them do: Python's first, then the JVM's, which
+    reach the cleaner on a second pass."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:

@@ -39,7 +39,9 @@ from ._shared import components, cut, drop, release, small_or_not
 WORDS = 4
 PERCENT = 85
 #: Orders in which buckets choose their centres.
-ORDERS = 4
+ORDERS = 2
+#: Slices of the hash range in which sets are compared, one after the other.
+SLICES = 4
 #: Members of a bucket compared in one piece.
 BUCKET = 4096
 _U = np.uint64
@@ -174,8 +176,11 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(doc_id, size, s0, s1, v0, v1): a set's size, its hashes below and from the middle of their range, and
-    its sketches."""
+    """(doc_id, size, s0, ..., v0, v1): a set's size, its hashes in each slice of their range, and its
+    sketches."""
+
+    names = [f"s{k}" for k in range(SLICES)]
+    bounds = np.array([k * (1 << 64) // SLICES for k in range(1, SLICES)], np.uint64)
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -187,13 +192,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 sets = [shingle_hashes(t.as_py(), known, words) for t in part.column(1)]
-                at = [int(np.searchsorted(s, _U(1 << 63))) for s in sets]
-                halves = [lists([s[cut_].view(np.int64) for s, cut_ in zip(sets, cuts, strict=True)]) for cuts in ([slice(None, k) for k in at], [slice(k, None) for k in at])]
+                at = [[0, *np.searchsorted(s, bounds), len(s)] for s in sets]
+                parts = [lists([s[e[k] : e[k + 1]].view(np.int64) for s, e in zip(sets, at, strict=True)]) for k in range(SLICES)]
                 both = [sketches(s, tops, percent) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *halves, *(pa.array([x[i] for x in both], pa.binary()) for i in range(2))], ["doc_id", "size", "s0", "s1", "v0", "v1"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *parts, *(pa.array([x[i] for x in both], pa.binary()) for i in range(2))], ["doc_id", "size", *names, "v0", "v1"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, size bigint, s0 array<bigint>, s1 array<bigint>, v0 binary, v1 binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, size bigint, {', '.join(f'{n} array<bigint>' for n in names)}, v0 binary, v1 binary")
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> str:
@@ -201,13 +206,13 @@ def _similar_sizes(a: str, b: str, percent: int) -> str:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b), those whose sets have at least that Jaccard similarity. One half of the hash range
+    """Of pairs (a, b), those whose sets have at least that Jaccard similarity. One slice of the hash range
     is compared after the other; pairs that could no longer get there if all the rest agreed go before the
-    second half is moved."""
+    next slice is moved, and a slice's shuffle goes first."""
     left = pairs.withColumns({"i": F.lit(0).cast("bigint"), "ra": F.lit(None).cast("bigint"), "rb": F.lit(None).cast("bigint")})
-    for half in ("s0", "s1"):
-        one = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col(half).alias("sa"))
-        two = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col(half).alias("sb"))
+    for own in (f"s{k}" for k in range(SLICES)):
+        one = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col(own).alias("sa"))
+        two = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col(own).alias("sb"))
         both = left.join(one, "a").join(two, "b")
         both = both.select("a", "b", (F.col("i") + F.size(F.array_intersect("sa", "sb"))).alias("i"), (F.coalesce("ra", "na") - F.size("sa")).alias("ra"), (F.coalesce("rb", "nb") - F.size("sb")).alias("rb"), "na", "nb")
         top = "(i + least(ra, rb))"
