@@ -8,12 +8,8 @@ from ..functions import columns as C
 from ..functions import nested as N
 from ..operators import communities as M
 from ..operators import graph as G
-
-
 from ..operators import modeling as D
 from ..operators import relational as R
-
-
 from .catalog import ORACLES, QUERIES
 from .views import AUTHORS, CITES, MEMBERS, REFS, TRADE, cites, members, papers_struct, ref_cluster, table, trade
 
