@@ -8,6 +8,11 @@ Windows that match along one offset are aligned, and their slots must be consist
 item stands for one raw value in the document. So a question with new numbers and names is caught, and a
 text that only looks alike in its placeholders is not. Windows of placeholders alone are no evidence.
 
+With `whole`, as the query and the pipeline run it, white space of any kind and length is one blank, and
+each item window is also looked for with names folded to lower case like any word, so only numbers and
+units are typed there: a copy in lower case, CAPITALS or Title Case, or broken into other lines, is found.
+Windows of names alone are evidence for an item that has no others. Slots are then compared case aside.
+
 All in DataFrame expressions. Edge cases: null and empty texts match nothing; an item under 8 tokens
 matches only a document whose whole template equals its own; rows without an id are told apart by their
 text's hash, as are several texts of one id; repeated rows give one result; an empty benchmark or an empty
@@ -25,18 +30,29 @@ WINDOW = 8
 COVERAGE = 0.5
 #: Units that follow numbers.
 UNITS = "mm cm dm m km in ft yd mi mile miles metre metres meter meters inch inches foot feet g kg mg t lb lbs oz gram grams kilogram kilograms ton tons pound pounds ounce ounces l ml cl litre litres liter liters gallon gallons s ms sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent pct kph mph km/h m/s hz khz mhz ghz w kw v a j kj cal kcal k c f degree degrees"
-_NAME = r"(?<=[\p{L}\p{N},;:][ \t])(\p{Lu}[\p{L}\p{M}]+)"
+#: The capital is looked for first, as it is rare; then what stands before it.
+_NAME = r"(\p{Lu}(?<=[\p{L}\p{N},;:][ \t]\p{Lu})[\p{L}\p{M}]+)"
 _NUMBER = r"([0-9]+(?:[.,][0-9]+)*)"
 _UNIT = rf"(#[0-9.,]+[ \t]?)({'|'.join(sorted((u for u in UNITS.split() if u.isalpha()), key=len, reverse=True))}|%|€|\$|£)(?![\p{{L}}\p{{N}}])"
 _SPLIT = r"[^\p{L}\p{M}\p{N}#@~.,%€$£]+|[.,](?![0-9])|(?<![0-9])[.,]"
 
 
-def tokens(text: Column) -> Column:
-    """Raw tokens; slots start with their type's sign."""
-    t = F.translate(F.coalesce(text, F.lit("")), "#@~", "   ")
+#: White space besides the blank.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A token's value, case and type aside.
+_VALUE = "lower(translate({}, '@~', ''))"
+_AFTER_NUMBER = "({0} > 0 and get({1}, {0} - 1) like '#%' and " + _VALUE.format("{1}[{0}]") + " in (" + ", ".join(f"'{u}'" for u in UNITS.split() if u.isalpha()) + "))"
+
+
+def tokens(text: Column, whole: bool = False) -> Column:
+    """Raw tokens; slots start with their type's sign. `whole`: any white space is one blank, and units are
+    known in capitals too."""
+    t = F.translate(F.coalesce(text, F.lit("")), "#@~" + _SPACES * whole, "   " + " " * len(_SPACES) * whole)
+    if whole:
+        t = F.regexp_replace(t, "  +", " ")
     t = F.regexp_replace(t, _NAME, "@$1")
     t = F.regexp_replace(t, _NUMBER, " #$1")
-    t = F.regexp_replace(t, _UNIT, "$1 ~$2 ")
+    t = F.regexp_replace(t, "(?i)" * whole + _UNIT, "$1 ~$2 ")
     return F.filter(F.split(t, _SPLIT), lambda x: F.length(x) > 0)
 
 
@@ -57,20 +73,58 @@ def windows(df: DataFrame, window: int = WINDOW, keep: list[str] | None = None)
     return once(df, "__w", each).select(*(keep or []), F.inline("__w"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def both_hashes(df: DataFrame) -> DataFrame:
+    """df(tokens) with __h, the tokens' template hashes, and __f, the same with names as lower-case words."""
+    df = once(df, "__h", F.expr("transform(tokens, x -> if(ascii(x) in (35, 64, 126), bigint(ascii(x)), xxhash64(lower(x))))"))
+    folded = f"case when v <> 126 and get(__h, i - 1) = 35 and {_AFTER_NUMBER.format('i', 'tokens')} then 126L when v = 64 then xxhash64({_VALUE.format('tokens[i]')}) else v end"
+    return once(df, "__f", F.expr(f"transform(__h, (v, i) -> {folded})"))
+
+
+def both_windows(df: DataFrame, window: int, keep: list[str]) -> DataFrame:
+    """df(keep, tokens) as keep with (pos, h): each window by template, and each that holds a name again with
+    names as words; pos -1 for the whole of a shorter text."""
+    df = once(both_hashes(df), "__d", F.expr("filter(sequence(0, size(__h) - 1), j -> __h[j] <> __f[j])"))
+    last = f"(size(__h) - {window})"
+    named = f"array_distinct(flatten(transform(__d, j -> if(greatest(0, j - {window - 1}) <= least(j, {last}), sequence(greatest(0, j - {window - 1}), least(j, {last})), array()))))"
+    made = "transform({}, i -> named_struct('pos', i, 'h', xxhash64(slice({}, i + 1, %d))))" % window
+    typed = made.format(f"sequence(0, {last})", "__h")
+    short = "transform(array_distinct(array(xxhash64(__h), xxhash64(__f))), h -> named_struct('pos', -1, 'h', h))"
+    each = f"case when {last} < 0 then {short} when size(__d) = 0 then {typed} else concat({typed}, {made.format(named, '__f')}) end"
+    return once(df.filter("size(tokens) > 0"), "__w", F.expr(each)).select(*keep, F.inline("__w"))
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """items(item_id, tokens) as (item_id, item_pos, h): an item's windows that hold an ordinary word, by template
+    and with names as words; of an item without such, those that hold a name."""
+    w = f"named_struct('pos', i, 'h', slice(__h, i + 1, {window}), 'f', slice(__f, i + 1, {window}))"
+    df = once(both_hashes(items), "__w", F.expr(f"if(size(__h) < {window}, array(), transform(sequence(0, greatest(0, size(__h) - {window})), i -> {w}))"))
+    word = "exists(x.{}, v -> v not in (35, 64, 126))"
+    some = "transform(filter(__w, x -> %s), x -> named_struct('pos', x.pos, 'hs', array_distinct(%s)))"
+    typed = some % (word.format("h"), "array(xxhash64(x.h), xxhash64(x.f))")
+    names = some % (word.format("f"), "array(xxhash64(x.f))")
+    df = df.select("item_id", F.inline(F.expr(f"if(exists(__w, x -> {word.format('h')}), {typed}, {names})")))
+    return df.select("item_id", F.col("pos").alias("item_pos"), F.explode("hs").alias("h"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, whole: bool = False) -> DataFrame:
     """(doc_id, th, item_id, n_windows, coverage, verbatim) for each document and benchmark item in it; th
     hashes the text."""
-    items = once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "tokens", tokens(F.col("text"))).select("item_id", "tokens")
+    items = once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "tokens", tokens(F.col("text"), whole)).select("item_id", "tokens")
     items = cut(items.filter(F.col("item_id").isNotNull() & (F.size("tokens") > 0)))
     of_items = windows(items, window, keep=["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h").dropDuplicates()
     # slots alone, in a row, are no evidence
     slots = F.expr("size(filter(slice(tokens, item_pos + 1, %d), x -> substring(x, 1, 1) not in ('#', '@', '~'))) > 0" % window)
     of_items = of_items.join(items, "item_id").filter((F.col("item_pos") < 0) | slots).drop("tokens")
+    if whole:
+        of_items = of_items.filter("item_pos < 0").union(item_windows(items, window)).dropDuplicates()
     of_items, _ = small_or_not(of_items)
-    total = of_items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    total = of_items.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
 
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = windows(once(keyed, "tokens", tokens(F.col("text"))).select("doc", "th", "tokens"), window, keep=["doc", "th"])
+    split = once(keyed, "tokens", tokens(F.col("text"), whole)).select("doc", "th", "tokens")
+    found = windows(split, window, keep=["doc", "th"])
+    if whole:
+        found = both_windows(split, window, ["doc", "th"])
     hits = found.select("doc", "th", "pos", "h").join(of_items, "h").filter("(pos < 0) = (item_pos < 0)")
     hits = cut(hits.select("doc", "th", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     enough = hits.groupBy("doc", "th", "item_id").agg(F.count_distinct("item_pos").alias("n")).join(total, "item_id").filter(F.col("n") >= F.col("n_windows") * coverage)
@@ -78,12 +132,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # the aligned slots of each document, item and offset
     lines = hits.groupBy("doc", "th", "item_id", "n_windows", "shift").agg(F.collect_set("item_pos").alias("at"))
     wanted, _ = small_or_not(hits.select("doc", "th").distinct())
-    texts = once(keyed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]), "theirs", tokens(F.col("text"))).select("doc", "th", "theirs")
+    texts = once(keyed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]), "theirs", tokens(F.col("text"), whole)).select("doc", "th", "theirs")
     lines = lines.join(texts, ["doc", "th"]).join(items, "item_id")
     places = F.expr(f"array_distinct(flatten(transform(at, p -> if(p < 0, sequence(0, size(tokens) - 1), sequence(p, p + {window - 1})))))")
     lines = once(lines, "p", places)
-    lines = once(lines, "pairs", F.expr("array_distinct(transform(p, j -> named_struct('mine', tokens[j], 'theirs', theirs[j + shift])))"))
-    slots = F.expr("filter(pairs, x -> substring(x.mine, 1, 1) in ('#', '@', '~'))")
+    value = _VALUE if whole else "{}"
+    slot = "substring(tokens[j], 1, 1) in ('#', '@', '~')" + f" or {_AFTER_NUMBER.format('j', 'tokens')}" * whole
+    lines = once(lines, "pairs", F.expr(f"array_distinct(transform(filter(p, j -> {slot}), j -> named_struct('mine', {value.format('tokens[j]')}, 'theirs', {value.format('theirs[j + shift]')})))"))
+    slots = F.col("pairs")
     lines = once(lines, "slots", slots).filter("size(array_distinct(transform(slots, x -> x.mine))) = size(slots)")
     lines = lines.withColumn("verbatim", F.expr("forall(slots, x -> x.mine = x.theirs)"))
     whole = lines.select("doc", "th", "item_id", "n_windows", "verbatim", F.explode("at").alias("item_pos"))

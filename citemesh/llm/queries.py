@@ -49,7 +49,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_windows", F.round("coverage", 6).alias("coverage"), "verbatim")
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), whole=True).select("doc_id", "item_id", "n_windows", F.round("coverage", 6).alias("coverage"), "verbatim")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

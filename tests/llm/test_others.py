@@ -221,6 +221,20 @@ def test_leaks(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_case_and_white_space_aside(spark):
+    q = "A train leaves Boston at 9 km per hour and reaches, with Alice Smith aboard, the town of Salem after 45 minutes while Alice sleeps."
+    new = q.replace("Boston", "Lyon").replace("Alice", "Marie")
+    copies = [q, q.lower().replace(",", ""), q.upper(), q.title(), q.replace(" ", "\n"), q.replace(" ", " \u00a0 "), new.replace(" ", "  "), q.lower().replace("45", "50"), q.replace("9 km", "9KM")]
+    other = ["while marie sleeps and waits for the next train to the town", q.lower().replace("9", "8").replace("45 minutes", "x y z").replace("salem after", "one two").replace("reaches", "a b c d e f")]
+    rows = [(i, "filler words come first " + t + " and more of them") for i, t in enumerate(copies)] + [(100 + i, t) for i, t in enumerate(other)]
+    rows += [(200, "it was anna bert clara dora emil fritz greta hans ida who came")]
+    bench = spark.createDataFrame([(0, q), (1, ": Anna Bert Clara Dora Emil Fritz Greta Hans Ida")], "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(x.doc_id, x.item_id): x.verbatim for x in decontamination.leaks(docs, bench, whole=True).collect()}
+    assert got == {**{(i, 0): i not in (6, 7) for i in range(9)}, (200, 1): True}, got
+    assert {r.doc_id for r in decontamination.clean(docs, bench, whole=True).collect()} == {100, 101}
+
+
 # 2: lines
 def test_patience_is_a_common_subsequence():
     r = random.Random(6)
