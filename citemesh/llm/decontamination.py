@@ -11,10 +11,12 @@ text that only looks alike in its placeholders is not. Windows of placeholders a
 With `whole`, as the query and the pipeline run it, white space of any kind and length is one blank, and
 each item window is also looked for with names folded to lower case like any word, so only numbers and
 units are typed there: a copy in lower case, CAPITALS or Title Case, or broken into other lines, is found.
-Windows of names alone are evidence for an item that has no others. Slots are then compared case aside.
+Windows of names alone are evidence for an item that has no others, and windows of numbers and units alone
+for one that has neither, if their values are the same. An item under 8 tokens is one window of its own
+length, looked for anywhere in a document. Slots are then compared case aside.
 
 All in DataFrame expressions. Edge cases: null and empty texts match nothing; an item under 8 tokens
-matches only a document whose whole template equals its own; rows without an id are told apart by their
+matches (without `whole`) only a document whose whole template equals its own; rows without an id are told apart by their
 text's hash, as are several texts of one id; repeated rows give one result; an empty benchmark or an empty
 table gives no rows; extra columns are not read. The benchmark's windows are broadcast behind a count.
 """
@@ -41,6 +43,7 @@ _SPLIT = r"[^\p{L}\p{M}\p{N}#@~.,%€$£]+|[.,](?![0-9])|(?<![0-9])[.,]"
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A token's value, case and type aside.
 _VALUE = "lower(translate({}, '@~', ''))"
+_VALUES = "xxhash64(transform({}, x -> " + _VALUE.format("x") + "), 'values')"
 _AFTER_NUMBER = "({0} > 0 and get({1}, {0} - 1) like '#%' and " + _VALUE.format("{1}[{0}]") + " in (" + ", ".join(f"'{u}'" for u in UNITS.split() if u.isalpha()) + "))"
 
 
@@ -80,30 +83,41 @@ def both_hashes(df: DataFrame) -> DataFrame:
     return once(df, "__f", F.expr(f"transform(__h, (v, i) -> {folded})"))
 
 
-def both_windows(df: DataFrame, window: int, keep: list[str]) -> DataFrame:
-    """df(keep, tokens) as keep with (pos, h): each window by template, and each that holds a name again with
-    names as words; pos -1 for the whole of a shorter text."""
+def both_windows(df: DataFrame, lengths: list[tuple[int, bool]], keep: list[str]) -> DataFrame:
+    """df(keep, tokens) as keep with (pos, h): each window of the lengths by template, each that holds a name again
+    with names as words, and, for lengths with True, each of numbers and units alone by its values."""
     df = once(both_hashes(df), "__d", F.expr("filter(sequence(0, size(__h) - 1), j -> __h[j] <> __f[j])"))
-    last = f"(size(__h) - {window})"
-    named = f"array_distinct(flatten(transform(__d, j -> if(greatest(0, j - {window - 1}) <= least(j, {last}), sequence(greatest(0, j - {window - 1}), least(j, {last})), array()))))"
-    made = "transform({}, i -> named_struct('pos', i, 'h', xxhash64(slice({}, i + 1, %d))))" % window
-    typed = made.format(f"sequence(0, {last})", "__h")
-    short = "transform(array_distinct(array(xxhash64(__h), xxhash64(__f))), h -> named_struct('pos', -1, 'h', h))"
-    each = f"case when {last} < 0 then {short} when size(__d) = 0 then {typed} else concat({typed}, {made.format(named, '__f')}) end"
-    return once(df.filter("size(tokens) > 0"), "__w", F.expr(each)).select(*keep, F.inline("__w"))
+    df = once(df, "__n", F.expr("size(filter(__f, v -> v in (35, 126)))"))
+    parts = []
+    for n, values in lengths:
+        last = f"(size(__h) - {n})"
+        named = f"array_distinct(flatten(transform(__d, j -> if(greatest(0, j - {n - 1}) <= least(j, {last}), sequence(greatest(0, j - {n - 1}), least(j, {last})), array()))))"
+        made = "transform({}, i -> named_struct('pos', i, 'h', xxhash64(slice({}, i + 1, %d))))" % n
+        typed = made.format(f"sequence(0, {last})", "__h")
+        parts.append(f"case when {last} < 0 then array() when size(__d) = 0 then {typed} else concat({typed}, {made.format(named, '__f')}) end")
+        if values:
+            alone = f"filter(sequence(0, {last}), i -> forall(slice(__f, i + 1, {n}), v -> v in (35, 126)))"
+            parts.append(f"case when __n < {n} then array() else transform({alone}, i -> named_struct('pos', i, 'h', {_VALUES.format(f'slice(tokens, i + 1, {n})')})) end")
+    each = f"concat({', '.join(parts)})" if parts else "array(named_struct('pos', 0, 'h', 0L))"
+    return once(df.filter("size(tokens) > 0"), "__w", F.expr(each)).select(*keep, F.inline("__w")).filter(F.lit(bool(parts)))
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """items(item_id, tokens) as (item_id, item_pos, h): an item's windows that hold an ordinary word, by template
-    and with names as words; of an item without such, those that hold a name."""
-    w = f"named_struct('pos', i, 'h', slice(__h, i + 1, {window}), 'f', slice(__f, i + 1, {window}))"
-    df = once(both_hashes(items), "__w", F.expr(f"if(size(__h) < {window}, array(), transform(sequence(0, greatest(0, size(__h) - {window})), i -> {w}))"))
+    """items(item_id, tokens) as (item_id, item_pos, h, n, by_value): the windows of n tokens that hold an ordinary
+    word, by template and with names as words; of an item without such, those that hold a name; without
+    these, those of numbers and units, by value. A shorter item is one window."""
+    df = once(both_hashes(items), "n", F.expr(f"least(size(tokens), {window})"))
+    w = f"named_struct('pos', i, 'h', slice(__h, i + 1, n), 'f', slice(__f, i + 1, n), 'values', {_VALUES.format('slice(tokens, i + 1, n)')})"
+    df = once(df, "__w", F.expr(f"transform(sequence(0, size(__h) - n), i -> {w})"))
     word = "exists(x.{}, v -> v not in (35, 64, 126))"
     some = "transform(filter(__w, x -> %s), x -> named_struct('pos', x.pos, 'hs', array_distinct(%s)))"
     typed = some % (word.format("h"), "array(xxhash64(x.h), xxhash64(x.f))")
     names = some % (word.format("f"), "array(xxhash64(x.f))")
-    df = df.select("item_id", F.inline(F.expr(f"if(exists(__w, x -> {word.format('h')}), {typed}, {names})")))
-    return df.select("item_id", F.col("pos").alias("item_pos"), F.explode("hs").alias("h"))
+    values = some % ("true", "array(x.values)")
+    has = "exists(__w, x -> {})".format
+    df = df.withColumn("by_value", F.expr(f"not {has(word.format('h'))} and not {has(word.format('f'))}"))
+    df = df.select("item_id", "n", "by_value", F.inline(F.expr(f"case when {has(word.format('h'))} then {typed} when not by_value then {names} else {values} end")))
+    return df.select("item_id", F.col("pos").alias("item_pos"), F.explode("hs").alias("h"), "n", "by_value")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, whole: bool = False) -> DataFrame:
@@ -111,20 +125,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hashes the text."""
     items = once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "tokens", tokens(F.col("text"), whole)).select("item_id", "tokens")
     items = cut(items.filter(F.col("item_id").isNotNull() & (F.size("tokens") > 0)))
-    of_items = windows(items, window, keep=["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h").dropDuplicates()
-    # slots alone, in a row, are no evidence
-    slots = F.expr("size(filter(slice(tokens, item_pos + 1, %d), x -> substring(x, 1, 1) not in ('#', '@', '~'))) > 0" % window)
-    of_items = of_items.join(items, "item_id").filter((F.col("item_pos") < 0) | slots).drop("tokens")
     if whole:
-        of_items = of_items.filter("item_pos < 0").union(item_windows(items, window)).dropDuplicates()
+        of_items = cut(item_windows(items, window))
+        # one row for each length up to the window's
+        lengths = sorted(map(tuple, of_items.groupBy("n").agg(F.bool_or("by_value")).collect()))
+        of_items = of_items.select("item_id", "item_pos", "h").distinct()
+    else:
+        of_items = windows(items, window, keep=["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h").dropDuplicates()
+        # slots alone, in a row, are no evidence
+        slots = F.expr("size(filter(slice(tokens, item_pos + 1, %d), x -> substring(x, 1, 1) not in ('#', '@', '~'))) > 0" % window)
+        of_items = of_items.join(items, "item_id").filter((F.col("item_pos") < 0) | slots).drop("tokens")
     of_items, _ = small_or_not(of_items)
     total = of_items.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
 
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     split = once(keyed, "tokens", tokens(F.col("text"), whole)).select("doc", "th", "tokens")
-    found = windows(split, window, keep=["doc", "th"])
-    if whole:
-        found = both_windows(split, window, ["doc", "th"])
+    found = both_windows(split, lengths, ["doc", "th"]) if whole else windows(split, window, keep=["doc", "th"])
     hits = found.select("doc", "th", "pos", "h").join(of_items, "h").filter("(pos < 0) = (item_pos < 0)")
     hits = cut(hits.select("doc", "th", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     enough = hits.groupBy("doc", "th", "item_id").agg(F.count_distinct("item_pos").alias("n")).join(total, "item_id").filter(F.col("n") >= F.col("n_windows") * coverage)
@@ -134,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     wanted, _ = small_or_not(hits.select("doc", "th").distinct())
     texts = once(keyed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]), "theirs", tokens(F.col("text"), whole)).select("doc", "th", "theirs")
     lines = lines.join(texts, ["doc", "th"]).join(items, "item_id")
-    places = F.expr(f"array_distinct(flatten(transform(at, p -> if(p < 0, sequence(0, size(tokens) - 1), sequence(p, p + {window - 1})))))")
+    places = F.expr(f"array_distinct(flatten(transform(at, p -> if(p < 0, sequence(0, size(tokens) - 1), sequence(p, p + least(size(tokens), {window}) - 1)))))")
     lines = once(lines, "p", places)
     value = _VALUE if whole else "{}"
     slot = "substring(tokens[j], 1, 1) in ('#', '@', '~')" + f" or {_AFTER_NUMBER.format('j', 'tokens')}" * whole

@@ -235,6 +235,16 @@ def test_leaks_case_and_white_space_aside(spark):
     assert {r.doc_id for r in decontamination.clean(docs, bench, whole=True).collect()} == {100, 101}
 
 
+def test_leaks_of_short_items_and_numbers(spark):
+    rows = [(1, "a short one here"), (2, "Short one."), (3, "so the code is 3 14 15 92 65 35 89 79 32 and no other"), (4, "3 14 15 92 65 35 89 79 33"), (5, "9 9 9 9 9 9 9 9 9 9 9"), (6, "he wrote 31 41 on it"), (7, "he wrote 31 42 on it"), (8, "one short"), (9, "and What is 7\nplus 8?")]
+    items = [(3, "Short one"), (4, "3 14 15 92 65 35 89 79 32"), (5, "31 41"), (6, "what is 5 plus 6"), (7, ""), (8, None), (9, "...")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(x.doc_id, x.item_id, x.verbatim) for x in decontamination.leaks(docs, bench, whole=True).collect()}
+    assert got == {(1, 3, True), (2, 3, True), (3, 4, True), (4, 4, True), (6, 5, True), (9, 6, False)}, got  # row 4 holds half of the item's windows
+    assert decontamination.leaks(docs.limit(0), bench, whole=True).count() == 0 and decontamination.leaks(docs, bench.limit(0), whole=True).count() == 0
+
+
 # 2: lines
 def test_patience_is_a_common_subsequence():
     r = random.Random(6)
