@@ -5,7 +5,10 @@ A pair counts if it shares a rare line, one of at most 64 documents, or at least
 frequency, so groups of copies, however large, all meet their first holder, and a lone boilerplate line
 pairs nobody. No partner is capped, and a group costs its size, not its square. Each pair is aligned by
 patience diff: common ends, then the longest increasing run of lines unique on both sides, then between
-them. Aligned blocks of at least 25 characters go from the later document. Texts are judged as they came.
+them. With `whole`, as the query runs it, each shortest run of adjacent lines with at least 25 characters,
+from each line on and up to each line, and each whole text, also pairs its later holders with its first
+holder, however many hold it; these runs cover every line of every block that two documents share. It is
+one partner a run and holder, so the cost stays linear. Aligned blocks of at least 25 characters go from the later document. Texts are judged as they came.
 
 Edge cases: null and empty texts have no lines to share; blank lines share nothing, but align inside a
 block; equal ids are one document, and repeated rows get the same result (several texts of one id are told
@@ -97,11 +100,57 @@ def partners(docs: DataFrame, rare: int = RARE, shared: int = SHARED) -> DataFra
     return n.filter(f"rare > 0 or lines >= {shared}").select("later", "first")
 
 
-def remove_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def runs(lines: list[str], min_chars: int = MIN_CHARS) -> set[tuple[int, int]]:
+    """Ranges of lines: for each line the shortest from it on, and the shortest up to it, of min_chars."""
+    out = set()
+    size = [len(x.strip()) for x in lines]
+    lo = total = 0
+    for hi, n in enumerate(size, 1):
+        total += n
+        while total - size[lo] >= min_chars:
+            out.add((lo, hi))
+            total -= size[lo]
+            lo += 1
+        if total >= min_chars:
+            out.add((lo, hi))
+    # from each line on: the first end that is far enough
+    hi = total = 0
+    for lo, n in enumerate(size):
+        while hi < len(size) and total < min_chars:
+            total += size[hi]
+            hi += 1
+        if total >= min_chars:
+            out.add((lo, hi))
+        total -= n
+    return {(a, b) for a, b in out if size[a] and size[b - 1]}
+
+
+def run_partners(docs: DataFrame) -> DataFrame:
+    """(later, first) keys of documents that share a run of adjacent lines or their whole text."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = []
+                for text in part.column(1).to_pylist():
+                    lines = (text or "").split("\n")
+                    whole = {(0, len(lines))} if text and text.strip() else set()
+                    found.append(sorted({int.from_bytes(hashlib.blake2b("\n".join(lines[a:b]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for a, b in runs(lines) | whole}))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["k", "hs"])
+
+    held = docs.select("k", "text").mapInArrow(hashed, "k struct<id:bigint,th:bigint>, hs array<bigint>").select("k", F.explode("hs").alias("h")).distinct()
+    firsts = held.groupBy("h").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return held.join(firsts, "h").filter("k <> first").select(F.col("k").alias("later"), "first").distinct()
+
+
+def remove_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, whole: bool = False) -> DataFrame:
     """(id, n_lines, n_deleted, n_partners, kept_md5[, kept]) for each row; n_deleted counts lines."""
     key = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("th"))
     docs = df.select(key.alias("k"), F.col(text_col).alias("text"))
-    pairs = cut(partners(docs))
+    pairs = cut(partners(docs).union(run_partners(docs)).distinct() if whole else partners(docs))
     inside, _ = small_or_not(pairs.select(F.col("later").alias("k")).union(pairs.select("first")).distinct())
     texts = cut(docs.join(inside, "k", "left_semi").dropDuplicates(["k"]))
     aligned = pairs.join(texts.select(F.col("k").alias("first"), F.col("text").alias("a")), "first").join(texts.select(F.col("k").alias("later"), F.col("text").alias("b")), "later")

@@ -17,7 +17,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_lines(_table(spark, sf_dir, "documents"))
+    return line_dedup.remove_lines(_table(spark, sf_dir, "documents"), whole=True)
 
 
 def op3_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,3 +298,22 @@ def test_line_dedup(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, k int").repartition(3)
     assert sorted((tuple(x) for x in line_dedup.remove_lines(df).collect()), key=str) == brute_lines(rows)
     assert line_dedup.remove_lines(df.limit(0)).count() == 0
+
+
+def test_lines_of_large_groups(spark):
+    long = "a passage of one line that is long enough to go"
+    rows = [(i, f"own {i}\n{long}\nown too {i}") for i in range(80)] + [(200 + i, "a short text\nof two lines of it") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.n_deleted for r in line_dedup.remove_lines(df, whole=True).collect()}
+    assert got == {i: (0 if i in (0, 200) else 1 if i < 200 else 2) for i, _ in rows}
+
+
+def test_runs_cover_every_block():
+    r = random.Random(8)
+    for _ in range(300):
+        lines = ["x" * r.choice([0, 1, 3, 8, 15, 20, 30]) for _ in range(r.randint(1, 9))]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if lines[a] and lines[b - 1] and sum(map(len, lines[a:b])) >= line_dedup.MIN_CHARS:
+                    inside = [x for x in line_dedup.runs(lines) if a <= x[0] and x[1] <= b]
+                    assert all(any(lo <= i < hi for lo, hi in inside) for i in range(a, b) if lines[i])
