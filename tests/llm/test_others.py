@@ -317,3 +317,11 @@ def test_runs_cover_every_block():
                 if lines[a] and lines[b - 1] and sum(map(len, lines[a:b])) >= line_dedup.MIN_CHARS:
                     inside = [x for x in line_dedup.runs(lines) if a <= x[0] and x[1] <= b]
                     assert all(any(lo <= i < hi for lo, hi in inside) for i in range(a, b) if lines[i])
+
+
+def test_block_of_later_holders(spark):
+    block = ["red apples", "green pears", "blue plums"]
+    rows = [(1, f"{block[0]}\nx1"), (2, f"y2\n{block[1]}"), (3, f"z3\n{block[2]}\nw3"), (4, "\n".join(["p4", *block, "q4"])), (5, "\n".join(["r5", *block, "s5"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.n_deleted for r in line_dedup.remove_lines(df, whole=True).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 3}
