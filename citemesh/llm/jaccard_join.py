@@ -1,29 +1,32 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
-A document is the set of its distinct 4-word shingles. Sets fall into size bands that grow by 1/0.85; two
-sets of Jaccard 0.85 or more lie in one band or in neighbours, and differ in at most k elements, where k
-follows from the band. The domain of shingle hashes is cut into n1 = k // 2 + 1 + m partitions, each into
-n2 parts. As k differences are fewer than 2 n1, some partitions have at most one; there, one of the
-subsets of n2 - 1 parts agrees. A set's signatures are all those subsets' projections, for its own band
-and the next. Of subsets where a set is empty none is needed if fewer partitions have such subsets than
-are sure to agree (1 + m); else all are given. So every linked pair shares a signature.
-
-Equal sets are joined first, by a 128-bit fingerprint. The partitions also say how many signatures linked
-sets share at least; documents that share fewer, with all others together, leave. Sets that share a
-signature are compared exactly, but not all with all: each bucket compares its members with one of them (a
-few orders are used, so that a group has a few such centres), then, where a bucket still holds several
-components, with its best linked member. At last all pairs across components are weighed in memory by
-their cells, whose differences bound the sets' from below; pairs that may be linked are compared exactly.
-No pair that could change a component is left out, and what is moved follows a group's size, not its
-square. Counts of intersections run in the JVM.
-
-Edge cases: null or empty texts and texts of white space have no shingles and stand alone; texts under
-four words are one shingle; repeated rows are equal sets; a row without an id takes the component of the
-class it equals, else null; extra columns are not read; an empty table gives no rows.
+A document is the set of its distinct word shingles. Sizes fall into bands that grow by about 1/0.62; a set
+carries the tag of its own band and, if a linked set may be that large, the tag of the next, so linked sets
+have a tag in common. Under a tag the domain of shingle hashes is cut into partitions of n2 cells, and a
+set's signatures are its projections on the subsets of n2 - 1 cells. A subset counts if it holds enough
+elements (a few, by tag); one of a partition's subsets survives one difference if all of them count. A
+linked set differs in at most d elements, so the first partitions in which d + 1 differences would be
+needed to spoil every subset that counts hold one that both sets have: those are given, and no more.
+Sets without enough such partitions repeat this under other hashes, level by level.
+
+Equal sets are one class, by a 128-bit fingerprint. Classes that share a signature with another are ordered
+by the least signature that reaches them (two steps), so that those alike lie together, and the order is
+cut into tiles of bounded size. Each pair of tiles with a signature in common is one group of rows: in it
+all pairs with a shared signature are compared exactly, links are counted, and only a spanning forest of
+links leaves it. So every pair is compared once, nothing is emitted by pair, and a group's memory is
+bounded whatever the size of a bucket; only the work on sets that are all alike but all different grows
+with their square, as their links do.
+
+Edge cases: a row is a document, whatever its id. Null or empty texts and texts of white space have no
+shingles, no class and no links; component_id is then their own id. Texts under the shingle length are one
+shingle. Repeated rows and rows of one id are documents of their own (equal ones form a class). Rows without
+an id link like others; component_id is the smallest id there is, null where there is none. Extra columns
+are not read, so their names don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -34,19 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, cut, drop, release, small_or_not
+from ._shared import components, cut, drop, partitions, slices, small_or_not
 
 WORDS = 4
 PERCENT = 85
-#: Orders in which buckets choose their centres.
-ORDERS = 2
-#: Slices of the hash range in which sets are compared, one after the other.
-SLICES = 4
-#: Members of a bucket compared in one piece.
-BUCKET = 4096
+#: Shingles in a tile.
+TILE = 1 << 19
+#: Hashes tried for sets with too few cells that count.
+LEVELS = 12
+#: Bytes of a text whose words are listed at once.
+PIECE = 1 << 22
+#: Fingerprints a task remembers, so that copies give their signatures once a task.
+SEEN = 200_000
 _U = np.uint64
-_MASK = (1 << 64) - 1
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,295 +70,311 @@ class WordHash(dict):
         return h
 
 
+def word_hashes(text: str | None, known: WordHash) -> np.ndarray:
+    """The hash of each word. Bytes lower-case and split as ASCII only."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    while at < len(data):
+        end = _SPACE.search(data, at + PIECE) if at + PIECE < len(data) else None
+        stop = end.start() if end else len(data)
+        words = data[at:stop].lower().split()
+        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        at = stop
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def shingle_hashes(text: str | None, known: WordHash, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles. Bytes lower-case and split as ASCII only."""
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-    n = min(words, len(ws))
-    total = np.full(len(ws) - n + 1, n, np.uint64) * _K[7]
+    """Sorted distinct 64-bit hashes of a text's shingles."""
+    h = word_hashes(text, known)
+    if not len(h):
+        return h
+    n = min(words, len(h))
+    total = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
-        total += mix(h[i : len(ws) - n + 1 + i]) * _K[i % 7] + _U(i)
-    return np.unique(mix(total))
+        total += h[i : len(h) - n + 1 + i] * (_K[i % 7] + _U(2 * (i // 7)))
+    total = mix(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
 
+def most_in_reach(n: int, percent: int) -> int:
+    """The size of the largest set that may link with one of n elements."""
+    return n * 100 // percent
 
-def bands(percent: int = PERCENT, most: int = 1 << 40) -> list[int]:
+
+@lru_cache(maxsize=8)
+def bands(percent: int = PERCENT, most: int = 1 << 40) -> tuple[int, ...]:
     """The largest size in each band."""
     out, low = [], 1
     while low <= most:
-        out.append(low * 100 // percent)
+        top = low
+        while most_in_reach(top, percent) > top and most_in_reach(top, percent) * 62 <= low * 100:
+            top = most_in_reach(top, percent)
+        out.append(max(top, most_in_reach(low, percent)))
         low = out[-1] + 1
-    return out
-
-
-@lru_cache(maxsize=4096)
-def plan(top: int, percent: int = PERCENT) -> tuple | None:
-    """For sets of up to `top` elements: (partitions with at most one difference, signatures that agree at
-    least, cells' lower bounds, n1, n2, subsets). None where linked sets are equal."""
-    k = 2 * top * (100 - percent) // (100 + percent)
-    if k == 0:
-        return None
-    m = 0 if k < 4 else 1 if k < 20 else 3
-    n2 = 3 if top < 40 else 2
-    n1 = k // 2 + 1 + m
-    cells = n1 * n2
-    edges = np.array([-(-(i << 64) // cells) for i in range(1, cells)], np.uint64)
-    agree = cells - k if n2 == 2 else n1 - k // 2
-    return n1 - k // 2, agree, edges, n1, n2, list(combinations(range(n2), n2 - 1))
-
-
-def cells_of(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each cell's sum of mixed hashes and number of elements."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ _K[6]))])
-    at = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
-    return sums[at[1:]] - sums[at[:-1]], np.diff(at)
-
-
-def signatures(hashes: np.ndarray, tops: list[int], percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
-    """The signatures of a sorted set, the tag's parity in the lowest bit, and for each parity how many of
-    them a linked set shares at least."""
-    n, need = len(hashes), [0, 0]
-    if n == 0:
-        return hashes, need
-    band = int(np.searchsorted(tops, n))
+    return tuple(out)
+
+
+def differences(n: int, other: int, percent: int) -> int:
+    """In how many elements linked sets of those sizes differ at most."""
+    return (n + other) * (100 - percent) // (100 + percent)
+
+
+@lru_cache(maxsize=1024)
+def cut_of(tag: int, percent: int) -> tuple[int, int, int]:
+    """(partitions, cells in each, least elements of a subset that counts) under a tag."""
+    tops = bands(percent)
+    spoilt = differences(tops[tag], tops[tag], percent) + 1
+    if spoilt <= 4:
+        return (spoilt + 1) // 2 + 1, 3, 1
+    return (int(spoilt * 1.15) + 3) // 2, 2, 2 if tops[tag] >= 40 else 1
+
+
+def tags(n: int, percent: int) -> list[tuple[int, int]]:
+    """(tag, most differences) of a set of n elements; none where linked sets are equal."""
+    tops = bands(percent)
+    band, reach = int(np.searchsorted(tops, n)), most_in_reach(n, percent)
+    out = [(band, differences(n, min(reach, tops[band]), percent))]
+    if reach > tops[band]:
+        out.append((band + 1, differences(n, reach, percent)))
+    return [x for x in out if x[1]]
+
+
+def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The signatures of a sorted set."""
     out = []
-    for tag in (band, band + 1):
-        p = plan(tops[tag], percent)
-        if p is None:
-            continue
-        sure, agree, edges, n1, n2, subsets = p
-        part, count = (x.reshape(n1, n2) for x in cells_of(hashes, edges))
-        salt = mix(np.arange(n1, dtype=np.uint64) * _K[1] + _U(tag * int(_K[2]) & _MASK))
-        full, sig = [], []
-        for s, subset in enumerate(subsets):
-            total = sum((part[:, j] * _K[j] for j in subset), salt + _U(s * int(_K[5]) & _MASK))
-            sig.append((mix(total) & ~_U(1)) | _U(tag & 1))
-            full.append(sum(count[:, j] for j in subset) > 0)
-        full, sig = np.array(full), np.array(sig)
-        need[tag & 1] = max(1, agree - int((~full).sum()))
-        out.append(sig[full] if (~full).any(axis=0).sum() < sure else sig.ravel())
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), need
-
-
-def sketches(hashes: np.ndarray, tops: list[int], percent: int = PERCENT) -> list[bytes]:
-    """For each parity of the tag, 32 bits of each cell's sum and its number of elements."""
-    out = [b"", b""]
-    if len(hashes):
-        band = int(np.searchsorted(tops, len(hashes)))
-        for tag in (band, band + 1):
-            p = plan(tops[tag], percent)
-            if p is not None:
-                sums, count = cells_of(hashes, p[2])
-                out[tag & 1] = np.concatenate([sums.astype(np.uint32), count.astype(np.uint32)]).tobytes()
-    return out
-
-
-def prepared(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, k1, k2, need0, need1, sigs): size, fingerprint and signatures of each row's set, and how
-    many of them a linked set shares at least, for each parity of the tag."""
+    for tag, most in tags(len(hashes), percent) if len(hashes) else []:
+        n1, n2, least = cut_of(tag, percent)
+        subsets = list(combinations(range(n2), n2 - 1))
+        for level in range(LEVELS):
+            h = hashes if not level else np.sort(mix(hashes ^ _K[level % 7] + _U(level)))
+            cell = ((h >> _U(32)) * _U(n1 * n2) >> _U(32)).astype(np.int64)
+            count = np.bincount(cell, minlength=n1 * n2)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _K[6]))])
+            ends = np.concatenate([[0], np.cumsum(count)])
+            part = (sums[ends[1:]] - sums[ends[:-1]]).reshape(n1, n2)
+            count = count.reshape(n1, n2)
+            holds = np.stack([count[:, list(s)].sum(axis=1) >= least for s in subsets], axis=1)
+            weight = holds.sum(axis=1) if n2 == 2 else np.where(holds.all(axis=1), 2, holds.any(axis=1))
+            given = np.cumsum(weight) - weight <= most  # those before don't suffice
+            salt = mix(np.arange(n1, dtype=np.uint64) + _U((tag << 40) + (level << 32)))
+            own = np.stack([mix(salt + _U(s) + sum(part[:, j] * _K[j] for j in subset)) for s, subset in enumerate(subsets)], axis=1)
+            out.append(own[holds & given[:, None]])
+            if weight.sum() > most:
+                break
+        else:
+            out.append(np.array([tag], np.uint64))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _prints(h: np.ndarray) -> tuple[int, int]:
+    """A set's fingerprint."""
+    return tuple(int(mix(h ^ k).sum(dtype=np.uint64).astype(np.int64)) for k in (_K[3], _K[4]))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)))
+
+
+def _each(batches: Iterator[pa.RecordBatch], words: int):
+    """Of each bounded piece of the batches: the piece, its texts' sets and their fingerprints; text is last."""
+    known = WordHash()
+    for b in batches:
+        texts = b.column(b.num_columns - 1).to_pylist()
+        for lo, hi in slices(texts):
+            sets = [shingle_hashes(t, known, words) for t in texts[lo:hi]]
+            yield b.slice(lo, hi - lo), sets, [_prints(h) for h in sets]
+
+
+def prepared(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(doc_id, x, n, k1, k2, sigs) of docs(doc_id, x, text): size, fingerprint and signatures of each
+    row's set. A set that a task has met already gives no signatures again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tops = WordHash(), bands(percent)
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                n, k1, k2, sigs, needs = [], [], [], [], []
-                for t in part.column(1):
-                    h = shingle_hashes(t.as_py(), known, words)
-                    n.append(len(h))
-                    k1.append(int(mix(h ^ _K[3]).sum(dtype=np.uint64).astype(np.int64)))
-                    k2.append(int(mix(h ^ _K[4]).sum(dtype=np.uint64).astype(np.int64)))
-                    own, need = signatures(h, tops, percent)
-                    sigs.append(own.view(np.int64))
-                    needs.append(need)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array([x[i] for x in needs], pa.int64()) for i in range(2)), lists], ["doc_id", "n", "k1", "k2", "need0", "need1", "sigs"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, need0 bigint, need1 bigint, sigs array<bigint>")
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(doc_id, size, s0, ..., v0, v1): a set's size, its hashes in each slice of their range, and its
-    sketches."""
-
-    names = [f"s{k}" for k in range(SLICES)]
-    bounds = np.array([k * (1 << 64) // SLICES for k in range(1, SLICES)], np.uint64)
-
-    def lists(parts: list[np.ndarray]) -> pa.ListArray:
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+        seen: set = set()
+        for part, sets, prints in _each(batches, words):
+            sigs = []
+            for h, k in zip(sets, prints, strict=True):
+                sigs.append(signatures(h, percent) if k not in seen else h[:0])
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(k)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(h) for h in sets], pa.int64()), *(pa.array([k[i] for k in prints], pa.int64()) for i in range(2)), _lists(sigs)], ["doc_id", "x", "n", "k1", "k2", "sigs"])
+
+    return docs.select("doc_id", "x", "text").mapInArrow(run, "doc_id bigint, x bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cid, elements) of docs(cid, text), once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tops = WordHash(), bands(percent)
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                sets = [shingle_hashes(t.as_py(), known, words) for t in part.column(1)]
-                at = [[0, *np.searchsorted(s, bounds), len(s)] for s in sets]
-                parts = [lists([s[e[k] : e[k + 1]].view(np.int64) for s, e in zip(sets, at, strict=True)]) for k in range(SLICES)]
-                both = [sketches(s, tops, percent) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *parts, *(pa.array([x[i] for x in both], pa.binary()) for i in range(2))], ["doc_id", "size", *names, "v0", "v1"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, size bigint, {', '.join(f'{n} array<bigint>' for n in names)}, v0 binary, v1 binary")
-
-
-def _similar_sizes(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b), those whose sets have at least that Jaccard similarity. One slice of the hash range
-    is compared after the other; pairs that could no longer get there if all the rest agreed go before the
-    next slice is moved, and a slice's shuffle goes first."""
-    left = pairs.withColumns({"i": F.lit(0).cast("bigint"), "ra": F.lit(None).cast("bigint"), "rb": F.lit(None).cast("bigint")})
-    for own in (f"s{k}" for k in range(SLICES)):
-        one = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col(own).alias("sa"))
-        two = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col(own).alias("sb"))
-        both = left.join(one, "a").join(two, "b")
-        both = both.select("a", "b", (F.col("i") + F.size(F.array_intersect("sa", "sb"))).alias("i"), (F.coalesce("ra", "na") - F.size("sa")).alias("ra"), (F.coalesce("rb", "nb") - F.size("sb")).alias("rb"), "na", "nb")
-        top = "(i + least(ra, rb))"
-        both = cut(both.filter(f"100 * {top} >= {percent} * (na + nb - {top})").drop("na", "nb"))
-        release(pairs.sparkSession)
-        left = both
-    return left.select("a", "b")
-
-
-def pruned(rows: DataFrame, rounds: int = 2) -> DataFrame:
-    """Rows (sig, doc_id, need, ...) of shared signatures, without those of documents that share fewer than
-    a linked set would, under one tag."""
-    kept = None
-    for _ in range(rounds):
-        tag = F.col("sig").bitwiseAND(F.lit(1).cast("bigint"))
-        rows = rows.withColumn("tag", tag)
-        enough = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("c"), F.max("need").alias("q")).filter("c >= q").select("doc_id", "tag")
-        rows = rows.join(enough, ["doc_id", "tag"], "left_semi").drop("tag")
-        shared = rows.groupBy("sig").count().filter("count > 1").select("sig")
-        was, rows = kept, cut(rows.join(shared, "sig", "left_semi"))
-        kept = rows
-        if was is not None:
-            drop(was)
-    return rows
-
-
-def across(left: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of one bucket in two components that may be linked: left(sig, doc_id, n, comp). Buckets
-    are compared in memory, in blocks of bounded size; only pairs come out whose sketches allow a link.
-    Cells whose sums differ hold a difference for each element more, or two if they have as many."""
-    size = left.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(float(BUCKET))).cast("int").alias("g"))
-    rows = left.join(size, "sig").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.expr("sequence(0, g - 1)"))).select("sig", "doc_id", "n", "comp", "b", F.least("b", "j").alias("i"), F.greatest("b", "j").alias("j"))
-    vec = sets.select("doc_id", "v0", "v1")
-    rows = rows.join(vec, "doc_id").select("sig", "i", "j", "b", "doc_id", "n", "comp", F.when(F.col("sig").bitwiseAND(F.lit(1).cast("bigint")) == 0, F.col("v0")).otherwise(F.col("v1")).alias("v"))
-    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        group = [r for r in group if len(r[7]) == len(group[0][7])]  # a bucket is of one tag
-        two = group[0][1] != group[0][2]
-        block, ids, n, comp = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5, 6))
-        vec = np.frombuffer(b"".join(r[7] for r in group), np.uint32).reshape(len(group), -1)
-        half = vec.shape[1] // 2
-        sums, count = vec[:, :half], vec[:, half:].astype(np.int32)
-        names, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        main = inverse.ravel() == sizes.argmax()
-        out = []
-        for r in np.flatnonzero(~main):
-            other = comp != comp[r]
-            other[:r] &= main[:r]  # pairs outside the main component once
-            if two:
-                other &= block != block[r]
-            o = np.flatnonzero(other & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r])))
-            if not o.size:
-                continue
-            delta = np.abs(count[o] - count[r])
-            least = np.where(sums[o] != sums[r], np.where(delta == 0, 2, delta), 0).sum(axis=1)
-            ok = o[least * (100 + percent) <= (100 - percent) * (n[o] + n[r])]
-            out += [(min(ids[r], x), max(ids[r], x)) for x in ids[ok]]
-        return out
+        seen: set = set()
+        for part, sets, _ in _each(batches, words):
+            ids, new = part.column(0).to_pylist(), []
+            for i, c in enumerate(ids):
+                if c not in seen:
+                    new.append(i)
+                    seen.add(c)
+            if len(seen) >= SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in new], pa.int64()), _lists([sets[i] for i in new])], ["cid", "elements"])
+
+    return docs.select("cid", "text").mapInArrow(run, "cid bigint, elements array<bigint>")
+
+
+def tiled(alive: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cid, tile) of alive(sig, cid), sizes(cid, n): classes in the order of the least signature that
+    reaches them, cut where the sum of their sizes passes a multiple of TILE."""
+    spark = alive.sparkSession
+    near = alive.groupBy("cid").agg(F.min("sig").alias("l"))
+    for _ in range(2):
+        least = alive.join(near, "cid").groupBy("sig").agg(F.min("l").alias("l"))
+        near = cut(alive.join(least, "sig").groupBy("cid").agg(F.min("l").alias("l")))
+    rows = cut(near.join(sizes, "cid").repartitionByRange(partitions(spark), "l", "cid").sortWithinPartitions("l", "cid").withColumn("p", F.spark_partition_id()))
+    sums = rows.groupBy("p").agg(F.sum("n").alias("s"))  # a row for each partition
+    before = sums.select("p", (F.sum("s").over(Window.orderBy("p")) - F.col("s")).alias("before"))
+    upto = Window.partitionBy("p").orderBy("l", "cid").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("own", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(F.broadcast(before), "p")
+    return placed.select("cid", "n", F.floor((F.col("before") + F.col("own")) / F.lit(float(TILE))).cast("int").alias("tile"))
+
+
+def compare(ids: np.ndarray, tile: np.ndarray, sigs: list[np.ndarray], sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For documents of one or two tiles: each one's number of links, and a spanning forest of the links
+    (within the tile, or across the two), by the documents' places. Pairs without a common signature are
+    no links."""
+    n = np.array([len(s) for s in sets])
+    links, forest = np.zeros(len(ids), np.int64), []
+    at = np.repeat(np.arange(len(ids)), [len(s) for s in sigs])
+    _, bucket = np.unique(np.concatenate(sigs), return_inverse=True)
+    order = np.lexsort((at, bucket))
+    at, bucket = at[order], bucket[order]
+    ends = np.concatenate([np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    starts = np.concatenate([[0], ends[:-1]])
+    mine: dict[int, list[int]] = {}
+    for k, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        if hi - lo > 1:
+            for place in at[lo : hi - 1].tolist():  # partners have higher places
+                mine.setdefault(place, []).append(k)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(int(element.max()) + 1 if len(element) else 1, bool)
+    both = tile.min() != tile.max()
+    up = np.arange(len(ids))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    partner = np.zeros(len(ids), bool)
+    for a, buckets in mine.items():
+        for k in buckets:
+            partner[at[starts[k] : ends[k]]] = True
+        partner[: a + 1] = False
+        b = np.flatnonzero(partner)
+        partner[b] = False
+        b = b[100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])]
+        if both:
+            b = b[tile[b] != tile[a]]
+        if not len(b):
+            continue
+        own = element[first[a] : first[a + 1]]
+        mark[own] = True
+        for lo in range(0, len(b), 1024):
+            some = b[lo : lo + 1024]
+            lengths = n[some]
+            skip = np.repeat(first[some] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+            hit = np.concatenate([[0], np.cumsum(mark[element[np.arange(len(skip)) + skip]])])
+            stop = np.cumsum(lengths)
+            common = hit[stop] - hit[stop - lengths]
+            some = some[100 * common >= percent * (lengths + n[a] - common)]
+            links[a] += len(some)
+            links[some] += 1
+            for c in some.tolist():
+                x, y = root(a), root(c)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    forest.append((a, c))
+        mark[own] = False
+    return links, forest
+
+
+def compared(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, links) of rows(t1, t2, tile, cid, sigs, elements): for each class its links in a pair of
+    tiles, with b null, and the forest's pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        found: set[tuple[int, int]] = set()
+        key, group = None, {}
 
-        def flush():
-            rows = list(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in rows], pa.int64()) for i in range(2)], ["a", "b"])
+        def done():
+            ids = np.array(list(group), np.int64)
+            links, forest = compare(ids, np.array([r[0] for r in group.values()]), [r[1] for r in group.values()], [r[2] for r in group.values()], percent)
+            some = np.flatnonzero(links)
+            a = np.concatenate([ids[some], ids[[x for x, _ in forest]]])
+            b = pa.array([None] * len(some) + ids[[y for _, y in forest]].tolist(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(np.concatenate([links[some], np.zeros(len(forest), np.int64)]), pa.int64())], ["a", "b", "links"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    found.update(compare(group))
-                    group = []
-                    if len(found) > 100_000:
-                        yield flush()
-                group.append(row)
+            t1, t2, tile, cid = (b.column(i).to_pylist() for i in range(4))
+            for i in range(b.num_rows):
+                if (t1[i], t2[i]) != key:
+                    if group:
+                        yield done()
+                    key, group = (t1[i], t2[i]), {}
+                if cid[i] not in group:  # tasks may have given a set twice
+                    group[cid[i]] = tile[i], b.column(4)[i].values.to_numpy(), np.array(b.column(5)[i].values.to_numpy())
         if group:
-            found.update(compare(group))
-        yield flush()
+            yield done()
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = rows.select("t1", "t2", "tile", "cid", "sigs", "elements").repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+    return rows.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(id, n_shingles, component_id, class_id, n_links): a row's set size, the smallest id its links reach,
-    the smallest id with an equal set, and the number of links found to other classes."""
+    """(id, n_shingles, component_id, class_id, n_links, text_key, group_key): for each row its set's size,
+    the smallest id that its links reach, the smallest id with an equal set, the number of other sets that
+    its set links with, the xxhash64 of its text, and a number of its component (null without shingles)."""
     spark = docs.sparkSession
-    ready = cut(prepared(docs.withColumn(id_col, F.col(id_col).cast("bigint")), id_col, text_col, percent, words))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
+    ready = cut(prepared(docs, percent, words))
     key = ["k1", "k2", "n"]
-    classes = cut(ready.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
-    several = classes.filter("copies > 1").select(*key, "class_id")
-    copies = ready.filter("n > 0").select(*key, "doc_id").join(several, key).filter("doc_id <> class_id").select("doc_id")
-    copies, few = small_or_not(copies)
-    first = ready.filter("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
-    # buckets: a signature's first member in a hashed order, then the others
-    sigs = first.select("doc_id", "n", "need0", "need1", F.explode("sigs").alias("sig"))
-    sigs = sigs.select("doc_id", "n", F.when(F.col("sig").bitwiseAND(F.lit(1).cast("bigint")) == 0, F.col("need0")).otherwise(F.col("need1")).alias("need"), "sig").repartition("sig")
-    by = Window.partitionBy("sig").orderBy("doc_id").rowsBetween(-1, 1)
-    shared = sigs.withColumns({"lo": F.min("doc_id").over(by), "hi": F.max("doc_id").over(by)}).filter("lo <> hi").select("sig", "doc_id", "n", "need")
+    some = ready.filter("n > 0")
+    classes = some.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")).alias("row"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    # buckets by a set's first print: rows that stand next to another one in their bucket
+    sigs = some.select("k1", F.explode("sigs").alias("sig")).repartition("sig")
+    by = Window.partitionBy("sig").orderBy("k1").rowsBetween(-1, 1)
+    shared = sigs.withColumns({"lo": F.min("k1").over(by), "hi": F.max("k1").over(by)}).filter("lo <> hi").select("sig", "k1").distinct()
     shared = cut(shared)
-    heads = cut(ready.select("doc_id", *key))
-    drop(ready)  # the signatures and their shuffle go before sets are compared
-    alive = pruned(shared)
-    everyone = alive.select("sig", "doc_id", "n")
-    drop(shared)
-
-    inside, _ = small_or_not(everyone.select("doc_id").distinct())
-    sets = cut(shingle_sets(docs.join(inside.withColumnRenamed("doc_id", id_col), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, percent, words))
-    pair = (F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
-
-    def star(rows: DataFrame, *order) -> DataFrame:
-        """Rows with their bucket's first member by the order."""
-        w = Window.partitionBy("sig").orderBy(*order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumns({f"rep{x}": F.first(c).over(w) for x, c in (("", "doc_id"), ("_n", "n"), ("_comp", "comp")) if c in rows.columns})
-
-    members = star(everyone, F.xxhash64("doc_id", F.pmod("sig", F.lit(ORDERS)))).filter("doc_id <> rep")
-    tried = cut(members.filter(_similar_sizes("n", "rep_n", percent)).select(*pair).distinct())
-    links = verified(tried, sets, percent)
-    for last in (False, True):
-        labels = components(links)
-        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-        known = labels.join(degree, "id", "left").withColumnRenamed("id", "doc_id")
-        named = cut(everyone.join(known, "doc_id", "left").select("sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")))
-        split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-        left = cut(named.join(split, "sig", "left_semi"))
-        drop(named)
-        if last:
-            new = across(left, sets, percent)
-        else:
-            new = star(left, F.desc("degree"), F.xxhash64("doc_id", "sig")).filter("comp <> rep_comp").filter(_similar_sizes("n", "rep_n", percent)).select(*pair).distinct()
-        new = cut(new.join(tried, ["a", "b"], "left_anti"))
-        found = verified(new, sets, percent)
-        was = tried, links
-        tried, links = cut(tried.union(new)), cut(links.union(found))
-        drop(left, new, found, labels, *was)
-    labels = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
-    named = classes.join(labels.join(degree, "id", "left").withColumnRenamed("id", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    drop(tried, alive, sets)
+    heads = cut(ready.select("doc_id", "x", *key))
+    drop(ready)
+    alive = cut(shared.join(classes.select("k1", "cid"), "k1").select("sig", "cid"))
+    placed = cut(tiled(alive, classes.select("cid", "n")))
+    at = cut(alive.join(placed.select("cid", "tile"), "cid"))
+    drop(shared, alive)
+    # a group of rows for each two tiles that a bucket has documents in
+    spots = at.select("sig", "tile").distinct()
+    many = spots.groupBy("sig").count().filter("count > 1").select("sig")
+    spread = spots.join(many, "sig")
+    across = spread.alias("s").join(spread.alias("t"), F.expr("s.sig = t.sig and s.tile < t.tile")).select("s.sig", F.col("s.tile").alias("t1"), F.col("t.tile").alias("t2"))
+    own = at.select("sig", F.col("tile").alias("t1"), F.col("tile").alias("t2"), "tile", "cid")
+    far = at.join(across, "sig").filter("tile = t1 or tile = t2").select("sig", "t1", "t2", "tile", "cid")
+    members = own.union(far).groupBy("t1", "t2", "tile", "cid").agg(F.collect_list("sig").alias("sigs"))
+    # the texts of one row of each class
+    wanted = placed.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.doc_id").alias("id"), F.col("row.x").alias("h"))
+    wanted, _ = small_or_not(wanted)
+    texts = docs.join(wanted, docs.x.eqNullSafe(wanted.h) & docs.doc_id.eqNullSafe(wanted.id)).select("cid", "text")
+    sets = cut(shingle_sets(texts, words))
+    out = cut(compared(members.join(sets, "cid"), percent))
+    links = out.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("n_links"))
+    labels = components(out.filter("b is not null").select("a", "b"))
+    named = classes.select("cid", *key, "class_id").join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").join(links, "cid", "left")
+    named = cut(named.withColumn("component", F.coalesce("component", "cid")).withColumn("n_links", F.coalesce("n_links", F.lit(0))))
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(least, "component").select(*key, "class_id", "component_id", "n_links", F.col("component").alias("group_key"))
+    drop(at, placed, sets, out)
     out = heads.join(named, key, "left")
-    release(spark)
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = [F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("component_id", "class_id")]
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), *own, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("x").alias("text_key"), "group_key")

@@ -18,21 +18,32 @@ def shingles(t, words=4):
 
 
 def brute(rows, percent=85, words=4):
-    sets = [(i, shingles(t, words)) for i, t in rows]
-    up = {i: i for i, _ in sets}
+    """Of each row: id, set size, smallest id its links reach, number of other sets linked."""
+    rows = [(i, shingles(t, words)) for i, t in rows]
+    sets = list({s for _, s in rows if s})
+    up, links = {s: s for s in sets}, dict.fromkeys(sets, 0)
 
     def root(x):
-        while up[x] != x:
+        while up[x] is not x:
             x = up[x]
         return x
 
     for a in range(len(sets)):
         for b in range(a):
-            (i, x), (j, y) = sets[a], sets[b]
-            if x and y and i is not None and j is not None and 100 * len(x & y) >= percent * len(x | y):
-                i, j = root(i), root(j)
-                up[max(i, j)] = min(i, j)
-    return sorted((i, len(s), root(i)) for i, s in sets if i is not None)
+            x, y = sets[a], sets[b]
+            if 100 * len(x & y) >= percent * len(x | y):
+                links[x] += 1
+                links[y] += 1
+                up[root(x)] = root(y)
+    least = {}
+    for i, s in rows:
+        if s and i is not None:
+            least[root(s)] = min(i, least.get(root(s), i))
+    return [(i, len(s), least.get(root(s)) if s else i, links.get(s, 0)) for i, s in rows]
+
+
+def order(rows):
+    return sorted(map(tuple, rows), key=str)
 
 
 def texts(seed, n=60):
@@ -59,16 +70,29 @@ def texts(seed, n=60):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_same_as_brute_force(spark, seed):
-    rows = texts(seed)
+    rows = texts(seed) + [(None, "a b c d e f g h i"), (70, "a b c d e f g h i"), (None, "a b c d e f g h i j"), (None, None), (3, "another text of the same id")]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, n int, sig string").repartition(3)
-    got = jj.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got)) == brute(rows)
+    got = jj.jaccard_components(df).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert order(got) == order(brute(rows))
 
 
 def test_pipeline_threshold(spark):
     rows = texts(3, 40)
-    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=80, words=5).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got)) == brute(rows, 80, 5)
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=80, words=5).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert order(got) == order(brute(rows, 80, 5))
+
+
+def test_buckets_over_many_tiles(spark, monkeypatch):
+    """A third of all rows are near copies, one row is very long, and tiles hold a few sets each."""
+    monkeypatch.setattr(jj, "TILE", 400)
+    r = random.Random(5)
+    core = [f"w{r.randrange(500)}" for _ in range(90)]
+    rows = [(i, " ".join(core[:k] + [f"x{i}"] + core[k:])) for i, k in ((i, r.randrange(90)) for i in range(80))]
+    rows += [(100 + i, " ".join(f"w{r.randrange(500)}" for _ in range(r.randint(3, 60)))) for i in range(150)]
+    long = " ".join(f"v{r.randrange(3000)}" for _ in range(300_000))
+    rows += [(500, long), (501, long + " and one more"), (502, long + " " + rows[0][1])]
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert order(got) == order(brute(rows))
 
 
 def test_empty_and_null_ids(spark):
@@ -82,9 +106,8 @@ def test_empty_and_null_ids(spark):
 @pytest.mark.parametrize("percent", [80, 85])
 def test_linked_sets_share_a_signature(percent):
     r = np.random.default_rng(1)
-    tops = jj.bands(percent)
-    for _ in range(400):
-        n = int(r.integers(6, 400))
+    for _ in range(1500):
+        n = int(r.integers(5, 400)) if r.random() < 0.5 else int(r.integers(5, 40))
         a = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
         most = n * (100 - percent) // 100
         k = int(r.integers(0, most + 1))
@@ -92,4 +115,15 @@ def test_linked_sets_share_a_signature(percent):
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
         if 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
-            assert len(set(jj.signatures(a, tops, percent)[0].tolist()) & set(jj.signatures(b, tops, percent)[0].tolist())) >= min(max(x, 1) for x in jj.signatures(a, tops, percent)[1] if x)
+            assert set(jj.signatures(a, percent).tolist()) & set(jj.signatures(b, percent).tolist())
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_share_no_signature(percent):
+    r = np.random.default_rng(2)
+    for n in (6, 7, 9, 12, 18, 25, 40, 100, 400):
+        seen, total = {}, 0
+        for _ in range(200):
+            for s in jj.signatures(np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)), percent).tolist():
+                seen[s] = seen.get(s, 0) + 1
+        assert max(seen.values()) == 1
