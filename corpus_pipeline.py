@@ -8,9 +8,10 @@ executor costs at most a stage's tasks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citemesh.llm import decontamination, jaccard_join, language_id, mixing, sharding
-from citemesh.llm._shared import cut, small_or_not
+from citemesh.llm._shared import cut, join_hot, small_or_not
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Posterior below which no learned language fits better than all others together.
@@ -20,36 +21,50 @@ WORDS, PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters or without a clear language."""
+    """Rejects documents without letters (null and empty texts among them) or without a clear language.
+    Ids don't matter: rows without one, repeated rows and several texts of one id are judged each by its
+    text; a null lang is never learned from. Whole texts are read, however long."""
     langs, p = language_id.learn(docs, ~language_id.held_out())
     named = language_id.predict(docs.select(COLUMNS), langs, p, keep=COLUMNS)
     return named.filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each component: the one of smallest id. Rows repeated with one id are one
-    document, and one of them stays; rows without an id stay unless they equal one that has one."""
-    found = jaccard_join.jaccard_components(docs, percent=PERCENT, words=WORDS)
-    gone, _ = small_or_not(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
-    again, _ = small_or_not(kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).union(once.select(COLUMNS))
+    """One row stays of each component: the one of smallest id (rows without an id come last), then of the
+    smallest hash of its text, then of the smallest other columns. A row is a document, so of repeated rows
+    one stays, and two texts of one id both stay unless they link. Texts without words all stay."""
+    found = cut(jaccard_join.jaccard_components(docs, percent=PERCENT, words=WORDS).filter("group_key is not null").select("doc_id", "text_key", "group_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    first = found.groupBy("group_key").agg(first, F.count("*").alias("n")).filter("n > 1").select("group_key", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    grouped = cut(join_hot(found, first, ["group_key"]).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__x"), stays.alias("stays")))
+    gone, _ = small_or_not(grouped.filter("not stays").select("__id", "__x").distinct())
+    again, _ = small_or_not(grouped.filter("stays").groupBy("__id", "__x").count().filter("count > 1").select("__id", "__x"))
+    docs = docs.select(COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__x"))
+    kept = docs.join(gone, same, "left_anti")
+    once = kept.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return kept.join(again, same, "left_anti").union(once.select("doc_id", "text", "rest.*").select(COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item or its template with other values."""
+    """Rejects documents that hold a benchmark item or its template with other values. Null and empty texts
+    hold none; rows without an id, repeated rows and several texts of one id are judged each by its text;
+    an empty benchmark rejects nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.clean(docs, benchmark, whole=True).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources meet weights of n**0.5, and shuffles them."""
+    """Repeats documents so that sources meet weights of n**0.5, and shuffles them. A null source is one of
+    its own; rows of one id, and all without an id, share a count and are repeated alike; texts are moved
+    whole and never looked at."""
     return mixing.poisson_mix(docs).select(COLUMNS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and place, in Hilbert order of source, language and length."""
+    """Documents with their shard and place, in Hilbert order of source, language and length. A null counts
+    as a dimension's lowest value; every row takes a place, repeated ones and those without an id too."""
     return sharding.hilbert_shards(docs, ["source", "lang", "n_chars"], keep=COLUMNS)
 
 
