@@ -4,17 +4,18 @@ size-checked broadcasts, name-safe columns, Arrow helpers and connected componen
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast: a bound, whatever the input's size.
+#: Rows of a side that may be broadcast, and bytes of its compressed file: bounds, whatever the input's size.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LEFT: dict[str, weakref.ref] = {}
 
 
@@ -24,18 +25,26 @@ def setting(spark: SparkSession, key: str, default: str | None = None) -> str |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. One of our own only where it is unset and all
+    runs on this machine."""
     found = setting(spark, "spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="citemesh-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
 
 
 @atexit.register
@@ -49,12 +58,18 @@ def _sweep() -> None:
             return
 
 
-def cut(df: DataFrame, partition: int | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, so a lost
-    executor costs a re-read and each row is computed once. Nullability widens as Parquet's does."""
+    executor costs a re-read and each row is computed once; the shuffles behind it go when it is written.
+    Nullability widens as Parquet's does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, was or "false")
     _LEFT[path] = weakref.ref(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -62,28 +77,19 @@ def cut(df: DataFrame, partition: int | None = None) -> DataFrame:
 
 
 def drop(*cuts: DataFrame) -> None:
-    """Deletes tables made by cut() that no later plan reads, and lets Spark free old shuffles."""
+    """Deletes tables made by cut() that no later plan reads."""
     for df in cuts:
         path = getattr(df, "_cut_path", None)
         if path:
             _LEFT.pop(path, None)
             _delete(df.sparkSession, path)
-    release(cuts[0].sparkSession)
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's references to them do: Python's first, then the JVM's, which
-    reach the cleaner on a second pass."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """A cut of df, broadcast if it has at most `rows` rows, and whether it is."""
+    """A cut of df, broadcast if it has at most `rows` rows in files of BROADCAST_BYTES, and whether it is."""
     df = cut(df)
-    few = df.limit(rows + 1).count() <= rows
+    fs, p = _folder(df.sparkSession, df._cut_path)
+    few = fs.getContentSummary(p).getLength() <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
     return (F.broadcast(df), True) if few else (df, False)
 
 
