@@ -20,14 +20,14 @@ smaller id or earlier in the same one. Strings are judged on the input; matches
 Memory is bounded by a block, 1 MB of a long text, and one text where its spans are cut out.
 
 Edge cases: null is empty; texts under 100 bytes lose nothing; a null id comes last; rows repeated with
-one id and text are one document and get the same result; rows of one id with several texts are told
-apart by their checksum, and come in its order; an empty table gives no rows; extra columns stay unread.
+one id and text are one document and get the same result; several texts of one id, and of rows without an
+id, are documents of their own in the order of their MD5: each has a number (`sub`) from a global sort, and
+texts are told apart by all 128 bits. An empty table gives no rows; extra columns stay unread.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,16 +131,25 @@ def anchors(data: np.ndarray, ends: np.ndarray, rolling: Rolling) -> tuple[np.nd
     return (best[new] >> _U(7)).astype(np.int64), at[new], p[new], p[last]
 
 
-def checksum(data: bytes) -> int:
-    return zlib.crc32(data) & 0x3FFFF
+def text_md5(text: str) -> Column:
+    return F.md5(utf8(F.coalesce(F.col(text), F.lit(""))))
 
 
-def text_key(text: str) -> Column:
-    return F.crc32(utf8(F.coalesce(F.col(text), F.lit("")))).bitwiseAND(F.lit(0x3FFFF))
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs(doc, text, ...) with sub: 0 where a doc has one text only, else a number that tells its texts
+    apart and rises with their MD5. What is small goes by checked broadcast, else by shuffle on the MD5."""
+    slim = docs.select("doc", text_md5("text").alias("m"))
+    several = slim.groupBy("doc").agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a <> b").select("doc")
+    several, _ = small_or_not(several)
+    order = slim.join(several, "doc", "left_semi").distinct().repartitionByRange("doc", "m").sortWithinPartitions("doc", "m")
+    subs, few = small_or_not(order.withColumn("sub", F.monotonically_increasing_id() + 1))
+    if few and subs.isEmpty():
+        return docs.withColumn("sub", F.lit(0).cast("bigint"))
+    return docs.withColumn("m", text_md5("text")).join(subs, ["m", "doc"], "left").drop("m").withColumn("sub", F.coalesce("sub", F.lit(0)))
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
-    """(h, doc, pos) of every anchor of docs(doc, text); pos packs checksum, place and the windows' bounds."""
+    """(h, doc, sub, pos) of every anchor of docs(doc, sub, text); pos packs place and the windows' bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -155,55 +164,54 @@ def all_anchors(docs: DataFrame) -> DataFrame:
             h, at, lo, hi = anchors(data, np.repeat(starts + sizes, sizes), rolling)
             of = np.searchsorted(starts, lo, "right") - 1
             ids = np.array([x[0] for x in parts], np.int64)[of]
-            keys = np.array([x[1] for x in parts], np.int64)[of]
+            subs = np.array([x[1] for x in parts], np.int64)[of]
             place = at - starts[of] + np.array([x[2] for x in parts], np.int64)[of]
-            pos = (keys << 45) | (place << 14) | ((at - lo) << 7) | (at - hi)
+            pos = (place << 14) | ((at - lo) << 7) | (at - hi)
             parts.clear()
             held = 0
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(pos)], ["h", "doc", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(subs), pa.array(pos)], ["h", "doc", "sub", "pos"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, sub, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass") if text.is_valid else b""
                 if len(data) < LENGTH:
                     continue
-                key = checksum(data)
                 for s in range(0, len(data) - LENGTH + 1, SEGMENT):
-                    parts.append((doc, key, s, data[s : s + SEGMENT + LENGTH - 1]))
+                    parts.append((doc, sub, s, data[s : s + SEGMENT + LENGTH - 1]))
                     held += len(parts[-1][3])
                     if held >= SEGMENT:
                         yield flush()
         if parts:
             yield flush()
 
-    return docs.mapInArrow(run, "h bigint, doc bigint, pos bigint")
+    return docs.select("doc", "sub", "text").mapInArrow(run, "h bigint, doc bigint, sub bigint, pos bigint")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """(doc, h, salt, edge, pos) of the anchors with an equal one elsewhere. Rows of one hash are numbered
+    """(doc, sub, h, salt, edge, pos) of the anchors with an equal one elsewhere. Rows of one hash are numbered
     into groups (salt) of bounded size; edge: others of that hash may be out of sight."""
-    ordered = found.repartitionByRange("h", "doc", "pos").sortWithinPartitions("h", "doc", "pos").withColumn("part", F.spark_partition_id())
+    ordered = found.repartitionByRange("h", "doc", "sub", "pos").sortWithinPartitions("h", "doc", "sub", "pos").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None  # the last row so far, and its number in its run
         first = True
 
-        def out(h, doc, pos, number, keep, edge, part):
+        def out(h, doc, sub, pos, number, keep, edge, part):
             salt = number // GROUP_ROWS + (part << 20)
-            cols = [pa.array(x[keep]) for x in (doc, h, salt, edge, pos)]
-            return pa.RecordBatch.from_arrays(cols, ["doc", "h", "salt", "edge", "pos"])
+            cols = [pa.array(x[keep]) for x in (doc, sub, h, salt, edge, pos)]
+            return pa.RecordBatch.from_arrays(cols, ["doc", "sub", "h", "salt", "edge", "pos"])
 
         part = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            h, doc, pos, parts = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            h, doc, sub, pos, parts = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             part, start = int(parts[0]), 0
             if carry is not None:
-                h, doc, pos = (np.concatenate([[c], x]) for c, x in zip(carry[:3], (h, doc, pos), strict=True))
-                start = carry[3]
-            once = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(doc) != 0) | (np.diff(pos) != 0)])
-            h, doc, pos = h[once], doc[once], pos[once]
+                h, doc, sub, pos = (np.concatenate([[c], x]) for c, x in zip(carry[:4], (h, doc, sub, pos), strict=True))
+                start = carry[4]
+            once = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(doc) != 0) | (np.diff(sub) != 0) | (np.diff(pos) != 0)])
+            h, doc, sub, pos = h[once], doc[once], sub[once], pos[once]
             new = np.concatenate([[True], np.diff(h) != 0])
             starts = np.flatnonzero(new)
             number = np.arange(len(h)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(h)]])))
@@ -212,56 +220,47 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
             keep[:-1] |= ~new[1:]
             edge = number >= GROUP_ROWS
             if carry is not None:
-                keep[0], edge[0] = keep[0] | carry[5], edge[0] | carry[4]
+                keep[0], edge[0] = keep[0] | carry[6], edge[0] | carry[5]
             if first:  # the partition's first run may go on in the partition before
                 keep[0] = edge[0] = True
                 first = False
-            carry = (h[-1], doc[-1], pos[-1], int(number[-1]), bool(edge[-1]), bool(keep[-1]))
+            carry = (h[-1], doc[-1], sub[-1], pos[-1], int(number[-1]), bool(edge[-1]), bool(keep[-1]))
             if len(h) > 1:
-                yield out(h[:-1], doc[:-1], pos[:-1], number[:-1], keep[:-1], edge[:-1], part)
+                yield out(h[:-1], doc[:-1], sub[:-1], pos[:-1], number[:-1], keep[:-1], edge[:-1], part)
         if carry is not None:
-            yield out(np.array([carry[0]]), np.array([carry[1]]), np.array([carry[2]]), np.array([carry[3]]), np.array([True]), np.array([True]), part)
+            yield out(*(np.array([carry[i]]) for i in range(5)), np.array([True]), np.array([True]), part)
 
-    return ordered.mapInArrow(run, "doc bigint, h bigint, salt bigint, edge boolean, pos bigint")
+    return ordered.mapInArrow(run, "doc bigint, sub bigint, h bigint, salt bigint, edge boolean, pos bigint")
 
 
 def contexts(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(h, salt, edge, doc, key, lo, ahead, bytes): for each listed anchor the bytes of its windows, from
+    """(h, salt, edge, doc, sub, lo, ahead, bytes): for each listed anchor the bytes of its windows, from
     window lo on; the anchor is `ahead` bytes further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "salt", "edge", "doc", "key", "lo", "ahead", "bytes"]
+        names = ["h", "salt", "edge", "doc", "sub", "lo", "ahead", "bytes"]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             for i in range(b.num_rows):
-                doc, text = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                doc, sub, text = (b.column(k)[i].as_py() for k in range(3))
                 data = (text or "").encode("utf-8", "surrogatepass")
-                key = checksum(data)
-                rows = b.column(2)[i].values
-                pos = rows.field("pos").to_numpy(zero_copy_only=False)
-                mine = (pos >> 45) == key
-                if not mine.any():
-                    continue
-                pos = pos[mine]
-                x, a, z = (pos >> 14) & 0x7FFFFFFF, (pos >> 7) & 127, pos & 127
-                ok = x - z + LENGTH <= len(data)
-                x, a, z = x[ok], a[ok], z[ok]
-                keep = np.flatnonzero(mine)[ok]
-                taken = rows.take(pa.array(keep))
+                taken = b.column(3)[i].values
+                pos = taken.field("pos").to_numpy(zero_copy_only=False)
+                x, a, z = pos >> 14, (pos >> 7) & 127, pos & 127
                 lo, hi = (x - a).tolist(), (x - z + LENGTH).tolist()
                 n = len(lo)
                 yield pa.RecordBatch.from_arrays(
-                    [taken.field("h"), taken.field("salt"), taken.field("edge"), pa.array([doc] * n, kinds[3]), pa.array([key] * n, kinds[4]), pa.array(lo, kinds[5]), pa.array(a, kinds[6]), pa.array([data[s:e] for s, e in zip(lo, hi, strict=True)], kinds[7])], names)
+                    [taken.field("h"), taken.field("salt"), taken.field("edge"), pa.array([doc] * n, kinds[3]), pa.array([sub] * n, kinds[4]), pa.array(lo, kinds[5]), pa.array(a, kinds[6]), pa.array([data[s:e] for s, e in zip(lo, hi, strict=True)], kinds[7])], names)
 
-    rows = docs.join(lists, "doc").select("doc", "text", "list")
-    return rows.mapInArrow(run, "h bigint, salt bigint, edge boolean, doc bigint, key bigint, lo bigint, ahead bigint, bytes binary")
+    rows = docs.join(lists, ["doc", "sub"]).select("doc", "sub", "text", "list")
+    return rows.mapInArrow(run, "h bigint, salt bigint, edge boolean, doc bigint, sub bigint, lo bigint, ahead bigint, bytes binary")
 
 
 class Block:
     """The windows of some anchor groups, laid out with every anchor at a multiple of the period."""
 
     def __init__(self, rows: list[tuple]):
-        """rows: (group, doc, key, lo, ahead, bytes)"""
+        """rows: (group, doc, sub, lo, ahead, bytes)"""
         sizes = np.array([len(r[5]) for r in rows])
         ahead = np.array([r[4] for r in rows])
         starts, at = np.empty(len(rows), np.int64), 0
@@ -331,10 +330,10 @@ class Block:
 
 
 def marked(found: DataFrame) -> DataFrame:
-    """(kind, doc, key, s, e, h, fp): kind 0, bytes [s, e) that start no window's first occurrence; kind 1,
+    """(kind, doc, sub, s, e, h, fp): kind 0, bytes [s, e) that start no window's first occurrence; kind 1,
     the earliest occurrence in its block of a window whose group has other blocks."""
     rows = found.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    names = ["kind", "doc", "key", "s", "e", "h", "fp"]
+    names = ["kind", "doc", "sub", "s", "e", "h", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -346,7 +345,7 @@ def marked(found: DataFrame) -> DataFrame:
             nonlocal size
             block = Block(groups)
             h = np.array([r[0] for r in groups], np.int64)
-            doc, key, lo = (np.array([r[i] for r in groups], np.int64) for i in (1, 2, 3))
+            doc, sub, lo = (np.array([r[i] for r in groups], np.int64) for i in (1, 2, 3))
             edge = np.array([r[6] for r in groups], bool)
             dup = np.zeros(len(block.row), bool)
             first_of_edge = []
@@ -354,12 +353,12 @@ def marked(found: DataFrame) -> DataFrame:
             for own, new in block.classes():
                 cls = np.cumsum(new) - 1
                 r = block.row[own]
-                order = np.lexsort([p[own], key[r], doc[r], cls])
+                order = np.lexsort([p[own], sub[r], doc[r], cls])
                 o, c = own[order], cls[order]
                 begins = np.concatenate([[True], np.diff(c) != 0])
                 head = o[np.flatnonzero(begins)][c]
                 rh, ro = block.row[head], block.row[o]
-                dup[o] = (doc[ro] != doc[rh]) | (key[ro] != key[rh]) | (p[o] != p[head])
+                dup[o] = (doc[ro] != doc[rh]) | (sub[ro] != sub[rh]) | (p[o] != p[head])
                 heads = o[begins]
                 first_of_edge.append(heads[edge[block.row[heads]]])
             d = np.flatnonzero(dup)
@@ -368,11 +367,11 @@ def marked(found: DataFrame) -> DataFrame:
                 cuts = np.concatenate([[True], (np.diff(d) != 1) | (np.diff(block.row[d]) != 0)])
                 a = d[cuts]
                 z = d[np.concatenate([np.flatnonzero(cuts)[1:] - 1, [d.size - 1]])]
-                cols = [np.zeros(len(a), np.int32), doc[block.row[a]], key[block.row[a]], p[a], p[z] + LENGTH, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
+                cols = [np.zeros(len(a), np.int32), doc[block.row[a]], sub[block.row[a]], p[a], p[z] + LENGTH, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
             f = np.concatenate(first_of_edge) if first_of_edge else np.empty(0, np.int64)
             if f.size:
                 fp = rolling.hashes(block.data, LENGTH)[block.place[f]].view(np.int64)
-                more = [np.ones(len(f), np.int32), doc[block.row[f]], key[block.row[f]], p[f], p[f] + LENGTH, h[block.row[f]], fp]
+                more = [np.ones(len(f), np.int32), doc[block.row[f]], sub[block.row[f]], p[f], p[f] + LENGTH, h[block.row[f]], fp]
                 cols = [np.concatenate([a, b]).astype(b.dtype) if len(a) else b for a, b in zip(cols, more, strict=True)]
             groups.clear()
             edges.clear()
@@ -412,7 +411,7 @@ def marked(found: DataFrame) -> DataFrame:
 
         for b in batches:
             c = [b.column(i).to_pylist() for i in range(8)]
-            for h, salt, edge, doc, key, lo, ahead, data in zip(*c, strict=True):
+            for h, salt, edge, doc, sub, lo, ahead, data in zip(*c, strict=True):
                 if at != (h, salt):
                     close()
                     at = (h, salt)
@@ -420,48 +419,48 @@ def marked(found: DataFrame) -> DataFrame:
                         yield out
                     if len(whole) >= 50_000:
                         yield spans()
-                pending.append((h, doc, key, lo, ahead, data, edge))
+                pending.append((h, doc, sub, lo, ahead, data, edge))
         close()
         if whole:
             yield spans()
         if groups and (out := solve()) is not None:
             yield out
 
-    return rows.mapInArrow(run, "kind int, doc bigint, key bigint, s bigint, e bigint, h bigint, fp bigint")
+    return rows.mapInArrow(run, "kind int, doc bigint, sub bigint, s bigint, e bigint, h bigint, fp bigint")
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """(doc, key, spans, whole): what goes from docs(doc, text); whole: all of it."""
-    keyed = docs.select("doc", text_key("text").alias("key"), F.md5(utf8(F.coalesce("text", F.lit("")))).alias("m"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    classes = cut(keyed.filter(f"n >= {LENGTH}").groupBy("m", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
-    later = keyed.join(classes.filter("first <> last"), ["m", "n"]).filter("doc <> first").select("doc", "key").distinct()
+    """(doc, sub, spans, whole): what goes from docs(doc, sub, text); whole: all of it."""
+    at = F.struct("doc", "sub")
+    keyed = docs.select("doc", "sub", text_md5("text").alias("m"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    classes = cut(keyed.filter(f"n >= {LENGTH}").groupBy("m", "n").agg(F.min(at).alias("first"), F.max(at).alias("last")))
+    later = keyed.join(classes.filter("first <> last"), ["m", "n"]).filter(at != F.col("first")).select("doc", "sub").distinct()
     later, _ = small_or_not(later)
 
-    texts = docs.withColumn("key", text_key("text")).join(later, ["doc", "key"], "left_anti").select("doc", "text")
+    texts = docs.join(later, ["doc", "sub"], "left_anti").select("doc", "sub", "text")
     found = cut(all_anchors(texts))
     again = cut(repeated_anchors(found))
     drop(found)
-    lists = again.groupBy("doc").agg(F.collect_list(F.struct("h", "salt", "edge", "pos")).alias("list"))
+    lists = again.groupBy("doc", "sub").agg(F.collect_list(F.struct("h", "salt", "edge", "pos")).alias("list"))
     marks = cut(marked(contexts(texts, lists)))
     drop(again, classes)
 
     firsts = marks.filter("kind = 1")
-    order = F.struct("doc", "key", "s")
+    order = F.struct("doc", "sub", "s")
     best = firsts.groupBy("h", "fp").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
-    more = firsts.join(best, ["h", "fp"]).filter(order != F.col("best")).select("doc", "key", "s", "e")
-    spans = marks.filter("kind = 0").select("doc", "key", "s", "e").union(more)
-    spans = spans.select("doc", "key", F.struct("s", "e").alias("span"), F.lit(False).alias("whole"))
-    gone = later.select("doc", F.col("key").cast("bigint"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("span"), F.lit(True).alias("whole"))
-    return spans.union(gone).groupBy("doc", "key").agg(F.collect_list("span").alias("spans"), F.max("whole").alias("whole"))
+    more = firsts.join(best, ["h", "fp"]).filter(order != F.col("best")).select("doc", "sub", "s", "e")
+    spans = marks.filter("kind = 0").select("doc", "sub", "s", "e").union(more)
+    spans = spans.select("doc", "sub", F.struct("s", "e").alias("span"), F.lit(False).alias("whole"))
+    gone = later.select("doc", "sub", F.lit(None).cast("struct<s:bigint,e:bigint>").alias("span"), F.lit(True).alias("whole"))
+    return spans.union(gone).groupBy("doc", "sub").agg(F.collect_list("span").alias("spans"), F.max("whole").alias("whole"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, removed array<struct<s,e>>]) for each row."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text"))
-    spans = spans_of(docs)
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text"), text_key(text_col).alias("key"))
-    rows = rows.join(spans, ["doc", "key"], "left").select("id", "text", "spans", "whole")
+    docs = numbered(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text")))
+    spans = spans_of(docs.select("doc", "sub", "text"))
+    rows = docs.join(spans, ["doc", "sub"], "left").select("id", "text", "spans", "whole")
     extra = ", kept binary, removed array<struct<s:bigint,e:bigint>>" if with_bytes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
