@@ -1,40 +1,48 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line overlap; the line's first holder (smallest id) is the partner of each later one.
-A pair counts if it shares a rare line, one of at most 64 documents, or at least three lines of any
-frequency, so groups of copies, however large, all meet their first holder, and a lone boilerplate line
-pairs nobody. No partner is capped, and a group costs its size, not its square. Each pair is aligned by
-patience diff: common ends, then the longest increasing run of lines unique on both sides, then between
-them. With `whole`, as the query runs it, each shortest run of adjacent lines with at least 25 characters,
-from each line on and up to each line, and each whole text, also pairs its later holders with its first
-holder, however many hold it; these runs cover every line of every block that two documents share. It is
-one partner a run and holder, so the cost stays linear. Aligned blocks of at least 25 characters go from the later document. Texts are judged as they came.
+Documents that share a rare line, by its hash, overlap; a line shorter than 25 characters counts together
+with the lines next to it, up to 25, as shorter blocks never go. A hash that at most 64 texts hold pairs
+each of them with all earlier holders. A more frequent one pairs each later holder with its first holder
+and with the first among the holders that fall into its own of 16 classes, so a group of any size costs
+its size, not its square, and each block of 25 characters that two texts share has a partner to be found
+in, at any frequency. Each pair is aligned by patience diff over its lines' hashes: common ends, then the
+longest increasing run of lines unique on both sides, then between them. Aligned blocks of at least 25
+characters go from the later document. Texts are judged as they came.
+
+Texts move as 64-bit hashes and lengths of their lines. Equal texts are one text, its first holder's; their
+later copies go whole, if they have 25 characters, and count one partner.
 
 Edge cases: null and empty texts have no lines to share; blank lines share nothing, but align inside a
-block; equal ids are one document, and repeated rows get the same result (several texts of one id are told
-apart by their hash and come in its order); a null id comes last; extra columns are not read; an empty
-table gives no rows.
+block; rows repeated with one id and text are one document and get the same result; several texts of one
+id, and of rows without an id, are documents of their own in the order of their hash; a null id comes
+last; extra columns are not read; an empty table gives no rows. A text of any length is one row of hashes,
+and a pair takes memory in proportion to its lines.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, small_or_not
+from ._shared import cut, drop, slices, small_or_not
 
+#: Holders up to which a line is rare, and classes of holders of the others.
 RARE = 64
-SHARED = 3
+CLASSES = 16
 MIN_CHARS = 25
 LAST_ID = (1 << 63) - 1
+KEY = "struct<id:bigint,a:bigint,b:bigint>"
 
 
-def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Aligned (place in a, place in b), in order."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -78,32 +86,22 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(a: list[str], b: list[str], min_chars: int = MIN_CHARS) -> list[tuple[int, int]]:
-    """Ranges of b's lines that are aligned to consecutive lines of a and long enough."""
+def blocks(a: Sequence, b: Sequence, sizes: Sequence, min_chars: int = MIN_CHARS) -> list[tuple[int, int]]:
+    """Ranges of b's lines that are aligned to consecutive lines of a and long enough; sizes: of b's lines."""
     out, run = [], []
     for i, j in [*patience(a, b), (-2, -2)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
-            if sum(len(b[x].strip()) for _, x in run) >= min_chars:
+            if sum(sizes[x] for _, x in run) >= min_chars:
                 out.append((run[0][1], run[-1][1] + 1))
             run = []
         run.append((i, j))
     return out
 
 
-def partners(docs: DataFrame, rare: int = RARE, shared: int = SHARED) -> DataFrame:
-    """(later, first) keys of overlapping documents; docs(k, text), k a sortable key."""
-    lines = docs.select("k", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter("length(trim(line)) > 0")
-    lines = lines.select("k", F.xxhash64(F.trim("line")).alias("h")).distinct()
-    firsts = lines.groupBy("h").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    both = lines.join(firsts, "h").filter("k <> first")
-    n = both.groupBy(F.col("k").alias("later"), "first").agg(F.count("*").alias("lines"), F.count_if(F.col("n") <= rare).alias("rare"))
-    return n.filter(f"rare > 0 or lines >= {shared}").select("later", "first")
-
-
-def runs(lines: list[str], min_chars: int = MIN_CHARS) -> set[tuple[int, int]]:
-    """Ranges of lines: for each line the shortest from it on, and the shortest up to it, of min_chars."""
+def runs(size: Sequence, min_chars: int = MIN_CHARS) -> set[tuple[int, int]]:
+    """Ranges of lines of these sizes: for each line the shortest from it on, and the shortest up to it, of
+    min_chars."""
     out = set()
-    size = [len(x.strip()) for x in lines]
     lo = total = 0
     for hi, n in enumerate(size, 1):
         total += n
@@ -125,65 +123,96 @@ def runs(lines: list[str], min_chars: int = MIN_CHARS) -> set[tuple[int, int]]:
     return {(a, b) for a, b in out if size[a] and size[b - 1]}
 
 
-def run_partners(docs: DataFrame) -> DataFrame:
-    """(later, first) keys of documents that share a run of adjacent lines or their whole text."""
+def _signed(data: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
+
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+def prepared(docs: DataFrame) -> DataFrame:
+    """(k, lines, sizes, runs, total) of docs(k, text): hashes and lengths of a text's lines, the hashes by
+    which it meets others, and the sum of the lengths."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                found = []
-                for text in part.column(1).to_pylist():
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                hashes, lengths, held = [], [], []
+                for text in texts[lo:hi]:
                     lines = (text or "").split("\n")
-                    whole = {(0, len(lines))} if text and text.strip() else set()
-                    found.append(sorted({int.from_bytes(hashlib.blake2b("\n".join(lines[a:b]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for a, b in runs(lines) | whole}))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["k", "hs"])
-
-    held = docs.select("k", "text").mapInArrow(hashed, "k struct<id:bigint,th:bigint>, hs array<bigint>").select("k", F.explode("hs").alias("h")).distinct()
-    firsts = held.groupBy("h").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return held.join(firsts, "h").filter("k <> first").select(F.col("k").alias("later"), "first").distinct()
-
-
-def remove_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, whole: bool = False) -> DataFrame:
-    """(id, n_lines, n_deleted, n_partners, kept_md5[, kept]) for each row; n_deleted counts lines."""
-    key = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("th"))
-    docs = df.select(key.alias("k"), F.col(text_col).alias("text"))
-    pairs = cut(partners(docs).union(run_partners(docs)).distinct() if whole else partners(docs))
-    inside, _ = small_or_not(pairs.select(F.col("later").alias("k")).union(pairs.select("first")).distinct())
-    texts = cut(docs.join(inside, "k", "left_semi").dropDuplicates(["k"]))
-    aligned = pairs.join(texts.select(F.col("k").alias("first"), F.col("text").alias("a")), "first").join(texts.select(F.col("k").alias("later"), F.col("text").alias("b")), "later")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    own = [_signed(x.encode("utf-8", "surrogatepass")) for x in lines]
+                    size = [len(x.strip()) for x in lines]
+                    packed = np.array(own, np.int64).tobytes()
+                    hashes.append(own)
+                    lengths.append(size)
+                    held.append(list({own[a] if b == a + 1 else _signed(packed[8 * a : 8 * b]) for a, b in runs(size)}))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(hashes, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64())), pa.array([sum(x) for x in lengths], pa.int64())], ["k", "lines", "sizes", "runs", "total"])
+
+    return docs.select("k", "text").mapInArrow(run, f"k {KEY}, lines array<bigint>, sizes array<int>, runs array<bigint>, total bigint")
+
+
+def partners(held: DataFrame, rare: int = RARE, classes: int = CLASSES) -> DataFrame:
+    """(later, first) keys of overlapping texts; held(k, r): the hashes that each holds."""
+    n = held.groupBy("r").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    both = cut(held.join(n, "r"))
+    # texts that share several rare lines are mostly the same few: each set of holders gives its pairs once
+    sets = both.filter(f"n <= {rare}").groupBy("r").agg(F.sort_array(F.collect_set("k")).alias("ks")).select("ks").distinct()
+    among = sets.select(F.inline(F.expr("flatten(transform(sequence(1, size(ks) - 1), i -> transform(slice(ks, 1, i), x -> named_struct('later', ks[i], 'first', x))))")))
+    many = both.filter(f"n > {rare}").withColumn("c", F.pmod(F.xxhash64("k"), F.lit(classes)))
+    own = many.groupBy("r", "c").agg(F.min("k").alias("own"))
+    firsts = many.filter("k <> first").select(F.col("k").alias("later"), "first")
+    seconds = many.join(own, ["r", "c"]).filter("k <> own").select(F.col("k").alias("later"), F.col("own").alias("first"))
+    return among.union(firsts).union(seconds).distinct()
+
+
+def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k, gone) for each pair that leaves something to delete: places of lines of the later text k."""
+    one = texts.select(F.col("k").alias("first"), F.col("lines").alias("a"))
+    two = texts.select(F.col("k").alias("later"), F.col("lines").alias("b"), "sizes")
+    both = pairs.join(one, "first").join(two, "later").select(F.col("later").alias("k"), "a", "b", "sizes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                found = [[x for r in blocks((a or "").split("\n"), (b or "").split("\n")) for x in range(*r)] for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["k", "gone"])
+                gone = [[x for r in blocks(a.as_py(), b.as_py(), s.as_py()) for x in range(*r)] for a, b, s in zip(part.column(1), part.column(2), part.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], ["k", "gone"])
+
+    return both.mapInArrow(run, f"k {KEY}, gone array<int>").filter("size(gone) > 0")
 
-    gone = aligned.select(F.col("later").alias("k"), "a", "b").mapInArrow(align, "k struct<id:bigint,th:bigint>, gone array<int>").filter("size(gone) > 0")
-    gone = gone.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count("*").alias("n_partners"))
+
+def remove_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """(id, n_lines, n_deleted, n_partners, kept_md5[, kept]) for each row; n_deleted counts lines, n_partners
+    the earlier texts that a block is aligned with."""
+    key = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(7), text_col).alias("b"))
+    docs = df.select(key.alias("k"), F.col(text_col).alias("text"))
+    texts = cut(prepared(docs))
+    copies = texts.groupBy("k.a", "k.b").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first <> last")
+    later = texts.select("k", "k.a", "k.b", "total").join(copies, ["a", "b"]).filter("k <> first").select("k", "total").distinct()
+    later, _ = small_or_not(later)
+    alone = cut(texts.join(later, "k", "left_anti").dropDuplicates(["k"]))
+    drop(texts)
+    pairs = cut(partners(alone.select("k", F.explode("runs").alias("r"))))
+    gone = cut(aligned(pairs, alone))
+    gone = gone.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count("*").alias("n_partners"), F.lit(False).alias("whole"))
+    gone = gone.union(later.filter(f"total >= {MIN_CHARS}").select("k", F.lit(None).cast("array<int>"), F.lit(1).cast("bigint"), F.lit(True)))
+    gone, _ = small_or_not(gone)
     rows = df.select(F.col(id_col), F.col(text_col).alias("text"), key.alias("k")).join(gone, "k", "left")
     kind = df.schema[id_col].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out = []
-                for text, out_lines in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                part, out = batch.slice(lo, hi - lo), []
+                for text, places, whole in zip(texts[lo:hi], part.column(2).to_pylist(), part.column(4).to_pylist(), strict=True):
                     lines = text.split("\n") if text else []
-                    drop = set(out_lines or ())
-                    kept = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-                    out.append((len(lines), len(drop), hashlib.md5(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
+                    lost = set(range(len(lines)) if whole else places or ())
+                    kept = "\n".join(x for i, x in enumerate(lines) if i not in lost)
+                    out.append((len(lines), len(lost), hashlib.md5(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
                 cols = [part.column(0), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), part.column(3), pa.array([r[2] for r in out])]
                 names = ["id", "n_lines", "n_deleted", "n_partners", "kept_md5"]
                 if with_text:
                     cols, names = [*cols, pa.array([r[3] for r in out])], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    made = rows.select(id_col, "text", "gone", F.coalesce("n_partners", F.lit(0)).alias("n_partners"))
+    made = rows.select(id_col, "text", "gone", F.coalesce("n_partners", F.lit(0)).alias("n_partners"), F.coalesce("whole", F.lit(False)).alias("whole"))
     return made.mapInArrow(apply, f"id {kind}, n_lines bigint, n_deleted bigint, n_partners bigint, kept_md5 string" + ", kept string" * with_text).withColumnRenamed("id", id_col)
