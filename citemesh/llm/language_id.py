@@ -5,14 +5,18 @@ over all its segmentations (forward algorithm); a text's is the product over its
 letters, lower-cased, led by the word mark). The probabilities come from expectation maximisation on
 word counts: expected uses of each piece from forward and backward sums.
 
-Learning reads a bounded sample of the learnable rows (at most about `per_language` rows a language,
-chosen by a hash of text); prediction reads every whole text. Words are scored once per task, many at a
-time, one character position after another; a word's result is kept until the cache is full.
-
-Edge cases: a null text or one without letters is `und` with score 0; words longer than 40 characters
-(scripts without spaces) take a scaled pass in time proportional to their length; if nothing can be
-learned all rows are `und`; ties go to the first language in order; repeated rows are predicted alike;
-extra columns stay unread.
+Learning reads a bounded sample of the learnable rows: at most about `per_language` rows of each of the
+`languages` most frequent lang values (ties by name), chosen by a hash of text, so what is learned has a
+bounded size however dirty the column is. Whole texts are learned from; words of more than 40 characters
+(scripts without spaces) are learned in runs of 40. Prediction reads every whole text. Words are scored
+once per task, many at a time, one character position after another; a word's result is kept until the
+cache is full.
+
+Letters are Unicode's (categories L*), so digits, numerals such as superscripts and fractions, marks and
+signs are none. Edge cases: a null text or one without a letter is `und` with score 0; long words take a
+scaled pass in time proportional to their length; if nothing can be learned all rows are `und`; ties go to
+the first language in order; repeated rows, rows of one id and rows without an id are predicted each by its
+text; extra columns stay unread; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +36,15 @@ from ._shared import cut, drop, slices
 from .pieces import MARK, PIECES, load_pieces
 
 PER_LANGUAGE = 1500
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 200
 ROUNDS = 2
 SMOOTH = 0.05
 UNSEEN = 1e-7
 LONGEST = 40
 CACHED_WORDS = 300_000
-WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters but digits, the underscore and other numerals.
+WORDS = re.compile("[^\\W\\d_" + "".join(chr(c) for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()) + "]+")
 #: Keeps forward sums near 1: the usual probability of a character.
 PER_CHAR = 12.0
 _MUL, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -188,23 +195,23 @@ def _many(items: list, most: int = 8192):
         yield items[i : i + most]
 
 
-def learn(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", pieces_path: str = PIECES, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS, pieces: tuple[str, ...] | None = None) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", pieces_path: str = PIECES, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, rounds: int = ROUNDS, pieces: tuple[str, ...] | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order, and piece probabilities (pieces and the unseen character, by language)."""
     pieces = pieces or load_pieces(pieces_path)
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}  # a row for each language
-    langs = list(sizes)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], np.zeros((len(pieces) + 1, 0))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))))
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
+    sample = rows.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen.setdefault(lang, Counter()).update(WORDS.findall(text.as_py().lower()))
-            flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items() if len(w) <= LONGEST]
+                seen.setdefault(lang, Counter()).update(w[i : i + LONGEST] for w in WORDS.findall(text.as_py().lower()) for i in range(0, len(w), LONGEST))
+            flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     counts = cut(sample.mapInArrow(words_of, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
