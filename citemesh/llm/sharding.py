@@ -8,9 +8,15 @@ Law `rows`: shard sizes differ by at most one row. The order is the range-partit
 index, checksum, id): a third of all rows in one cell, source or group of equal texts still spreads
 over many tasks. A rank is a partition's offset plus a row's place in it.
 
+Numbers are cut at approximate quantiles (a mergeable sketch), strings at exact ones, in the order of
+their UTF-8 bytes and by their whole length: their distinct values are counted, sorted over range
+partitions and summed from partition to partition. Only the cuts come to the driver.
+
 Edge cases: a null in a dimension is its lowest value; a null text has size 8 and a null checksum; an
-empty text has size 8 and checksum 0; an empty table gives no rows; repeated rows each take a slot;
-columns that the operator adds replace columns of the same name.
+empty text has size 8 and checksum 0; an empty table gives no rows; repeated rows each take a slot, and
+rows that are equal in all that orders them lie in the order they were read, so that any number of them
+spreads over tasks; texts of any length are moved whole; columns that the operator adds replace columns of
+the same name.
 """
 
 from __future__ import annotations
@@ -53,24 +59,34 @@ def curve_index(cells: list[str], bits: int = BITS) -> Column:
     return F.expr(f"aggregate(sequence({bits - 1}, 0, -1), named_struct('s', 0, 'h', 0L), (a, i) -> named_struct('s', {step} % {states}, 'h', a.h * {1 << n}L + cast({step} div {states} as bigint)), a -> a.h)")
 
 
-def ordinal(df: DataFrame, name: str) -> Column:
-    """A number that orders the column's values: numbers as they are, strings by their first 6 bytes."""
-    if dict(df.dtypes)[name] == "string":
-        return F.conv(F.rpad(F.substring(F.hex(utf8(name)), 1, 12), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def string_cuts(df: DataFrame, name: str, bits: int = BITS) -> list[str]:
+    """The values at the column's 2**bits - 1 quantiles (fewer where one value holds several)."""
+    counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).count()
+    # the ids hold for this one sort only, so they are written down
+    counts = cut(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()))
+    counts = counts.withColumn("part", F.shiftright("at", 33))
+    sums = counts.groupBy("part").agg(F.sum("count").alias("n"))  # a row for each partition
+    sums = sums.select("part", F.expr("sum(n) over (order by part) - n").alias("before"), F.expr("sum(n) over ()").alias("total"))
+    upto = counts.withColumn("own", F.expr("sum(count) over (partition by part order by at)")).join(F.broadcast(sums), "part").withColumn("upto", F.col("before") + F.col("own"))
+    step = f"(({{}}) * {1 << bits} div total)"
+    found = upto.filter(step.format("upto") + " > " + step.format("upto - count")).filter("upto < total")
+    return sorted((r["v"] for r in found.select("v").collect()), key=lambda v: v.encode("utf-8", "surrogatepass"))  # fewer than 2**bits
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """Adds __c0, __c1, ...: each dimension's cell between its quantiles (at most 2**bits - 1 cuts
     each, the only thing that comes to the driver)."""
-    df = df.withColumns({f"__o{k}": ordinal(df, d) for k, d in enumerate(dims)})
+    kinds = dict(df.dtypes)
     at = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*(F.percentile_approx(f"__o{k}", at, 2000).alias(f"q{k}") for k in range(len(dims)))).first()
-    for k in range(len(dims)):
-        bounds = sorted(set(cuts[k] or ()))
-        above = f"size(filter(array({','.join(f'{b!r}D' for b in bounds)}), b -> b < __o{k}))" if bounds else "0"
-        df = df.withColumn(f"__c{k}", F.expr(f"cast(coalesce(if(__o{k} is null, 0, {above}), 0) as int)"))
-    return df.drop(*(f"__o{k}" for k in range(len(dims))))
+    numbers = [d for d in dims if kinds[d] != "string"]
+    found = df.agg(*(F.percentile_approx(F.col(d).cast("double"), at, 10_000).alias(f"q{k}") for k, d in enumerate(numbers))).first() if numbers else []
+    cuts = {d: sorted(set(found[k] or ())) for k, d in enumerate(numbers)}
+    for k, d in enumerate(dims):
+        bounds = cuts[d] if d in cuts else string_cuts(df, d, bits)
+        value = F.col(d).cast("double") if d in cuts else F.col(d)
+        above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)) if bounds else F.lit(0)
+        df = df.withColumn(f"__c{k}", F.when(value.isNull(), 0).otherwise(above).cast("int"))
+    return df
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
@@ -81,8 +97,8 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int = SHARDS, id_col:
     df = df.withColumn("size", size).withColumn("text_crc32", F.crc32(utf8(text_col)))
     df = quantised(df, dims, bits)
     df = df.withColumn("curve", curve_index([f"__c{k}" for k in range(len(dims))], bits))
-    order = ["curve", "text_crc32", id_col]
-    df = df.select(*dict.fromkeys([*keep, "size", "text_crc32", "curve", id_col]))
+    order = ["curve", "text_crc32", id_col, "__row"]
+    df = df.withColumn("__row", F.monotonically_increasing_id()).select(*dict.fromkeys([*keep, "size", "text_crc32", "curve", id_col, "__row"]))
     df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = cut(df.withColumn("__at", F.monotonically_increasing_id()))  # the ids hold for this one sort only, so they are written down
     part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
