@@ -1,20 +1,28 @@
 """Main text of web pages by consensus host paths.
 
 Each page is read into blocks that know their containers' generalised path: tag and class names from the
-body down, digits as `#`. Containers are scored by the plain text of their paragraphs, links counting
-against them, and the page votes for its best container's path. Votes are summed per host in Spark; a
-host's winning paths are its most voted one and all with at least a fifth of its votes. Then each page is
-read again and gives the text under its host's winning path: its own vote if that won, else the most voted
-winner with text on the page, else its own best container.
-
-Navigation, headers outside the article, footers, asides, forms, scripts, styles and elements whose class,
-id or role names adverts, notices, menus, comments and the like are never text. Character references are
-decoded; white space in a block becomes one space; blocks are joined in page order by one space.
+body down, digits as `#`. A container's score is the plain text of all paragraphs below it, links counting
+against them; from the outermost one down, a page goes on to a child that holds nearly all of its parent's
+text (an article or main element: most of it), so an article that is split over siblings keeps them all.
+Where that ends the page votes for the container's path. Votes are summed per host in Spark; a host's
+winning paths are those with at least a fifth of its votes. Then each page is read again and gives the text
+under its host's winning path: its own vote if that won, else the most voted winner with text on the page,
+else (or where a host has no winner) its own best container.
+
+What is never text: navigation, menus, footers, asides, forms and their controls, dialogs, scripts, styles,
+drawings, hidden elements, and elements whose role, or one of whose class or id names, says navigation,
+footer, sidebar, notice, advert, form or reader comments and, besides, only where on the page it stands: a
+name such as `market-share` or `ad-hoc` says something else. Headers are text where they stand in an
+article or main element, or in the container that was chosen, unless that holds the page's navigation or
+footer too. Character references are decoded; white space in a block becomes one space; blocks are joined
+in page order by one space.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; a page without a host votes
-with all such pages; unclosed tags, comments and scripts end where the page ends; equal votes go by path;
-repeated rows vote each; extra columns are not read. Any share of pages may lie on one host: votes are
-summed map-side and winners joined by checked broadcast or salts.
+with all such pages; unclosed tags, comments and scripts end where the page ends; equal scores go to the
+inner container, equal votes by path; repeated rows vote each; extra columns are not read; an empty table
+gives no rows. A page of any length is read whole, in memory of its own size. Any share of pages may lie
+on one host: votes are summed map-side and winners, five at most for a host, joined by checked broadcast
+or salts.
 """
 
 from __future__ import annotations
@@ -24,54 +32,71 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, join_hot
+from ._shared import cut, join_hot, slices
 
 WIN_SHARE = 0.2
+#: Share of a container's text that a child must hold for the page to go on to it; for article and main.
+NEARLY_ALL, MOST = 0.95, 0.6
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg|math|select|object|title)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-SKIPPED = frozenset("nav footer aside form button header dialog menu head input fieldset figcaption".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split())
+SKIPPED = frozenset("nav footer aside form button dialog menu head input select datalist svg annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-#: Fixed words in class, id and role names that mark what is not the article.
-NOT_TEXT = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies dialog disqus disclaimer footer gdpr header legal masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup promo promotion promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget".split())
+#: Fixed words in class and id names that say what is no article text, ...
+KINDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices notification notifications popup modal overlay paywall newsletter subscribe subscription signup login form forms comment comments commentlist disqus respond reply replies share sharing social related recommended".split())
+HEADERS = frozenset("header masthead banner".split())
+#: ... and words that may stand beside them, as they only say where it is.
+PLACES = frozenset("top bottom left right main site page box wrapper wrap container content list bar block section area inner outer primary secondary global post posts article articles entry item items link links button buttons icon icons group row col column unit slot zone widget region holder panel module component desktop mobile text info id js sub mini".split())
+ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DIGITS = re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SCORED = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd div section article main figure".split())
-
-
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether an element is no article text, and its classes, generalised."""
-    bad = tag in SKIPPED and not (tag == "header" and inside_article)
-    classes = ""
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "class":
-                classes = ".".join(sorted(set(DIGITS.sub("#", value).split())))
-            if name in ("class", "id", "role"):
-                for word in value.split():
-                    parts = SPLIT.split(CAMEL.sub("-", word).lower())
-                    # a layout name such as has-sidebar or with-header says what is beside the text
-                    if not NOT_TEXT.isdisjoint(parts) and parts[0] not in ("has", "with", "no", "without") and tag not in ("body", "html", "article", "main"):
-                        bad = True
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-                bad = True
-    return bad, classes
-
-
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, float]]:
-    """(containers' path, block's tag, text, share of link text) of each block, in page order."""
+CONTAINERS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt th div section article main figure figcaption ul ol dl table".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt th ul ol dl table tbody thead tfoot tr caption figure figcaption details summary address hgroup".split())
+
+
+def _named(value: str, kinds: frozenset) -> bool:
+    """Whether one of the names says one of these kinds, and else only a place."""
+    for name in value.split():
+        words = {w for w in SPLIT.split(CAMEL.sub("-", name).lower()) if w}
+        if not words.isdisjoint(kinds) and words <= KINDS | HEADERS | PLACES:
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is no article text, whether it is a header, and its classes, generalised."""
+    bad, header, classes = tag in SKIPPED, tag == "header", ""
+    whole = tag in ("body", "html", "article", "main")  # its names tell of the page
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "class":
+            classes = ".".join(sorted(set(DIGITS.sub("#", value).split())))
+        if name in ("class", "id") and not whole:
+            bad = bad or _named(value, KINDS)
+            header = header or _named(value, HEADERS)
+        elif name == "role":
+            bad = bad or value.lower() in ROLES
+            header = header or value.lower() == "banner"
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
+            bad = True
+    return bad, header, classes
+
+
+def blocks(html: str) -> tuple[list[tuple[tuple[str, ...], str, float, int]], set[tuple[str, ...]]]:
+    """(containers' path, text, share of link text, depth of the outermost header that is not in an article)
+    of each block, in page order; and the paths of containers with navigation or a footer of their own."""
     out: list = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, generalised name, skipped, block
+    frames: set[tuple[str, ...]] = set()
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, generalised name, skipped, block, header
     text: list[str] = []
     linked = 0
     links = 0
@@ -81,14 +106,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, float]]:
         if text:
             t = " ".join(unescape("".join(text)).split())
             if t and not (stack and any(s[2] for s in stack)):
-                names = [s[1] for s in stack if s[3]] or ["body"]
-                out.append((tuple(names), stack_tag(), t, linked / max(1, len(t))))
+                names = [s for s in stack if s[3]]
+                depth = 0 if any(s[0] in ("article", "main") for s in names) else next((d for d, s in enumerate(names, 1) if s[4]), 0)
+                path = tuple(s[1] for s in names)
+                if not names or names[0][0] not in ("html", "body"):  # a fragment, or tags left out
+                    path, depth = ("body", *path), depth + (depth > 0)
+                out.append((path, t, linked / max(1, len(t)), depth))
             text.clear()
         linked = 0
 
-    def stack_tag() -> str:
-        return next((s[0] for s in reversed(stack) if s[3]), "")
-
     def pop_to(i: int) -> None:
         nonlocal links
         flush()
@@ -150,76 +176,91 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, float]]:
                         break
                     if stack[i][0] in SCOPES.get(tag, ()):
                         break
-        if m[4].endswith("/") and not inline and tag not in SCORED:
+        if m[4].endswith("/") and not inline and tag not in CONTAINERS:
             continue
-        bad, classes = _unwanted(tag, m[4], any(s[0] in ("article", "main") for s in stack))
+        bad, header, classes = _unwanted(tag, m[4])
+        if bad and (tag in ("nav", "footer") or _named(classes.replace(".", " "), frozenset(("nav", "navbar", "navigation", "footer")))) and not any(s[2] for s in stack):
+            path = tuple(s[1] for s in stack if s[3])
+            frames.add(path if stack and stack[0][0] in ("html", "body") else ("body", *path))
         if bad and inline:
             # an inline element that is not text, such as a screen reader's hint, is cut out as a block
             flush()
-        stack.append((tag, f"{tag}.{classes}" if classes else tag, bad, not inline))
+        stack.append((tag, f"{tag}.{classes}" if classes else tag, bad, not inline, header and not inline))
         links += tag == "a"
     if at < len(html):
         text.append(html[at:])
     flush()
-    return out
+    return out, frames
+
+
+def _in(block: tuple, want: tuple[str, ...], frames: set) -> bool:
+    """Whether a block is text of that container."""
+    path, _, _, header = block
+    n = len(want)
+    return path[:n] == want and (not header or header > n and want not in frames and want[-1].partition(".")[0] not in ("body", "html"))
 
 
-def candidates(found: list) -> dict[tuple[str, ...], float]:
-    """Scores of the containers: a block counts for the container around it, half for the one above. A
-    paragraph-like block's container is its parent; text straight in a container counts for itself."""
+def best_path(found: list, frames: set) -> str | None:
+    """The container that holds the page's text."""
     score: dict[tuple[str, ...], float] = {}
-    for path, tag, text, link in found:
+    for block in found:
+        path, text, link, _ = block
         plain = len(text) * max(0.0, 1 - 1.5 * link)
-        own = path[:-1] if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt", "th") and len(path) > 1 else path
-        while len(own) > 1 and own[-1].partition(".")[0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tr", "blockquote", "td", "figure"):
-            own = own[:-1]
-        weight = 1.0
-        for _ in range(2):
-            if own:
-                score[own] = score.get(own, 0.0) + plain * weight
-            own, weight = own[:-1], weight / 2
+        n = len(path)
+        while n > 1 and path[n - 1].partition(".")[0] in TEXTUAL:
+            n -= 1
+        for k in range(1, n + 1):
+            if _in(block, path[:k], frames):
+                score[path[:k]] = score.get(path[:k], 0.0) + plain
+    if not score or max(score.values()) <= 0:
+        return None
+    kids: dict[tuple[str, ...], list] = {}
     for path in score:
-        if path[-1].partition(".")[0] in ("article", "main"):
-            score[path] *= 1.5
-        elif path[-1] in ("body", "html"):
-            score[path] *= 0.6
-    return score
-
-
-def best_path(found: list) -> str | None:
-    score = candidates(found)
-    # nested equal scores go to the inner container
-    return " ".join(max(score, key=lambda p: (score[p], len(p), p))) if score and max(score.values()) > 0 else None
-
-
-def text_under(found: list, path: str) -> str:
+        if path[-1].partition(".")[0] not in TEXTUAL:
+            up = path[:-1]
+            while up and up not in score:
+                up = up[:-1]
+            while up and up[-1].partition(".")[0] in TEXTUAL:
+                up = up[:-1]
+            kids.setdefault(up, []).append(path)
+    at: tuple[str, ...] = ()
+    while at in kids:
+        total = score.get(at, 0.0)
+        share = lambda p: MOST if p[-1].partition(".")[0] in ("article", "main") else NEARLY_ALL
+        fit = [p for p in kids[at] if score[p] > 0 and score[p] >= share(p) * total]
+        if not fit:
+            break
+        at = max(fit, key=lambda p: (score[p], p))
+    return " ".join(at) if at else None
+
+
+def text_under(found: list, frames: set, path: str) -> str:
     want = tuple(path.split(" "))
-    n = len(want)
-    return " ".join(t for p, _, t, _ in found if p[:n] == want)
+    return " ".join(b[1] for b in found if _in(b, want, frames))
 
 
 def extracted(html: str | None, winners: list[str]) -> str:
-    found = blocks(html) if html else []
-    own = best_path(found)
+    found, frames = blocks(html) if html else ([], set())
+    own = best_path(found, frames)
     if own in winners:
-        return text_under(found, own)
+        return text_under(found, frames, own)
     for w in winners:
-        if t := text_under(found, w):
+        if t := text_under(found, frames, w):
             return t
-    return text_under(found, own) if own else ""
+    return text_under(found, frames, own) if own else ""
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))), F.lit(""))
 
 
-def _read(df: DataFrame, columns: list[str], kinds: str, made) -> DataFrame:
-    """made(row) for each row of few columns, a batch of at most 256 pages at a time."""
+def _read(df: DataFrame, at: int, columns: list[str], kinds: str, made) -> DataFrame:
+    """made(row) for each row of few columns, the page in column `at`; a few pages at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                rows = [made(*r) for r in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns), strict=True)]
+            for lo, hi in slices(b.column(at).to_pylist()):
+                rows = [made(*r) for r in zip(*(c.to_pylist() for c in b.slice(lo, hi - lo).columns), strict=True)]
                 yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(columns)}, schema=schema)
 
     spark_schema = df.sparkSession.createDataFrame([], kinds).schema
@@ -230,13 +271,12 @@ def _read(df: DataFrame, columns: list[str], kinds: str, made) -> DataFrame:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = WIN_SHARE) -> DataFrame:
-    """(host, winners): each host's winning paths, most voted first."""
-    votes = _read(pages.select(host_of(F.col(url_col)).alias("host"), html_col), ["host", "path"], "host string, path string", lambda host, html: (host, best_path(blocks(html)) if html else None))
+    """(host, winners): each host's winning paths, most voted first; no more than 1 / share can be."""
+    votes = _read(pages.select(host_of(F.col(url_col)).alias("host"), html_col), 1, ["host", "path"], "host string, path string", lambda host, html: (host, best_path(*blocks(html)) if html else None))
     n = cut(votes.filter("path is not null").groupBy("host", "path").count())
-    total = n.groupBy("host").agg(F.sum("count").alias("total"), F.max("count").alias("top"))
-    won = n.join(total, "host").filter(f"count >= total * {share} or count = top")
-    ranked = won.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("count"), "path"))).filter(f"r <= {int(1 / share)}")  # no more can have that share
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("winners"))
+    total = n.groupBy("host").agg(F.sum("count").alias("total"))
+    won = n.join(total, "host").filter(f"count >= total * {share}")
+    return won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))), lambda x: x["path"]).alias("winners"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = WIN_SHARE) -> DataFrame:
@@ -249,4 +289,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return page, url, t, len(t)
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return _read(rows.select("page_id", "url", "html", "winners"), ["page_id", "url", "text", "n_chars"], f"page_id {kind}, url string, text string, n_chars bigint", made)
+    return _read(rows.select("page_id", "url", "html", "winners"), 2, ["page_id", "url", "text", "n_chars"], f"page_id {kind}, url string, text string, n_chars bigint", made)
