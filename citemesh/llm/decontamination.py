@@ -1,24 +1,25 @@
 """Benchmark decontamination by template canonicalisation [native].
 
 Texts become tokens: runs of letters and digits, case and punctuation aside, where a number is `#`, a
-capitalised word within a sentence `@`, a unit behind a number `~`, each before its raw value. A token's
-template is its type, or the lower-cased word. Windows of 8 template tokens are hash-joined with the
-benchmark's; a document is a candidate for an item if at least half of the item's windows occur in it.
-Windows that match along one offset are aligned, and their slots must be consistent: each raw value of the
-item stands for one raw value in the document. So a question with new numbers and names is caught, and a
-text that only looks alike in its placeholders is not. Windows of placeholders alone are no evidence.
-
-With `whole`, as the query and the pipeline run it, white space of any kind and length is one blank, and
-each item window is also looked for with names folded to lower case like any word, so only numbers and
-units are typed there: a copy in lower case, CAPITALS or Title Case, or broken into other lines, is found.
-Windows of names alone are evidence for an item that has no others, and windows of numbers and units alone
-for one that has neither, if their values are the same. An item under 8 tokens is one window of its own
-length, looked for anywhere in a document. Slots are then compared case aside.
-
-All in DataFrame expressions. Edge cases: null and empty texts match nothing; an item under 8 tokens
-matches (without `whole`) only a document whose whole template equals its own; rows without an id are told apart by their
-text's hash, as are several texts of one id; repeated rows give one result; an empty benchmark or an empty
-table gives no rows; extra columns are not read. The benchmark's windows are broadcast behind a count.
+capitalised word within a sentence `@`, a unit behind a number `~`, each before its raw value; white space
+of any kind and length is one blank. A token's template is its type, or the lower-cased word. Windows of 8
+template tokens are hash-joined with the benchmark's; a document is a candidate for an item if at least
+half of the item's windows occur in it. Windows that match along one offset are aligned, and their slots
+must be consistent: each raw value of the item stands for one raw value in the document, case aside. So a
+question with new numbers and names is caught, and a text that only looks alike in its placeholders is not.
+
+Each item window is also looked for with names folded to lower case like any word, so only numbers and
+units are typed there: a copy in lower case, CAPITALS or Title Case is found. Windows of names alone are
+evidence for an item that has no others, and windows of numbers and units alone for one that has neither,
+if their values are the same. An item under 8 tokens is one window of its own length, looked for anywhere
+in a document.
+
+All in DataFrame expressions. Edge cases: null and empty texts match nothing, and items without a token
+are none; rows without an id are told apart by their text's hash, as are several texts of one id; repeated
+rows give one result; an item matches by any number of ties and is returned once; an empty benchmark or an
+empty table gives no rows; extra columns are not read. The benchmark's windows are broadcast behind a
+check of their number and bytes; else the same join runs by shuffle, with salts, as many documents may
+share a window. Whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, small_or_not
+from ._shared import cut, join_hot, small_or_not
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -47,15 +48,13 @@ _VALUES = "xxhash64(transform({}, x -> " + _VALUE.format("x") + "), 'values')"
 _AFTER_NUMBER = "({0} > 0 and get({1}, {0} - 1) like '#%' and " + _VALUE.format("{1}[{0}]") + " in (" + ", ".join(f"'{u}'" for u in UNITS.split() if u.isalpha()) + "))"
 
 
-def tokens(text: Column, whole: bool = False) -> Column:
-    """Raw tokens; slots start with their type's sign. `whole`: any white space is one blank, and units are
-    known in capitals too."""
-    t = F.translate(F.coalesce(text, F.lit("")), "#@~" + _SPACES * whole, "   " + " " * len(_SPACES) * whole)
-    if whole:
-        t = F.regexp_replace(t, "  +", " ")
+def tokens(text: Column) -> Column:
+    """Raw tokens; slots start with their type's sign."""
+    t = F.translate(F.coalesce(text, F.lit("")), "#@~" + _SPACES, "   " + " " * len(_SPACES))
+    t = F.regexp_replace(t, "  +", " ")
     t = F.regexp_replace(t, _NAME, "@$1")
     t = F.regexp_replace(t, _NUMBER, " #$1")
-    t = F.regexp_replace(t, "(?i)" * whole + _UNIT, "$1 ~$2 ")
+    t = F.regexp_replace(t, "(?i)" + _UNIT, "$1 ~$2 ")
     return F.filter(F.split(t, _SPLIT), lambda x: F.length(x) > 0)
 
 
@@ -65,17 +64,6 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def windows(df: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """df(keep, tokens) as keep with (pos, h): each window of template tokens, and pos -1 for the whole of a shorter
-    text. Windows of slots alone are left out."""
-    hashes = F.transform("tokens", lambda x: F.when(F.substring(x, 1, 1).isin("#", "@", "~"), F.ascii(x).cast("bigint")).otherwise(F.xxhash64(F.lower(x))))
-    df = once(df, "__h", hashes)
-    made = f"transform(sequence(0, size(__h) - {window}), i -> named_struct('pos', i, 'h', xxhash64(slice(__h, i + 1, {window}))))"
-    whole = "array(named_struct('pos', -1, 'h', xxhash64(__h)))"
-    each = F.expr(f"case when size(__h) >= {window} then {made} when exists(__h, x -> not (x between 0 and 127)) then {whole} end")
-    return once(df, "__w", each).select(*(keep or []), F.inline("__w"))
-
-
 def both_hashes(df: DataFrame) -> DataFrame:
     """df(tokens) with __h, the tokens' template hashes, and __f, the same with names as lower-case words."""
     df = once(df, "__h", F.expr("transform(tokens, x -> if(ascii(x) in (35, 64, 126), bigint(ascii(x)), xxhash64(lower(x))))"))
@@ -120,46 +108,36 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return df.select("item_id", F.col("pos").alias("item_pos"), F.explode("hs").alias("h"), "n", "by_value")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, whole: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, th, item_id, n_windows, coverage, verbatim) for each document and benchmark item in it; th
     hashes the text."""
-    items = once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "tokens", tokens(F.col("text"), whole)).select("item_id", "tokens")
+    items = once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "tokens", tokens(F.col("text"))).select("item_id", "tokens")
     items = cut(items.filter(F.col("item_id").isNotNull() & (F.size("tokens") > 0)))
-    if whole:
-        of_items = cut(item_windows(items, window))
-        # one row for each length up to the window's
-        lengths = sorted(map(tuple, of_items.groupBy("n").agg(F.bool_or("by_value")).collect()))
-        of_items = of_items.select("item_id", "item_pos", "h").distinct()
-    else:
-        of_items = windows(items, window, keep=["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h").dropDuplicates()
-        # slots alone, in a row, are no evidence
-        slots = F.expr("size(filter(slice(tokens, item_pos + 1, %d), x -> substring(x, 1, 1) not in ('#', '@', '~'))) > 0" % window)
-        of_items = of_items.join(items, "item_id").filter((F.col("item_pos") < 0) | slots).drop("tokens")
-    of_items, _ = small_or_not(of_items)
+    of_items = cut(item_windows(items, window))
+    # one row for each length up to the window's
+    lengths = sorted(map(tuple, of_items.groupBy("n").agg(F.bool_or("by_value")).collect()))
+    of_items = of_items.select("item_id", "item_pos", "h").distinct()
     total = of_items.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
 
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    split = once(keyed, "tokens", tokens(F.col("text"), whole)).select("doc", "th", "tokens")
-    found = both_windows(split, lengths, ["doc", "th"]) if whole else windows(split, window, keep=["doc", "th"])
-    hits = found.select("doc", "th", "pos", "h").join(of_items, "h").filter("(pos < 0) = (item_pos < 0)")
+    split = once(keyed, "tokens", tokens(F.col("text"))).select("doc", "th", "tokens")
+    found = both_windows(split, lengths, ["doc", "th"])
+    hits = join_hot(found.select("doc", "th", "pos", "h"), of_items, ["h"])
     hits = cut(hits.select("doc", "th", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     enough = hits.groupBy("doc", "th", "item_id").agg(F.count_distinct("item_pos").alias("n")).join(total, "item_id").filter(F.col("n") >= F.col("n_windows") * coverage)
     hits = cut(hits.join(enough.select("doc", "th", "item_id", "n_windows"), ["doc", "th", "item_id"]))
     # the aligned slots of each document, item and offset
     lines = hits.groupBy("doc", "th", "item_id", "n_windows", "shift").agg(F.collect_set("item_pos").alias("at"))
     wanted, _ = small_or_not(hits.select("doc", "th").distinct())
-    texts = once(keyed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]), "theirs", tokens(F.col("text"), whole)).select("doc", "th", "theirs")
+    texts = once(keyed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]), "theirs", tokens(F.col("text"))).select("doc", "th", "theirs")
     lines = lines.join(texts, ["doc", "th"]).join(items, "item_id")
-    places = F.expr(f"array_distinct(flatten(transform(at, p -> if(p < 0, sequence(0, size(tokens) - 1), sequence(p, p + least(size(tokens), {window}) - 1)))))")
-    lines = once(lines, "p", places)
-    value = _VALUE if whole else "{}"
-    slot = "substring(tokens[j], 1, 1) in ('#', '@', '~')" + f" or {_AFTER_NUMBER.format('j', 'tokens')}" * whole
-    lines = once(lines, "pairs", F.expr(f"array_distinct(transform(filter(p, j -> {slot}), j -> named_struct('mine', {value.format('tokens[j]')}, 'theirs', {value.format('theirs[j + shift]')})))"))
-    slots = F.col("pairs")
-    lines = once(lines, "slots", slots).filter("size(array_distinct(transform(slots, x -> x.mine))) = size(slots)")
-    lines = lines.withColumn("verbatim", F.expr("forall(slots, x -> x.mine = x.theirs)"))
-    whole = lines.select("doc", "th", "item_id", "n_windows", "verbatim", F.explode("at").alias("item_pos"))
-    out = whole.groupBy("doc", "th", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("n"), F.bool_and("verbatim").alias("verbatim"))
+    lines = once(lines, "p", F.expr(f"array_distinct(flatten(transform(at, p -> sequence(p, p + least(size(tokens), {window}) - 1))))"))
+    slot = "substring(tokens[j], 1, 1) in ('#', '@', '~') or " + _AFTER_NUMBER.format("j", "tokens")
+    lines = once(lines, "pairs", F.expr(f"array_distinct(transform(filter(p, j -> {slot}), j -> named_struct('mine', {_VALUE.format('tokens[j]')}, 'theirs', {_VALUE.format('theirs[j + shift]')})))"))
+    lines = lines.filter("size(array_distinct(transform(pairs, x -> x.mine))) = size(pairs)")
+    lines = lines.withColumn("verbatim", F.expr("forall(pairs, x -> x.mine = x.theirs)"))
+    each = lines.select("doc", "th", "item_id", "n_windows", "verbatim", F.explode("at").alias("item_pos"))
+    out = each.groupBy("doc", "th", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("n"), F.bool_and("verbatim").alias("verbatim"))
     out = out.filter(F.col("n") >= F.col("n_windows") * coverage)
     return out.select(F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), "th", "item_id", "n_windows", (F.col("n") / F.col("n_windows")).alias("coverage"), "verbatim")
 
