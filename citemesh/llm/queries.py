@@ -17,7 +17,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_lines(_table(spark, sf_dir, "documents"), whole=True)
+    return line_dedup.remove_lines(_table(spark, sf_dir, "documents"))
 
 
 def op3_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +31,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.poisson_mix(docs).select("doc_id", "source", "n_copies", "copy", F.round("rate", 9).alias("rate"), "shuffle_key")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return mixing.poisson_mix(docs).select(*docs.columns, "n_copies", "copy", F.round("rate", 9).alias("rate"), "shuffle_key")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), whole=True).select("doc_id", "item_id", "n_windows", F.round("coverage", 6).alias("coverage"), "verbatim")
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_windows", F.round("coverage", 6).alias("coverage"), "verbatim")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
