@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, drop, slices, small_or_not
+from ._shared import cut, drop, slices
 
 #: Holders up to which a line is rare, and classes of holders of the others.
 RARE = 64
@@ -151,7 +151,8 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 def partners(held: DataFrame, rare: int = RARE, classes: int = CLASSES) -> DataFrame:
     """(later, first) keys of overlapping texts; held(k, r): the hashes that each holds."""
-    n = held.groupBy("r").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join below reads two shuffles and a frequent hash can be split over tasks
+    n = cut(held.groupBy("r").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     both = cut(held.join(n, "r"))
     # texts that share several rare lines are mostly the same few: each set of holders gives its pairs once
     sets = both.filter(f"n <= {rare}").groupBy("r").agg(F.sort_array(F.collect_set("k")).alias("ks")).select("ks").distinct()
@@ -185,16 +186,14 @@ def remove_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(7), text_col).alias("b"))
     docs = df.select(key.alias("k"), F.col(text_col).alias("text"))
     texts = cut(prepared(docs))
-    copies = texts.groupBy("k.a", "k.b").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first <> last")
-    later = texts.select("k", "k.a", "k.b", "total").join(copies, ["a", "b"]).filter("k <> first").select("k", "total").distinct()
-    later, _ = small_or_not(later)
+    copies = cut(texts.groupBy("k.a", "k.b").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first <> last"))
+    later = cut(texts.select("k", "k.a", "k.b", "total").join(copies, ["a", "b"]).filter("k <> first").select("k", "total").distinct())
     alone = cut(texts.join(later, "k", "left_anti").dropDuplicates(["k"]))
     drop(texts)
     pairs = cut(partners(alone.select("k", F.explode("runs").alias("r"))))
     gone = cut(aligned(pairs, alone))
     gone = gone.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count("*").alias("n_partners"), F.lit(False).alias("whole"))
     gone = gone.union(later.filter(f"total >= {MIN_CHARS}").select("k", F.lit(None).cast("array<int>"), F.lit(1).cast("bigint"), F.lit(True)))
-    gone, _ = small_or_not(gone)
     rows = df.select(F.col(id_col), F.col(text_col).alias("text"), key.alias("k")).join(gone, "k", "left")
     kind = df.schema[id_col].dataType.simpleString()
 
