@@ -43,13 +43,21 @@ SMOOTH = 0.05
 UNSEEN = 1e-7
 LONGEST = 40
 CACHED_WORDS = 300_000
-#: Runs of letters: word characters but digits, the underscore and other numerals.
-WORDS = re.compile("[^\\W\\d_" + "".join(chr(c) for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()) + "]+")
+#: Runs of letters, and of numerals that are no decimal digits; those go in a second look.
+WORDS = re.compile(r"[^\W\d_]+")
 #: Keeps forward sums near 1: the usual probability of a character.
 PER_CHAR = 12.0
 _MUL, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
+def words_in(text: str) -> list[str]:
+    """Maximal runs of letters, lower-cased."""
+    found = WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split(" ")) if x]
+
+
 class Vocabulary:
     """Pieces by id, with a hash table of all their prefixes to walk many words at once."""
 
@@ -210,7 +218,7 @@ def learn(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col:
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen.setdefault(lang, Counter()).update(w[i : i + LONGEST] for w in WORDS.findall(text.as_py().lower()) for i in range(0, len(w), LONGEST))
+                seen.setdefault(lang, Counter()).update(w[i : i + LONGEST] for w in words_in(text.as_py()) for i in range(0, len(w), LONGEST))
             flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -279,7 +287,7 @@ def predict(df: DataFrame, langs: list[str], p: np.ndarray, id_col: str = "doc_i
             texts = b.column(at_text).to_pylist()
             pred, score = [], []
             for lo, hi in slices(texts):
-                lists = [WORDS.findall(t.lower()) if t and langs else [] for t in texts[lo:hi]]
+                lists = [words_in(t) if t and langs else [] for t in texts[lo:hi]]
                 new = set().union(*lists)
                 if len(known) + len(new) > CACHED_WORDS:
                     known.clear()
