@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters with a meaning in the search server's query language.
-SPECIAL = "+-&|!(){}[]^\"~*?:\\/;'"
+SPECIAL = "+-&|!(){}[]^\"~*?:/#"
 #: Property types of the graph import format and their Spark types.
 TYPES = {"int": "int", "long": "bigint", "short": "smallint", "byte": "tinyint", "float": "float", "double": "double", "boolean": "boolean", "char": "string", "string": "string", "point": "struct<lat:double,lon:double>", "date": "date", "datetime": "timestamp", "localdatetime": "timestamp_ntz", "time": "string", "localtime": "string", "duration": "interval day to second"}
 
@@ -38,10 +38,11 @@ def strip_newlines(c: Column) -> Column:
 
 
 def full_citation(authors: Column, date: Column, title: Column, venue: Column) -> Column:
-    """Authors (200 characters at most), year, quoted title and venue; missing parts are empty."""
+    """`authors year, "title" venue`, all in lower case; authors are joined by a comma and cut at 200
+    characters; missing parts are empty."""
     empty = F.lit("")
     names = F.lower(F.substring(F.array_join(F.coalesce(authors, F.array().cast("array<string>")), ", "), 1, 200))
-    return F.concat(names, F.lit(" "), F.coalesce(F.year(date).cast("string"), empty), F.lit(' "'), F.coalesce(title, empty), F.lit('" '), F.coalesce(venue, empty))
+    return F.concat(names, F.lit(" "), F.coalesce(F.year(date).cast("string"), empty), F.lit(', "'), F.lower(F.coalesce(title, empty)), F.lit('" '), F.lower(F.coalesce(venue, empty)))
 
 
 def iso_timestamp(c: Column) -> Column:
@@ -144,6 +145,47 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
 
 
+def columns_of_class(df: DataFrame, *kinds: str) -> list[str]:
+    """Columns whose type is, or holds in an array, struct or map, one of these (int, array, struct, ...)."""
+    from pyspark.sql import types as T
+
+    def within(t) -> set[str]:
+        inner = [t.elementType] if isinstance(t, T.ArrayType) else [t.keyType, t.valueType] if isinstance(t, T.MapType) else [f.dataType for f in t.fields] if isinstance(t, T.StructType) else []
+        return {t.simpleString().partition("<")[0].partition("(")[0]}.union(*map(within, inner))
+
+    return [f.name for f in df.schema.fields if within(f.dataType) & set(kinds)]
+
+
+def check_header_types(df: DataFrame, suffix: str, kind: str | None = None, csv: bool = True) -> list[str]:
+    """Columns whose header ends in a property type, and those of a Spark type; for files, a column of that
+    type without the suffix in its header raises."""
+    found = [c for c in df.columns if c.endswith(suffix)]
+    for c, t in df.dtypes:
+        if kind and (t == kind or t.partition("<")[0] == kind):
+            if csv and suffix not in c:
+                raise ValueError(f"column {c!r} is of type {t} but its header lacks {suffix!r}")
+            if c not in found:
+                found.append(c)
+    return found
+
+
+def vectors_to_lists(df: DataFrame) -> DataFrame:
+    """Vector columns as arrays of doubles, which every sink can hold."""
+    from pyspark.ml.functions import vector_to_array
+
+    return df.withColumns({f.name: vector_to_array(f.name) for f in df.schema.fields if f.dataType.typeName() in ("vectorudt", "vector")})
+
+
+def utc_text(c: Column, zone: str = "UTC", pattern: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
+    """A local time of a zone as UTC text (F.current_timestamp() for now)."""
+    return F.date_format(F.convert_timezone(F.lit(zone), F.lit("UTC"), c.cast("timestamp_ntz")), pattern)
+
+
+def repaired_doi(doi: Column, listed: Column) -> Column:
+    """The DOI, or the last of the listed ones where it is missing."""
+    return F.coalesce(doi, F.try_element_at(listed, F.lit(-1)))
+
+
 def new_keys(new: Column, old: Column) -> Column:
     """Entries of a map whose keys the other lacks."""
     return F.map_filter(new, lambda k, _: ~F.coalesce(F.map_contains_key(old, k), F.lit(False)))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def _mst(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
     """Minimum spanning tree of mutual reachability (Prim, one row of distances at a time)."""
@@ -108,22 +110,97 @@ def density_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int |
     return labels, prob, persistence
 
 
-def hdbscan(df: DataFrame, group: str, key: str, vector: str, min_cluster_size: int = 5, min_samples: int | None = None) -> DataFrame:
-    """(group, key, label, probability). A group (a year) is clustered in one task: groups of some
-    10,000 rows; larger ones need a sample or k-means first."""
+def hdbscan(df: DataFrame, group: str, key: str, vector: str, min_cluster_size: int = 5, min_samples: int | None = None, most: int = 20_000) -> DataFrame:
+    """(group, key, label, probability). A group (a year) of at most `most` rows is clustered exactly, in one
+    task. Of a larger one so many rows, chosen by a hash of the key, are clustered; the others, in blocks of
+    as many, take the label and probability of their nearest clustered row (noise, if that is noise)."""
+    t = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
+    schema = f"{group} {t[group]}, {key} {t[key]}, label int, probability double"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         labels, prob, _ = density_labels(np.array(pdf[vector].tolist(), float), min_cluster_size, min_samples)
         return pd.DataFrame({group: pdf[group], key: pdf[key], "label": labels.astype("int32"), "probability": prob})
 
-    t = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
-    return df.select(group, key, vector).groupBy(group).applyInPandas(one, f"{group} {t[group]}, {key} {t[key]}, label int, probability double")
+    rows = df.select(group, key, vector)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    large = [r[0] for r in sizes.filter(F.col("__n") > most).select(group).collect()]  # a row for each large group
+    if not large:
+        return rows.groupBy(group).applyInPandas(fit, schema)
+    sized = rows.join(sizes, group).withColumn("__u", F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    inside = F.col("__u") < F.lit(float(most)) / F.col("__n")
+    fitted = stored(sized.filter(inside).select(group, key, vector).groupBy(group).applyInPandas(fit, schema))
+    rest = stored(sized.filter(~inside).select(group, F.floor(F.col("__u") * F.col("__n") / most).cast("int").alias("__b"), key, vector))
+    known = stored(fitted.join(rows, [group, key]).join(rest.select(group, "__b").distinct(), group))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({group: a[group], key: a[key], "label": np.full(len(a), -1, "int32"), "probability": np.zeros(len(a))})
+        x, y = np.array(a[vector].tolist(), float), np.array(b[vector].tolist(), float)
+        at = np.concatenate([_argmin(x[i : i + 256], y) for i in range(0, len(x), 256)])
+        return pd.DataFrame({group: a[group].to_numpy(), key: a[key].to_numpy(), "label": b["label"].to_numpy()[at], "probability": b["probability"].to_numpy()[at]})
+
+    others = rest.groupBy(group, "__b").cogroup(known.groupBy(group, "__b")).applyInPandas(nearest, schema)
+    return fitted.unionByName(others)
+
+
+def _argmin(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each x the place of the nearest y, a slice of y at a time."""
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), int)
+    for j in range(0, len(y), 4096):
+        d = ((x[:, None] - y[None, j : j + 4096]) ** 2).sum(axis=2)
+        m = d.argmin(axis=1)
+        near = d[np.arange(len(x)), m]
+        at, best = np.where(near < best, m + j, at), np.minimum(near, best)
+    return at
+
+
+def validity_index(x: np.ndarray, labels: np.ndarray) -> tuple[float, dict[int, float]]:
+    """(DBCV, a value for each cluster): how much sparser it is between clusters than within, from -1 to 1,
+    by size, noise counting in the whole. Distances are Euclidean; densities are in logarithms."""
+    d = x.shape[1]
+    names = [c for c in sorted(set(labels.tolist())) if c >= 0 and (labels == c).sum() > 1]
+    dist = lambda a, b: np.sqrt(np.maximum(((a[:, None] - b[None]) ** 2).sum(axis=2), 0))
+    core, inner, sparse = {}, {}, {}
+    for c in names:
+        own = x[labels == c]
+        with np.errstate(divide="ignore"):
+            logs = -d * np.log(dist(own, own))
+        np.fill_diagonal(logs, -np.inf)
+        top = np.where(np.isposinf(logs.max(axis=1)), 0, logs.max(axis=1))
+        with np.errstate(over="ignore", divide="ignore"):
+            core[c] = np.exp(-(top + np.log(np.exp(logs - top[:, None]).sum(axis=1) / (len(own) - 1))) / d)
+        tree = _mst(own, core[c])
+        degree = np.bincount([i for _, a, b in tree for i in (a, b)], minlength=len(own))
+        inner[c] = np.flatnonzero(degree > 1) if (degree > 1).any() else np.arange(len(own))
+        edges = [w for w, a, b in tree if degree[a] > 1 and degree[b] > 1]
+        sparse[c] = max(edges or [w for w, _, _ in tree])
+    apart = dict.fromkeys(names, np.inf)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            p, q = inner[a], inner[b]
+            m = np.maximum(np.maximum(dist(x[labels == a][p], x[labels == b][q]), core[a][p][:, None]), core[b][q][None]).min()
+            apart[a], apart[b] = min(apart[a], m), min(apart[b], m)
+    value = {c: (apart[c] - sparse[c]) / max(apart[c], sparse[c]) if np.isfinite(apart[c]) and max(apart[c], sparse[c]) > 0 else 0.0 for c in names}
+    return float(sum((labels == c).sum() / len(x) * value[c] for c in names)) if len(names) > 1 else 0.0, value
+
+
+def cluster_validity(df: DataFrame, group: str, vector: str, label: str) -> DataFrame:
+    """(group, dbcv, num_clusters, noise_share): the tuning scores of each group's clustering, in one task a
+    group, which holds what hdbscan() clusters at once."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels = pdf[label].to_numpy()
+        score, _ = validity_index(np.array(pdf[vector].tolist(), float), labels)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "dbcv": [score], "num_clusters": [len(set(labels.tolist()) - {-1})], "noise_share": [float((labels == -1).mean())]})
+
+    return df.select(group, vector, label).groupBy(group).applyInPandas(one, f"{group} {df.schema[group].dataType.simpleString()}, dbcv double, num_clusters int, noise_share double")
 
 
 def soft_cluster(df: DataFrame, key: str, vector: str, label: str, train_share: float = 0.6, folds: int = 0, seed: int = 7) -> DataFrame:
     """Adds predicted and probability from a multinomial logistic model on standardised vectors, trained on
-    a stratified share of the rows that aren't noise. With folds, regularisation is cross-validated."""
+    a stratified share of the rows that aren't noise. With folds, regularisation is cross-validated over
+    25 strengths from 1e-4 to 1e4."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -140,7 +217,7 @@ def soft_cluster(df: DataFrame, key: str, vector: str, label: str, train_share:
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", predictionCol="__q", rawPredictionCol="__r", maxIter=50, regParam=0.01)
     pipe = Pipeline(stages=[StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), lr])
     if folds:
-        grid = ParamGridBuilder().addGrid(lr.regParam, [10.0**-e for e in range(5)]).build()
+        grid = ParamGridBuilder().addGrid(lr.regParam, [10.0 ** (-4 + 8 * e / 24) for e in range(25)]).build()
         fitted = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="__y", predictionCol="__q", metricName="accuracy"), numFolds=folds, seed=seed).fit(train)
     else:
         fitted = pipe.fit(train)

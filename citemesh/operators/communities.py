@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cluster_label, cosine
+from .storage import checked_small, stored
 
 
 def centroid(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None) -> DataFrame:
@@ -52,11 +53,12 @@ class Events:
     """Community events from similarities. `year` is that of t+1; c_t and c_t1 are arrays of labels."""
 
     def __init__(self, clusters: DataFrame, similarity: DataFrame, threshold: float, size_threshold: float = 0.1):
+        similarity = stored(similarity.select("year", "c_t", "c_t1", "score"))
         years = similarity.select("year").distinct()
         lab = lambda c, y: cluster_label(F.col(c), y)
         matches = similarity.filter(F.col("score") >= threshold)
-        self.matches = matches.select("year", lab("c_t", F.col("year") - 1).alias("c_t"), lab("c_t1", F.col("year")).alias("c_t1"))
-        named = clusters.select("year", "size", lab("cluster", F.col("year")).alias("label"))
+        self.matches = stored(matches.select("year", lab("c_t", F.col("year") - 1).alias("c_t"), lab("c_t1", F.col("year")).alias("c_t1")))  # five kinds of events read it
+        named = stored(clusters.select("year", "size", lab("cluster", F.col("year")).alias("label")))
         self.before = named.select((F.col("year") + 1).alias("year"), F.col("label").alias("c_t"), F.col("size").alias("size_t")).join(F.broadcast(years), "year")  # a row for each year
         self.after = named.select("year", F.col("label").alias("c_t1"), F.col("size").alias("size_t1")).join(F.broadcast(years), "year")
         self.theta = size_threshold
@@ -122,7 +124,9 @@ class Events:
 
 def noise_to_cluster(noise: DataFrame, clusters: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """(key, cluster, similarity): each noise row's nearest centroid; ties go to the smallest cluster."""
-    c = clusters.select("cluster", F.col("embedding").alias("__c"))
+    c = checked_small(clusters.select("cluster", F.col("embedding").alias("__c")))
+    if c is None:
+        raise ValueError("more centroids than one task may hold: reduce them first")
     s = noise.select(key, F.col(vector).alias("__v")).crossJoin(c).select(key, "cluster", cosine("__v", "__c").alias("similarity"))  # rows against a year's few centroids
     best = s.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("cluster")).alias("c"))).alias("m"))
     return best.select(key, (-F.col("m.c")).alias("cluster"), F.col("m.similarity").alias("similarity"))
@@ -134,6 +138,26 @@ def event_matrix(events: DataFrame, features: DataFrame, key: str, kinds: list[s
     return features.join(n, key, "left").na.fill(0, kinds)
 
 
+def event_matrix_with_deaths(pairs: DataFrame, features: DataFrame | None = None, kinds: tuple[str, ...] = ("SPLITS_INTO", "MERGES_INTO", "CONTINUES_AS", "DIES")) -> DataFrame:
+    """(key, a count for each kind, features): pairs(t1, year1, born1, died1, event_type, t2, born2, died2)
+    are clusters and, if any, what becomes of them. A death is a row of its own: of t1 where it was born and
+    died at once, or died in the first year; of t2 where that died. Each cluster dies once. Clusters without
+    any event have no row; those without features keep their counts."""
+    first = pairs.agg(F.min("year1").alias("__first"))  # one row
+    p = pairs.crossJoin(F.broadcast(first))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    dead = p.filter((yes("born1") & yes("died1")) | yes("died2") | (yes("died1") & (F.col("year1") == F.col("__first"))))
+    dead = dead.select(F.when(yes("died2"), F.col("t2")).otherwise(F.col("t1")).alias("key")).distinct().withColumn("event_type", F.lit("DIES"))
+    rows = p.filter("event_type is not null").select(F.col("t1").alias("key"), "event_type").union(dead)
+    n = rows.groupBy("key").pivot("event_type", list(kinds)).count().na.fill(0, list(kinds))
+    return n if features is None else n.join(features, "key", "left")
+
+
+def first_keyphrases(papers: DataFrame, cluster: str = "cluster", phrases: str = "keyphrases", order: str = "id") -> DataFrame:
+    """(cluster, keyphrases): those of a cluster's first paper that has any."""
+    return papers.filter(F.col(phrases).isNotNull()).groupBy(cluster).agg(F.min_by(phrases, order).alias(phrases))
+
+
 def network_match_count(similarity: DataFrame, a: str, threshold: float) -> DataFrame:
     """(a, matches) of those with exactly one counterpart at or over the threshold."""
     return similarity.filter(F.col("score") >= threshold).groupBy(a).agg(F.count("*").alias("matches")).filter("matches = 1")
@@ -141,7 +165,9 @@ def network_match_count(similarity: DataFrame, a: str, threshold: float) -> Data
 
 def within_window(clusters: DataFrame, year: int) -> DataFrame:
     a = clusters.filter(F.col("year") == year)
-    b = a.select(F.col("cluster").alias("other"), F.col("embedding").alias("__e"))
+    b = checked_small(a.select(F.col("cluster").alias("other"), F.col("embedding").alias("__e")))
+    if b is None:
+        raise ValueError("more clusters in a year than one task may hold")
     return a.crossJoin(b).select("cluster", "other", cosine("embedding", "__e").alias("score"))
 
 

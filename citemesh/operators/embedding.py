@@ -87,6 +87,45 @@ def split_edges(edges: DataFrame, masks: DataFrame, kind: str = "full") -> DataF
     return both.select(*edges.columns, *(pick(m).alias(m) for m in names))
 
 
+def inductive_split(masks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, src, dst): the edges of the subgraphs of the train, val and test nodes; edges between parts
+    belong to none."""
+    part = F.when(F.col("train"), "train").when(F.col("val"), "val").when(F.col("test"), "test")
+    m = masks.select("id", part.alias("part")).filter("part is not null")
+    a, b = m.select(F.col("id").alias("src"), "part"), m.select(F.col("id").alias("dst"), F.col("part").alias("other"))
+    return edges.select("src", "dst").join(a, "src").join(b, "dst").filter("part = other").select("part", "src", "dst")
+
+
+def masks_from_ids(vertices: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, train, val, test) of vertices by parts(id, part); those in no part are false in all."""
+    p = vertices.select("id").join(parts, "id", "left")
+    return p.select("id", *(F.coalesce(F.col("part") == m, F.lit(False)).alias(m) for m in ("train", "val", "test")))
+
+
+def sage_predict(vertices: DataFrame, edges: DataFrame, layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, features): all nodes layer by layer with all of their neighbours; each layer is written down
+    before the next reads it. layers: (own, neighbour, bias) weights."""
+    from .storage import stored
+
+    out = vertices.select("id", "features")
+    for i, (own, neigh, bias) in enumerate(layers):
+        out = stored(sage_layer(out, edges, own, neigh, bias, i < len(layers) - 1))
+    return out
+
+
+def probe(train: DataFrame, test: DataFrame, vector: str, label: str, **params) -> DataFrame:
+    """(rows, micro_f1) of a one-vs-rest logistic regression on embeddings; for one label a row micro-F1 is
+    the share that is right."""
+    from pyspark.ml.classification import LogisticRegression, OneVsRest
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    index = StringIndexer(inputCol=label, outputCol="__y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
+    tr, te = (index.transform(d.withColumn("__x", array_to_vector(F.col(vector).cast("array<double>")))) for d in (train, test))
+    model = OneVsRest(classifier=LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=50, **params), featuresCol="__x", labelCol="__y", predictionCol="__q").fit(tr)
+    return model.transform(te).agg(F.count("*").alias("rows"), F.avg((F.col("__q") == F.col("__y")).cast("double")).alias("micro_f1"))
+
+
 def endpoint_positions(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges as dense positions; those with an unknown end go. vertices: (id, pos)."""
     a = vertices.select(F.col("id").alias("src"), F.col("pos").alias("src_pos"))

@@ -151,6 +151,55 @@ class PropertyGraph:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
+    def path(self, hops: list[tuple[str, str]], start_where: Column | None = None) -> DataFrame:
+        """A chain of hops (type, direction) as columns n0_*, r1_*, n1_*, r2_*, ...; direction is `out`, `in`
+        or `both`, and a type may be several, parted by `|`. start_where tells of n0_*."""
+        out = None
+        for k, (rel, way) in enumerate(hops, 1):
+            hop = self.match(rel.split("|"), direction=way)
+            names = {c: {"src": f"n{k - 1}", "rel": f"r{k}", "dst": f"n{k}"}[c[:3]] + c[3:] for c in hop.columns}
+            hop = hop.withColumnsRenamed(names)
+            if out is None:
+                out = hop if start_where is None else hop.filter(start_where)
+            else:
+                at = f"n{k - 1}_id"
+                out = out.join(hop.select(at, *(c for c in hop.columns if not c.startswith(f"n{k - 1}_"))), at)
+        return out
+
+    def describe(self, full: bool = False, sources: int | None = None) -> dict:
+        """Graph statistics of all nodes and edges, with nodes by label, edges by type and, if full, nodes
+        without edges by label; `stats` is a frame of one row, `flags` says what is out of the usual range."""
+        from .graph_algos import describe, flagged
+
+        def union(parts):
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.union(p)
+            return out
+
+        nodes = union([n.df.select(F.concat(F.lit(f"{k}:"), "id").alias("id")) for k, n in self.nodes.items()])
+        edges = union([e.df.select(F.concat(F.lit(f"{a}:"), "src").alias("src"), F.concat(F.lit(f"{b}:"), "dst").alias("dst")) for a, e, b in self.edges.values()])
+        by_label = union([n.df.agg(F.lit(n.labels).alias("label"), F.count("*").alias("n")) for n in self.nodes.values()])
+        by_type = union([e.df.agg(F.lit(k).alias("type"), F.count("*").alias("n")) for k, (_, e, _) in self.edges.items()])
+        stats = flagged(describe(nodes, edges, full, sources))
+        out = {"stats": stats, "labels": by_label, "types": by_type}
+        if full:
+            ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+            lone = nodes.join(ends, "id", "left_anti").groupBy(F.substring_index("id", ":", 1).alias("label")).agg(F.count("*").alias("n"))
+            out["isolates"] = lone
+        return out
+
+    def query(self, sql: str, **args) -> DataFrame:
+        """spark.sql() over the registered node and edge tables, with named parameters."""
+        spark = next(iter(self.nodes.values())).df.sparkSession
+        self.register(spark)
+        return spark.sql(sql, args=args or None)
+
+    def properties_of(self, label: str, split: DataFrame, properties: list[str] | None = None) -> DataFrame:
+        """(id, part, properties) of the nodes in a split(id, part)."""
+        df = self.nodes[label].df
+        return split.join(df.select("id", *(properties or [c for c in df.columns if c != "id"])), "id")
+
     def without(self, label: str, rel: str) -> DataFrame:
         """Nodes of a label on neither end of any such edge."""
         ends = self.edges[rel][1].undirected().select(F.col("src").alias("id"))
@@ -164,6 +213,11 @@ class PropertyGraph:
             e.df.createOrReplaceTempView(k)
 
 
+def is_directed(pattern: str) -> bool:
+    """Whether a pattern text such as (a)-[r]->(b) names a direction."""
+    return "->" in pattern or "<-" in pattern
+
+
 def _prefixed(df: DataFrame, side: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
 

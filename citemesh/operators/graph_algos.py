@@ -1,24 +1,14 @@
 """Graph measures as iterative joins. Edge frames have columns src and dst; loops write each round's
-state to the checkpoint folder when one is set."""
+state to the folder that executors share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import graph_indices
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Ends the lineage by a reliable checkpoint in spark.checkpoint.dir, or a folder of our own where that
-    is unset (as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="citemesh-"))
-    return df.checkpoint()
+from .relational import surrogate_ids
+from .storage import stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -52,12 +42,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, max_hops:
     """(src, dst, distance) of all finite positive hop counts: breadth first, all sources at once."""
     e = edges.select("src", "dst").filter("src <> dst").distinct()
     start = sources.select(F.col("id").alias("src")) if sources is not None else e.select("src").distinct()
-    seen = frontier = settle(start.select("src", F.col("src").alias("dst"), F.lit(0).alias("distance")))
+    seen = frontier = stored(start.select("src", F.col("src").alias("dst"), F.lit(0).alias("distance")))
     k = 0
     while max_hops is None or k < max_hops:
         k += 1
         step = frontier.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        frontier = settle(step.join(seen, ["src", "dst"], "left_anti").withColumn("distance", F.lit(k)))
+        frontier = stored(step.join(seen, ["src", "dst"], "left_anti").withColumn("distance", F.lit(k)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -68,12 +58,12 @@ def weighted_paths(edges: DataFrame, sources: DataFrame | None = None) -> DataFr
     """(src, dst, distance) with least sums of weight: relaxation until nothing gets shorter."""
     e = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
     start = sources.select(F.col("id").alias("src")) if sources is not None else e.select("src").distinct()
-    best = settle(start.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("distance")))
+    best = stored(start.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("distance")))
     changed = best
     while not changed.isEmpty():
         step = changed.select("src", F.col("dst").alias("via"), "distance").join(e.select(F.col("src").alias("via"), "dst", "weight"), "via").select("src", "dst", (F.col("distance") + F.col("weight")).alias("new")).groupBy("src", "dst").agg(F.min("new").alias("new"))
         both = best.join(step, ["src", "dst"], "full")
-        both = settle(both.select("src", "dst", F.least("distance", "new").alias("distance"), (F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new") < F.col("distance")))).alias("better")))
+        both = stored(both.select("src", "dst", F.least("distance", "new").alias("distance"), (F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new") < F.col("distance")))).alias("better")))
         best, changed = both.select("src", "dst", "distance"), both.filter("better").select("src", "dst", "distance")
     return best.filter("src <> dst")
 
@@ -83,13 +73,13 @@ def betweenness(edges: DataFrame) -> DataFrame:
     backward, for all sources at once."""
     e = edges.select("src", "dst").filter("src <> dst").distinct()
     ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    level = settle(ids.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
+    level = stored(ids.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     levels = [level]
     seen = level
     while True:
         nxt = levels[-1].join(e.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v").groupBy("s", "w").agg(F.sum("sigma").alias("sigma"))
         nxt = nxt.withColumnRenamed("w", "v").join(seen.select("s", "v"), ["s", "v"], "left_anti")
-        nxt = settle(nxt.select("s", "v", F.lit(len(levels)).alias("d"), "sigma"))
+        nxt = stored(nxt.select("s", "v", F.lit(len(levels)).alias("d"), "sigma"))
         if nxt.isEmpty():
             break
         levels.append(nxt)
@@ -99,7 +89,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
     for up in reversed(levels[:-1]):
         down = delta.select("s", F.col("v").alias("w"), F.col("sigma").alias("sigma_w"), "delta")
         part = up.join(e.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v").join(down, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("sigma_w") * (1 + F.col("delta"))).alias("delta"))
-        delta = settle(up.join(part, ["s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))))
+        delta = stored(up.join(part, ["s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))))
         total = total.union(delta.select("s", "v", "delta"))
     score = total.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("score"))
     return ids.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -114,16 +104,17 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return inside / total - ends.agg(F.sum(F.pow(F.col("k") / (2 * total), 2.0))).first()[0]
 
 
-def louvain(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """(id, community) by synchronous local moves: in each round a node joins the neighbouring community
-    of largest modularity gain; only moves to smaller labels are taken in odd rounds and to larger in even
-    ones, so that neighbours don't swap. Labels aren't those of a sequential run; modularity compares."""
-    e = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *(["weight"] if "weight" in edges.columns else []))
-    e = e.groupBy("src", "dst").agg((F.sum("weight") if "weight" in edges.columns else F.lit(1.0)).cast("double").alias("weight"))
-    sym = settle(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    two_m = sym.agg(F.sum("weight")).first()[0] or 1.0
-    k = sym.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
-    labels = settle(k.select("id", "k", F.col("id").alias("community")))
+def local_moves(e: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """(id, community) of weighted edges (src <= dst, loops allowed) after synchronous moves, and whether a
+    node moved: in each round a node joins the neighbouring community of largest modularity gain; only
+    moves to smaller labels are taken in even rounds and to larger in odd ones, so that neighbours don't
+    swap. Ends when two rounds in a row move nothing, or after so many rounds."""
+    sym = stored(e.filter("src <> dst").union(e.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    ends = e.select(F.col("src").alias("id"), "weight").union(e.select(F.col("dst"), "weight"))  # a loop counts twice
+    k = ends.groupBy("id").agg(F.sum("weight").alias("k"))
+    two_m = k.agg(F.sum("k")).first()[0] or 1.0
+    labels = stored(k.select("id", "k", F.col("id").alias("community")))
+    any_moved, still = False, 0
     for r in range(rounds):
         tot = labels.groupBy("community").agg(F.sum("k").alias("tot"))
         near = sym.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
@@ -136,35 +127,113 @@ def louvain(edges: DataFrame, rounds: int = 6) -> DataFrame:
         alone = own.join(tot.withColumnRenamed("community", "mine"), "mine").select("src", (-(F.col("tot") - F.col("k")) * F.col("k") / two_m).alias("alone"))
         best = gain.filter(way).groupBy("src").agg(F.max(F.struct("value", "community")).alias("best")).join(stay, "src", "left").join(alone, "src")
         moves = best.filter(F.col("best.value") > F.coalesce("stay", "alone") + 1e-12).select(F.col("src").alias("id"), F.col("best.community").alias("to"))
-        new = settle(labels.join(moves, "id", "left").select("id", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
+        new = stored(labels.join(moves, "id", "left").select("id", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
         moved = new.filter("moved").limit(1).count()
         labels = new.drop("moved")
-        if not moved and r:
+        any_moved, still = any_moved or bool(moved), 0 if moved else still + 1
+        if still == 2:
+            break
+    return labels.select("id", "community"), any_moved
+
+
+def louvain(edges: DataFrame, rounds: int = 6, levels: int = 4) -> DataFrame:
+    """(id, community): local moves, then communities become nodes and the same is done again, until no
+    level gains modularity. Labels aren't those of a sequential run; modularity compares."""
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *(["weight"] if "weight" in edges.columns else []))
+    e = stored(e.groupBy("src", "dst").agg((F.sum("weight") if "weight" in edges.columns else F.lit(1.0)).cast("double").alias("weight")))
+    labels, value, simple = None, None, e.filter("src <> dst")
+    for _ in range(levels):
+        found, moved = local_moves(e, rounds)
+        new = found if labels is None else stored(labels.select("id", F.col("community").alias("was")).join(found.select(F.col("id").alias("was"), "community"), "was").select("id", "community"))
+        now = modularity(simple, new) if labels is not None or moved else None
+        if labels is not None and (not moved or now <= value + 1e-9):
             break
-    return labels.select("id", "community")
+        labels, value = new, now
+        if not moved:
+            break
+        a = found.select(F.col("id").alias("src"), F.col("community").alias("a"))
+        b = found.select(F.col("id").alias("dst"), F.col("community").alias("b"))
+        e = stored(e.join(a, "src").join(b, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+        if simple.limit(1).count() == 0:
+            break
+    return labels
+
+
+#: Limits of the statistics' flags.
+FLAGS = (("beta", "<", 1.0, "few links for the nodes"), ("alpha", "<", 0.5, "few of the possible cycles"), ("gamma", "<", 0.5, "few of the possible links"), ("diameter", ">", 5, "far from end to end"), ("efficiency", ">", 2, "long paths on average"), ("transitivity", "<", 0.5, "neighbours are seldom linked"))
 
 
-def describe(nodes: DataFrame, edges: DataFrame, full: bool = False) -> DataFrame:
-    """One row of graph statistics; full adds isolates, mean clustering, diameter and mean distance."""
-    n = nodes.agg(F.count("*").alias("num_nodes")).crossJoin(edges.agg(F.count("*").alias("num_edges")))
+def describe(nodes: DataFrame, edges: DataFrame, full: bool = False, sources: int | None = None) -> DataFrame:
+    """One row of graph statistics. full adds nodes without edges, mean local clustering (of all nodes),
+    the largest and the mean finite distance; those take paths from all nodes, or with `sources` from so
+    many nodes, chosen by a hash: then the diameter is a lower bound and the mean an estimate."""
+    n = nodes.agg(F.count("*").alias("num_nodes")).crossJoin(edges.agg(F.count("*").alias("num_edges")))  # one row each
     out = n.select("*", *(v.alias(k) for k, v in graph_indices(F.col("num_nodes"), F.col("num_edges")).items()))
     if full:
-        paths = shortest_paths(edges).agg(F.max("distance").cast("bigint").alias("diameter"), F.avg(F.col("distance").cast("double")).alias("mean_distance"))
+        some = None if sources is None else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(sources)
+        ends = distance_counts(edges, some)
+        paths = ends.agg(F.max("distance").cast("bigint").alias("diameter"), (F.sum(F.col("distance") * F.col("n")) / F.sum("n")).alias("efficiency"))
         lone = degrees(nodes, edges).filter("degree = 0").agg(F.count("*").alias("isolates"))
-        lcc = nodes.join(clustering(edges), "id", "left").agg(F.avg(F.coalesce("lcc", F.lit(0.0))).alias("mean_lcc"))
-        out = out.crossJoin(lone).crossJoin(lcc).crossJoin(paths)
+        lcc = nodes.select("id").join(clustering(edges), "id", "left").agg(F.avg(F.coalesce("lcc", F.lit(0.0))).alias("transitivity"))
+        out = out.crossJoin(lone).crossJoin(lcc).crossJoin(paths).withColumn("isolate_fraction", F.try_divide(F.col("isolates").cast("double"), F.col("num_nodes")))
     return out
 
 
-def negative_edges(edges: DataFrame, k: int = 1, seed: int = 7) -> DataFrame:
-    """(src, neg_dst, k_index): k sampled ends for each edge, in proportion to in-degree**0.75. Weights are
-    laid out cumulatively by ranges; a draw meets its range through integer buckets."""
-    w = edges.groupBy(F.col("dst").alias("id")).agg(F.pow(F.count("*").cast("double"), F.lit(0.75)).alias("w"))
-    cum = F.sum("w").over(Window.orderBy("id"))
-    laid = w.withColumn("hi", cum).withColumn("lo", F.col("hi") - F.col("w"))
-    total = w.agg(F.sum("w").alias("total"))
-    draws = edges.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k_index")).crossJoin(F.broadcast(total))
-    draws = draws.withColumn("u", F.pmod(F.xxhash64("src", "dst", "k_index", F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40) * F.col("total"))
-    cells = laid.select("id", "lo", "hi", F.explode(F.sequence(F.floor("lo").cast("bigint"), F.floor("hi").cast("bigint"))).alias("cell"))
-    hit = draws.withColumn("cell", F.floor("u").cast("bigint")).join(cells, "cell").filter("u >= lo and u < hi")
-    return hit.select("src", F.col("id").alias("neg_dst"), "k_index")
+def flagged(stats: DataFrame) -> DataFrame:
+    """stats with `flags`: what is out of the usual range."""
+    tests = [F.when(F.expr(f"{c} {op} {limit}"), F.lit(f"{c}: {said}")) for c, op, limit, said in FLAGS if c in stats.columns]
+    return stats.withColumn("flags", F.array_compact(F.array(*tests)))
+
+
+def distance_counts(edges: DataFrame, sources: DataFrame | None = None, batch: int = 256) -> DataFrame:
+    """(distance, n): how many ordered pairs are so far apart. Sources go in batches; in each, a node's state
+    is one bit a source, so a level is one join of the frontier with the edges and one aggregate, and memory
+    is a node's few bytes, not a row for each pair."""
+    spark = edges.sparkSession
+    e = stored(edges.select("src", "dst").filter("src <> dst").distinct())
+    start = (e.select(F.col("src").alias("id")).distinct() if sources is None else sources.select("id").distinct())
+    start = stored(surrogate_ids(start, ["id"], 0, "__at"))
+    n, words = start.count(), batch // 64
+    each = lambda f: F.array(*(f(w) for w in range(words)))
+    found: list[DataFrame] = []
+    for b in range(-(-n // batch)):
+        own = start.filter((F.col("__at") >= b * batch) & (F.col("__at") < (b + 1) * batch))
+        bit = F.col("__at") % batch
+        seen = stored(own.select("id", each(lambda w: F.when(F.floor(bit / 64) == w, F.shiftleft(F.lit(1).cast("bigint"), 1) * 0 + F.expr(f"shiftleft(1L, cast((__at % {batch}) % 64 as int))")).otherwise(F.lit(0).cast("bigint"))).alias("seen")).withColumn("new", F.col("seen")))
+        k = 0
+        while True:
+            k += 1
+            step = e.join(seen.filter(F.exists("new", lambda x: x != 0)).select(F.col("id").alias("src"), "new"), "src")
+            step = step.groupBy(F.col("dst").alias("id")).agg(each(lambda w: F.bit_or(F.col("new")[w])).alias("in"))
+            both = seen.select("id", "seen").join(step, "id", "full")
+            zero = each(lambda w: F.lit(0).cast("bigint"))
+            both = both.select("id", F.coalesce("seen", zero).alias("was"), F.coalesce("in", zero).alias("in"))
+            seen = stored(both.select("id", F.zip_with("was", "in", lambda x, y: x.bitwiseOR(y)).alias("seen"), F.zip_with("was", "in", lambda x, y: F.bitwise_not(x).bitwiseAND(y)).alias("new")))
+            more = seen.agg(F.sum(F.aggregate("new", F.lit(0), lambda s, x: s + F.bit_count(x))).cast("bigint").alias("n")).first()[0]
+            if not more:
+                break
+            found.append((k, more))
+    rows = {}
+    for k, m in found:
+        rows[k] = rows.get(k, 0) + m
+    return spark.createDataFrame(sorted(rows.items()), "distance int, n bigint")  # a row for each distance
+
+
+def negative_edges(edges: DataFrame, k: int = 1, seed: int = 7, shared: bool = False) -> DataFrame:
+    """(src, neg_dst, k_index): k sampled ends for each edge, in proportion to in-degree**0.75; with
+    `shared`, edges of one hash class of 1,024 share their draws. Weights are whole numbers (millionths),
+    laid out in the order of the ids over range partitions; a draw is an MD5 of seed, edge and k, taken
+    modulo their sum, and meets its range through cells of equal width."""
+    w = edges.groupBy(F.col("dst").alias("id")).agg(F.floor(F.pow(F.count("*").cast("double"), F.lit(0.75)) * 1e6).cast("bigint").alias("w"))
+    rows = stored(w.repartitionByRange("id").sortWithinPartitions("id").withColumn("__p", F.spark_partition_id()))
+    sums = rows.groupBy("__p").agg(F.sum("w").alias("s"))  # a row for each partition
+    before = sums.select("__p", (F.sum("s").over(Window.orderBy("__p")) - F.col("s")).alias("__b"))
+    upto = F.sum("w").over(Window.partitionBy("__p").orderBy("id")) + F.col("__b")
+    laid = rows.join(F.broadcast(before), "__p").select("id", (upto - F.col("w")).alias("lo"), upto.alias("hi"))
+    total = rows.agg(F.sum("w").alias("total"), F.greatest(F.floor(F.sum("w") / F.count("*")), F.lit(1)).alias("width"))
+    name = [F.pmod(F.xxhash64("src", "dst"), F.lit(1024)).cast("string")] if shared else [F.col("src").cast("string"), F.col("dst").cast("string")]
+    draws = edges.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k_index")).crossJoin(F.broadcast(total))  # one row
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *name, F.col("k_index").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    draws = draws.withColumn("u", F.pmod(drawn, F.col("total"))).withColumn("cell", F.expr("u div width"))
+    cells = laid.crossJoin(F.broadcast(total)).select("id", "lo", "hi", F.explode(F.expr("sequence(lo div width, (hi - 1) div width)")).alias("cell"))
+    return draws.join(cells, "cell").filter("u >= lo and u < hi").select("src", F.col("id").alias("neg_dst"), "k_index")

@@ -12,10 +12,11 @@ from .relational import fill_tiers, top_n
 
 
 def best_score(df: DataFrame, key: str, score: str, goal: str, threshold: float = 0.2) -> DataFrame:
-    """Rows sorted by falling score; the first whose relative drop to the next exceeds the threshold and
-    whose goal is not null. A single row has no drop and no match."""
+    """Rows sorted by falling score; the first whose drop to the next, relative to that next score, exceeds
+    the threshold and whose goal is not null. A single row has no drop and no match."""
     w = Window.partitionBy(key).orderBy(F.desc(score), goal)
-    drop = F.try_divide(F.col(score) - F.lead(score).over(w), F.col(score))
+    following = F.lead(score).over(w)
+    drop = F.when((following == 0) & (F.col(score) > 0), F.lit(float("inf"))).otherwise(F.try_divide(F.col(score) - following, following))
     found = df.withColumn("drop", drop).filter(F.col("drop") > threshold).filter(F.col(goal).isNotNull())
     return top_n(found, [key], [F.desc(score), goal], 1, "__r").drop("__r")
 
@@ -45,9 +46,21 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_best(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, threshold: float = 0.0, tie: str | None = None) -> DataFrame:
-    """Within blocks, the best right row for each left row (row_id) by indel ratio, at least `threshold`."""
-    pairs = left.join(right, block).withColumn("score", indel_ratio(F.col(left_text), F.col(right_text)))
-    return top_n(pairs.filter(F.col("score") >= threshold), ["row_id"], [F.desc("score"), tie or right_text], 1, "__r").drop("__r")
+    """Within blocks, the best right row for each left row (row_id) by indel ratio, at least `threshold`;
+    ties go by `tie`, else by the right text. Only different texts are scored, once for each two whose
+    lengths allow the threshold; of a text's right rows the first by `tie` stands for it."""
+    by = [tie] if tie and tie != right_text else []
+    first = F.min(F.struct(*by, *(c for c in right.columns if c not in [*block, right_text, *by]), F.lit(0).alias("__z"))).alias("__row")
+    r = right.filter(F.col(right_text).isNotNull()).groupBy(*block, right_text).agg(first)
+    l = left.filter(F.col(left_text).isNotNull()).select(*block, F.col(left_text).alias("__l")).distinct()
+    n, m = F.length("__l"), F.length(right_text)
+    pairs = l.join(r, block).filter((n + m == 0) | (2 * F.least(n, m) >= F.lit(threshold) * (n + m)))
+    pairs = pairs.withColumn("score", indel_ratio(F.col("__l"), F.col(right_text))).filter(F.col("score") >= threshold)
+    order = F.struct((-F.col("score")).alias("s"), *(F.col(f"__row.{c}") for c in by), F.col(right_text).alias("t"))
+    best = pairs.groupBy(*block, "__l").agg(F.min_by(F.struct("score", right_text, "__row"), order).alias("__b"))
+    rest = [c for c in right.columns if c not in [*block, right_text]]
+    out = left.withColumn("__l", F.col(left_text)).join(best, [*block, "__l"]).drop("__l")
+    return out.select("*", F.col(f"__b.{right_text}").alias(right_text), *(F.col(f"__b.__row.{c}").alias(c) for c in rest), F.col("__b.score").alias("score")).drop("__b")
 
 
 def clean_operators(c: Column) -> Column:
@@ -56,7 +69,15 @@ def clean_operators(c: Column) -> Column:
 
 
 def author_merge(wos: DataFrame, scholar: DataFrame, paper: str = "paper") -> DataFrame:
-    """Each author of one record takes the best named author of the same paper in the other; no cut-off."""
+    """Each author of one record takes the best named author of the same paper in the other; no cut-off.
+    With a last_name and a position, each row also says whether its paper's last names are in order (a
+    single author's aren't)."""
+    if {"last_name", "position"} <= set(wos.columns):
+        w = Window.partitionBy(paper).orderBy("position")  # a paper's authors
+        wrong = F.col("last_name") > F.lead("last_name").over(w)
+        every = Window.partitionBy(paper)
+        wos = wos.withColumn("__wrong", F.coalesce(wrong, F.lit(False)).cast("int"))
+        wos = wos.withColumn("authorListAlphabetizedLastName", (F.sum("__wrong").over(every) == 0) & (F.count("*").over(every) > 1)).drop("__wrong")
     left = wos.withColumn("__n", clean_operators(F.col("name")))
     right = scholar.select(paper, F.col("author_id"), clean_operators(F.col("name")).alias("__m"))
     return fuzzy_best(left, right, [paper], "__n", "__m", tie="author_id").drop("__n", "__m")
@@ -74,6 +95,21 @@ def merge_records(wos: DataFrame, scholar: DataFrame) -> DataFrame:
     return out.withColumns({"abstract": F.coalesce("abstract_wos", "abstract_ss"), "abstract_source": source, "abstract_missing": null_labels({"abstract_wos": "Web of Science", "abstract_ss": "Semantic Scholar"})})
 
 
+def find_ids(df: DataFrame, matches: DataFrame, key: str = "row_id") -> DataFrame:
+    """Missing DOIs are filled from title matches(key, doi, paper_id); every matched row gets the scholar's
+    id, as id_ss."""
+    m = matches.groupBy(key).agg(F.min_by("doi", "paper_id").alias("__doi"), F.min("paper_id").alias("id_ss"))
+    return df.join(m, key, "left").withColumn("doi", F.coalesce("doi", "__doi")).drop("__doi")
+
+
+def geocode_institutions(institutions: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Latitude and longitude of institutions with a city and a country, by the first of their addresses;
+    the street, then the postal code, then the city must fit the lookup."""
+    fields = {"street": "addresses", "city": "cities", "state": "states", "postalcode": "postalCodes", "country": "countries"}
+    rows = institutions.withColumns({k: F.try_element_at(v, F.lit(1)) for k, v in fields.items()}).filter("city is not null and country is not null")
+    return geocode(rows, lookup, [["street", "city", "country"], ["postalcode", "city", "country"], ["city", "country"]])
+
+
 def geocode(places: DataFrame, lookup: DataFrame, tiers: list[list[str]]) -> DataFrame:
     """Latitude and longitude by ever coarser keys; `tier` counts from 1, null if none fits."""
     out = places

@@ -161,5 +161,20 @@ def trial_stats(runs: DataFrame, trial: str, metrics: list[str]) -> DataFrame:
     return runs.groupBy(trial).agg(*(f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
 
 
+def reshaped_probabilities(predicted: DataFrame, targets: list[str], name: str = "probabilities") -> DataFrame:
+    """Adds an array with a [no, yes] pair for each target, from the columns <target>_proba: of shape (rows,
+    targets, classes) as a whole."""
+    return predicted.withColumn(name, F.array(*(F.array(1 - F.col(f"{t}_proba"), F.col(f"{t}_proba")) for t in targets)))
+
+
+def log_run(path: str, params: dict, metrics: dict) -> None:
+    """A run's parameters and metrics as one more line of JSON."""
+    import json
+    import time
+
+    with open(path, "a") as f:
+        f.write(json.dumps({"time": time.time(), "params": params, "metrics": metrics}, sort_keys=True) + "\n")
+
+
 def argmax_label(proba: Column) -> Column:
     return F.array_position(proba, F.array_max(proba)) - 1

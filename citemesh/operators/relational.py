@@ -7,13 +7,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import recode, spark_type
+from .storage import stored
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+    """A row for each key, the first in order (nulls first); rows that tie are told apart by all their
+    columns. A minimum, which is taken map-side first, so that a common key is no single task's."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest or any(t.startswith("map") for _, t in df.dtypes) or any(isinstance(o, Column) for o in order):
+        return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+    by = F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), *(F.col(c) for c in rest))
+    first = df.groupBy(*keys).agg(F.min(by).alias("__first"))
+    return first.select(*((F.col(c) if c in keys else F.col(f"__first.{c}").alias(c)) for c in df.columns))
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[str | Column], n: int, rank: str = "rank") -> DataFrame:
@@ -64,16 +71,18 @@ def surrogate_ids(df: DataFrame, order: list[str], start: int | Column = 0, name
     """Gapless ids from `start` in the given order. Rows are sorted over range partitions; a partition's
     offset comes from the sizes of those before it."""
     s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    s = s.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order))).persist(StorageLevel.DISK_ONLY)  # both uses must see one sort
+    s = s.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    s = stored(s)  # both uses must see one sort, on whichever executors
     sizes = s.groupBy("__p").count()
     before = sizes.withColumn("__b", F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))
     first = F.lit(start) if isinstance(start, int) else start
     return s.join(F.broadcast(before), "__p").withColumn(name, (first + F.col("__b") + F.col("__i") - 1).cast("bigint")).drop("__p", "__i", "__b")
 
 
-def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
-    """0-based place in a total order, by a window (small tables) — surrogate_ids() scales."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+def positions(df: DataFrame, order: list[str], name: str = "pos", total: str | None = None) -> DataFrame:
+    """0-based place in a total order, and the number of rows."""
+    out = surrogate_ids(df, order, 0, name)
+    return out if total is None else out.crossJoin(F.broadcast(df.agg(F.count("*").alias(total))))  # one row
 
 
 def pivot_counts(df: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:
@@ -93,15 +102,20 @@ def date_buckets(starts: DataFrame, until: Column, frequency: str = "monthly", s
     return rows.withColumn("bucket_end", nxt if frequency == "daily" else F.date_sub(nxt, 1)).filter("bucket_end is not null")
 
 
+def range_filter() -> Column:
+    """A bucket's range as a search filter."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd'T'00:00:00'Z'")
+    return F.format_string("[%s TO %s]", day("bucket_start"), day("bucket_end"))
+
+
 def range_filters(buckets: DataFrame) -> DataFrame:
-    return buckets.select(F.format_string("[%s TO %s]", F.date_format("bucket_start", "yyyy-MM-dd'T'00:00:00'Z'"), F.date_format("bucket_end", "yyyy-MM-dd'T'00:00:00'Z'")).alias("filter"))
+    return buckets.select(range_filter().alias("filter"))
 
 
 def walk_forward(df: DataFrame, order: list[str], train_fraction: float = 0.6, n_splits: int = 1, test_fraction: float | None = None) -> DataFrame:
     """(split, part) for each row in time order: fold k tests the next test_size rows behind its training
     rows; with one split the last test_size rows are tested."""
-    n = F.count("*").over(Window.partitionBy())
-    rows = positions(df, order).withColumn("__n", n)
+    rows = positions(df, order, total="__n")
     test = 1 - train_fraction if test_fraction is None else test_fraction
     size = F.greatest(F.lit(1), F.bround(F.col("__n") * test).cast("int")) if n_splits == 1 else F.greatest(F.lit(1), F.floor(F.col("__n") / (n_splits + 1)).cast("int"))
     rows = rows.withColumn("__size", size).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
@@ -111,7 +125,7 @@ def walk_forward(df: DataFrame, order: list[str], train_fraction: float = 0.6, n
 
 
 def position_masks(df: DataFrame, order: list[str], train: float = 0.6, val: float = 0.2) -> DataFrame:
-    rows = positions(df, order).withColumn("__n", F.count("*").over(Window.partitionBy()))
+    rows = positions(df, order, total="__n")
     a, b = F.floor(F.col("__n") * train), F.floor(F.col("__n") * val)
     return rows.withColumns({"train": F.col("pos") < a, "val": (F.col("pos") >= a) & (F.col("pos") < a + b), "test": F.col("pos") >= a + b}).drop("__n")
 

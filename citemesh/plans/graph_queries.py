@@ -15,7 +15,7 @@ from ..operators import modeling as D
 from ..operators import relational as R
 from ..operators import text as X
 from .queries import query, r6
-from .views import AUTHORS, CITES, MEMBERS, TRADE, TRIALS, cites, members, table, trade, trials
+from .views import AUTHORS, CITES, FLOW, MEMBERS, TRADE, TRIALS, cites, flow, members, table, trade, trials
 
 # ---- property graph
 
@@ -138,23 +138,45 @@ def export_rows(spark, sf):
 # ---- graph algorithms
 
 
-@query(f"WITH {TRADE}, c AS (SELECT (SELECT count(*) FROM nation)::DOUBLE AS v, (SELECT count(*) FROM trade)::DOUBLE AS e) SELECT v::BIGINT AS num_nodes, e::BIGINT AS num_edges, round(e / v, 6) AS beta, round((e - v) / (0.5 * v * v - 1.5 * v + 1), 6) AS alpha, round(e / (0.5 * v * v - 0.5 * v), 6) AS gamma FROM c")
+@query(f"WITH {FLOW}, c AS (SELECT (SELECT count(*) FROM part)::DOUBLE AS v, (SELECT count(*) FROM flow)::DOUBLE AS e) SELECT v::BIGINT AS num_nodes, e::BIGINT AS num_edges, round(e / v, 6) AS beta, round((e - v) / (0.5 * v * v - 1.5 * v + 1), 6) AS alpha, round(e / (0.5 * v * v - 0.5 * v), 6) AS gamma FROM c")
 def graph_indices(spark, sf):
-    d = A.describe(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), trade(spark, sf))
+    d = A.describe(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), flow(spark, sf))
     return d.select("num_nodes", "num_edges", *(r6(c).alias(c) for c in ("beta", "alpha", "gamma")))
 
 
-@query(f"WITH {TRADE}, big AS (SELECT * FROM trade WHERE src < 12 AND dst < 12), ends AS (SELECT src AS id FROM big UNION ALL SELECT dst FROM big) SELECT n_nationkey AS id, count(e.id) AS degree FROM nation LEFT JOIN ends e ON e.id = n_nationkey GROUP BY 1")
+@query(f"WITH {FLOW}, ends AS (SELECT src AS id FROM flow UNION ALL SELECT dst FROM flow) SELECT p_partkey AS id, count(e.id) AS degree FROM part LEFT JOIN ends e ON e.id = p_partkey GROUP BY 1")
 def degree_isolates(spark, sf):
-    return A.degrees(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), trade(spark, sf).filter("src < 12 and dst < 12"))
+    return A.degrees(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), flow(spark, sf))
 
 
-@query(f"""WITH {TRADE}, s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM trade UNION ALL SELECT dst, src FROM trade)),
+@query(f"""WITH {FLOW}, s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM flow UNION ALL SELECT dst, src FROM flow)),
 d AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY 1),
 t AS (SELECT a.src AS id, count(*) / 2 AS k FROM s a JOIN s b ON a.src = b.src AND a.dst <> b.dst JOIN s c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1)
 SELECT d.id, degree, coalesce(k, 0)::BIGINT AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(k, 0) / (degree * (degree - 1)::DOUBLE) ELSE 0 END, 6) AS lcc FROM d LEFT JOIN t USING (id)""")
 def lcc(spark, sf):
-    return A.clustering(trade(spark, sf)).select("id", "degree", "triangles", r6("lcc").alias("lcc"))
+    return A.clustering(flow(spark, sf)).select("id", "degree", "triangles", r6("lcc").alias("lcc"))
+
+
+# distances by how many pairs have them: new pairs of each length, from all pairs of one less
+@query(f"""WITH RECURSIVE {TRADE}, p AS (SELECT src, dst, 1 AS d FROM trade UNION SELECT p.src, t.dst, p.d + 1 FROM p JOIN trade t ON p.dst = t.src WHERE p.d < 12),
+m AS (SELECT src, dst, min(d) AS d FROM p WHERE src <> dst GROUP BY 1, 2),
+s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM trade UNION ALL SELECT dst, src FROM trade)),
+g AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY 1),
+t AS (SELECT a.src AS id, count(*) AS k FROM s a JOIN s b ON a.src = b.src AND a.dst <> b.dst JOIN s c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1),
+l AS (SELECT sum(CASE WHEN degree > 1 THEN coalesce(k, 0)::DOUBLE / (degree * (degree - 1)) ELSE 0 END) / (SELECT count(*) FROM nation) AS transitivity FROM g LEFT JOIN t USING (id)),
+v AS (SELECT count(*) AS n FROM nation), e AS (SELECT count(*) AS n FROM trade)
+SELECT v.n AS num_nodes, e.n AS num_edges, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT src FROM s)) AS isolates, round((SELECT transitivity FROM l), 6) AS transitivity,
+(SELECT max(d)::BIGINT FROM m) AS diameter, round((SELECT avg(d::DOUBLE) FROM m), 6) AS efficiency FROM v, e""")
+def describe_full(spark, sf):
+    d = A.describe(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), trade(spark, sf), True)
+    return d.select("num_nodes", "num_edges", "isolates", r6("transitivity").alias("transitivity"), "diameter", r6("efficiency").alias("efficiency"))
+
+
+# the graph that grows, from a stated number of sources; exact on the small graph above
+@query()
+def describe_sampled(spark, sf):
+    d = A.describe(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), flow(spark, sf), True, 256)
+    return A.flagged(d).select("num_nodes", "num_edges", "isolates", r6("transitivity").alias("transitivity"), "diameter", r6("efficiency").alias("efficiency"), F.array_join("flags", ";").alias("flags"))
 
 
 @query(f"""WITH RECURSIVE {TRADE}, p AS (SELECT src, dst, 1 AS d FROM trade UNION SELECT p.src, t.dst, p.d + 1 FROM p JOIN trade t ON p.dst = t.src WHERE p.d < 12),
@@ -179,19 +201,23 @@ def betweenness(spark, sf):
 
 @query()
 def louvain(spark, sf):
-    return A.louvain(trade(spark, sf))
+    return A.louvain(flow(spark, sf))
 
 
-@query()
+# weights are whole numbers, so that the layout of the ranges is the same in any engine
+@query(f"""WITH {FLOW}, w AS (SELECT dst AS id, floor(pow(count(*)::DOUBLE, 0.75::DOUBLE) * 1e6::DOUBLE)::BIGINT AS w FROM flow GROUP BY 1),
+laid AS (SELECT id, (sum(w) OVER (ORDER BY id) - w)::BIGINT AS lo, (sum(w) OVER (ORDER BY id))::BIGINT AS hi FROM w), t AS (SELECT sum(w)::BIGINT AS total FROM w),
+d AS (SELECT src, k::INTEGER AS k_index, ('0x' || substr(md5('7:' || src || ':' || dst || ':' || k), 1, 15))::BIGINT % total AS u FROM flow, t, (SELECT unnest(range(0, 2)) AS k))
+SELECT src, id AS neg_dst, k_index FROM d ASOF JOIN laid ON d.u >= laid.lo""")
 def negative_edges(spark, sf):
-    return A.negative_edges(trade(spark, sf).select("src", "dst"), 2)
+    return A.negative_edges(flow(spark, sf), 2)
 
 
 # ---- linkage
 
 
 @query("""WITH s AS (SELECT user_id, event_id, value, CASE WHEN event_id % 3 <> 0 THEN event_type END AS goal FROM events),
-d AS (SELECT *, (value - lead(value) OVER w) / nullif(value, 0) AS drop FROM s WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, goal ASC NULLS FIRST, event_id))
+d AS (SELECT *, (value - lead(value) OVER w) / lead(value) OVER w AS drop FROM s WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, goal ASC NULLS FIRST, event_id))
 SELECT user_id, value, goal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, goal) AS n FROM d WHERE drop > 0.2 AND goal IS NOT NULL) WHERE n = 1""")
 def best_score_group(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "value", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("goal"))
@@ -305,12 +331,12 @@ def similarity_t_t1(spark, sf):
 _MEM = "m AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, c_nationkey AS cluster, c_custkey AS paper_id FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"
 
 
-@query(f"""WITH {_MEM}, k AS (SELECT year, cluster % 6 AS cluster, paper_id % 40 AS paper_id FROM m GROUP BY 1, 2, 3), n AS (SELECT year, cluster, count(*) AS n FROM k GROUP BY 1, 2),
+@query(f"""WITH {_MEM}, k AS (SELECT * FROM m), n AS (SELECT year, cluster, count(*) AS n FROM k GROUP BY 1, 2),
 o AS (SELECT b.year, a.cluster AS c_t, b.cluster AS c_t1, count(*) AS n FROM k a JOIN k b ON b.year = a.year + 1 AND a.paper_id = b.paper_id GROUP BY 1, 2, 3)
 SELECT o.year, c_t, c_t1, round(o.n::DOUBLE / (a.n + b.n - o.n), 6) AS score FROM o JOIN n a ON a.year = o.year - 1 AND a.cluster = c_t JOIN n b ON b.year = o.year AND b.cluster = c_t1""")
 def similarity_members(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    m = o.select(F.year("o_orderdate").alias("year"), (F.col("c_nationkey") % 6).alias("cluster"), (F.col("c_custkey") % 40).alias("paper_id")).distinct()
+    m = o.select(F.year("o_orderdate").alias("year"), F.col("c_nationkey").alias("cluster"), F.col("c_custkey").alias("paper_id")).distinct()
     return M.similarity_members(m).withColumn("score", r6("score"))
 
 
@@ -354,11 +380,11 @@ def cluster_vs_community(spark, sf):
     return M.overlap_jaccard(p, p, "id", "a", "b").withColumn("score", r6("score"))
 
 
-@query("SELECT u.user_id AS key, round(u.v, 4) AS v, " + ", ".join(f"coalesce(e.{k}, 0) AS {k}" for k in ("click", "view")) + " FROM (SELECT user_id, avg(value) AS v FROM events GROUP BY 1) u LEFT JOIN (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events WHERE event_id % 7 = 0 GROUP BY 1) e USING (user_id)")
+@query("SELECT u.user_id AS key, round(u.v, 4) AS v, " + ", ".join(f"coalesce(e.{k}, 0) AS {k}" for k in ("click", "view")) + " FROM (SELECT user_id, avg(value) AS v FROM events GROUP BY 1) u LEFT JOIN (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1) e USING (user_id)")
 def event_matrix(spark, sf):
     e = table(spark, sf, "events")
     features = e.groupBy(F.col("user_id").alias("key")).agg(F.round(F.avg("value"), 4).alias("v"))
-    return M.event_matrix(e.filter("event_id % 7 = 0").withColumn("key", F.col("user_id")), features, "key", ["click", "view"])
+    return M.event_matrix(e.withColumn("key", F.col("user_id")), features, "key", ["click", "view"])
 
 
 # ---- text and modelling
@@ -372,16 +398,17 @@ def cluster_text(spark, sf):
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
 
 
-@query(rf"""WITH d AS (SELECT source AS cluster, list_filter(regexp_extract_all(lower(text), '\b\w\w+\b'), lambda x: x NOT IN ({_STOP})) AS tok FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7F]*')),
-mean AS (SELECT floor(avg(n))::DOUBLE AS m FROM (SELECT cluster, sum(len(tok)) AS n FROM d GROUP BY 1)),
+# each cluster's text is one, with the separator between documents: n-grams cross and hold it
+@query(rf"""WITH d AS (SELECT source AS cluster, list_filter(regexp_extract_all(string_agg(translate(lower(coalesce(text, '')), chr(10) || chr(9), '  '), ' [SEP] ' ORDER BY doc_id), '[\pL\pN_]{{2,}}|\[SEP\]'), lambda x: x NOT IN ({_STOP})) AS tok FROM documents GROUP BY 1),
 g AS (SELECT cluster, unnest(list_concat(list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]), list_transform(range(1, len(tok) - 1), lambda i: tok[i] || ' ' || tok[i + 1] || ' ' || tok[i + 2]))) AS term FROM d),
 tf AS (SELECT cluster, term, count(*) AS tf FROM g GROUP BY 1, 2), total AS (SELECT term, sum(tf) AS total FROM tf GROUP BY 1),
+mean AS (SELECT floor(avg(n))::DOUBLE AS m FROM (SELECT cluster, sum(tf) AS n FROM tf GROUP BY 1)),
 raw AS (SELECT cluster, term, tf, tf * ln(m / total) AS raw FROM tf JOIN total USING (term), mean), len AS (SELECT cluster, sqrt(sum(raw * raw)) AS l FROM raw GROUP BY 1),
 s AS (SELECT cluster, term, tf, raw / l AS score FROM raw JOIN len USING (cluster))
 SELECT cluster, term, tf, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rank FROM s) WHERE rank <= 30""")
 def cluster_tfidf_top30(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumnRenamed("source", "cluster")
-    return X.cluster_tfidf(d, "cluster", "text").select("cluster", "term", "tf", r6("score").alias("score"), "rank")
+    d = table(spark, sf, "documents").select(F.col("source").alias("cluster"), "doc_id", C.preprocess_text(F.col("text"), "other").alias("text"))
+    return X.cluster_tfidf(d, "cluster", "text", "doc_id").select("cluster", "term", "tf", r6("score").alias("score"), "rank")
 
 
 @query("""WITH n AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT y, sum(n) OVER (ORDER BY y) / sum(n) OVER () AS f FROM n), l AS (SELECT max(y) AS last FROM s WHERE f <= 0.6)
@@ -401,16 +428,24 @@ def position_masks(spark, sf):
     return R.position_masks(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "train", "val", "test")
 
 
-@query(f"WITH {TRADE} SELECT src, dst, src % 3 = 0 AND dst % 3 = 0 AS train, src % 3 = 1 AND dst % 3 = 1 AS val, src % 3 = 2 AND dst % 3 = 2 AS test FROM trade")
+@query(f"WITH {FLOW} SELECT src, dst, src % 3 = 0 AND dst % 3 = 0 AS train, src % 3 = 1 AND dst % 3 = 1 AS val, src % 3 = 2 AND dst % 3 = 2 AS test FROM flow")
 def edge_masks(spark, sf):
-    m = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), *((F.col("n_nationkey") % 3 == i).alias(n) for i, n in enumerate(("train", "val", "test"))))
-    return E.split_edges(trade(spark, sf).select("src", "dst"), m)
+    return E.split_edges(flow(spark, sf), _masks(spark, sf))
+
+
+def _masks(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), *((F.col("p_partkey") % 3 == i).alias(n) for i, n in enumerate(("train", "val", "test"))))
+
+
+@query(f"WITH {FLOW} SELECT part, src, dst FROM (SELECT CASE WHEN src % 3 = dst % 3 THEN ['train', 'val', 'test'][src % 3 + 1] END AS part, src, dst FROM flow) WHERE part IS NOT NULL")
+def inductive_split(spark, sf):
+    return E.inductive_split(_masks(spark, sf), flow(spark, sf))
 
 
-@query(f"WITH {TRADE}, p AS (SELECT n_nationkey AS id, row_number() OVER (ORDER BY n_name) - 1 AS pos FROM nation WHERE n_nationkey < 20) SELECT a.pos AS src_pos, b.pos AS dst_pos FROM trade JOIN p a ON src = a.id JOIN p b ON dst = b.id")
+@query(f"WITH {FLOW}, p AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS pos FROM part) SELECT a.pos AS src_pos, b.pos AS dst_pos FROM flow JOIN p a ON src = a.id JOIN p b ON dst = b.id")
 def endpoint_positions(spark, sf):
-    n = R.surrogate_ids(table(spark, sf, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), "n_name"), ["n_name"], 0, "pos")
-    return E.endpoint_positions(trade(spark, sf), n.select("id", "pos"))
+    n = R.surrogate_ids(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name"), ["p_name", "id"], 0, "pos")
+    return E.endpoint_positions(flow(spark, sf), n.select("id", "pos"))
 
 
 _SCALED = f"{TRIALS}, mm AS (SELECT min(m1) AS a1, max(m1) AS b1, min(m2) AS a2, max(m2) AS b2, min(m3) AS a3, max(m3) AS b3 FROM trials), dist AS (SELECT trial, sqrt(power(1 - (m1 - a1) / (b1 - a1), 2) + power((m2 - a2) / (b2 - a2), 2) + power(1 - (m3 - a3) / (b3 - a3), 2)) AS distance FROM trials, mm)"
@@ -454,10 +489,10 @@ def fbeta_counts(spark, sf):
     return D.fbeta(_pred(spark, sf), ["a", "b"], 2.0).withColumn("fbeta", r6("fbeta"))
 
 
-@query(f"WITH {TRADE}, v AS (SELECT n_nationkey AS id, [n_nationkey::DOUBLE, n_regionkey::DOUBLE] AS x FROM nation) SELECT v.id, round(avg(s.x[1]), 6) AS x0, round(avg(s.x[2]), 6) AS x1 FROM v LEFT JOIN trade t ON t.dst = v.id LEFT JOIN v s ON s.id = t.src GROUP BY 1")
+@query(f"WITH {FLOW}, v AS (SELECT p_partkey AS id, [p_size::DOUBLE, p_partkey::DOUBLE] AS x FROM part) SELECT v.id, round(avg(s.x[1]), 6) AS x0, round(avg(s.x[2]), 6) AS x1 FROM v LEFT JOIN flow t ON t.dst = v.id LEFT JOIN v s ON s.id = t.src GROUP BY 1")
 def sage_mean_hop(spark, sf):
-    v = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")).alias("features"))
-    return E.mean_neighbours(v, trade(spark, sf)).select("id", r6(F.col("agg")[0]).alias("x0"), r6(F.col("agg")[1]).alias("x1"))
+    v = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_partkey").cast("double")).alias("features"))
+    return E.mean_neighbours(v, flow(spark, sf)).select("id", r6(F.col("agg")[0]).alias("x0"), r6(F.col("agg")[1]).alias("x1"))
 
 
 @query("WITH l AS (SELECT label, vec_id % 7 = 0 AS noise FROM embeddings) SELECT count(DISTINCT label) FILTER (WHERE NOT noise) AS num_clusters, round(avg(noise::INT::DOUBLE), 6) AS noise_share FROM l")
@@ -496,9 +531,9 @@ def hdbscan(spark, sf):
 
 @query()
 def mmr(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'").select(F.regexp_extract("source", "([0-9]+)", 1).cast("int").alias("cluster"), "text")
+    d = table(spark, sf, "documents").select(F.try_to_number(F.regexp_extract("source", "([0-9]+)", 1), F.lit("999999999")).cast("int").alias("cluster"), "doc_id", C.preprocess_text(F.col("text"), "other").alias("text"))
     v = E.HashingEmbedder(32).embed(d, "text", "embedding")
-    return X.keyphrases(v, "cluster", "text", E.HashingEmbedder(32), "embedding").select("cluster", F.array_join("keyphrases", ";").alias("keyphrases"))
+    return X.keyphrases(v, "cluster", "text", "doc_id", E.HashingEmbedder(32), "embedding").select("cluster", F.array_join("keyphrases", ";").alias("keyphrases"))
 
 
 @query()

@@ -52,12 +52,11 @@ def citation_fractions_undirected(spark, sf):
     return M.citation_fractions(e, ref_cluster(spark, sf).select("paper", "cluster")).withColumn("fraction", r6("fraction"))
 
 
-@query(f"WITH {MEMBERS}, l AS (SELECT paper_id, list_distinct(list_transform(embedding[1:6], lambda x: abs(x))) AS p FROM members) SELECT paper_id, round(least(1.0::DOUBLE, len(q)::DOUBLE/(len(q)-1)*(1-list_max(q))*(1-list_stddev_pop(q))),6) AS score FROM (SELECT paper_id, list_transform(p, lambda x: x/list_sum(p)) AS q FROM l WHERE len(p) = 6)")
+@query(f"WITH {MEMBERS}, l AS (SELECT paper_id, list_transform(embedding, lambda x: abs(x)) AS p FROM members) SELECT paper_id, round(least(1.0::DOUBLE, len(q)::DOUBLE / (len(q) - 1) * (1 - list_max(q)) * (1 - list_stddev_pop(q))), 6) AS score FROM (SELECT paper_id, list_transform(p, lambda x: x / list_sum(p)) AS q FROM l WHERE list_sum(p) > 0)")
 def interdisciplinarity_vector(spark, sf):
-    m = members(spark, sf).select("paper_id", F.array_distinct(F.transform(F.slice("embedding", 1, 6), lambda x: F.abs(x))).alias("p")).filter("size(p) = 6")
-    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
-    m = m.withColumn("q", F.transform("p", lambda x: x / total))
-    return m.select("paper_id", r6(C.interdisciplinarity(F.col("q"))).alias("score"))
+    m = members(spark, sf).select("paper_id", F.transform("embedding", lambda x: F.abs(x)).alias("p"))
+    m = m.withColumn("total", F.aggregate("p", F.lit(0.0), lambda s, x: s + x)).filter("total > 0")
+    return m.select("paper_id", r6(C.interdisciplinarity(F.transform("p", lambda x: x / F.col("total")))).alias("score"))
 
 
 # ---- relational core
@@ -206,17 +205,19 @@ def order_limit(spark, sf):
 # ---- scalars and arrays
 
 
-@query("SELECT c_custkey, translate(c_name || '+' || c_mktsegment || '&&(x)?', '" + C.SPECIAL.replace("'", "''") + "', '') AS clean FROM customer")
+# the 21 tokens, each on its own; && and || go with their characters
+@query("SELECT c_custkey, " + "replace(" * 19 + "c_name || '+' || c_mktsegment || '&&(x)?;#a/b'" + "".join(f", '{t}', '')" for t in ["+", "-", "&", "|", "!", "(", ")", "{", "}", "[", "]", "^", '"', "~", "*", "?", ":", "/", "#"]) + " AS clean FROM customer")
 def clean_special(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", C.clean_special(F.concat("c_name", F.lit("+"), "c_mktsegment", F.lit("&&(x)?"))).alias("clean"))
+    return table(spark, sf, "customer").select("c_custkey", C.clean_special(F.concat("c_name", F.lit("+"), "c_mktsegment", F.lit("&&(x)?;#a/b"))).alias("clean"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(translate(lower(coalesce(text, '')), chr(10) || chr(9), '  '), '[^A-Za-z0-9 ]+', '', 'g')) AS h FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, md5(CASE WHEN lang = 'en' THEN regexp_replace(translate(lower(coalesce(text, '')), chr(10) || chr(9), '  '), '[^A-Za-z0-9 ]+', '', 'g') ELSE translate(lower(coalesce(text, '')), chr(10) || chr(9), '  ') END) AS h FROM documents")
 def preprocess_text(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.md5(C.preprocess_text(F.col("text"))).alias("h"))
+    c = F.when(F.col("lang") == "en", C.preprocess_text(F.col("text"))).otherwise(C.preprocess_text(F.col("text"), "other"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(c).alias("h"))
 
 
-@query("""SELECT o_orderkey, lower(substr(coalesce(c_name || ', ' || c_mktsegment, ''), 1, 200)) || ' ' || year(o_orderdate)::VARCHAR || ' "' || coalesce(nullif(o_orderpriority, '1-URGENT'), '') || '" ' || o_orderstatus AS citation FROM orders JOIN customer ON o_custkey = c_custkey""")
+@query("""SELECT o_orderkey, lower(substr(coalesce(c_name || ', ' || c_mktsegment, ''), 1, 200)) || ' ' || year(o_orderdate)::VARCHAR || ', "' || lower(coalesce(nullif(o_orderpriority, '1-URGENT'), '')) || '" ' || lower(o_orderstatus) AS citation FROM orders JOIN customer ON o_custkey = c_custkey""")
 def full_citation(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
@@ -262,7 +263,7 @@ SELECT bucket_start, bucket_end, '[' || strftime(bucket_start, '%Y-%m-%d') || 'T
 def date_buckets(spark, sf):
     ends = table(spark, sf, "orders").agg(F.trunc(F.min("o_orderdate").cast("date"), "month").alias("start"), F.max("o_orderdate").cast("date").alias("until"))
     b = R.date_buckets(ends, F.col("until"), "monthly")
-    return b.withColumn("filter", F.format_string("[%sT00:00:00Z TO %sT00:00:00Z]", F.col("bucket_start").cast("string"), F.col("bucket_end").cast("string")))
+    return b.withColumn("filter", R.range_filter())
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -291,18 +292,18 @@ def cosine_pairs(spark, sf):
     return a.join(b, ["year", "cluster"]).filter("a < b").select("a", "b", r6(C.cosine("ea", "eb")).alias("score"))
 
 
-@query("WITH n AS (SELECT c_nationkey AS k, list(DISTINCT c_mktsegment) FILTER (WHERE c_acctbal > 8000) AS segs FROM customer GROUP BY 1 HAVING count(*) FILTER (WHERE c_acctbal > 8000) > 0) SELECT a.k AS a, b.k AS b, round(len(list_intersect(a.segs, b.segs))::DOUBLE / len(list_distinct(list_concat(a.segs, b.segs))), 6) AS score FROM n a JOIN n b ON a.k < b.k")
+@query("WITH n AS (SELECT c_nationkey AS k, list(DISTINCT c_custkey // 7) AS segs FROM customer GROUP BY 1) SELECT a.k AS a, b.k AS b, round(len(list_intersect(a.segs, b.segs))::DOUBLE / len(list_distinct(list_concat(a.segs, b.segs))), 6) AS score FROM n a JOIN n b ON a.k < b.k")
 def jaccard_sets(spark, sf):
-    n = table(spark, sf, "customer").filter("c_acctbal > 8000").groupBy(F.col("c_nationkey").alias("a")).agg(F.collect_set("c_mktsegment").alias("sa"))
+    n = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("a")).agg(F.collect_set(F.expr("c_custkey div 7")).alias("sa"))
     b = n.select(F.col("a").alias("b"), F.col("sa").alias("sb"))
     return n.join(b, F.col("a") < F.col("b")).select("a", "b", r6(C.jaccard("sa", "sb")).alias("score"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding[1:4], lambda x: (1 - x::DOUBLE) * (1 - x::DOUBLE)))), 6) AS distance, array_to_string(list_transform(embedding[1:2], lambda x: (round(x::DOUBLE * 100))::BIGINT), ';') AS joined FROM embeddings")
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (1 - x::DOUBLE) * (1 - x::DOUBLE)))), 6) AS distance, array_to_string(list_transform(embedding, lambda x: (round(x::DOUBLE * 100))::BIGINT), ';') AS joined FROM embeddings")
 def list_join(spark, sf):
     e = table(spark, sf, "embeddings")
-    ones = C.distance_to_ones([F.col("embedding")[i].cast("double") for i in range(4)])
-    return e.select("vec_id", r6(ones).alias("distance"), C.list_join(F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double") * 100).cast("bigint"))).alias("joined"))
+    ones = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (1 - x.cast("double")) * (1 - x.cast("double"))))
+    return e.select("vec_id", r6(ones).alias("distance"), C.list_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("bigint"))).alias("joined"))
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(range(0, 5), lambda i: CASE WHEN i = p_partkey % 5 THEN p_size WHEN i = (p_partkey + 1) % 5 THEN 1 ELSE 0 END), ';') AS v FROM part")
@@ -312,11 +313,6 @@ def zero_filled_vector(spark, sf):
     return p.select("p_partkey", C.list_join(F.transform(v, lambda x: x.cast("int"))).alias("v"))
 
 
-@query("SELECT c_custkey::VARCHAR AS id, c_name AS name, c_acctbal::INTEGER::VARCHAR AS dummy FROM customer WHERE false")
-def project_properties_empty(spark, sf):
-    return R.project_properties(table(spark, sf, "customer").limit(0), [{"old": "c_custkey", "new": "id", "type": "string"}, {"old": "c_name", "new": "name", "type": "string"}, {"old": "c_acctbal", "new": "dummy", "type": "string"}])
-
-
 @query("SELECT c_custkey::VARCHAR AS id, c_name AS name, c_nationkey::BIGINT AS nation FROM customer")
 def project_properties(spark, sf):
     return R.project_properties(table(spark, sf, "customer"), [{"old": "c_custkey", "new": "id", "type": "string"}, {"old": "c_name", "new": "name", "type": "string"}, {"old": "c_nationkey", "new": "nation", "type": "long"}])

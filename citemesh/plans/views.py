@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import top_n
-
 MEMBERS = "members AS (SELECT CAST(2016 + vec_id % 3 AS INTEGER) AS year, label AS cluster, vec_id AS paper_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
 CITES = "cites AS (SELECT DISTINCT l_partkey AS cited, l_orderkey AS citing, CAST(year(o_orderdate) AS INTEGER) AS year FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 REFS = "ref_cluster AS (SELECT p_partkey AS paper, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS cluster, CAST(1995 + p_partkey % 7 AS INTEGER) AS year FROM part)"
-TRADE = """revenue AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_extendedprice * (1 - l_discount)) AS weight
+TRADE = """revenue AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS exact
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-trade AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM revenue) WHERE rn <= 3)"""
+trade AS (SELECT src, dst, CAST(exact AS DOUBLE) AS weight FROM (SELECT *, exact * count(*) OVER (PARTITION BY src) > sum(exact) OVER (PARTITION BY src) AS strong FROM revenue) WHERE strong)"""
+FLOW = """flow AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS dst FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) WHERE dst IS NOT NULL)"""
 TRIALS = "trials AS (SELECT p_brand AS trial, avg(p_retailprice) AS m1, stddev_pop(p_retailprice) AS m2, CAST(count(*) AS DOUBLE) AS m3, avg(CAST(p_size AS DOUBLE)) AS m4, max(p_retailprice) AS m5 FROM part GROUP BY 1)"
 
 
@@ -37,12 +36,22 @@ def ref_cluster(spark, sf):
 
 
 def trade(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    """Edges from each nation to those it spends more on than on its average partner; sums are exact."""
+    exact = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", exact.alias("r"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
-    g = l.join(o, "l_orderkey").join(c, "c_custkey").join(s, "l_suppkey").filter("src <> dst").groupBy("src", "dst").agg(F.sum("r").alias("weight"))
-    return top_n(g, ["src"], [F.desc("weight"), "dst"], 3).select("src", "dst", "weight")
+    g = l.join(o, "l_orderkey").join(c, "c_custkey").join(s, "l_suppkey").filter("src <> dst").groupBy("src", "dst").agg(F.sum("r").alias("exact"))
+    w = Window.partitionBy("src")  # a row for each two nations
+    return g.withColumn("strong", F.col("exact") * F.count("*").over(w) > F.sum("exact").over(w)).filter("strong").select("src", "dst", F.col("exact").cast("double").alias("weight"))
+
+
+def flow(spark, sf):
+    """Edges from each part to the next larger one in the same order: a graph that grows with the tables."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))
+    return l.select(F.col("l_partkey").alias("src"), nxt.alias("dst")).filter("dst is not null").distinct()
 
 
 def trials(spark, sf):

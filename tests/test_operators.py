@@ -42,6 +42,10 @@ def test_grants_uneven(spark):
 def test_best_score(spark):
     df = spark.createDataFrame([("q", 10.0, "a"), ("q", 9.8, "b"), ("q", 5.0, "c"), ("q", 4.9, "d"), ("one", 3.0, "z")], "k string, score double, goal string")
     assert [(r.k, r.score) for r in L.best_score(df, "k", "score", "goal").collect()] == [("q", 9.8)]
+    # relative to the next score: (9.8 - 5) / 5 is 0.96, and 10 against 8.2 is 0.2195 of 8.2
+    assert L.best_score(df, "k", "score", "goal", 0.95).count() == 1 and L.best_score(df, "k", "score", "goal", 0.97).count() == 0
+    two = spark.createDataFrame([("q", 10.0, "a"), ("q", 8.2, "b"), ("z", 1.0, "c"), ("z", 0.0, "d")], "k string, score double, goal string")
+    assert {(r.k, r.score) for r in L.best_score(two, "k", "score", "goal").collect()} == {("q", 10.0), ("z", 1.0)}
 
 
 def test_scalars(spark):
@@ -49,6 +53,9 @@ def test_scalars(spark):
     assert one(spark, C.interdisciplinarity(F.array(F.lit(0.5), F.lit(0.5)))) == 1.0
     assert one(spark, C.interdisciplinarity(F.array(F.lit(1.0), F.lit(0.0)))) == 0.0
     assert one(spark, C.clean_special(F.lit("a+b&&c(d)?"))) == "abcd"
+    assert one(spark, C.clean_special(F.lit("#1 a/b;c'd\\e||f"))) == "1 ab;c'd\\ef"
+    assert one(spark, C.full_citation(F.array(F.lit("Ann Lee"), F.lit("Bo Ek")), F.lit("2001-05-06").cast("date"), F.lit("A Title"), F.lit("Nature"))) == 'ann lee, bo ek 2001, "a title" nature'
+    assert one(spark, C.full_citation(F.lit(None).cast("array<string>"), F.lit(None).cast("date"), F.lit(None).cast("string"), F.lit("X"))) == ' , "" x'
     assert one(spark, C.preprocess_text(F.lit("Hé Llo\nx_y"))) == "h llo xy"
     assert one(spark, C.fill_vector(F.array(F.lit(0), F.lit(2)), F.array(F.lit(0.25), F.lit(0.5)), 3)) == [0.25, 0.0, 0.5]
     with pytest.raises(Exception):
@@ -142,6 +149,210 @@ def test_paths_and_betweenness(spark):
     assert {tuple(r) for r in A.betweenness(e).collect()} == {(1, 0.0), (2, 2.0), (3, 2.0), (4, 0.0)}
 
 
+def test_describe_and_distances(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2)], "src int, dst int")
+    assert {tuple(r) for r in A.distance_counts(e).collect()} == {(1, 4), (2, 4), (3, 1)}
+    path = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert [tuple(r) for r in A.distance_counts(path.filter("src < 5")).collect()] == [(k, 6 - k) for k in range(1, 6)]
+    cycle = spark.range(300).select(F.col("id").alias("src"), ((F.col("id") + 1) % 12 + F.floor(F.col("id") / 12) * 12).alias("dst"))
+    assert {r.n for r in A.distance_counts(spark.range(300).select(F.col("id").alias("src"), (F.floor(F.col("id") / 3) * 3 + (F.col("id") + 1) % 3).alias("dst"))).collect()} == {300} and cycle.count() == 300
+    d = A.flagged(A.describe(spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "id int"), e, True)).first()
+    assert (d.isolates, d.diameter, d.isolate_fraction) == (1, 3, 0.2) and abs(d.efficiency - 15 / 9) < 1e-9 and abs(d.transitivity - (1 + 1 + 1 / 3) / 5) < 1e-9
+    assert [f.partition(":")[0] for f in d.flags] == ["beta", "alpha", "gamma", "transitivity"]
+
+
+def test_negative_edges_follow_their_weights(spark):
+    e = spark.range(4000).select(F.col("id").alias("src"), F.when(F.col("id") < 3000, 1).otherwise(2).alias("dst"))
+    got = {r.neg_dst: r["count"] for r in A.negative_edges(e, 5).groupBy("neg_dst").count().collect()}
+    want = 3000**0.75 / (3000**0.75 + 1000**0.75)
+    assert sum(got.values()) == 20_000 and abs(got[1] / 20_000 - want) < 0.02
+    shared = A.negative_edges(e, 2, shared=True)
+    assert shared.count() == 8000 and shared.select("src", "neg_dst").distinct().count() <= 8000
+
+
+def test_louvain_goes_on_over_levels(spark):
+    """A ring of 12 triangles: communities of triangles, and then of neighbouring ones."""
+    pairs = [(3 * t + a, 3 * t + b) for t in range(12) for a, b in ((0, 1), (1, 2), (0, 2))] + [(3 * t, 3 * ((t + 1) % 12) + 1) for t in range(12)]
+    e = spark.createDataFrame(pairs, "src int, dst int")
+    labels = A.louvain(e)
+    triangles = spark.range(36).select(F.col("id").cast("int").alias("id"), F.floor(F.col("id") / 3).alias("community"))
+    w = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(1.0).alias("weight"))
+    assert labels.count() == 36 and A.modularity(w, labels) >= A.modularity(w, triangles) - 0.05
+
+
+def test_cluster_ngrams_cross_documents(spark):
+    df = spark.createDataFrame([("c", 1, "the red apple"), ("c", 2, None), ("c", 3, "Green"), ("d", 1, "one two one two")], "cluster string, id int, text string")
+    got = sorted((r.cluster, r.term) for r in X.cluster_ngrams(df, "cluster", "text", "id").collect())
+    c = ["red", "apple", "[SEP]", "[SEP]", "Green"]
+    want = [("c", " ".join(c[i : i + n])) for n in (2, 3) for i in range(len(c) - n + 1)] + [("d", t) for t in ("one two", "two one", "one two", "one two one", "two one two")]
+    assert got == sorted(want)
+    # by hand: 7 and 5 n-grams, so the mean is 6; `one two` is twice in all, the others once
+    s = {r.term: r.score for r in X.cluster_tfidf(df, "cluster", "text", "id").filter("cluster = 'd'").collect()}
+    raw = {"one two": 2 * np.log(6 / 2), "two one": np.log(6), "one two one": np.log(6), "two one two": np.log(6)}
+    length = np.sqrt(sum(v * v for v in raw.values()))
+    assert {k: round(v, 9) for k, v in s.items()} == {k: round(v / length, 9) for k, v in raw.items()}
+
+
+def test_fuzzy_best_is_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcAB ") for _ in range(r.randint(0, 9)))
+    left, right = [(i, i % 3, word()) for i in range(60)] + [(99, 1, None)], [(i, i % 3, word()) for i in range(50)] + [(98, 1, None)]
+
+    def ratio(a, b):
+        a, b = a.lower(), b.lower()
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return 2 * t[-1][-1] / (len(a) + len(b)) if a or b else 1.0
+
+    l = spark.createDataFrame(left, "row_id int, block int, name string")
+    q = spark.createDataFrame(right, "rid int, block int, found string")
+    got = {x.row_id: (x.rid, round(x.score, 9)) for x in L.fuzzy_best(l, q, ["block"], "name", "found", 0.5, "rid").collect()}
+    want = {}
+    for i, b, a in left:
+        best = min(((-ratio(a, f), j) for j, c, f in right if c == b and a is not None and f is not None and ratio(a, f) >= 0.5), default=None)
+        if best:
+            want[i] = (best[1], round(-best[0], 9))
+    assert got == want
+
+
+def test_publication_graph(spark):
+    from citemesh.operators import builders as B
+
+    inst = "array<struct<institution:string,city:string,country:string>>"
+    rows = [
+        ("p1", "2001-01-01", "a\nb", ["p2", "x9", None], [("1", "Ann", [("U", "Oslo", "NO")], 1), ("2", "Bo", [("F", None, "SE")], 2)], [("g1", "F"), ("", "G"), ("g2", "F")]),
+        ("p2", "2002-01-01", "t", ["p2"], [("1", "Ann", [("U", "Rome", "IT")], 1), (None, "No", [], 2)], [("g", "")]),
+        (None, None, None, None, None, None),
+    ]
+    r = spark.createDataFrame(rows, f"id string, date string, title string, ref_ids array<string>, authors array<struct<authorId:string,name:string,institutions:{inst},authorListPosition:int>>, funding array<struct<grantId:string,funder:string>>")
+    people, papers, (whole, funders, only) = B.author_nodes(r), B.publication_nodes(r, [{"old": "title", "new": "title", "type": "string"}], text=("title",)), B.organisation_nodes(r)
+    assert {tuple(x) for x in people.df.collect()} == {("1", "Ann"), ("2", "Bo")} and people.labels == "Person;Author"
+    assert {tuple(x) for x in papers.df.collect()} == {("p1", "ab"), ("p2", "t"), ("x9", None)}
+    assert {x.id for x in funders.df.collect()} == {"F", "G"} and {x.id for x in only.df.collect()} == {"U"} and {(x.id, tuple(x.cities or ())) for x in whole.df.collect()} == {("U", ("Oslo",)), ("F", (None,)), ("G", ())}
+    assert {(x.src, x.dst) for x in B.citation_edges(r, papers).df.collect()} == {("p2", "p1"), ("x9", "p1")}
+    wrote = B.authorship_edges(r, people, papers)
+    assert {(x.src, x.dst, x.authorListPosition) for x in wrote.df.collect()} == {("1", "p1", 1), ("2", "p1", 2), ("1", "p2", 1)}
+    assert {(x.src, x.dst) for x in B.affiliation_edges(r, people, whole).df.collect()} == {("1", "U"), ("2", "F")}
+    assert {(x.src, x.dst, x.grantId) for x in B.funding_edges(r, whole, papers).df.collect()} == {("F", "p1", "g1"), ("G", "p1", None)}
+    g = G.PropertyGraph().add_nodes(people).add_nodes(papers).add_edges("Person", wrote, "Publication").add_edges("Publication", B.citation_edges(r, papers), "Publication")
+    assert {(x.n0_id, x.n2_id, x.n3_id) for x in g.path([("WROTE", "out"), ("CITED_BY", "out"), ("WROTE", "in")], F.col("n0_name") == "Ann").collect()} == {("1", "p1", "1"), ("1", "p1", "2")}
+    d = g.describe(full=True)
+    assert {tuple(x) for x in d["labels"].collect()} == {("Person;Author", 2), ("Publication", 3)} and {tuple(x) for x in d["types"].collect()} == {("WROTE", 3), ("CITED_BY", 2)}
+    assert d["isolates"].count() == 0 and d["stats"].first().num_nodes == 5
+    assert G.is_directed("(a)-[r]->(b)") and not G.is_directed("(a)-[r]-(b)")
+    assert {x.id for x in g.properties_of("Person", spark.createDataFrame([("2", "test")], "id string, part string")).collect()} == {"2"}
+    lookup = spark.createDataFrame([("a street", "0150", "Oslo", "NO", 1.0, 2.0)], "street string, postalcode string, city string, country string, lat double, lon double")
+    placed = whole.df.withColumns({"addresses": F.array(F.lit("elsewhere")), "postalCodes": F.array(F.lit("0150")), "states": F.lit(None).cast("array<string>")})
+    assert [(x.id, x.lat, x.tier) for x in L.geocode_institutions(placed, lookup).collect()] == [("U", 1.0, 2)]
+
+
+def test_death_rows(spark):
+    cols = "t1 string, year1 int, born1 boolean, died1 boolean, event_type string, t2 string, born2 boolean, died2 boolean"
+    rows = [("a", 2001, True, True, None, None, None, None), ("b", 2000, False, True, None, None, None, None), ("c", 2001, False, False, "SPLITS_INTO", "d", False, True), ("c", 2001, False, False, "SPLITS_INTO", "e", False, False), ("f", 2001, False, False, "MERGES_INTO", "d", False, True), ("g", 2002, False, True, None, None, None, None)]
+    got = {r.key: (r.SPLITS_INTO, r.MERGES_INTO, r.CONTINUES_AS, r.DIES) for r in M.event_matrix_with_deaths(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {"a": (0, 0, 0, 1), "b": (0, 0, 0, 1), "c": (2, 0, 0, 0), "d": (0, 0, 0, 1), "f": (0, 1, 0, 0)}
+
+
+def test_responses(spark):
+    body = lambda x: __import__("json").dumps(x)
+    r = spark.createDataFrame([("http://s/paper/search?query=%22Red+Apples%22&fields=title", body({"total": 2, "data": [{"paperId": "1", "title": "Red apple"}, {"paperId": "2", "title": "red apples", "externalIds": {"DOI": "d2"}}]})), ("http://s/paper/search?query=none", body({"total": 0, "data": []})), ("u", "not json")], "url string, body string")
+    assert [(x.query, x.paper_id, x.doi, x.score) for x in B.scholar_matches(r).collect()] == [('"Red Apples"', "2", "d2", 1.0)]
+    one = spark.createDataFrame([("a", body({"paperId": "1", "title": "t", "authors": []})), ("b", body({"paperId": "1", "title": "t"})), ("c", body({"error": "Paper not found"})), ("d", ""), ("e", body({"message": "Forbidden"}))], "url string, body string")
+    assert [(x.request, x.paperId, x.authors) for x in B.scholar_papers(one).collect()] == [("a", "1", None)]
+    c = spark.createDataFrame([("a", body({"message": {"items": [{"DOI": "x", "title": ["X"], "score": 9.0}, {"DOI": "y", "title": ["Y"], "score": 3.0}]}})), ("b", body({"message": [{"DOI": "z", "score": 2.0}, {"score": 1.0}]})), ("c", "?")], "url string, body string")
+    assert {(x.url, x.DOI, x.title) for x in B.crossref_matches(c).collect()} == {("a", "x", "X"), ("b", "z", None)}
+    g = spark.createDataFrame([("a", body([{"display_name": "Oslo", "lat": "59.5", "lon": "10.25"}])), ("b", "[]")], "url string, body string")
+    assert [tuple(x) for x in B.geocoded(g).collect()] == [("a", "Oslo", 59.5, 10.25)]
+    p = spark.createDataFrame([("Oslo", None)], "city string, state string")
+    assert B.geocode_urls(p, "http://g", {"city": "city", "state": "state"}).first().url == "http://g/search?format=json&limit=1&city=Oslo"
+    h = spark.createDataFrame([("http://s/select?q=solar+cells&rows=0", body({"response": {"numFound": 60000}}))], "url string, body string")
+    assert [tuple(x)[1:] for x in B.hit_counts(h).collect()] == [("solar cells", 60_000)]
+    assert B.solr_urls(B.hit_counts(h), "http://s", start=1).count() == 2
+    b = spark.createDataFrame([("2020-01-01", "2020-01-31", 30_000), ("2020-02-01", "2020-02-29", 10)], "bucket_start string, bucket_end string, hits int").withColumns({c: F.col(c).cast("date") for c in ("bucket_start", "bucket_end")})
+    urls = B.bucket_urls(b, "http://s", fields=["id", "doi"]).orderBy("number", "start").collect()
+    assert [(u.number, u.start) for u in urls] == [(0, 0), (0, 25_000), (1, 0)] and "2020-02-29T00%3A00%3A00Z" in urls[2].url and "fl=id,doi" in urls[0].url
+    assert B.bucket_urls(b, "http://s", start=1).count() == 1
+    with pytest.raises(ValueError):
+        B.scholar_urls(p, "http://s", "city", fields=["nope"])
+    assert B.scholar_urls(p, "http://s", "city", "Author").first().url == "http://s/author/Oslo"
+    assert B.secret(spark, "K", {"K": "v"}) == "v"
+    with pytest.raises(KeyError):
+        B.secret(spark, "NONE_SUCH", {})
+
+
+def test_schema_helpers_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a"], "x")], "a int, `b:string[]` array<string>, c string")
+    assert C.columns_of_class(df, "string") == ["b:string[]", "c"] and C.columns_of_class(df, "int") == ["a"]
+    assert C.check_header_types(df, "string[]") == ["b:string[]"] and C.check_header_types(df, ":int", "int", csv=False) == ["a"]
+    with pytest.raises(ValueError):
+        C.check_header_types(df, ":int", "int")
+    assert one(spark, C.utc_text(F.lit("2020-07-01 12:00:00").cast("timestamp_ntz"), "Europe/Oslo")) == "2020-07-01T10:00:00Z"
+    assert one(spark, C.repaired_doi(F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("b")))) == "b"
+    nodes = G.NodeSet.build(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, t string"), "P", "id", [{"old": "t", "new": "t", "type": "string"}])
+    edges = G.EdgeSet(spark.createDataFrame([("1", "2")], "src string, dst string"), "E")
+    for form in ("csv", "json", "parquet"):
+        sinks.write_graph({"P": nodes}, {"E": edges}, str(tmp_path / form), form)
+        assert spark.read.format(form).option("header", True).load(str(tmp_path / form / "nodes" / "P")).count() == 2
+    assert sinks.import_command_of({"P": nodes}, {"E": ("P", edges, "P")}, str(tmp_path / "i")).count("--") == 4
+    out = str(tmp_path / "put")
+    __import__("os").makedirs(out)
+
+    def put(kind, name, batch):
+        import os
+        import uuid
+
+        with open(os.path.join(out, f"{kind}-{name}-{uuid.uuid4().hex}"), "w") as f:
+            f.write(str(batch.num_rows))
+
+    assert sinks.put_graph({"P": nodes}, {"E": edges}, put) == {"P": 2, "E": 1}
+    assert sum(int((tmp_path / "put" / f).read_text()) for f in __import__("os").listdir(out)) == 3
+    sinks.upload(spark.createDataFrame([("x",), ("y",)], "value string"), str(tmp_path / "up"), "text")
+    assert sinks.transfer_snapshot(spark, str(tmp_path / "up"), str(tmp_path / "down")) == 2
+
+
+def test_validity_and_large_groups(spark):
+    from citemesh.operators.clustering import validity_index
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(0, 0.1, (40, 2)), r.normal(5, 0.1, (40, 2))])
+    good, each = validity_index(x, np.repeat([0, 1], 40))
+    bad, _ = validity_index(x, np.tile([0, 1], 40))
+    assert good > 0.8 and bad < 0 and set(each) == {0, 1}
+    df = spark.createDataFrame([(2000, i, v.tolist()) for i, v in enumerate(x)] + [(2001, 100 + i, v.tolist()) for i, v in enumerate(x[:30])], "year int, k int, v array<double>")
+    got = {q.k: q.label for q in hdbscan(df, "year", "k", "v", most=50).collect()}
+    assert len(got) == 110 and len({got[i] for i in range(40)} - {-1}) == 1 and len({got[i] for i in range(40, 80)} - {-1}) == 1 and got[0] != got[41]
+
+
+def test_last_names_in_order(spark):
+    wos = spark.createDataFrame([("r1", "p", "Ann Ek", "Ek", 1), ("r2", "p", "Bo Aas", "Aas", 2), ("r3", "q", "Ann Ek", "Ek", 1), ("r4", "s", "A B", "B", 1), ("r5", "s", "C D", "D", 2)], "row_id string, paper string, name string, last_name string, position int")
+    ss = spark.createDataFrame([("p", "1", "Ann Ek"), ("p", "2", "Bo NOT Aas"), ("q", "1", "A. Ek"), ("s", "3", "A B")], "paper string, author_id string, name string")
+    got = {r.row_id: (r.author_id, r.authorListAlphabetizedLastName) for r in L.author_merge(wos, ss).collect()}
+    assert got == {"r1": ("1", False), "r2": ("2", False), "r3": ("1", False), "r4": ("3", True), "r5": ("3", True)}
+
+
+def test_layers_and_probe(spark):
+    from citemesh.operators.embedding import masks_from_ids, probe, sage_predict
+
+    v = spark.createDataFrame([(1, [1.0, -1.0]), (2, [0.0, 1.0]), (3, [2.0, 2.0])], "id int, features array<double>")
+    e = spark.createDataFrame([(1, 2), (3, 2), (2, 3)], "src int, dst int")
+    own, neigh, bias = np.array([[1.0, 0], [0, 2]]), np.array([[0.5, 0], [0, 1.0]]), np.array([0.1, 0.0])
+    got = {r.id: np.array(r.features) for r in sage_predict(v, e, [(own, neigh, bias), (own, neigh, bias)]).collect()}
+    x, into = {1: np.array([1.0, -1]), 2: np.array([0.0, 1]), 3: np.array([2.0, 2])}, {1: [], 2: [1, 3], 3: [2]}
+    for last in (False, True):
+        new = {i: own @ x[i] + neigh @ (np.mean([x[j] for j in into[i]], axis=0) if into[i] else np.zeros(2)) + bias for i in x}
+        x = new if last else {i: np.maximum(w, 0) for i, w in new.items()}
+    assert all(np.allclose(got[i], x[i]) for i in x)
+    df = spark.createDataFrame([([float(i % 2), 1.0], "ab"[i % 2]) for i in range(40)], "v array<double>, y string")
+    assert probe(df, df, "v", "y").first().micro_f1 == 1.0
+    parts = spark.createDataFrame([(1, "train"), (2, "val")], "id int, part string")
+    assert {tuple(r) for r in masks_from_ids(v, parts).collect()} == {(1, True, False, False), (2, False, True, False), (3, False, False, False)}
+    assert D.reshaped_probabilities(spark.createDataFrame([(0.25, 1.0)], "a_proba double, b_proba double"), ["a", "b"]).first().probabilities == [[0.75, 0.25], [0.0, 1.0]]
+
+
 def test_louvain_parts_two_cliques(spark):
     pairs = [(a, b) for g in ((0, 1, 2, 3), (4, 5, 6, 7)) for a in g for b in g if a < b] + [(3, 4)]
     e = spark.createDataFrame(pairs, "src int, dst int")
