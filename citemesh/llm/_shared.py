@@ -8,6 +8,8 @@ import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +127,11 @@ def slices(texts: list, weight=len, most: int = 4 << 20):
         yield at, len(texts)
 
 
+def column_slices(column: pa.Array, most: int = 1 << 20):
+    """slices() of an Arrow column of texts by their bytes, before any is made a Python object."""
+    yield from slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), weight=int, most=most)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id each id of `edges` reaches. Labels spread along edges and
     jump to their label's label, so rounds grow with the logarithm of a path's length; each round is

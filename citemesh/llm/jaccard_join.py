@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, cut, drop, partitions, slices, small_or_not
+from ._shared import column_slices, components, cut, drop, partitions, small_or_not
 
 WORDS = 4
 PERCENT = 85
@@ -64,7 +64,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h
         return h
@@ -181,10 +181,10 @@ def _each(batches: Iterator[pa.RecordBatch], words: int):
     """Of each bounded piece of the batches: the piece, its texts' sets and their fingerprints; text is last."""
     known = WordHash()
     for b in batches:
-        texts = b.column(b.num_columns - 1).to_pylist()
-        for lo, hi in slices(texts):
-            sets = [shingle_hashes(t, known, words) for t in texts[lo:hi]]
-            yield b.slice(lo, hi - lo), sets, [_prints(h) for h in sets]
+        for lo, hi in column_slices(b.column(b.num_columns - 1)):
+            part = b.slice(lo, hi - lo)
+            sets = [shingle_hashes(t, known, words) for t in part.column(b.num_columns - 1).to_pylist()]
+            yield part, sets, [_prints(h) for h in sets]
 
 
 def prepared(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, drop, slices
+from ._shared import column_slices, cut, drop
 from .pieces import MARK, PIECES, load_pieces
 
 PER_LANGUAGE = 1500
@@ -42,7 +42,7 @@ ROUNDS = 2
 SMOOTH = 0.05
 UNSEEN = 1e-7
 LONGEST = 40
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: Runs of letters, and of numerals that are no decimal digits; those go in a second look.
 WORDS = re.compile(r"[^\W\d_]+")
 #: Keeps forward sums near 1: the usual probability of a character.
@@ -284,10 +284,9 @@ def predict(df: DataFrame, langs: list[str], p: np.ndarray, id_col: str = "doc_i
                     known[w] = a
 
         for b in batches:
-            texts = b.column(at_text).to_pylist()
             pred, score = [], []
-            for lo, hi in slices(texts):
-                lists = [words_in(t) if t and langs else [] for t in texts[lo:hi]]
+            for lo, hi in column_slices(b.column(at_text)):
+                lists = [words_in(t) if t and langs else [] for t in b.column(at_text).slice(lo, hi - lo).to_pylist()]
                 new = set().union(*lists)
                 if len(known) + len(new) > CACHED_WORDS:
                     known.clear()
