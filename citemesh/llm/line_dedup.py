@@ -158,7 +158,7 @@ def partners(held: DataFrame, rare: int = RARE, classes: int = CLASSES) -> DataF
     sets = both.filter(f"n <= {rare}").groupBy("r").agg(F.sort_array(F.collect_set("k")).alias("ks")).select("ks").distinct()
     among = sets.select(F.inline(F.expr("flatten(transform(sequence(1, size(ks) - 1), i -> transform(slice(ks, 1, i), x -> named_struct('later', ks[i], 'first', x))))")))
     many = both.filter(f"n > {rare}").withColumn("c", F.pmod(F.xxhash64("k"), F.lit(classes)))
-    own = many.groupBy("r", "c").agg(F.min("k").alias("own"))
+    own = cut(many.groupBy("r", "c").agg(F.min("k").alias("own")))  # written for the same reason
     firsts = many.filter("k <> first").select(F.col("k").alias("later"), "first")
     seconds = many.join(own, ["r", "c"]).filter("k <> own").select(F.col("k").alias("later"), F.col("own").alias("first"))
     return among.union(firsts).union(seconds).distinct()
