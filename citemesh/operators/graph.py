@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .relational import keep_first, upsert
+from .storage import forget, stored
 
 
 @dataclass
@@ -153,19 +155,102 @@ class PropertyGraph:
 
     def path(self, hops: list[tuple[str, str]], start_where: Column | None = None) -> DataFrame:
         """A chain of hops (type, direction) as columns n0_*, r1_*, n1_*, r2_*, ...; direction is `out`, `in`
-        or `both`, and a type may be several, parted by `|`. start_where tells of n0_*."""
+        or `both`, and a type may be several, parted by `|`. `A|B*1..3` stands for one to three hops, no edge
+        twice among them: then r*_types and r*_edges are lists, and of the last node there are id and label.
+        start_where tells of n0_*."""
         out = None
         for k, (rel, way) in enumerate(hops, 1):
+            before, at = f"n{k - 1}_", f"n{k - 1}_id"
+            several = re.fullmatch(r"(.*)\*(\d+)\.\.(\d+)", rel)
+            if several:
+                rels, least, most = several[1], int(several[2]), int(several[3])
+                if out is None:
+                    labels = sorted({a for a, *_ in self._ends(rels.split("|"), way)})
+                    for label in labels:
+                        own = _prefixed(self.nodes[label].df, "n0").withColumn("n0_label", F.lit(label))
+                        own = own if start_where is None else own.filter(start_where)
+                        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+                label = [f"{before}label"] if f"{before}label" in out.columns else []
+                starts = out.select(*(F.col(c).alias("label") for c in label), F.col(at).alias("id")).distinct()
+                found = self.expand(rels, starts, least, most, way)
+                names = {"start_id": at, "edges": f"r{k}_edges", "types": f"r{k}_types", "hops": f"r{k}_hops", "end_id": f"n{k}_id", "end_label": f"n{k}_label", "nodes": f"r{k}_nodes"}
+                found = found.withColumnsRenamed(names | {"start_label": f"{before}label"} if label else names)
+                out = out.join(found if label else found.drop("start_label"), [at, *label])
+                continue
             hop = self.match(rel.split("|"), direction=way)
             names = {c: {"src": f"n{k - 1}", "rel": f"r{k}", "dst": f"n{k}"}[c[:3]] + c[3:] for c in hop.columns}
             hop = hop.withColumnsRenamed(names)
             if out is None:
                 out = hop if start_where is None else hop.filter(start_where)
             else:
-                at = f"n{k - 1}_id"
-                out = out.join(hop.select(at, *(c for c in hop.columns if not c.startswith(f"n{k - 1}_"))), at)
+                out = out.join(hop.select(at, *(c for c in hop.columns if not c.startswith(before))), at)
         return out
 
+    def _ends(self, rels: list[str], direction: str) -> list[tuple[str, str, str, str]]:
+        """(from label, to label, type, out or in) of every way to go along the types."""
+        ways = ("out", "in") if direction == "both" else (direction,)
+        return [(a, b, r, way) if way == "out" else (b, a, r, way) for r in rels for a, _, b in (self.edges[r],) for way in ways]
+
+    def steps(self, rels: list[str], direction: str) -> DataFrame:
+        """(from_label, from_id, to_label, to_id, type, edge) of all single hops; edge names a relationship,
+        whichever way it is gone. Ends that are no nodes of their sets give none."""
+        parts = []
+        for a, b, r, way in self._ends(rels, direction):
+            e = self.edges[r][1].df
+            loop = (F.col("src") == F.col("dst")) & F.lit(a == b and way == "in" and direction == "both")  # goes one way
+            e = e.filter(~loop).select("src", "dst", F.concat(F.lit(f"{r}:"), "src", F.lit(">"), "dst").alias("edge"))
+            ends = ("src", "dst") if way == "out" else ("dst", "src")
+            known = [self.nodes[n].df.select(F.col("id").alias(end)) for n, end in zip((a, b), ends, strict=True)]
+            e = e.join(known[0], ends[0], "left_semi").join(known[1], ends[1], "left_semi")
+            parts.append(e.select(F.lit(a).alias("from_label"), F.col(ends[0]).alias("from_id"), F.lit(b).alias("to_label"), F.col(ends[1]).alias("to_id"), F.lit(r).alias("type"), "edge"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
+
+    def expand(self, rels: str, starts: DataFrame, least: int = 1, most: int = 10, direction: str = "both") -> DataFrame:
+        """(start_label, start_id, end_label, end_id, hops, types, edges, nodes): every path of `least` to
+        `most` hops from starts(id, and label if ids aren't unique over labels) along edges of any of the
+        types `A|B`, with no edge twice in a path; nodes may recur. Each hop joins the paths found last, read
+        from a table in the shared folder, with the hops there are; the last hop isn't written. A path
+        of 0 hops is the start itself. Starts that are no nodes have no hops."""
+        adjacent = stored(self.steps(rels.split("|"), direction))
+        if "label" not in starts.columns:
+            first = adjacent.select(F.col("from_id").alias("id"), F.col("from_label").alias("label")).distinct()
+            starts = starts.select("id").join(first, "id", "left")
+        none = F.array().cast("array<string>")
+        at = starts.select(F.col("label").alias("start_label"), F.col("id").alias("start_id"), F.col("label").alias("end_label"), F.col("id").alias("end_id"), F.lit(0).alias("hops"), none.alias("types"), none.alias("edges"), F.array("id").alias("nodes"))
+        found = [at] if least == 0 else []
+        for k in range(1, most + 1):
+            on = (F.col("end_id") == F.col("from_id")) & (F.col("end_label") == F.col("from_label"))
+            step = at.join(adjacent, on).filter(~F.array_contains("edges", F.col("edge")))
+            at = step.select("start_label", "start_id", F.col("to_label").alias("end_label"), F.col("to_id").alias("end_id"), F.lit(k).alias("hops"), F.array_append("types", F.col("type")).alias("types"), F.array_append("edges", F.col("edge")).alias("edges"), F.array_append("nodes", F.col("to_id")).alias("nodes"))
+            if k < most:
+                at = stored(at)
+                if at.isEmpty():
+                    break
+            if k >= least:
+                found.append(at)
+        out = found[0] if found else at
+        for f in found[1:]:
+            out = out.union(f)
+        return out
+
+    def path_counts(self, hops: list[tuple[str, str]], starts: DataFrame | None = None) -> DataFrame:
+        """(start_id, end_id, paths): how many chains of hops path() would give for each two ends. Counts are
+        added up at every hop, so a state is a row for each start and node reached, not one for each path."""
+        at = None
+        for rel, way in hops:
+            step = self.steps(rel.split("|"), way).select("from_label", "from_id", "to_label", "to_id")
+            if at is None:
+                first = step if starts is None else step.join(starts.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi")
+                at = first.select(F.col("from_id").alias("start_id"), F.col("to_label").alias("label"), F.col("to_id").alias("end_id"), F.lit(1).cast("bigint").alias("paths"))
+            else:
+                on = (F.col("end_id") == F.col("from_id")) & (F.col("label") == F.col("from_label"))
+                at = at.join(step, on).select("start_id", F.col("to_label").alias("label"), F.col("to_id").alias("end_id"), "paths")
+            at = at.groupBy("start_id", "label", "end_id").agg(F.sum("paths").alias("paths"))
+        return at.groupBy("start_id", "end_id").agg(F.sum("paths").alias("paths"))
+
     def describe(self, full: bool = False, sources: int | None = None) -> dict:
         """Graph statistics of all nodes and edges, with nodes by label, edges by type and, if full, nodes
         without edges by label; `stats` is a frame of one row, `flags` says what is out of the usual range."""
@@ -223,12 +308,19 @@ def _prefixed(df: DataFrame, side: str) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """(start, node, hops): shortest hop counts up to a depth, by frontier joins."""
-    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops"))
-    frontier = seen
+    """(start, node, hops): shortest hop counts up to a depth. The nodes met last are a table in the shared
+    folder, so a hop costs one join with the edges, whatever came before; all that was met is the tables'
+    union."""
+    e = stored(edges.select(F.col("src").alias("node"), "dst").distinct())
+    seen = frontier = stored(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct())
     for k in range(1, hops + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
+        step = frontier.join(e, "node").select("start", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(k))
+        if k < hops:
+            frontier = stored(frontier)
+            if frontier.isEmpty():
+                forget(frontier)
+                break
         seen = seen.union(frontier)
     return seen.filter("hops > 0")
 

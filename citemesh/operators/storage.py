@@ -3,8 +3,10 @@ plans read are computed once."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 SMALL = 100_000
 #: Spark's setting that deletes a query's shuffle files when the query ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables that are still there, with their sessions.
+_THERE: dict[str, weakref.ref] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +40,35 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, was or "false")
-    return spark.read.schema(df.schema).parquet(path)
+    _THERE[path] = weakref.ref(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by stored() that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_stored_path", None)
+        if path and _THERE.pop(path, None):
+            _delete(df.sparkSession, path)
+
+
+@atexit.register
+def _sweep() -> None:
+    """The tables that results may still have read go with the session."""
+    for path, ref in list(_THERE.items()):
+        spark = ref()
+        try:
+            if spark is not None:
+                _delete(spark, path)
+        except Exception:  # the session has ended; the folder's owner clears it
+            return
 
 
 def checked_small(df: DataFrame, rows: int = SMALL) -> DataFrame | None:

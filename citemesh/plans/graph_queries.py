@@ -105,9 +105,9 @@ def not_pattern(spark, sf):
     return G.PropertyGraph().add_nodes(p).add_edges("Part", e, "Supplier").without("Part", "BULK").select("id")
 
 
-@query(f"WITH {TRADE}, h AS (SELECT src AS start, dst AS node, 1 AS hops FROM trade UNION SELECT a.src, b.dst, 2 FROM trade a JOIN trade b ON a.dst = b.src) SELECT start, node, CAST(min(hops) AS INTEGER) AS hops FROM h WHERE start <> node GROUP BY 1, 2")
+@query(f"WITH {FLOW}, h AS (SELECT src AS start, dst AS node, 1 AS hops FROM flow UNION SELECT a.src, b.dst, 2 FROM flow a JOIN flow b ON a.dst = b.src) SELECT start, node, CAST(min(hops) AS INTEGER) AS hops FROM h WHERE start <> node GROUP BY 1, 2")
 def khop2(spark, sf):
-    return G.reachable(trade(spark, sf), table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), 2)
+    return G.reachable(flow(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("id")), 2)
 
 
 @query(f"WITH {TRADE} SELECT dst AS src, src AS dst, round(weight, 2) AS weight, 'SOLD_TO' AS type FROM trade")

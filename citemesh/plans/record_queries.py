@@ -97,8 +97,40 @@ def publication_graph(spark, sf):
 
 @query(f"WITH {RECORDS}, aff AS (SELECT DISTINCT author, inst FROM wrote) SELECT aff.inst AS institution, x.author::VARCHAR AS other, count(*) AS paths FROM aff JOIN wrote w ON w.author = aff.author JOIN cited c ON c.ref = w.paper AND c.ref <> c.paper JOIN wrote x ON x.paper = c.paper GROUP BY 1, 2")
 def multi_hop_path(spark, sf):
-    p = publication_graph(spark, sf).path([("AFFILIATED_WITH", "in"), ("WROTE", "out"), ("CITED_BY", "out"), ("WROTE", "in")])
-    return p.groupBy(F.col("n0_id").alias("institution"), F.col("n4_id").alias("other")).agg(F.count("*").alias("paths"))
+    p = publication_graph(spark, sf).path_counts([("AFFILIATED_WITH", "in"), ("WROTE", "out"), ("CITED_BY", "out"), ("WROTE", "in")])
+    return p.select(F.col("start_id").alias("institution"), F.col("end_id").alias("other"), "paths")
+
+
+def shop_graph(spark, sf):
+    """Regions, nations, customers, orders and parts as a graph of four edge types; ids name their label."""
+    node = lambda name, col, label: G.NodeSet(table(spark, sf, name).select(F.concat(F.lit(label[0]), F.col(col).cast("string")).alias("id")), label)
+    edge = lambda name, a, b, kind, ends: G.EdgeSet(table(spark, sf, name).select(F.concat(F.lit(ends[0]), F.col(a).cast("string")).alias("src"), F.concat(F.lit(ends[1]), F.col(b).cast("string")).alias("dst")).distinct(), kind)
+    g = G.PropertyGraph()
+    for args in (("region", "r_regionkey", "Region"), ("nation", "n_nationkey", "Nation"), ("customer", "c_custkey", "Customer"), ("orders", "o_orderkey", "Order"), ("part", "p_partkey", "Part")):
+        g.add_nodes(node(*args))
+    g.add_edges("Region", edge("nation", "n_regionkey", "n_nationkey", "HAS_NATION", "RN"), "Nation").add_edges("Nation", edge("customer", "c_nationkey", "c_custkey", "HAS_CUSTOMER", "NC"), "Customer")
+    return g.add_edges("Customer", edge("orders", "o_custkey", "o_orderkey", "PLACED", "CO"), "Order").add_edges("Order", edge("lineitem", "l_orderkey", "l_partkey", "CONTAINS", "OP"), "Part")
+
+
+SHOP = """hop AS (SELECT 'HAS_NATION' AS t, 'R' || r_regionkey AS a, 'N' || n_nationkey AS b FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'HAS_CUSTOMER', 'N' || n_nationkey, 'C' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'PLACED', 'C' || c_custkey, 'O' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT DISTINCT 'CONTAINS', 'O' || o_orderkey, 'P' || p_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(f"""WITH RECURSIVE {SHOP}, p AS (SELECT a AS start, b AS node, 1 AS hops, t AS types FROM hop WHERE a[1] = 'R' UNION ALL SELECT p.start, hop.b, p.hops + 1, p.types || '/' || hop.t FROM p JOIN hop ON hop.a = p.node WHERE p.hops < 10)
+SELECT start, hops::INTEGER AS hops, types, count(*) AS paths, count(DISTINCT node) AS ends FROM p GROUP BY ALL""")
+def path_expand(spark, sf):
+    p = shop_graph(spark, sf).path([("HAS_NATION|HAS_CUSTOMER|PLACED|CONTAINS*1..10", "out")], F.col("n0_label") == "Region")
+    return p.groupBy(F.col("n0_id").alias("start"), F.col("r1_hops").alias("hops"), F.array_join("r1_types", "/").alias("types")).agg(F.count("*").alias("paths"), F.count_distinct("n1_id").alias("ends"))
+
+
+@query(f"""WITH {SHOP}, e AS (SELECT row_number() OVER () AS id, * FROM hop WHERE t IN ('PLACED', 'CONTAINS')), s AS (SELECT id, t, a AS x, b AS y FROM e UNION ALL SELECT id, t, b, a FROM e)
+SELECT f.t || '/' || g.t AS types, substr(g.y, 1, 1) AS end_kind, count(*) AS trails, count(DISTINCT g.y) AS ends FROM s f JOIN s g ON g.x = f.y AND g.id <> f.id WHERE f.x[1] = 'O' GROUP BY ALL""")
+def typed_trails(spark, sf):
+    g = shop_graph(spark, sf)
+    p = g.expand("PLACED|CONTAINS", g.nodes["Order"].df.select(F.lit("Order").alias("label"), "id"), 2, 2)
+    return p.groupBy(F.array_join("types", "/").alias("types"), F.substring("end_id", 1, 1).alias("end_kind")).agg(F.count("*").alias("trails"), F.count_distinct("end_id").alias("ends"))
 
 
 @query(f"""WITH {RECORDS}, n AS (SELECT 'Person;Author' AS name, count(DISTINCT author) AS n FROM wrote UNION ALL SELECT 'Publication', count(*) FROM (SELECT o_orderkey FROM orders UNION SELECT ref FROM cited) UNION ALL SELECT 'Institution', count(*) FROM (SELECT inst FROM wrote UNION SELECT funder FROM paid)),

@@ -143,6 +143,45 @@ def test_affiliations(spark):
     assert len(N.affiliations(p, compat=True).collect()) == 4
 
 
+def test_trails_over_several_types(spark):
+    """Every path without a repeated edge, by brute force, on a small graph with loops and two labels."""
+    import random
+
+    r = random.Random(6)
+    knows = sorted({(f"a{r.randint(0, 5)}", f"a{r.randint(0, 5)}") for _ in range(9)} | {("a1", "a1")})
+    wrote = sorted({(f"a{r.randint(0, 5)}", f"b{r.randint(0, 2)}") for _ in range(5)})
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    people, books = (G.NodeSet(frame([(f"{k}{i}", i) for i in range(n)], "id string, no int"), label) for k, n, label in (("a", 6, "Person"), ("b", 3, "Book")))
+    g = G.PropertyGraph().add_nodes(people).add_nodes(books)
+    g.add_edges("Person", G.EdgeSet(frame([*knows, ("a0", "gone")], "src string, dst string"), "KNOWS"), "Person").add_edges("Person", G.EdgeSet(frame(wrote, "src string, dst string"), "WROTE"), "Book")
+    edges = [("KNOWS", *e) for e in knows] + [("WROTE", *e) for e in wrote]
+
+    def trails(at, way, most):
+        out, todo = [], [(at, (), (at,))]
+        while todo:
+            node, used, nodes = todo.pop()
+            for e in edges:
+                for a, b in {"out": [(e[1], e[2])], "in": [(e[2], e[1])], "both": sorted({(e[1], e[2]), (e[2], e[1])})}[way]:
+                    if a == node and e not in used and len(used) < most:
+                        todo.append((b, (*used, e), (*nodes, b)))
+                        out.append((at, (*nodes, b), tuple(f"{t}:{x}>{y}" for t, x, y in (*used, e))))
+        return out
+
+    starts = people.df.select("id")
+    for way in ("out", "in", "both"):
+        got = g.expand("KNOWS|WROTE", starts, 1, 4, way).collect()
+        want = [t for i in range(6) for t in trails(f"a{i}", way, 4)]
+        assert sorted((x.start_id, tuple(x.nodes), tuple(x.edges)) for x in got) == sorted(want)
+        assert all(x.hops == len(x.types) == len(x.edges) and x.end_id == x.nodes[-1] and x.end_label == ("Book" if x.end_id[0] == "b" else "Person") for x in got)
+    two = g.path([("KNOWS*0..2", "out"), ("WROTE", "out")], F.col("n0_no") < 2)
+    heads = [(f"a{i}", f"a{i}") for i in range(2)] + [(s, n[-1]) for i in range(2) for s, n, e in trails(f"a{i}", "out", 2) if all(x.startswith("KNOWS") for x in e)]
+    assert sorted((x.n0_id, x.n1_id, x.n2_id) for x in two.collect()) == sorted((s, n, b) for s, n in heads for a, b in wrote if a == n)
+    hops = [("KNOWS", "both"), ("KNOWS|WROTE", "out"), ("WROTE", "in")]
+    want = {(x.n0_id, x.n3_id): x["count"] for x in g.path([("KNOWS", "out"), ("KNOWS", "in"), ("WROTE", "out")]).groupBy("n0_id", "n3_id").count().collect()}
+    assert {(x.start_id, x.end_id): x.paths for x in g.path_counts([("KNOWS", "out"), ("KNOWS", "in"), ("WROTE", "out")]).collect()} == want
+    assert g.path_counts(hops, starts.limit(0)).count() == 0 and g.expand("KNOWS", starts.limit(0)).count() == 0
+
+
 def test_paths_and_betweenness(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
     assert {tuple(r) for r in A.shortest_paths(e).collect()} == {(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 3, 1), (2, 4, 2), (3, 4, 1)}
