@@ -3,12 +3,12 @@ state to the folder that executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import graph_indices
 from .relational import surrogate_ids
-from .storage import stored
+from .storage import forget, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -54,45 +54,122 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, max_hops:
     return seen.filter("distance > 0")
 
 
-def weighted_paths(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, distance) with least sums of weight: relaxation until nothing gets shorter."""
-    e = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
-    start = sources.select(F.col("id").alias("src")) if sources is not None else e.select("src").distinct()
-    best = stored(start.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("distance")))
-    changed = best
-    while not changed.isEmpty():
-        step = changed.select("src", F.col("dst").alias("via"), "distance").join(e.select(F.col("src").alias("via"), "dst", "weight"), "via").select("src", "dst", (F.col("distance") + F.col("weight")).alias("new")).groupBy("src", "dst").agg(F.min("new").alias("new"))
-        both = best.join(step, ["src", "dst"], "full")
-        both = stored(both.select("src", "dst", F.least("distance", "new").alias("distance"), (F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new") < F.col("distance")))).alias("better")))
-        best, changed = both.select("src", "dst", "distance"), both.filter("better").select("src", "dst", "distance")
-    return best.filter("src <> dst")
-
-
-def betweenness(edges: DataFrame) -> DataFrame:
-    """(id, score) of a directed graph: shortest path counts forward, level by level, and dependencies
-    backward, for all sources at once."""
-    e = edges.select("src", "dst").filter("src <> dst").distinct()
-    ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    level = stored(ids.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
-    levels = [level]
-    seen = level
-    while True:
-        nxt = levels[-1].join(e.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v").groupBy("s", "w").agg(F.sum("sigma").alias("sigma"))
-        nxt = nxt.withColumnRenamed("w", "v").join(seen.select("s", "v"), ["s", "v"], "left_anti")
-        nxt = stored(nxt.select("s", "v", F.lit(len(levels)).alias("d"), "sigma"))
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        seen = seen.union(nxt)
-    delta = levels[-1].withColumn("delta", F.lit(0.0))
-    total = delta.select("s", "v", "delta")
-    for up in reversed(levels[:-1]):
-        down = delta.select("s", F.col("v").alias("w"), F.col("sigma").alias("sigma_w"), "delta")
-        part = up.join(e.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v").join(down, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("sigma") / F.col("sigma_w") * (1 + F.col("delta"))).alias("delta"))
-        delta = stored(up.join(part, ["s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))))
-        total = total.union(delta.select("s", "v", "delta"))
-    score = total.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("score"))
-    return ids.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+#: Sources whose state a node holds at a time.
+SOURCES = 32
+
+
+def _each(f, n: int = SOURCES) -> Column:
+    return F.array(*(f(i) for i in range(n)))
+
+
+def _batches(nodes: DataFrame, batch: int = SOURCES):
+    """Of nodes(id), a batch of sources at a time: (id, place in the batch)."""
+    placed = stored(surrogate_ids(nodes.select("id").distinct(), ["id"], 0, "__at"))
+    for b in range(-(-placed.count() // batch)):
+        yield placed.filter(F.expr(f"__at div {batch} = {b}")).select("id", (F.col("__at") % batch).cast("int").alias("i"))
+    forget(placed)
+
+
+def _watched(df: DataFrame, **values: Column) -> tuple[DataFrame, dict]:
+    """df as a table in the shared folder, and aggregates of its rows, found while it is written."""
+    seen = Observation()
+    return stored(df.observe(seen, *(v.alias(k) for k, v in values.items()))), seen.get
+
+
+def weighted_paths(edges: DataFrame, sources: DataFrame | None = None, delta: float | None = None, batch: int = SOURCES) -> DataFrame:
+    """(src, dst, distance) with least sums of weight, from the given sources or all. Delta-stepping: a
+    node's state is an array of distances, one for each source of a batch, and marks of those that are
+    shorter than when they were last passed on; in a step, marked distances of the lowest bucket of width
+    `delta` (the mean weight, unless given) are passed along the edges. Weights must not be negative; edges
+    without a weight are none. Rows for pairs are only made of the final state."""
+    e = edges.filter("src <> dst and weight is not null").groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
+    e, known = _watched(e, mean=F.avg("weight"), low=F.min("weight"))
+    if known["low"] is not None and known["low"] < 0:
+        raise ValueError("weights must not be negative")
+    width = delta or known["mean"] or 1.0
+    far = F.lit(float("inf"))
+    least = F.array_min(F.zip_with("d", "todo", lambda d, t: F.when(t, d)))
+    start = sources.select("id") if sources is not None else e.select(F.col("src").alias("id"))
+    found = []
+    for own in _batches(start, batch):
+        at = own.select("id", _each(lambda i: F.when(F.col("i") == i, F.lit(0.0)).otherwise(far), batch).alias("d"), _each(lambda i: F.col("i") == i, batch).alias("todo"))
+        state, seen = _watched(at, low=F.min(least))
+        while seen["low"] is not None:
+            limit = F.lit((seen["low"] // width + 1) * width)
+            passed = lambda x, t: t & (x < limit)
+            now = state.filter(F.exists(F.zip_with("d", "todo", passed), lambda x: x))
+            step = now.select(F.col("id").alias("src"), F.zip_with("d", "todo", lambda x, t: F.when(passed(x, t), x)).alias("d")).join(e, "src")
+            step = step.groupBy(F.col("dst").alias("id")).agg(_each(lambda i: F.min(F.col("d")[i] + F.col("weight")), batch).alias("new"))
+            kept = state.select("id", "d", F.zip_with("d", "todo", lambda x, t: t & ~(x < limit)).alias("todo"))
+            both = kept.join(step, "id", "full").select("id", *(F.coalesce(c, _each(lambda i, z=z: z, batch)).alias(c) for c, z in (("d", far), ("new", far), ("todo", F.lit(False)))))
+            both = both.withColumn("new", F.transform("new", lambda x: F.coalesce(x, far)))
+            shorter = F.zip_with("d", "new", lambda x, y: y < x)
+            both = both.select("id", F.zip_with("d", "new", lambda x, y: F.least(x, y)).alias("d"), F.zip_with("todo", shorter, lambda x, y: x | y).alias("todo"))
+            old, (state, seen) = state, _watched(both, low=F.min(least))
+            forget(old)
+        pairs = state.select(F.col("id").alias("dst"), F.posexplode("d").alias("i", "distance")).filter(F.col("distance") < far)
+        found.append(stored(pairs.join(own.select(F.col("id").alias("src"), "i"), "i").filter("src <> dst").select("src", "dst", "distance")))
+        forget(state)
+    forget(e)
+    if not found:
+        return edges.select("src", "dst", F.lit(0.0).alias("distance")).limit(0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, batch: int = SOURCES) -> DataFrame:
+    """(id, score) of a directed graph: on how many shortest paths between two other nodes a node lies, in
+    parts where there are several; of paths from the given sources only, or from all nodes. For a batch of
+    sources, a node's state is one bit a source, and at the level where it is met its path counts; these tables
+    of the levels are read again backward, to add up what each node lends to those before it."""
+    e = stored(edges.select("src", "dst").filter("src <> dst").distinct())
+    ids = stored(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+    start = ids if sources is None else sources.select("id").join(ids, "id", "left_semi")
+    bit = [F.lit(1 << i).cast("bigint") for i in range(batch)]
+    has = lambda mask, i: F.col(mask).bitwiseAND(bit[i]) != 0
+    add = lambda c, name: _each(lambda i: F.sum(F.col(c)[i]), batch).alias(name)
+    scores = []
+    for own in _batches(start, batch):
+        at = own.select("id", F.expr("shiftleft(1L, i)").alias("met"), _each(lambda i: (F.col("i") == i).cast("double"), batch).alias("paths"))
+        levels = [stored(at.select("id", "met", F.col("met").alias("new"), "paths"))]
+        while True:
+            front = levels[-1].filter("new <> 0").select(F.col("id").alias("src"), "paths")
+            step = front.join(e, "src").groupBy(F.col("dst").alias("id")).agg(add("paths", "come"))
+            both = levels[-1].select("id", "met").join(step, "id", "full").withColumn("met", F.coalesce("met", F.lit(0).cast("bigint")))
+            fresh = [(F.coalesce(F.col("come")[i], F.lit(0.0)) > 0) & ~has("met", i) for i in range(batch)]
+            new = sum((F.when(f, b).otherwise(F.lit(0).cast("bigint")) for f, b in zip(fresh[1:], bit[1:], strict=True)), F.when(fresh[0], bit[0]).otherwise(F.lit(0).cast("bigint")))
+            both = both.withColumn("new", new)
+            both = both.select("id", F.col("met").bitwiseOR(F.col("new")).alias("met"), "new", F.when(F.col("new") != 0, _each(lambda i: F.when(has("new", i), F.col("come")[i]).otherwise(F.lit(0.0)), batch)).alias("paths"))
+            level, seen = _watched(both, n=F.sum((F.col("new") != 0).cast("bigint")))
+            if not seen["n"]:
+                forget(level)
+                break
+            levels.append(level)
+        lent, parts = None, []
+        for k in range(len(levels) - 1, 0, -1):  # a source itself is between nothing
+            here = levels[k].filter("new <> 0").select("id", "paths")
+            if lent is None:
+                here = here.withColumn("d", _each(lambda i: F.lit(0.0), batch))
+            else:
+                come = e.join(lent, "dst").groupBy(F.col("src").alias("id")).agg(add("c", "come"))
+                here = here.join(come, "id", "left").select("id", "paths", F.coalesce(F.zip_with("paths", "come", lambda p, c: p * c), _each(lambda i: F.lit(0.0), batch)).alias("d"))
+            here = stored(here)
+            parts.append(here)
+            lent = here.select(F.col("id").alias("dst"), F.zip_with("paths", "d", lambda p, d: F.when(p > 0, (1 + d) / p).otherwise(F.lit(0.0))).alias("c"))
+        if parts:
+            total = parts[0]
+            for p in parts[1:]:
+                total = total.union(p)
+            scores.append(stored(total.select("id", F.aggregate("d", F.lit(0.0), lambda s, x: s + x).alias("score")).groupBy("id").agg(F.sum("score").alias("score"))))
+        forget(*levels, *parts)
+    if not scores:
+        return ids.withColumn("score", F.lit(0.0))
+    total = scores[0]
+    for s in scores[1:]:
+        total = total.union(s)
+    return ids.join(total.groupBy("id").agg(F.sum("score").alias("score")), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
@@ -185,38 +262,35 @@ def flagged(stats: DataFrame) -> DataFrame:
     return stats.withColumn("flags", F.array_compact(F.array(*tests)))
 
 
-def distance_counts(edges: DataFrame, sources: DataFrame | None = None, batch: int = 256) -> DataFrame:
-    """(distance, n): how many ordered pairs are so far apart. Sources go in batches; in each, a node's state
-    is one bit a source, so a level is one join of the frontier with the edges and one aggregate, and memory
-    is a node's few bytes, not a row for each pair."""
+def distance_counts(edges: DataFrame, sources: DataFrame | None = None, batch: int = 256, most: int | None = None) -> DataFrame:
+    """(distance, n): how many ordered pairs are so far apart, of distances up to `most` if given. Sources go in batches; in each, a node's state
+    is one bit a source, so a level is one join of the nodes met last with the edges and one aggregate, and
+    memory is a node's few bytes, not a row for each pair. Bits are counted while a level is written."""
     spark = edges.sparkSession
     e = stored(edges.select("src", "dst").filter("src <> dst").distinct())
-    start = (e.select(F.col("src").alias("id")).distinct() if sources is None else sources.select("id").distinct())
-    start = stored(surrogate_ids(start, ["id"], 0, "__at"))
-    n, words = start.count(), batch // 64
-    each = lambda f: F.array(*(f(w) for w in range(words)))
-    found: list[DataFrame] = []
-    for b in range(-(-n // batch)):
-        own = start.filter((F.col("__at") >= b * batch) & (F.col("__at") < (b + 1) * batch))
-        bit = F.col("__at") % batch
-        seen = stored(own.select("id", each(lambda w: F.when(F.floor(bit / 64) == w, F.shiftleft(F.lit(1).cast("bigint"), 1) * 0 + F.expr(f"shiftleft(1L, cast((__at % {batch}) % 64 as int))")).otherwise(F.lit(0).cast("bigint"))).alias("seen")).withColumn("new", F.col("seen")))
-        k = 0
-        while True:
+    start = e.select(F.col("src").alias("id")) if sources is None else sources.select("id")
+    found: dict[int, int] = {}
+    zero = F.lit(0).cast("bigint")
+    for own in _batches(start, batch):
+        words = -(-own.count() // 64)
+        each = lambda f, n=words: _each(f, n)
+        mine = each(lambda w: F.when(F.expr(f"i div 64 = {w}"), F.expr("shiftleft(1L, i % 64)")).otherwise(zero))
+        seen = stored(own.select("id", mine.alias("seen"), mine.alias("new")))
+        k, more = 0, True
+        while more and (most is None or k < most):
             k += 1
             step = e.join(seen.filter(F.exists("new", lambda x: x != 0)).select(F.col("id").alias("src"), "new"), "src")
-            step = step.groupBy(F.col("dst").alias("id")).agg(each(lambda w: F.bit_or(F.col("new")[w])).alias("in"))
-            both = seen.select("id", "seen").join(step, "id", "full")
-            zero = each(lambda w: F.lit(0).cast("bigint"))
-            both = both.select("id", F.coalesce("seen", zero).alias("was"), F.coalesce("in", zero).alias("in"))
-            seen = stored(both.select("id", F.zip_with("was", "in", lambda x, y: x.bitwiseOR(y)).alias("seen"), F.zip_with("was", "in", lambda x, y: F.bitwise_not(x).bitwiseAND(y)).alias("new")))
-            more = seen.agg(F.sum(F.aggregate("new", F.lit(0), lambda s, x: s + F.bit_count(x))).cast("bigint").alias("n")).first()[0]
-            if not more:
-                break
-            found.append((k, more))
-    rows = {}
-    for k, m in found:
-        rows[k] = rows.get(k, 0) + m
-    return spark.createDataFrame(sorted(rows.items()), "distance int, n bigint")  # a row for each distance
+            step = step.groupBy(F.col("dst").alias("id")).agg(each(lambda w: F.bit_or(F.col("new")[w])).alias("come"))
+            both = seen.select("id", "seen").join(step, "id", "full").select("id", *(F.coalesce(c, each(lambda w: zero)).alias(c) for c in ("seen", "come")))
+            both = both.select("id", F.zip_with("seen", "come", lambda x, y: x.bitwiseOR(y)).alias("seen"), F.zip_with("seen", "come", lambda x, y: F.bitwise_not(x).bitwiseAND(y)).alias("new"))
+            old, (seen, got) = seen, _watched(both, n=F.sum(F.aggregate("new", zero, lambda s, x: s + F.bit_count(x))))
+            forget(old)
+            more = bool(got["n"])
+            if more:
+                found[k] = found.get(k, 0) + got["n"]
+        forget(seen)
+    forget(e)
+    return spark.createDataFrame(sorted(found.items()), "distance int, n bigint")  # a row for each distance
 
 
 def negative_edges(edges: DataFrame, k: int = 1, seed: int = 7, shared: bool = False) -> DataFrame:

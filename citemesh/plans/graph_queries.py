@@ -182,8 +182,14 @@ def describe_sampled(spark, sf):
 @query(f"""WITH RECURSIVE {TRADE}, p AS (SELECT src, dst, 1 AS d FROM trade UNION SELECT p.src, t.dst, p.d + 1 FROM p JOIN trade t ON p.dst = t.src WHERE p.d < 12),
 m AS (SELECT src, dst, min(d) AS d FROM p WHERE src <> dst GROUP BY 1, 2) SELECT max(d)::BIGINT AS diameter, round(avg(d::DOUBLE), 6) AS mean_distance, count(*) AS pairs FROM m""")
 def apsp_diameter(spark, sf):
-    p = A.shortest_paths(trade(spark, sf))
-    return p.agg(F.max("distance").cast("bigint").alias("diameter"), r6(F.avg(F.col("distance").cast("double"))).alias("mean_distance"), F.count("*").alias("pairs"))
+    d = A.distance_counts(trade(spark, sf))
+    return d.agg(F.max("distance").cast("bigint").alias("diameter"), r6(F.sum(F.col("distance") * F.col("n")).cast("double") / F.sum("n")).alias("mean_distance"), F.sum("n").alias("pairs"))
+
+
+@query(f"""WITH RECURSIVE {FLOW}, p AS (SELECT src AS start, dst AS node, 1 AS d FROM flow UNION SELECT p.start, f.dst, p.d + 1 FROM p JOIN flow f ON f.src = p.node WHERE p.d < 3),
+m AS (SELECT start, node, min(d) AS d FROM p WHERE start <> node GROUP BY ALL) SELECT d::INTEGER AS distance, count(*) AS n FROM m WHERE d < 3 GROUP BY ALL""")
+def flow_distances(spark, sf):
+    return A.distance_counts(flow(spark, sf), batch=2048, most=2)
 
 
 @query(f"""WITH RECURSIVE {TRADE}, e AS (SELECT src, dst, abs(src - dst)::DOUBLE AS w FROM trade),
@@ -193,12 +199,33 @@ def weighted_paths(spark, sf):
     return A.weighted_paths(trade(spark, sf).select("src", "dst", F.abs(F.col("src") - F.col("dst")).cast("double").alias("weight")))
 
 
-@query()
+# flow goes from smaller to larger parts, so each path's length is the ends' difference: what differs is who is reached
+@query(f"""WITH RECURSIVE {FLOW}, s AS (SELECT p_partkey AS src FROM part WHERE p_size = 50 ORDER BY p_retailprice, p_partkey LIMIT 8),
+r AS (SELECT src, src AS dst FROM s UNION SELECT r.src, f.dst FROM r JOIN flow f ON f.src = r.dst) SELECT src, dst, (dst - src)::DOUBLE AS distance FROM r WHERE src <> dst""")
+def flow_paths(spark, sf):
+    start = table(spark, sf, "part").filter("p_size = 50").orderBy("p_retailprice", "p_partkey").limit(8).select(F.col("p_partkey").alias("id"))
+    return A.weighted_paths(flow(spark, sf).withColumn("weight", (F.col("dst") - F.col("src")).cast("double")), start, 50.0)
+
+
+# a node's score is the sum over pairs of the share of their shortest paths that pass it
+@query(f"""WITH RECURSIVE {TRADE}, e AS (SELECT src, dst FROM trade), r AS (SELECT src AS s, dst AS v, 1 AS d FROM e UNION SELECT r.s, e.dst, r.d + 1 FROM r JOIN e ON e.src = r.v WHERE r.d < 12),
+dist AS (SELECT s, v, min(d) AS d FROM r WHERE s <> v GROUP BY ALL),
+p AS (SELECT src AS s, dst AS v, 1 AS d, 1::DOUBLE AS n FROM e UNION ALL SELECT p.s, e.dst, p.d + 1, sum(p.n) FROM p JOIN e ON e.src = p.v JOIN dist ON dist.s = p.s AND dist.v = e.dst AND dist.d = p.d + 1 GROUP BY p.s, e.dst, p.d),
+b AS (SELECT x.v AS id, sum(x.n * y.n / z.n) AS score FROM p x JOIN p y ON y.s = x.v JOIN p z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d GROUP BY 1),
+a AS (SELECT id, coalesce(score, 0) AS score FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) LEFT JOIN b USING (id))
+SELECT id, round((score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0), 6) AS score FROM a""")
 def betweenness(spark, sf):
     b = A.betweenness(trade(spark, sf))
     return R.minmax_scaled(b, ["score"]).select("id", r6("score").alias("score"))
 
 
+@query()
+def flow_betweenness(spark, sf):
+    """On the shortest paths from a few parts, in the graph of all orders."""
+    start = table(spark, sf, "part").filter("p_size = 50").orderBy("p_retailprice", "p_partkey").limit(8).select(F.col("p_partkey").alias("id"))
+    return A.betweenness(flow(spark, sf), start).select("id", r6("score").alias("score"))
+
+
 @query()
 def louvain(spark, sf):
     return A.louvain(flow(spark, sf))

@@ -188,6 +188,59 @@ def test_paths_and_betweenness(spark):
     assert {tuple(r) for r in A.betweenness(e).collect()} == {(1, 0.0), (2, 2.0), (3, 2.0), (4, 0.0)}
 
 
+def test_paths_in_batches(spark):
+    """Scores and distances of random graphs, sources in batches, by brute force."""
+    import random
+    from collections import deque
+    from heapq import heappop, heappush
+
+    r = random.Random(8)
+    rows = [(r.randint(0, 13), r.randint(0, 13), r.choice([0.0, 1.0, 2.5, 7.0, None])) for _ in range(45)]
+    e = spark.createDataFrame(rows, "src int, dst int, weight double")
+    near = {i: sorted({b for a, b, _ in rows if a == i and b != i}) for i in range(14)}
+    ids = {x for a, b, _ in rows if a != b for x in (a, b)}
+
+    def brandes(sources):
+        score = dict.fromkeys(ids, 0.0)
+        for s in sources:
+            d, n, order, todo = {s: 0}, {s: 1}, [], deque([s])
+            while todo:
+                v = todo.popleft()
+                order.append(v)
+                for w in near[v]:
+                    if w not in d:
+                        d[w], n[w] = d[v] + 1, 0
+                        todo.append(w)
+                    if d[w] == d[v] + 1:
+                        n[w] += n[v]
+            lent = dict.fromkeys(order, 0.0)
+            for v in reversed(order):
+                lent[v] = sum(n[v] / n[w] * (1 + lent[w]) for w in near[v] if d[w] == d[v] + 1)
+                score[v] += lent[v] if v != s else 0
+        return {k: round(v, 9) for k, v in score.items()}
+
+    assert {x.id: round(x.score, 9) for x in A.betweenness(e, batch=8).collect()} == brandes(ids)
+    some = spark.createDataFrame([(1,), (5,), (99,)], "id int")
+    assert {x.id: round(x.score, 9) for x in A.betweenness(e, some).collect()} == brandes({1, 5} & ids)
+
+    want = {}
+    for s in {a for a, b, w in rows if w is not None and a != b}:
+        best, heap = {}, [(0.0, s)]
+        while heap:
+            x, v = heappop(heap)
+            if v not in best:
+                best[v] = x
+                for a, b, w in rows:
+                    if a == v and w is not None and a != b:
+                        heappush(heap, (x + w, b))
+        want |= {(s, v): x for v, x in best.items() if v != s}
+    assert {(x.src, x.dst): x.distance for x in A.weighted_paths(e, None, 1.5, 8).collect()} == want
+    assert {(x.src, x.dst): x.distance for x in A.weighted_paths(e, some).collect()} == {k: v for k, v in want.items() if k[0] in (1, 5)}
+    assert A.weighted_paths(e, some.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        A.weighted_paths(spark.createDataFrame([(1, 2, -1.0)], "src int, dst int, weight double"))
+
+
 def test_describe_and_distances(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2)], "src int, dst int")
     assert {tuple(r) for r in A.distance_counts(e).collect()} == {(1, 4), (2, 4), (3, 1)}
