@@ -7,179 +7,289 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .relational import surrogate_ids
+from .storage import forget, stored
 
 
-def _mst(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
-    """Minimum spanning tree of mutual reachability (Prim, one row of distances at a time)."""
+#: Rows of a group that one task compares with so many others at a time.
+BLOCK = 4096
+
+
+def _core(x: np.ndarray, k: int) -> np.ndarray:
+    """Distance to the k-th nearest row, itself being the first."""
+    return np.array([np.partition(np.sqrt(((x - p) ** 2).sum(axis=1)), k - 1)[k - 1] for p in x])
+
+
+def _mst(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, a, b) of the minimum spanning tree of mutual reachability, a < b, by Prim with one row of
+    distances at a time. Of equal weights the edge with the smaller ends counts as lighter, so there is one
+    tree, and a part's tree holds all that the whole's tree has within the part."""
     n = len(x)
-    best, near, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    out, at = [], 0
-    for _ in range(n - 1):
+    best, low, high, done = np.full(n, np.inf), np.full(n, n), np.full(n, n), np.zeros(n, bool)
+    weight, a, b, at = np.empty(max(n - 1, 0)), np.empty(max(n - 1, 0), int), np.empty(max(n - 1, 0), int), 0
+    place = np.arange(n)
+    for i in range(n - 1):
         done[at] = True
         d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), core), core[at])
-        closer = ~done & (d < best)
-        best[closer], near[closer] = d[closer], at
-        at = int(np.where(done, np.inf, best).argmin())
-        out.append((float(best[at]), int(near[at]), at))
-    return sorted(out)
-
+        lo, hi = np.minimum(place, at), np.maximum(place, at)
+        nearer = ~done & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
+        best[nearer], low[nearer], high[nearer] = d[nearer], lo[nearer], hi[nearer]
+        open_ = np.where(done, np.inf, best)
+        ties = np.flatnonzero(open_ == open_.min())
+        at = int(ties[np.lexsort((high[ties], low[ties]))[0]])
+        weight[i], a[i], b[i] = best[at], low[at], high[at]
+    order = np.lexsort((b, a, weight))
+    return weight[order], a[order], b[order]
+
+
+def condensed(n: int, weight: np.ndarray, a: np.ndarray, b: np.ndarray, core: np.ndarray, least: int) -> dict[str, np.ndarray | dict]:
+    """From a spanning tree's edges in rising order (ends are places 0 to n - 1): labels (-1 is noise),
+    probabilities, outlier scores (how much earlier than the last of its cluster a row leaves it), and each
+    cluster's persistence (its excess of mass, as a share of what it could be). The single linkage tree is condensed to
+    clusters of `least` rows, and those of the largest excess of mass are taken. Linear memory: a few numbers a
+    row."""
+    labels, prob, outlier = np.full(n, -1), np.zeros(n), np.zeros(n)
+    if n < max(2, least):
+        return {"labels": labels, "probabilities": prob, "outliers": outlier, "persistence": {}}
+    lam = lambda d: 1 / d if d > 0 else 1e12
+    up, top = list(range(n)), list(range(n))
+    size, kids, dist = [1] * n, [], []
 
-def density_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
-    """(labels, probabilities, persistence): condensed tree of the single linkage on mutual reachability,
-    clusters chosen by excess of mass; -1 is noise. Quadratic in time, linear in memory."""
-    n = len(x)
-    labels, prob = np.full(n, -1), np.zeros(n)
-    k = min(min_samples or min_cluster_size, n)
-    if n < max(2, min_cluster_size):
-        return labels, prob, {}
-    core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(axis=1)), k - 1)[k - 1] for p in x])
-    parent, kids, dist, size, top = list(range(n)), {}, {}, {i: 1 for i in range(n)}, list(range(n))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
         return i
 
-    for d, a, b in _mst(x, core):
-        a, b = root(a), root(b)
-        new = n + len(kids)
-        kids[new], dist[new], size[new] = (top[a], top[b]), d, size[top[a]] + size[top[b]]
-        parent[b] = a
-        top[a] = new
-    whole = n + len(kids) - 1
-    lam = lambda d: 1 / d if d > 0 else 1e12
-
-    def leaves(v):
-        out, todo = [], [v]
-        while todo:
-            v = todo.pop()
-            if v < n:
-                out.append(v)
-            else:
-                todo += kids[v]
-        return out
-
-    birth, points, children, todo = {whole: 0.0}, {whole: []}, {whole: []}, [(whole, whole)]
-    while todo:  # v: a node of the linkage inside cluster c
+    for w, p, q in zip(weight.tolist(), a.tolist(), b.tolist(), strict=True):
+        p, q = root(p), root(q)
+        kids.append((top[p], top[q]))
+        dist.append(w)
+        size.append(size[top[p]] + size[top[q]])
+        if size[top[p]] < size[top[q]]:
+            p, q = q, p
+        up[q] = p
+        top[p] = len(size) - 1
+    whole = 2 * n - 2
+    # each row leaves the cluster it is in at some level; a cluster ends where it falls into two
+    left, home = np.zeros(n), np.full(n, whole)
+    birth, parent, children, todo = {whole: 0.0}, {whole: None}, {whole: []}, [(whole, whole)]
+    while todo:  # a node of the linkage within a cluster
         v, c = todo.pop()
         if v < n:
-            points[c].append((v, lam(core[v])))
+            left[v], home[v] = lam(core[v]), c
             continue
-        at, (a, b) = lam(dist[v]), kids[v]
-        big = [u for u in (a, b) if size[u] >= min_cluster_size]
+        at, pair = lam(dist[v - n]), kids[v - n]
+        big = [u for u in pair if size[u] >= least]
         if len(big) == 2:
-            for u in big:
-                birth[u], points[u], children[u] = at, [], []
+            for u in sorted(pair):
+                birth[u], parent[u], children[u] = at, c, []
                 children[c].append(u)
                 todo.append((u, u))
-        else:
-            for u in (a, b):
-                if u in big:
-                    todo.append((u, c))
+            continue
+        for u in pair:
+            if u in big:
+                todo.append((u, c))
+                continue
+            inside = [u]
+            while inside:
+                u = inside.pop()
+                if u < n:
+                    left[u], home[u] = at, c
                 else:
-                    points[c] += [(p, at) for p in leaves(u)]
+                    inside += kids[u - n]
     order = sorted(birth)  # children before parents
-    split = {c: birth[children[c][0]] if children[c] else None for c in birth}
-    total = {c: len(leaves(c)) for c in birth}
+    number = {c: i for i, c in enumerate(order)}
+    of = np.array([number[c] for c in home.tolist()])
+    begun = np.array([birth[c] for c in order])
+    mass = np.bincount(of, weights=np.maximum(0.0, left - begun[of]), minlength=len(order))
+    most = np.zeros(len(order))
+    np.maximum.at(most, of, left)
+    first = np.full(len(order), n)
+    np.minimum.at(first, of, np.arange(n))
     stab, chosen = {}, {}
-    for c in order:
-        own = sum(max(0.0, at - birth[c]) for _, at in points[c]) + sum((split[c] - birth[c]) * total[u] for u in children[c])
+    for i, c in enumerate(order):
+        for u in children[c]:
+            mass[i] += (birth[u] - birth[c]) * size[u]
+            most[i] = max(most[i], most[number[u]])
+            first[i] = min(first[i], first[number[u]])
         below = sum(stab[u] for u in children[c])
-        chosen[c] = own >= below if c != whole else False
-        stab[c] = own if chosen[c] else below
-    final, todo = [], [whole]
-    while todo:
-        c = todo.pop()
-        if chosen[c]:
-            final.append(c)
-        else:
-            todo += children[c]
-    persistence = {}
-    for i, c in enumerate(sorted(final, key=lambda c: min(leaves(c)))):
-        inside, todo = [], [c]
-        while todo:
-            u = todo.pop()
-            inside += points[u]
-            todo += children[u]
-        most = max(at for _, at in inside)
-        for p, at in inside:
-            labels[p], prob[p] = i, at / most if most else 1.0
-        persistence[i] = float(stab[c])
-    return labels, prob, persistence
-
-
-def hdbscan(df: DataFrame, group: str, key: str, vector: str, min_cluster_size: int = 5, min_samples: int | None = None, most: int = 20_000) -> DataFrame:
-    """(group, key, label, probability). A group (a year) of at most `most` rows is clustered exactly, in one
-    task. Of a larger one so many rows, chosen by a hash of the key, are clustered; the others, in blocks of
-    as many, take the label and probability of their nearest clustered row (noise, if that is noise)."""
+        chosen[c] = mass[i] >= below and c != whole
+        stab[c] = mass[i] if chosen[c] else below
+    under = {}  # the chosen cluster that a cluster is part of
+    for c in reversed(order):
+        above = under.get(parent[c], -1)
+        under[c] = above if above != -1 else c if chosen[c] else -1
+    final = sorted((c for c in order if under[c] == c), key=lambda c: first[number[c]])
+    label = {c: i for i, c in enumerate(final)}
+    mine = np.array([label.get(under[c], -1) for c in order])
+    labels = mine[of]
+    ends = np.array([most[number[c]] for c in final])
+    inside = labels >= 0
+    prob[inside] = np.divide(left[inside], ends[labels[inside]], out=np.ones(inside.sum()), where=ends[labels[inside]] > 0)
+    held, peak = np.bincount(labels[inside], minlength=len(final)), left.max()
+    outlier = np.where(most[of] > 0, (most[of] - left) / np.where(most[of] > 0, most[of], 1.0), 0.0)
+    return {"labels": labels, "probabilities": prob, "outliers": outlier, "persistence": {i: float(stab[c] / (held[i] * peak)) if peak > 0 else 1.0 for i, c in enumerate(final)}}
+
+
+def density_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """(labels, probabilities, persistence) of rows in one place. Quadratic in time, linear in memory."""
+    n = len(x)
+    core = _core(x, min(min_samples or min_cluster_size, n)) if n else np.zeros(0)
+    out = condensed(n, *_mst(x, core), core, min_cluster_size)
+    return out["labels"], out["probabilities"], out["persistence"]
+
+
+def _tiles(rows: DataFrame, within: bool = True) -> DataFrame:
+    """rows(g, i, p, v), i counting a group's rows: those of each two blocks of BLOCK, under (g, t1, t2)."""
+    sizes = rows.groupBy("g").agg(F.max("i").alias("__last"))
+    block = F.floor(F.col("i") / BLOCK).cast("int")
+    each = rows.join(sizes, "g").withColumn("own", block)
+    other = F.explode(F.sequence(F.lit(0), F.floor(F.col("__last") / BLOCK).cast("int")))
+    each = each.select("*", other.alias("other")).drop("__last")
+    return each.select("g", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), *(c for c in rows.columns if c != "g"), "own")
+
+
+def core_distances(rows: DataFrame, k: int) -> DataFrame:
+    """(g, i, core) of rows(g, i, v): each two blocks of a group are one task's work, which gives a row's k
+    least distances there; the k least of all are merged."""
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x, own, t1, t2 = np.array(pdf["v"].tolist(), float), pdf["own"].to_numpy(), pdf["t1"].iloc[0], pdf["t2"].iloc[0]
+        ids, out = pdf["i"].to_numpy(), []
+        for a, b in {(t1, t2), (t2, t1)}:
+            there = x[own == b]
+            for i, p in zip(ids[own == a], x[own == a], strict=True):
+                d = np.sqrt(((there - p) ** 2).sum(axis=1))
+                out.append((i, np.sort(np.partition(d, min(k, len(d)) - 1)[:k])))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(out), "i": [i for i, _ in out], "d": [d for _, d in out]})
+
+    found = _tiles(rows).groupBy("g", "t1", "t2").applyInPandas(near, "g bigint, i bigint, d array<double>")
+    merged = found.groupBy("g", "i").agg(F.flatten(F.collect_list("d")).alias("d"))  # k for each block of the group
+    return merged.select("g", "i", F.element_at(F.array_sort("d"), F.least(F.lit(k), F.size("d"))).alias("core"))
+
+
+def spanning_edges(rows: DataFrame) -> DataFrame:
+    """(g, a, b, w) of rows(g, i, core, v): the trees of each two blocks, which hold all edges of the group's
+    tree (an edge that is heaviest on a cycle in a part is so in the whole)."""
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        w, a, b = _mst(np.array(pdf["v"].tolist(), float), pdf["core"].to_numpy())
+        ids = pdf["i"].to_numpy()
+        return pd.DataFrame({"g": np.full(len(w), pdf["g"].iloc[0]), "a": ids[a], "b": ids[b], "w": w})
+
+    return _tiles(rows).groupBy("g", "t1", "t2").applyInPandas(tree, "g bigint, a bigint, b bigint, w double").distinct()
+
+
+def minimum_forest(edges: DataFrame) -> DataFrame:
+    """The edges of each group's minimum spanning tree, of edges(g, a, b, w), a < b, by Boruvka's rounds: each
+    component takes its lightest edge to another one (ties by the ends), joined components get one name, and
+    edges within one go. Rounds are tables in the shared folder; components halve at least."""
+    rest = stored(edges.select("g", "a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
+    taken = []
+    while not rest.isEmpty():
+        light = F.min(F.struct("w", "a", "b", "to")).alias("e")
+        ends = rest.select("g", "w", "a", "b", F.col("x").alias("c"), F.col("y").alias("to")).union(rest.select("g", "w", "a", "b", F.col("y"), F.col("x")))
+        best = stored(ends.groupBy("g", "c").agg(light).select("g", "c", "e.*"))
+        taken.append(stored(best.select("g", "a", "b", "w").distinct()))
+        # two components that take one edge are a root: the smaller; all others hang on to whom they reach
+        back = best.select("g", F.col("c").alias("to"), F.col("to").alias("back"))
+        up = stored(best.join(back, ["g", "to"], "left").select("g", "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")))
+        while True:
+            above = up.select("g", F.col("c").alias("up"), F.col("up").alias("top"))
+            new = stored(up.join(above, ["g", "up"]).select("g", "c", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            still = new.filter("moved").isEmpty()
+            forget(up)
+            up = new.drop("moved")
+            up._stored_path = new._stored_path
+            if still:
+                break
+        name = lambda end: up.select("g", F.col("c").alias(end), F.col("up").alias(f"{end}2"))
+        new = stored(rest.join(name("x"), ["g", "x"]).join(name("y"), ["g", "y"]).filter("x2 <> y2").select("g", "a", "b", "w", F.col("x2").alias("x"), F.col("y2").alias("y")))
+        forget(rest, best, up)
+        rest = new
+    forget(rest)
+    out = edges.limit(0) if not taken else taken[0]
+    for t in taken[1:]:
+        out = out.union(t)
+    return out.select("g", "a", "b", "w")
+
+
+def hdbscan(df: DataFrame, group: str, key: str, vector: str, min_cluster_size: int = 5, min_samples: int | None = None, scores: bool = False) -> DataFrame:
+    """(group, key, label, probability), with scores also outlier_score and the cluster's persistence (null
+    for noise). Exact at any size: rows are numbered within their group; a group of up to BLOCK rows is one
+    task's work; of larger ones, core distances and spanning trees are found by tasks of two blocks, and the
+    group's tree by rounds of joins. What one task gets of such a group is its tree in rising order: three numbers
+    a row, no vectors. A row without a vector is noise, with probability 0. Rows of one key are rows of
+    their own."""
     t = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
-    schema = f"{group} {t[group]}, {key} {t[key]}, label int, probability double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        labels, prob, _ = density_labels(np.array(pdf[vector].tolist(), float), min_cluster_size, min_samples)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "label": labels.astype("int32"), "probability": prob})
-
-    rows = df.select(group, key, vector)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    large = [r[0] for r in sizes.filter(F.col("__n") > most).select(group).collect()]  # a row for each large group
-    if not large:
-        return rows.groupBy(group).applyInPandas(fit, schema)
-    sized = rows.join(sizes, group).withColumn("__u", F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    inside = F.col("__u") < F.lit(float(most)) / F.col("__n")
-    fitted = stored(sized.filter(inside).select(group, key, vector).groupBy(group).applyInPandas(fit, schema))
-    rest = stored(sized.filter(~inside).select(group, F.floor(F.col("__u") * F.col("__n") / most).cast("int").alias("__b"), key, vector))
-    known = stored(fitted.join(rows, [group, key]).join(rest.select(group, "__b").distinct(), group))
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({group: a[group], key: a[key], "label": np.full(len(a), -1, "int32"), "probability": np.zeros(len(a))})
-        x, y = np.array(a[vector].tolist(), float), np.array(b[vector].tolist(), float)
-        at = np.concatenate([_argmin(x[i : i + 256], y) for i in range(0, len(x), 256)])
-        return pd.DataFrame({group: a[group].to_numpy(), key: a[key].to_numpy(), "label": b["label"].to_numpy()[at], "probability": b["probability"].to_numpy()[at]})
-
-    others = rest.groupBy(group, "__b").cogroup(known.groupBy(group, "__b")).applyInPandas(nearest, schema)
-    return fitted.unionByName(others)
-
-
-def _argmin(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each x the place of the nearest y, a slice of y at a time."""
-    best, at = np.full(len(x), np.inf), np.zeros(len(x), int)
-    for j in range(0, len(y), 4096):
-        d = ((x[:, None] - y[None, j : j + 4096]) ** 2).sum(axis=2)
-        m = d.argmin(axis=1)
-        near = d[np.arange(len(x)), m]
-        at, best = np.where(near < best, m + j, at), np.minimum(near, best)
-    return at
+    extra = ", outlier_score double, persistence double"
+    rows = df.select(F.col(group).alias("gk"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    bare = rows.filter("v is null").select(F.col("gk").alias(group), F.col("k").alias(key), F.lit(-1).alias("label"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("outlier_score"), F.lit(None).cast("double").alias("persistence"))
+    known = rows.filter("v is not null")
+    groups = stored(surrogate_ids(known.groupBy("gk").agg(F.count("*").alias("n")), ["gk"], 0, "g"))
+    placed = stored(known.join(groups.withColumnRenamed("gk", "__gk"), F.col("gk").eqNullSafe(F.col("__gk"))).drop("__gk"))
+
+    def finish(g: pd.DataFrame, out: dict) -> pd.DataFrame:
+        held = pd.Series(out["persistence"], dtype="float64").reindex(out["labels"]).to_numpy()
+        return pd.DataFrame({group: g["gk"].to_numpy(), key: g["k"].to_numpy(), "label": out["labels"].astype("int32"), "probability": out["probabilities"], "outlier_score": out["outliers"], "persistence": held})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
+        x = np.array(pdf["v"].tolist(), float)
+        core = _core(x, min(min_samples or min_cluster_size, len(x)))
+        return finish(pdf, condensed(len(x), *_mst(x, core), core, min_cluster_size))
+
+    schema = f"{group} {t[group]}, {key} {t[key]}, label int, probability double{extra}"
+    out = placed.filter(F.col("n") <= BLOCK).groupBy("g").applyInPandas(whole, schema).union(bare)
+    large = placed.filter(F.col("n") > BLOCK)
+    if not groups.filter(F.col("n") > BLOCK).isEmpty():
+        # places in the order of the keys, over range partitions
+        order = stored(surrogate_ids(large.select("g", "gk", "k", "v", "n"), ["g", "k", "v"], 0, "at"))
+        first = order.groupBy("g").agg(F.min("at").alias("first"))
+        order = stored(order.join(first, "g").withColumn("i", F.col("at") - F.col("first")).drop("at", "first"))
+        core = core_distances(order.select("g", "i", "v"), min_samples or min_cluster_size)
+        points = stored(order.join(core, ["g", "i"]))
+        tree = stored(minimum_forest(spanning_edges(points.select("g", "i", "core", "v"))))
+
+        def tree_labels(pts: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+            pts, edges = pts.sort_values("i"), edges.sort_values(["w", "a", "b"])
+            return finish(pts, condensed(len(pts), edges["w"].to_numpy(), edges["a"].to_numpy(), edges["b"].to_numpy(), pts["core"].to_numpy(), min_cluster_size))
+
+        made = points.select("g", "gk", "k", "i", "core").groupBy("g").cogroup(tree.groupBy("g")).applyInPandas(tree_labels, schema)
+        out = out.unionByName(made)
+    return out if scores else out.drop("outlier_score", "persistence")
 
 
 def validity_index(x: np.ndarray, labels: np.ndarray) -> tuple[float, dict[int, float]]:
     """(DBCV, a value for each cluster): how much sparser it is between clusters than within, from -1 to 1,
-    by size, noise counting in the whole. Distances are Euclidean; densities are in logarithms."""
-    d = x.shape[1]
+    by size, noise counting in the whole. Distances are Euclidean; densities are in logarithms. A row of
+    distances at a time: memory is linear in the rows. Whatever order they come in, the value is the same."""
+    order = np.lexsort([labels, *x.T])
+    x, labels, d = x[order], labels[order], x.shape[1]
     names = [c for c in sorted(set(labels.tolist())) if c >= 0 and (labels == c).sum() > 1]
-    dist = lambda a, b: np.sqrt(np.maximum(((a[:, None] - b[None]) ** 2).sum(axis=2), 0))
     core, inner, sparse = {}, {}, {}
     for c in names:
         own = x[labels == c]
-        with np.errstate(divide="ignore"):
-            logs = -d * np.log(dist(own, own))
-        np.fill_diagonal(logs, -np.inf)
-        top = np.where(np.isposinf(logs.max(axis=1)), 0, logs.max(axis=1))
-        with np.errstate(over="ignore", divide="ignore"):
-            core[c] = np.exp(-(top + np.log(np.exp(logs - top[:, None]).sum(axis=1) / (len(own) - 1))) / d)
-        tree = _mst(own, core[c])
-        degree = np.bincount([i for _, a, b in tree for i in (a, b)], minlength=len(own))
+        core[c] = np.empty(len(own))
+        for i, p in enumerate(own):
+            with np.errstate(divide="ignore", over="ignore"):
+                logs = -d * np.log(np.sqrt(((own - p) ** 2).sum(axis=1)))
+                logs[i] = -np.inf
+                top = 0 if np.isposinf(logs.max()) else logs.max()
+                core[c][i] = np.exp(-(top + np.log(np.exp(logs - top).sum() / (len(own) - 1))) / d)
+        weight, a, b = _mst(own, core[c])
+        degree = np.bincount(np.concatenate([a, b]), minlength=len(own))
         inner[c] = np.flatnonzero(degree > 1) if (degree > 1).any() else np.arange(len(own))
-        edges = [w for w, a, b in tree if degree[a] > 1 and degree[b] > 1]
-        sparse[c] = max(edges or [w for w, _, _ in tree])
+        both = (degree[a] > 1) & (degree[b] > 1)
+        sparse[c] = weight[both].max() if both.any() else weight.max()
     apart = dict.fromkeys(names, np.inf)
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            p, q = inner[a], inner[b]
-            m = np.maximum(np.maximum(dist(x[labels == a][p], x[labels == b][q]), core[a][p][:, None]), core[b][q][None]).min()
+            there, far = x[labels == b][inner[b]], core[b][inner[b]]
+            m = min(np.maximum(np.maximum(np.sqrt(((there - p) ** 2).sum(axis=1)), far), r).min() for p, r in zip(x[labels == a][inner[a]], core[a][inner[a]], strict=True))
             apart[a], apart[b] = min(apart[a], m), min(apart[b], m)
     value = {c: (apart[c] - sparse[c]) / max(apart[c], sparse[c]) if np.isfinite(apart[c]) and max(apart[c], sparse[c]) > 0 else 0.0 for c in names}
     return float(sum((labels == c).sum() / len(x) * value[c] for c in names)) if len(names) > 1 else 0.0, value
@@ -187,7 +297,7 @@ def validity_index(x: np.ndarray, labels: np.ndarray) -> tuple[float, dict[int,
 
 def cluster_validity(df: DataFrame, group: str, vector: str, label: str) -> DataFrame:
     """(group, dbcv, num_clusters, noise_share): the tuning scores of each group's clustering, in one task a
-    group, which holds what hdbscan() clusters at once."""
+    group, which holds its vectors and one row of distances."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         labels = pdf[label].to_numpy()
@@ -197,6 +307,19 @@ def cluster_validity(df: DataFrame, group: str, vector: str, label: str) -> Data
     return df.select(group, vector, label).groupBy(group).applyInPandas(one, f"{group} {df.schema[group].dataType.simpleString()}, dbcv double, num_clusters int, noise_share double")
 
 
+def solution_scores(found: DataFrame, vectors: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """Of each group's clustering, as hdbscan(scores=True) gives it: dbcv, number of clusters and of noise
+    rows, and mean and (population) standard deviation of the clusters' persistence and of the rows'
+    probabilities and outlier scores. Without clusters, persistence is null."""
+    noise = F.col("label") == -1
+    rows = found.groupBy(group).agg(F.count_distinct(F.when(~noise, F.col("label"))).alias("num_clusters"), F.count_if(noise).alias("num_noise_points"), *(f(c).alias(f"{n}_{e}") for c, n in (("probability", "probability"), ("outlier_score", "outlier_score")) for f, e in ((F.avg, "mean"), (F.stddev_pop, "std"))))
+    each = found.filter(~noise).groupBy(group, "label").agg(F.max("persistence").alias("p"))
+    held = each.groupBy(group).agg(F.avg("p").alias("persistence_mean"), F.stddev_pop("p").alias("persistence_std"))
+    named = vectors.select(group, key, vector).join(found.select(group, key, "label"), [group, key])
+    dbcv = cluster_validity(named, group, vector, "label").select(group, "dbcv")
+    return rows.join(held, group, "left").join(dbcv, group)
+
+
 def soft_cluster(df: DataFrame, key: str, vector: str, label: str, train_share: float = 0.6, folds: int = 0, seed: int = 7) -> DataFrame:
     """Adds predicted and probability from a multinomial logistic model on standardised vectors, trained on
     a stratified share of the rows that aren't noise. With folds, regularisation is cross-validated over

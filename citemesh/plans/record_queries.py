@@ -233,3 +233,13 @@ def cluster_validity(spark, sf):
     from ..operators.clustering import cluster_validity as run
 
     return run(members(spark, sf), "year", "embedding", "cluster").withColumn("dbcv", r6("dbcv"))
+
+
+@query()
+def clustering_solution(spark, sf):
+    from ..operators.clustering import hdbscan, solution_scores
+
+    rows = members(spark, sf)
+    found = hdbscan(rows, "year", "paper_id", "embedding", scores=True)
+    s = solution_scores(found, rows, "year", "paper_id", "embedding")
+    return s.select("year", "num_clusters", "num_noise_points", *(r6(c).alias(c) for c in s.columns if c not in ("year", "num_clusters", "num_noise_points")))

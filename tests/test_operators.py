@@ -414,9 +414,59 @@ def test_validity_and_large_groups(spark):
     good, each = validity_index(x, np.repeat([0, 1], 40))
     bad, _ = validity_index(x, np.tile([0, 1], 40))
     assert good > 0.8 and bad < 0 and set(each) == {0, 1}
-    df = spark.createDataFrame([(2000, i, v.tolist()) for i, v in enumerate(x)] + [(2001, 100 + i, v.tolist()) for i, v in enumerate(x[:30])], "year int, k int, v array<double>")
-    got = {q.k: q.label for q in hdbscan(df, "year", "k", "v", most=50).collect()}
-    assert len(got) == 110 and len({got[i] for i in range(40)} - {-1}) == 1 and len({got[i] for i in range(40, 80)} - {-1}) == 1 and got[0] != got[41]
+    slices = np.concatenate([x, r.normal(2, 1, (8000, 2))])
+    import tracemalloc
+
+    tracemalloc.start()
+    validity_index(slices, np.concatenate([np.repeat([0, 1], 40), np.full(8000, -1)]))
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20  # no table of all pairs
+    tracemalloc.stop()
+
+
+def test_density_clusters_of_any_size(spark, monkeypatch):
+    """A group dealt over many tasks has the labels of one in a single task, with ties (points of a grid),
+    equal rows, a group without clusters and rows without vectors."""
+    from citemesh.operators import clustering as K
+
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(0, 0.3, (40, 3)), r.normal(3, 0.3, (40, 3)), r.integers(8, 11, (50, 3)).astype(float), r.uniform(-5, 15, (15, 3))])
+    rows = [(2000, i, v.tolist()) for i, v in enumerate(x)] + [(2001, 500 + i, v.tolist()) for i, v in enumerate(x[:12])] + [(2002, 900, [1.0, 2.0, 3.0]), (2002, 901, None), (None, 950, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "year int, k int, v array<double>").repartition(3)
+    want = {q.k: q for q in K.hdbscan(df, "year", "k", "v", scores=True).collect()}
+    labels, prob, held = density_labels(x, 5)
+    assert [want[i].label for i in range(len(x))] == labels.tolist() and len(held) >= 2 and all(0 <= p <= 1 for p in held.values())
+    assert np.allclose([want[i].probability for i in range(len(x))], prob)
+    monkeypatch.setattr(K, "BLOCK", 32)
+    got = {q.k: q for q in K.hdbscan(df, "year", "k", "v", scores=True).collect()}
+    assert got == want and len(got) == len(rows) and got[901].label == got[900].label == got[950].label == -1
+    scores = {q.year: q for q in K.solution_scores(spark.createDataFrame(list(want.values()), K.hdbscan(df, "year", "k", "v", scores=True).schema), df.filter("v is not null"), "year", "k", "v").collect()}
+    s = scores[2000]
+    assert (s.num_clusters, s.num_noise_points) == (len(held), int((labels == -1).sum()))
+    assert abs(s.persistence_mean - np.mean(list(held.values()))) < 1e-12 and abs(s.probability_std - prob.std()) < 1e-9 and abs(s.dbcv - K.validity_index(x, labels)[0]) < 1e-9
+    far = [want[i].outlier_score for i in range(len(x) - 15, len(x))]
+    assert all(0 <= q.outlier_score <= 1 for q in want.values()) and np.mean(far) > s.outlier_score_mean
+
+
+def test_tree_is_the_smallest(spark):
+    """Of the total order of edges, by sorting them all."""
+    from citemesh.operators import clustering as K
+
+    x = np.random.default_rng(5).integers(0, 4, (40, 2)).astype(float)
+    core = K._core(x, 3)
+    every = sorted((max(np.sqrt(((x[a] - x[b]) ** 2).sum()), core[a], core[b]), a, b) for b in range(40) for a in range(b))
+    up, want = list(range(40)), []
+    for w, a, b in every:
+        ra, rb = a, b
+        while up[ra] != ra:
+            ra = up[ra]
+        while up[rb] != rb:
+            rb = up[rb]
+        if ra != rb:
+            up[ra] = rb
+            want.append((w, a, b))
+    assert list(zip(*(v.tolist() for v in K._mst(x, core)))) == want
+    e = spark.createDataFrame([(1, a, b, float(w)) for w, a, b in every], "g bigint, a bigint, b bigint, w double")
+    assert sorted((q.w, q.a, q.b) for q in K.minimum_forest(e).distinct().collect()) == want
 
 
 def test_last_names_in_order(spark):
