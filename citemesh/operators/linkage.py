@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import null_labels
 from .relational import fill_tiers, top_n
+from .storage import stored
 
 
 def best_score(df: DataFrame, key: str, score: str, goal: str, threshold: float = 0.2) -> DataFrame:
@@ -45,17 +46,78 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
+def _gram_lists(texts: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """Length of the lower-cased text, and its runs of `size` characters, each with its number among equal ones."""
+
+    def one(t: str, q: int) -> list[str]:
+        t, seen, out = t.lower(), {}, []
+        for i in range(len(t) - q + 1):
+            g = t[i : i + q]
+            seen[g] = seen.get(g, -1) + 1
+            out.append(f"{q}{g}{seen[g]}")
+        return out
+
+    return pd.DataFrame({"n": [len(t.lower()) for t in texts], "grams": [one(t, int(q)) for t, q in zip(texts, size, strict=True)]})
+
+
+def lost_grams(n: Column | float, q: int, threshold: float):
+    """How many of the q-grams of a text of n characters a text of that indel ratio can lack, at most.
+    A common subsequence of threshold * (n + m) / 2 is left after n less that many deletions, each of which
+    spoils q grams, and m less that many insertions, each of which spoils q - 1; the worst m is the least
+    or the largest that allows the threshold."""
+    worst = lambda m: q * n + (q - 1) * m - (2 * q - 1) * threshold * (n + m) / 2
+    ends = [worst(n * threshold / (2 - threshold)), worst(n * (2 - threshold) / threshold)]
+    return F.greatest(*ends) if isinstance(n, Column) else max(ends)
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(block..., __l, __t): all pairs of left(block, __l) and right(block, __t) texts that may reach a ratio
+    of `threshold` (over 0). Rare grams first, a text of n grams that can lack d of them in a match has one
+    of its first d + 1 among the first of any match: only those are joined. Runs of up to five characters
+    are used, as the threshold allows, where texts are long enough; single ones, counted, for short texts
+    and their possible matches, or for all where the threshold is low. Equal empty texts are found too."""
+    # the longest runs of which a third is left in a match, and the shortest length from which one always is
+    run = max((q for q in range(1, 6) if lost_grams(1.0, q, threshold) <= 0.65), default=1)
+    runs_from = next(n for n in range(run, 1000) if all(k - run + 1 - lost_grams(k, run, threshold) >= 1 for k in range(n, 2 * n + 2))) if run > 1 else 0
+    n = F.col("__n")
+    sides = []
+    for df, text in ((left, "__l"), (right, "__t")):
+        rows = df.select(*block, text).distinct()
+        parts = []
+        for q in sorted({1, run}):
+            made = rows.withColumn("__g", _gram_lists(F.col(text), F.lit(q))).select(*block, text, F.col("__g.n").alias("__n"), F.col("__g.grams").alias("__grams"))
+            if run > 1:
+                made = made.filter(n >= runs_from if q > 1 else n * threshold < runs_from * (2 - threshold))
+            none = F.when(n == 0, F.array(F.lit(""))).otherwise(F.col("__grams"))
+            parts.append(made.select(*block, text, "__n", (F.floor(lost_grams(n.cast("double"), q, threshold) + 1e-6) + 1).alias("__first"), F.lit(q).alias("__q"), F.explode(none).alias("__gram")))
+        sides.append(stored(parts[0] if len(parts) == 1 else parts[0].union(parts[1])))
+    often = sides[0].select("__gram").union(sides[1].select("__gram")).groupBy("__gram").agg(F.count("*").alias("__often"))
+    firsts = []
+    for df, text in zip(sides, ("__l", "__t"), strict=True):
+        by = Window.partitionBy(*block, text, "__q").orderBy("__often", "__gram")  # a text's grams
+        firsts.append(df.join(often, "__gram").withColumn("__at", F.row_number().over(by)).filter(F.col("__at") <= F.greatest(F.col("__first"), F.lit(1))).select(*block, text, F.col("__n").alias("__n" + text[2:]), "__gram"))
+    both = firsts[0].join(firsts[1], [*block, "__gram"])
+    a, b = F.col("__nl"), F.col("__nt")
+    return both.filter(2 * F.least(a, b) >= F.lit(threshold) * (a + b) - 1e-9).select(*block, "__l", "__t").distinct()
+
+
 def fuzzy_best(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, threshold: float = 0.0, tie: str | None = None) -> DataFrame:
     """Within blocks, the best right row for each left row (row_id) by indel ratio, at least `threshold`;
-    ties go by `tie`, else by the right text. Only different texts are scored, once for each two whose
-    lengths allow the threshold; of a text's right rows the first by `tie` stands for it."""
+    ties go by `tie`, else by the right text. Only different texts are scored, once for each two that
+    fuzzy_candidates() gives for a threshold over 0 (with 0, all of a block); of a text's right rows the first
+    by `tie` stands for it. A block may be large if the threshold is not low."""
     by = [tie] if tie and tie != right_text else []
     first = F.min(F.struct(*by, *(c for c in right.columns if c not in [*block, right_text, *by]), F.lit(0).alias("__z"))).alias("__row")
     r = right.filter(F.col(right_text).isNotNull()).groupBy(*block, right_text).agg(first)
     l = left.filter(F.col(left_text).isNotNull()).select(*block, F.col(left_text).alias("__l")).distinct()
-    n, m = F.length("__l"), F.length(right_text)
-    pairs = l.join(r, block).filter((n + m == 0) | (2 * F.least(n, m) >= F.lit(threshold) * (n + m)))
-    pairs = pairs.withColumn("score", indel_ratio(F.col("__l"), F.col(right_text))).filter(F.col("score") >= threshold)
+    if threshold > 0:
+        r = stored(r)
+        pairs = fuzzy_candidates(l, r.select(*block, F.col(right_text).alias("__t")), block, threshold)
+        pairs = pairs.withColumn("score", indel_ratio(F.col("__l"), F.col("__t"))).filter(F.col("score") >= threshold)
+        pairs = pairs.withColumnRenamed("__t", right_text).join(r, [*block, right_text])
+    else:
+        pairs = l.join(r, block).withColumn("score", indel_ratio(F.col("__l"), F.col(right_text))).filter(F.col("score") >= threshold)
     order = F.struct((-F.col("score")).alias("s"), *(F.col(f"__row.{c}") for c in by), F.col(right_text).alias("t"))
     best = pairs.groupBy(*block, "__l").agg(F.min_by(F.struct("score", right_text, "__row"), order).alias("__b"))
     rest = [c for c in right.columns if c not in [*block, right_text]]

@@ -282,15 +282,26 @@ def abstract_source(spark, sf):
     return L.merge_records(wos, ss).select("paper_id", "abstract", "abstract_source", C.list_join(F.col("abstract_missing")).alias("missing"))
 
 
-@query()
+def _lcs(pairs: str) -> str:
+    """SQL of (a, b, score): the ratio of each two texts of pairs(a, b), row by row of the table of longest common subsequences."""
+    row = "list_transform(range(1, len(s) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda i: greatest(s[i], CASE WHEN i > 1 AND ascii(lower(a)[i - 1]) = c[1] THEN s[i - 1] + 1 ELSE 0 END))))"
+    rows = f"list_reduce(list_prepend(list_transform(range(0, length(a) + 1), lambda i: 0), list_transform(string_split(lower(b), ''), lambda c: [ascii(c)])), lambda s, c: {row})"
+    return f"SELECT a, b, 2.0::DOUBLE * r[len(r)] / (length(a) + length(b)) AS score FROM (SELECT a, b, {rows} AS r FROM {pairs})"
+
+
+@query(f"""WITH l AS (SELECT p_partkey AS row_id, p_brand, p_type || ' ' || p_name AS title FROM part), r AS (SELECT DISTINCT p_brand, p_name AS found FROM part),
+d AS (SELECT DISTINCT title AS a, found AS b FROM l JOIN r USING (p_brand)), s AS ({_lcs("d")})
+SELECT row_id, title, found, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, found) AS n FROM l JOIN r USING (p_brand) JOIN s ON a = title AND b = found WHERE score >= 0.6) WHERE n = 1""")
 def fuzzy_title(spark, sf):
     p = table(spark, sf, "part")
-    left = p.select(F.col("p_partkey").alias("row_id"), "p_brand", F.col("p_name").alias("title"))
-    right = p.filter("p_partkey % 20 = 0").select("p_brand", F.col("p_name").alias("found"))
-    return L.fuzzy_best(left, right, ["p_brand"], "title", "found", 0.3).select("row_id", "title", "found", r6("score").alias("score"))
+    left = p.select(F.col("p_partkey").alias("row_id"), "p_brand", F.concat_ws(" ", "p_type", "p_name").alias("title"))
+    return L.fuzzy_best(left, p.select("p_brand", F.col("p_name").alias("found")), ["p_brand"], "title", "found", 0.6).select("row_id", "title", "found", r6("score").alias("score"))
 
 
-@query()
+# the pairs of names are those that stand in one paper
+@query(f"""WITH {AUTHORS}, n AS (SELECT paper, author, name, replace(name, '#', ' ') AS clean FROM authors), d AS (SELECT DISTINCT x.clean AS a, y.name AS b FROM n x JOIN n y USING (paper)), s AS ({_lcs("d")})
+SELECT row_id, paper, author_id, round(score, 6) AS score FROM (SELECT x.paper || '-' || x.author AS row_id, x.paper, y.author AS author_id, score, row_number() OVER (PARTITION BY x.paper, x.author ORDER BY score DESC, y.author) AS n
+FROM n x JOIN n y ON y.paper = x.paper JOIN s ON a = x.clean AND b = y.name) WHERE n = 1""")
 def fuzzy_authors(spark, sf):
     from .views import papers_struct
 

@@ -302,13 +302,31 @@ def test_fuzzy_best_is_all_pairs(spark):
 
     l = spark.createDataFrame(left, "row_id int, block int, name string")
     q = spark.createDataFrame(right, "rid int, block int, found string")
-    got = {x.row_id: (x.rid, round(x.score, 9)) for x in L.fuzzy_best(l, q, ["block"], "name", "found", 0.5, "rid").collect()}
-    want = {}
-    for i, b, a in left:
-        best = min(((-ratio(a, f), j) for j, c, f in right if c == b and a is not None and f is not None and ratio(a, f) >= 0.5), default=None)
-        if best:
-            want[i] = (best[1], round(-best[0], 9))
-    assert got == want
+    long = [(200 + i, 1, "".join(r.choice("abcdefgh İé") for _ in range(r.randint(5, 60)))) for i in range(25)]
+    typos = lambda t: "".join(c for c in t if r.random() > 0.06) + r.choice(["", "x"])
+    left += long
+    right += [(300 + i, 1, typos(t)) for i, (_, _, t) in enumerate(long * 2)]
+    l, q = spark.createDataFrame(left, l.schema), spark.createDataFrame(right, q.schema)
+    for least in (0.5, 0.9, 0.0):
+        got = {x.row_id: (x.rid, round(x.score, 9)) for x in L.fuzzy_best(l, q, ["block"], "name", "found", least, "rid").collect()}
+        want = {}
+        for i, b, a in left:
+            best = min(((-ratio(a, f), j) for j, c, f in right if c == b and a is not None and f is not None and ratio(a, f) >= least), default=None)
+            if best:
+                want[i] = (best[1], round(-best[0], 9))
+        assert got == want, least
+
+
+def test_fuzzy_candidates_are_few(spark):
+    """Long titles at a high threshold: about as many pairs as there are matches, not the square."""
+    import random
+
+    r = random.Random(4)
+    titles = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(8)) for _ in range(600)]
+    l = spark.createDataFrame([(1, t) for t in titles], "b int, __l string")
+    q = spark.createDataFrame([(1, t[:20] + t[22:]) for t in titles], "b int, __t string")
+    found = {(x["__l"], x["__t"]) for x in L.fuzzy_candidates(l, q, ["b"], 0.92).collect()}
+    assert {(t, t[:20] + t[22:]) for t in titles} <= found and len(found) < 600 * 600 / 10
 
 
 def test_publication_graph(spark):
