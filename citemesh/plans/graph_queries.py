@@ -72,6 +72,22 @@ def upsert_nodes(spark, sf):
     return old.merged(new).df
 
 
+# the stored graph after two batches, the second of them delivered twice
+@query("SELECT coalesce(a.id, b.id) AS id, a.name, CASE WHEN b.id IS NOT NULL THEN b.balance ELSE a.balance END AS balance, CASE WHEN b.id IS NOT NULL THEN b.segment END AS segment FROM (SELECT c_custkey::VARCHAR AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT c_custkey::VARCHAR AS id, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal + 1 END AS balance, c_mktsegment AS segment FROM customer WHERE c_nationkey < 12) b ON a.id = b.id")
+def stored_merge(spark, sf):
+    import uuid
+
+    from ..operators.storage import shared_folder
+    from ..sources.graph_store import GraphStore
+
+    c, store = table(spark, sf, "customer"), GraphStore(spark, f"{shared_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}", 16)
+    store.merge_nodes("Person", c.filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
+    batch = c.filter("c_nationkey < 12").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") + 1).alias("balance"), F.col("c_mktsegment").alias("segment"))
+    for _ in range(2):
+        store.merge_nodes("Person", batch)
+    return store.nodes("Person").select("id", "name", "balance", "segment")
+
+
 @query("SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, CASE WHEN b.src IS NOT NULL THEN b.q ELSE a.q END AS q FROM (SELECT l_partkey::VARCHAR AS src, l_suppkey::VARCHAR AS dst, sum(l_quantity) AS q FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1, 2) a FULL JOIN (SELECT l_partkey::VARCHAR AS src, l_suppkey::VARCHAR AS dst, max(l_quantity) AS q FROM lineitem WHERE l_partkey % 3 = 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1, 2) b ON a.src = b.src AND a.dst = b.dst")
 def upsert_edges(spark, sf):
     l = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"), "l_quantity", "l_partkey")
