@@ -6,13 +6,18 @@ against them; from the outermost one down, a page goes on to a child that holds
 text (an article or main element: most of it), so an article that is split over siblings keeps them all.
 Where that ends the page votes for the container's path. Votes are summed per host in Spark; a host's
 winning paths are those with at least a fifth of its votes. Then each page is read again and gives the text
-under its host's winning path: its own vote if that won, else the most voted winner with text on the page,
-else (or where a host has no winner) its own best container.
+under its host's winning path: its own vote if that won, else the most voted winner that holds at least
+half as much text on the page as the page's own best container, else (or where a host has no winner) that
+container.
+
+A page is scanned once, by the states of HTML's tokeniser: a quote opens a value only right after `=`, so
+stray quotes and apostrophes swallow nothing. Containers are nodes of a tree with links to their parents; time
+is linear in the page's length, whatever its depth.
 
 What is never text: navigation, menus, footers, asides, forms and their controls, dialogs, scripts, styles,
 drawings, hidden elements, and elements whose role, or one of whose class or id names, says navigation,
-footer, sidebar, notice, advert, form or reader comments and, besides, only where on the page it stands: a
-name such as `market-share` or `ad-hoc` says something else. Headers are text where they stand in an
+footer, sidebar, notice, advert, form or reader comments and, besides, only where on the page it stands
+(`user-comments`, `cookiebanner`): a name such as `comment-on-law` or `ad-hoc` says something else. Headers are text where they stand in an
 article or main element, or in the container that was chosen, unless that holds the page's navigation or
 footer too. Character references are decoded; white space in a block becomes one space; blocks are joined
 in page order by one space.
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -38,11 +44,16 @@ from pyspark.sql import functions as F
 from ._shared import cut, join_hot, slices
 
 WIN_SHARE = 0.2
-#: Share of a container's text that a child must hold for the page to go on to it; for article and main.
-NEARLY_ALL, MOST = 0.95, 0.6
-
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Share of a container's text that a child must hold for the page to go on to it; for article and main; and
+#: of what it began with, or of the last such element, that many steps may leave.
+NEARLY_ALL, MOST, STILL = 0.95, 0.6, 0.8
+
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "title")}
+NAME = re.compile(r"[^\s/>]+")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+VALUE = re.compile(r"[^\s>]*")
+#: Attributes that tell what an element is.
+TELLING = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split())
 SKIPPED = frozenset("nav footer aside form button dialog menu head input select datalist svg annotation".split())
@@ -50,10 +61,10 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Fixed words in class and id names that say what is no article text, ...
-KINDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices notification notifications popup modal overlay paywall newsletter subscribe subscription signup login form forms comment comments commentlist disqus respond reply replies share sharing social related recommended".split())
+KINDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices notification notifications popup modal overlay paywall newsletter subscribe subscription signup login form forms comment comments commentlist disqus respond reply replies".split())
 HEADERS = frozenset("header masthead banner".split())
 #: ... and words that may stand beside them, as they only say where it is.
-PLACES = frozenset("top bottom left right main site page box wrapper wrap container content list bar block section area inner outer primary secondary global post posts article articles entry item items link links button buttons icon icons group row col column unit slot zone widget region holder panel module component desktop mobile text info id js sub mini".split())
+PLACES = frozenset("top bottom left right main site page box wrapper wrap container content list bar block section area inner outer primary secondary global post posts article articles entry item items link links button buttons icon icons group row col column unit slot zone widget region holder panel module component desktop mobile text info id js sub mini user users reader readers thread threads wide narrow small large big full half fixed sticky floating dynamic native".split())
 ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -63,26 +74,31 @@ CONTAINERS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt th div se
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt th ul ol dl table tbody thead tfoot tr caption figure figcaption details summary address hgroup".split())
 
 
-def _named(value: str, kinds: frozenset) -> bool:
-    """Whether one of the names says one of these kinds, and else only a place."""
-    for name in value.split():
-        words = {w for w in SPLIT.split(CAMEL.sub("-", name).lower()) if w}
-        if not words.isdisjoint(kinds) and words <= KINDS | HEADERS | PLACES:
-            return True
-    return False
+#: Words that are written together, such as `cookiebanner`.
+TOGETHER = re.compile("(?:" + "|".join(sorted(KINDS | HEADERS | PLACES, key=len, reverse=True)) + ")+")
+PARTS = re.compile("|".join(sorted(KINDS | HEADERS | PLACES, key=len, reverse=True)))
+
 
+@lru_cache(maxsize=20_000)
+def _named(name: str, kinds: frozenset) -> bool:
+    """Whether a name says one of these kinds, and else only a place."""
+    words = {w for w in SPLIT.split(CAMEL.sub("-", name).lower()) if w}
+    for w in [w for w in words if w not in KINDS | HEADERS | PLACES and len(w) <= 30 and TOGETHER.fullmatch(w)]:
+        words.remove(w)
+        words.update(PARTS.findall(w))
+    return not words.isdisjoint(kinds) and words <= KINDS | HEADERS | PLACES
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, str]:
+
+def _unwanted(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, str]:
     """Whether an element is no article text, whether it is a header, and its classes, generalised."""
     bad, header, classes = tag in SKIPPED, tag == "header", ""
     whole = tag in ("body", "html", "article", "main")  # its names tell of the page
-    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for name, value in attributes.items():
         if name == "class":
             classes = ".".join(sorted(set(DIGITS.sub("#", value).split())))
         if name in ("class", "id") and not whole:
-            bad = bad or _named(value, KINDS)
-            header = header or _named(value, HEADERS)
+            bad = bad or any(_named(n, KINDS) for n in value.split())
+            header = header or any(_named(n, HEADERS) for n in value.split())
         elif name == "role":
             bad = bad or value.lower() in ROLES
             header = header or value.lower() == "banner"
@@ -91,163 +107,273 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, str]:
     return bad, header, classes
 
 
-def blocks(html: str) -> tuple[list[tuple[tuple[str, ...], str, float, int]], set[tuple[str, ...]]]:
-    """(containers' path, text, share of link text, depth of the outermost header that is not in an article)
-    of each block, in page order; and the paths of containers with navigation or a footer of their own."""
-    out: list = []
-    frames: set[tuple[str, ...]] = set()
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, generalised name, skipped, block, header
-    text: list[str] = []
-    linked = 0
-    links = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            t = " ".join(unescape("".join(text)).split())
-            if t and not (stack and any(s[2] for s in stack)):
-                names = [s for s in stack if s[3]]
-                depth = 0 if any(s[0] in ("article", "main") for s in names) else next((d for d, s in enumerate(names, 1) if s[4]), 0)
-                path = tuple(s[1] for s in names)
-                if not names or names[0][0] not in ("html", "body"):  # a fragment, or tags left out
-                    path, depth = ("body", *path), depth + (depth > 0)
-                out.append((path, t, linked / max(1, len(t)), depth))
-            text.clear()
-        linked = 0
-
-    def pop_to(i: int) -> None:
-        nonlocal links
-        flush()
-        while len(stack) > i:
-            links -= stack.pop()[0] == "a"
-
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
-            text.append(piece)
-            if links > 0:
-                linked += len(piece)
-        at = m.end()
-        if m[3] is None:
-            if m[0][:9] == "<![CDATA[":
-                text.append(m[0][9:-3])
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str] | str, bool]]:
+    """(kind, tag, attributes or text, whether it closes itself) of a page: kind is `text`, `open`, `close` or `cut` (a
+    comment, a script). One pass; what is unclosed ends with the page."""
+    n, at = len(html), 0
+    last = {q: html.rfind(q) for q in "\"'"}  # a quote there is never closed
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            yield "text", "", html[at:], False
+            return
+        c = html[lt + 1]
+        close = c == "/"
+        first = html[lt + 2 : lt + 3] if close else c
+        if not (first.isascii() and first.isalpha()) and c not in "!?" and not close:
+            yield "text", "", html[at : lt + 1], False  # no tag
+            at = lt + 1
             continue
-        tag = m[3].lower()
-        if m[2]:  # an end tag
-            if tag in INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        links -= tag == "a"
-                        del stack[i]
-                        break
-                    if stack[i][3]:
-                        break
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+        if lt > at:
+            yield "text", "", html[at:lt], False
+        if not (first.isascii() and first.isalpha()):
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+            elif html.startswith("<![CDATA[", lt):
+                end = html.find("]]>", lt + 9)
+                yield "text", "", html[lt + 9 : n if end < 0 else end].replace("&", "&amp;"), False
+                at = n if end < 0 else end + 3
             else:
-                flush()
+                end = html.find(">", lt)
+                at = n if end < 0 else end + 1
+            yield "cut", "", "", False
             continue
-        if tag in VOID:
-            if tag == "br":
-                text.append(" ")
-            elif tag == "hr":
-                flush()
+        m = NAME.match(html, lt + 1 + close)
+        tag, at, found, slash = m[0].lower(), m.end(), {}, False
+        while at < n and html[at] != ">":
+            m = ATTRIBUTE.match(html, at)
+            if not m:  # spaces and slashes before the end
+                at = html.find(">", at)
+                at = n if at < 0 else at
+                break
+            name, at, value = m[1].lower(), m.end(), ""
+            if m[2] and at < n:
+                q = html[at]
+                if q in last and at < last[q]:
+                    end = html.find(q, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    v = VALUE.match(html, at)
+                    value, at = v[0], v.end()
+            if name in TELLING:
+                found.setdefault(name, unescape(value))
+        slash = at < n and html[at - 1] == "/"
+        at += 1
+        if not close and tag in RAW:
+            m = RAW[tag].search(html, at)
+            at = m.end() if m else n
+            yield "cut", "", "", False
             continue
-        inline = tag in INLINE
-        if not inline:
+        yield "close" if close else "open", tag, found, slash
+
+
+class Page:
+    """A page's blocks, in page order, and its containers: nodes that follow their parents. Node 0 stands above
+    the page. A block is (node, text, share of link text, depth of the outermost header that is not in an
+    article or main element)."""
+
+    def __init__(self, html: str):
+        self.parent, self.name, self.depth = [0], [""], [0]
+        self.child: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str, float, int]] = []
+        self.frames: set[int] = set()  # with navigation or a footer of their own
+        self._scan(html)
+
+    def node(self, up: int, name: str) -> int:
+        at = self.child.get((up, name))
+        if at is None:
+            at = self.child[up, name] = len(self.name)
+            self.parent.append(up)
+            self.name.append(name)
+            self.depth.append(self.depth[up] + 1)
+        return at
+
+    def _scan(self, html: str) -> None:
+        # tag, whether a block, and with it: node, elements that are no text, article elements, header's depth
+        stack: list[tuple[str, bool, int, int, int, int]] = []
+        opened: dict[str, int] = {}
+        text: list[str] = []
+        linked = 0
+
+        def top() -> tuple[int, int, int, int]:
+            return stack[-1][2:] if stack else (0, 0, 0, 0)
+
+        def flush() -> None:
+            nonlocal linked
+            if text:
+                node, skipped, articles, header = top()
+                t = " ".join(unescape("".join(text)).split())
+                if t and not skipped:
+                    self.blocks.append((node or self.node(0, "body"), t, linked / max(1, len(t)), 0 if articles else header))
+                text.clear()
+            linked = 0
+
+        def pop_to(i: int) -> None:
             flush()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][3] and stack[i][0] not in ("p",):
-                        break
-            if tag in SIBLINGS:
+            while len(stack) > i:
+                opened[stack.pop()[0]] -= 1
+
+        def find(tags, stop=(), inline: bool = False) -> int:
+            """The place of the innermost such element, -1 beyond one of `stop` (any block, if inline)."""
+            if any(opened.get(t) for t in tags):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in SIBLINGS[tag]:
-                        pop_to(i)
-                        if stack and tag == "tr":
-                            continue
-                        break
-                    if stack[i][0] in SCOPES.get(tag, ()):
-                        break
-        if m[4].endswith("/") and not inline and tag not in CONTAINERS:
-            continue
-        bad, header, classes = _unwanted(tag, m[4])
-        if bad and (tag in ("nav", "footer") or _named(classes.replace(".", " "), frozenset(("nav", "navbar", "navigation", "footer")))) and not any(s[2] for s in stack):
-            path = tuple(s[1] for s in stack if s[3])
-            frames.add(path if stack and stack[0][0] in ("html", "body") else ("body", *path))
-        if bad and inline:
-            # an inline element that is not text, such as a screen reader's hint, is cut out as a block
-            flush()
-        stack.append((tag, f"{tag}.{classes}" if classes else tag, bad, not inline, header and not inline))
-        links += tag == "a"
-    if at < len(html):
-        text.append(html[at:])
-    flush()
-    return out, frames
-
-
-def _in(block: tuple, want: tuple[str, ...], frames: set) -> bool:
-    """Whether a block is text of that container."""
-    path, _, _, header = block
-    n = len(want)
-    return path[:n] == want and (not header or header > n and want not in frames and want[-1].partition(".")[0] not in ("body", "html"))
-
-
-def best_path(found: list, frames: set) -> str | None:
-    """The container that holds the page's text."""
-    score: dict[tuple[str, ...], float] = {}
-    for block in found:
-        path, text, link, _ = block
-        plain = len(text) * max(0.0, 1 - 1.5 * link)
-        n = len(path)
-        while n > 1 and path[n - 1].partition(".")[0] in TEXTUAL:
-            n -= 1
-        for k in range(1, n + 1):
-            if _in(block, path[:k], frames):
-                score[path[:k]] = score.get(path[:k], 0.0) + plain
-    if not score or max(score.values()) <= 0:
-        return None
-    kids: dict[tuple[str, ...], list] = {}
-    for path in score:
-        if path[-1].partition(".")[0] not in TEXTUAL:
-            up = path[:-1]
-            while up and up not in score:
-                up = up[:-1]
-            while up and up[-1].partition(".")[0] in TEXTUAL:
-                up = up[:-1]
-            kids.setdefault(up, []).append(path)
-    at: tuple[str, ...] = ()
-    while at in kids:
-        total = score.get(at, 0.0)
-        share = lambda p: MOST if p[-1].partition(".")[0] in ("article", "main") else NEARLY_ALL
-        fit = [p for p in kids[at] if score[p] > 0 and score[p] >= share(p) * total]
-        if not fit:
-            break
-        at = max(fit, key=lambda p: (score[p], p))
-    return " ".join(at) if at else None
-
-
-def text_under(found: list, frames: set, path: str) -> str:
-    want = tuple(path.split(" "))
-    return " ".join(b[1] for b in found if _in(b, want, frames))
+                    if stack[i][0] in tags:
+                        return i
+                    if stack[i][0] in stop or inline and stack[i][1]:
+                        return -1
+            return -1
+
+        for kind, tag, found, slash in tokens(html):
+            if kind == "text":
+                text.append(found)
+                linked += len(found) if opened.get("a") else 0
+            elif kind == "close":
+                i = find((tag,), inline=tag in INLINE)
+                if tag in INLINE:
+                    if i >= 0 and i == len(stack) - 1 and stack[i][3] == (stack[i - 1][3] if i else 0):
+                        opened[stack.pop()[0]] -= 1
+                    elif i >= 0:
+                        flush()  # what stands within an inline element that is no text, or is misnested
+                        skipped = (stack[i - 1][3] if i else 0) - stack[i][3]
+                        opened[tag] -= 1
+                        rest = [(t, b, n, k + skipped, *more) for t, b, n, k, *more in stack[i + 1 :]]
+                        del stack[i:]
+                        stack += rest
+                elif i >= 0:
+                    pop_to(i)
+                else:
+                    flush()
+            elif kind == "open":
+                if tag in VOID:
+                    if tag == "br":
+                        text.append(" ")
+                    elif tag == "hr":
+                        flush()
+                    continue
+                block = tag not in INLINE
+                if block:
+                    flush()
+                    if tag in CLOSES_P and opened.get("p"):
+                        i = find(("p",), inline=True)
+                        if i >= 0:
+                            pop_to(i)
+                    if tag in SIBLINGS:
+                        i = find(SIBLINGS[tag], SCOPES.get(tag, ()))
+                        while i >= 0:
+                            pop_to(i)
+                            i = find(SIBLINGS[tag], SCOPES.get(tag, ())) if tag == "tr" else -1
+                if slash and block and tag not in CONTAINERS:
+                    continue
+                bad, header, classes = _unwanted(tag, found)
+                node, skipped, articles, above = top()
+                if bad and not skipped and (tag in ("nav", "footer") or any(_named(c, FRAMES) for c in classes.split("."))):
+                    self.frames.add(node or self.node(0, "body"))
+                if bad and not block:
+                    flush()  # a screen reader's hint, say
+                if block:
+                    up = node or (0 if tag in ("html", "body") else self.node(0, "body"))
+                    node = self.node(up, f"{tag}.{classes}" if classes else tag)
+                    articles += tag in ("article", "main")
+                    above = above or (self.depth[node] if header else 0)
+                stack.append((tag, block, node, skipped + bad, articles, above))
+                opened[tag] = opened.get(tag, 0) + 1
+        flush()
+
+    def tag(self, node: int) -> str:
+        return self.name[node].partition(".")[0]
+
+    def path(self, node: int) -> str:
+        out = []
+        while node:
+            out.append(self.name[node])
+            node = self.parent[node]
+        return " ".join(reversed(out))
+
+    def at(self, path: str) -> int:
+        """The container of a path; 0 if the page has none."""
+        node = 0
+        for name in path.split(" "):
+            node = self.child.get((node, name), 0)
+            if not node:
+                return 0
+        return node
+
+    def _headed(self, node: int) -> bool:
+        """Whether headers below are the container's text."""
+        return node not in self.frames and self.tag(node) not in ("body", "html")
+
+    def best(self) -> int:
+        """The container that holds the page's text; 0 if there is none."""
+        n = len(self.name)
+        plain, headed = [0.0] * n, [0.0] * n
+        for node, text, link, header in self.blocks:
+            amount = len(text) * max(0.0, 1 - 1.5 * link)
+            while self.depth[node] > 1 and self.tag(node) in TEXTUAL:
+                node = self.parent[node]
+            if header:
+                while self.depth[node] >= header:
+                    node = self.parent[node]
+                headed[node] += amount
+            else:
+                plain[node] += amount
+        for node in range(n - 1, 0, -1):
+            plain[self.parent[node]] += plain[node]
+            headed[self.parent[node]] += headed[node]
+        score = [p + h if self._headed(i) else p for i, (p, h) in enumerate(zip(plain, headed, strict=True))]
+        if n == 1 or max(score[1:]) <= 0:
+            return 0
+        kids: dict[int, list[int]] = {}
+        whole = [0] * n  # the innermost container around, itself included, that isn't part of a text
+        for node in range(1, n):
+            up = whole[self.parent[node]]
+            whole[node] = up
+            if score[node] > 0 and self.tag(node) not in TEXTUAL:
+                kids.setdefault(up, []).append(node)
+                whole[node] = node
+        at, began = 0, 0.0
+        while at in kids:
+            total = score[at] if at else 0.0
+            fit = [k for k in kids[at] if (score[k] >= MOST * total if self.tag(k) in ("article", "main") else score[k] >= max(NEARLY_ALL * total, STILL * began))]
+            if not fit:
+                break
+            top = max(score[k] for k in fit)
+            at = max((k for k in fit if score[k] == top), key=self.path)
+            began = top if not began or self.tag(at) in ("article", "main") else began
+        return at
+
+    def text(self, node: int) -> str:
+        """What stands in a container."""
+        below = [i == node for i in range(len(self.name))]
+        for i in range(node + 1, len(below)):
+            below[i] = below[self.parent[i]]
+        headed = self._headed(node)
+        return " ".join(t for n, t, _, header in self.blocks if below[n] and (not header or headed and header > self.depth[node]))
+
+
+FRAMES = frozenset(("nav", "navbar", "navigation", "footer"))
+
+
+def best_path(html: str | None) -> str | None:
+    page = Page(html or "")
+    best = page.best()
+    return page.path(best) if best else None
 
 
 def extracted(html: str | None, winners: list[str]) -> str:
-    found, frames = blocks(html) if html else ([], set())
-    own = best_path(found, frames)
-    if own in winners:
-        return text_under(found, frames, own)
+    page = Page(html or "")
+    own = page.best()
+    if not own:
+        return ""
+    best = page.text(own)
+    if page.path(own) in winners:
+        return best
     for w in winners:
-        if t := text_under(found, frames, w):
+        at = page.at(w)
+        t = page.text(at) if at else ""
+        if 2 * len(t) >= len(best):
             return t
-    return text_under(found, frames, own) if own else ""
+    return best
 
 
 def host_of(url: Column) -> Column:
@@ -272,7 +398,7 @@ def _read(df: DataFrame, at: int, columns: list[str], kinds: str, made) -> DataF
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = WIN_SHARE) -> DataFrame:
     """(host, winners): each host's winning paths, most voted first; no more than 1 / share can be."""
-    votes = _read(pages.select(host_of(F.col(url_col)).alias("host"), html_col), 1, ["host", "path"], "host string, path string", lambda host, html: (host, best_path(*blocks(html)) if html else None))
+    votes = _read(pages.select(host_of(F.col(url_col)).alias("host"), html_col), 1, ["host", "path"], "host string, path string", lambda host, html: (host, best_path(html)))
     n = cut(votes.filter("path is not null").groupBy("host", "path").count())
     total = n.groupBy("host").agg(F.sum("count").alias("total"))
     won = n.join(total, "host").filter(f"count >= total * {share}")

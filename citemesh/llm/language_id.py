@@ -5,9 +5,10 @@ over all its segmentations (forward algorithm); a text's is the product over its
 letters, lower-cased, led by the word mark). The probabilities come from expectation maximisation on
 word counts: expected uses of each piece from forward and backward sums.
 
-Learning reads a bounded sample of the learnable rows: at most about `per_language` rows of each of the
-`languages` most frequent lang values (ties by name), chosen by a hash of text, so what is learned has a
-bounded size however dirty the column is. Whole texts are learned from; words of more than 40 characters
+Learning reads a bounded sample of the learnable rows: at most about `per_language` rows of each lang value,
+chosen by a hash of text. Every value is learned, however many there are: the model, which the driver and each
+Python worker hold, grows with them (8 bytes a piece and language, 16 MB for 64 languages), and words are
+scored and remembered in so much smaller portions. Whole texts are learned from; words of more than 40 characters
 (scripts without spaces) are learned in runs of 40. Prediction reads every whole text. Words are scored
 once per task, many at a time, one character position after another; a word's result is kept until the
 cache is full.
@@ -32,17 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import column_slices, cut, drop
+from ._shared import column_slices, cut, drop, join_hot
 from .pieces import MARK, PIECES, load_pieces
 
 PER_LANGUAGE = 1500
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 200
 ROUNDS = 2
 SMOOTH = 0.05
 UNSEEN = 1e-7
 LONGEST = 40
-CACHED_WORDS = 150_000
+#: Words by languages whose results are kept, and that are scored at a time.
+CACHED, AT_ONCE = 150_000 * 16, 8192 * 16
 #: Runs of letters, and of numerals that are no decimal digits; those go in a second look.
 WORDS = re.compile(r"[^\W\d_]+")
 #: Keeps forward sums near 1: the usual probability of a character.
@@ -197,22 +197,33 @@ def _vocabulary(pieces: tuple[str, ...]) -> Vocabulary:
     return Vocabulary(pieces)
 
 
+def _portion(cells: int, languages: int) -> int:
+    """How many words of so many languages make up the cells; with few languages as with 16."""
+    return max(64, cells // max(16, languages))
+
+
 def _many(items: list, most: int = 8192):
     items = sorted(items, key=len)
     for i in range(0, len(items), most):
         yield items[i : i + most]
 
 
-def learn(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", pieces_path: str = PIECES, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, rounds: int = ROUNDS, pieces: tuple[str, ...] | None = None) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", pieces_path: str = PIECES, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS, pieces: tuple[str, ...] | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order, and piece probabilities (pieces and the unseen character, by language)."""
     pieces = pieces or load_pieces(pieces_path)
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((len(pieces) + 1, 0))
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))))
-    sample = rows.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
+    often = {k: per_language / n for k, n in sizes.items() if n > per_language}
+    drawn = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 20))
+    if len(often) <= 1000:
+        share = F.create_map(*(F.lit(x) for kv in often.items() for x in kv)) if often else F.create_map(F.lit(""), F.lit(1.0))
+        sample = rows.filter(drawn < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0)) * float(1 << 20))
+    else:
+        known = rows.sparkSession.createDataFrame(list(often.items()), "lang string, share double")
+        sample = join_hot(rows, known, ["lang"], "left").filter(drawn < F.coalesce("share", F.lit(1.0)) * float(1 << 20)).select("lang", "text")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,20 +241,21 @@ def learn(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col:
         held = p
 
         def uses(batches: Iterator[pa.RecordBatch], p=held) -> Iterator[pa.RecordBatch]:
-            v, total = _vocabulary(pieces), np.zeros_like(p)
+            v, total = _vocabulary(pieces), {}  # by language
             for b in batches:
                 rows: dict[str, dict[str, int]] = {}
                 for lang, w, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     rows.setdefault(lang, {})[w] = n
                 for lang, of in rows.items():
                     for words in _many(list(of), 4096):
-                        total[:, at[lang]] += v.expected(words, np.array([of[w] for w in words], float), np.ascontiguousarray(p[:, at[lang]]))
-            i, j = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["piece", "lang", "n"])
-
-        c = np.zeros_like(p)
-        for r in counts.mapInArrow(uses, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # at most pieces x languages
-            c[r["piece"], r["lang"]] = r["n"]
+                        used = v.expected(words, np.array([of[w] for w in words], float), np.ascontiguousarray(p[:, at[lang]]))
+                        total[lang] = total.get(lang, 0) + used
+            for lang, used in total.items():
+                i = np.flatnonzero(used)
+                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(np.full(len(i), at[lang], np.int32)), pa.array(used[i])], ["piece", "lang", "n"])
+
+        c, found = np.zeros_like(p), counts.mapInArrow(uses, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()  # at most pieces x languages
+        c[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
         c += SMOOTH
         p = c / c[:-1].sum(axis=0)
         p[-1] = UNSEEN
@@ -264,15 +276,16 @@ def predict(df: DataFrame, langs: list[str], p: np.ndarray, id_col: str = "doc_i
         v, p = _vocabulary(pieces), shared.value
         known: dict[str, int] = {}
         logs = np.zeros((1024, p.shape[1]))
+        cached, at_once = _portion(CACHED, p.shape[1]), _portion(AT_ONCE, p.shape[1])
 
         def score_new(words: set[str]) -> None:
             nonlocal logs
-            if len(known) + len(words) > CACHED_WORDS:
+            if len(known) + len(words) > cached:
                 known.clear()
             while len(known) + len(words) > len(logs):
                 logs = np.concatenate([logs, np.zeros_like(logs)])
             short = [w for w in words if len(w) <= LONGEST]
-            for some in _many(short):
+            for some in _many(short, at_once):
                 got = v.forward(some, p)
                 a = len(known)
                 logs[a : a + len(some)] = got
@@ -285,10 +298,10 @@ def predict(df: DataFrame, langs: list[str], p: np.ndarray, id_col: str = "doc_i
 
         for b in batches:
             pred, score = [], []
-            for lo, hi in column_slices(b.column(at_text)):
+            for lo, hi in column_slices(b.column(at_text), most=_portion(1 << 24, p.shape[1])):
                 lists = [words_in(t) if t and langs else [] for t in b.column(at_text).slice(lo, hi - lo).to_pylist()]
                 new = set().union(*lists)
-                if len(known) + len(new) > CACHED_WORDS:
+                if len(known) + len(new) > cached:
                     known.clear()
                 new -= known.keys()
                 if new:

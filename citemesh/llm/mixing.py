@@ -31,7 +31,7 @@ def unit_hash(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, total: int | None = None) -> DataFrame:
-    """(__source, rate, lo, cdf) for each source: its mean repetition, and the distribution from count lo to
+    """(__source, rate, __lo, __cdf) for each source: its mean repetition, and the distribution from count __lo to
     where less than 1e-30 is left. Weights not given are n**alpha (alpha below 1 lifts small sources)."""
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("n"))
     n = docs.groupBy(key.alias("__source")).count()
@@ -53,7 +53,7 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
             named_struct('f', {step},
                          'c', a.c + exp(-rate + k * ln(rate) - ({step})),
                          'out', array_append(a.out, a.c + exp(-rate + k * ln(rate) - ({step})))), a -> a.out)"""))
-    return n.select("__source", "rate", "lo", "cdf")
+    return n.select("__source", "rate", F.col("lo").alias("__lo"), F.col("cdf").alias("__cdf"))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, total: int | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -63,7 +63,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("n"))
     rated = join_hot(docs.withColumn("__source", key), rates(docs, source_col, weights, alpha, total), ["__source"]).drop("__source")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    rated = rated.withColumn("__u", unit_hash(F.lit(str(seed)), name)).withColumn("n_copies", F.expr("lo + size(filter(cdf, c -> c <= __u))")).drop("lo", "cdf", "__u")
+    rated = rated.withColumn("__u", unit_hash(F.lit(str(seed)), name)).withColumn("n_copies", F.expr("__lo + size(filter(__cdf, c -> c <= __u))")).drop("__lo", "__cdf", "__u")
     out = rated.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     mixed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("bigint")
     n = partitions(docs.sparkSession)

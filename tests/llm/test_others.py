@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -61,6 +62,8 @@ def test_write_shards(spark, tmp_path):
 def test_poisson_counts(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", "x") for i in range(3000)] + [(None, None, "y"), (5, "hot", "z"), (5, "hot", "z")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, copy string")
+    names = mixing.poisson_mix(df.withColumns({"lo": F.lit(1), "cdf": F.lit(2), "f": F.lit(3), "u": F.lit(4), "count": F.lit(5)}))
+    assert {"lo", "cdf", "f", "u", "count"} <= set(names.columns) and {(r.lo, r.cdf, r.f, r.u) for r in names.collect()} == {(1, 2, 3, 4)}
     got = mixing.poisson_mix(df).collect()
     rate = {}
     n = Counter(s for _, s, _ in rows)
@@ -190,8 +193,18 @@ def test_letters_ties_and_long_words(spark):
     assert got[1] == ("und", 0.0) and got[2][0] == "x" and got[10] == ("x", 0.5)  # equal models: the first in order
     langs, p = language_id.learn(df, F.col("doc_id").isin(3, 4, 5, 10, 11), pieces=PIECES)
     assert {r.doc_id: r.lang_pred for r in language_id.predict(df, langs, p, pieces=PIECES).collect()}[4] == "y"
-    many = spark.createDataFrame([(i, "abc th", f"l{i % 7}") for i in range(70)] + [(100 + i, "abc", "rare") for i in range(9)], "doc_id bigint, text string, lang string")
-    assert language_id.learn(many, F.lit(True), pieces=PIECES, languages=7)[0] == [f"l{i}" for i in range(7)]
+
+
+def test_every_language_is_learned(spark):
+    """300 languages, most of them rare, each with a letter of its own."""
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    pieces = (language_id.MARK, *letters)
+    rows = [(i, letters[i % 300] * 3, f"l{i % 300:03d}") for i in range(600)] + [(1000 + i, f"{letters[0]} {i} {letters[0]}", "l000") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    langs, p = language_id.learn(df, F.lit(True), pieces=pieces)
+    assert langs == [f"l{i:03d}" for i in range(300)] and p.shape == (302, 300)
+    got = language_id.predict(df, langs, p, pieces=pieces, keep=["doc_id", "lang"]).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
 
 
 def test_held_out_accuracy(spark):
@@ -292,6 +305,10 @@ def test_pages(spark):
         ('<body><div class="site-header"><h1>Site</h1></div><div class="post"><div class="post-header"><h1>Head</h1></div><p>The text of the post.</p><div class="post-comments"><p>A reader says.</p></div><div class="ad-box-3">Buy.</div></div><div id="footerBar">F</div></body>', "Head The text of the post."),
         ('<body><form><p>Name</p><select><option>a</option></select></form><table><tr><td>One<td>Two</table><ul><li>Three<li>Four</ul><button>Go</button></body>', "One Two Three Four"),
         ("<p>open &lt; &nbsp; \n text<script>never closed <p>no", "open < text"),
+        ("<p data-x=it's>Hello all</p><p>Don't go</p>", "Hello all Don't go"),
+        ('<article><p>The text.</p><div class="user-comments">A</div><div class="comment-thread">B</div><div class="cookiebanner">C</div><div class="advertisement-wide">D</div><div class="related">More.</div><div id="share">Share of all.</div></article>', "The text. More. Share of all."),
+        ('<div data-id="nav" title="a > b">Kept <b>b</p>c</b> 1 < 2 <3 </ x> d</div><![CDATA[&amp;', "Kept b c 1 < 2 <3 d &amp;"),
+        ('<p>a<span hidden>no<b>no</span>b</b>c', "a b c"),
         ('<div class="cookie-notice">We use cookies.</div><p hidden>no</p><p style="display: none">no</p>', ""),
     ],
 )
@@ -299,6 +316,19 @@ def test_text_of_one_page(html, text):
     assert html_text.extracted(html, []) == text
 
 
+@pytest.mark.parametrize("html", ["".join(f"<div><p>part {i}</p>" for i in range(3000)), "<a href='x " * 90_000, '<a href="x ' * 90_000, "<" * 1_000_000, "<div>" * 3000 + "</span></p></b>" * 60_000, "<b>" * 20_000 + "x" + "</i>" * 20_000, "<div><b>" * 3000 + "</b>" * 30_000, "<!--" * 200_000, "<div " + "=" * 500_000])
+def test_hostile_pages_take_linear_time(html):
+    began = time.time()
+    html_text.extracted(html, [])
+    assert time.time() - began < 10  # all at once they took hours when depth or quotes cost their square
+
+
+def test_a_winner_is_weighed_against_the_page(spark):
+    article = "<article><p>" + "word " * 180 + "</p></article>"
+    assert html_text.extracted(f'<div class="teaser"><p>Teaser small.</p></div>{article}', ["body div.teaser"]) == ("word " * 180).strip()
+    assert html_text.extracted('<div class="a"><p>one two three</p></div><div class="b"><p>one two three four</p></div>', ["body div.a"]) == "one two three"
+
+
 def generated_page(r, kind):
     """(html, main text) of a page whose host lays out its pages in one of three ways."""
     words = lambda n: " ".join(r.choice(["river", "garden", "letter", "winter", "house", "number"]) for _ in range(n))
