@@ -119,8 +119,8 @@ def links(tile: np.ndarray, sigs: list[np.ndarray], sets: list[np.ndarray], perc
     # the component of each place, by its smallest member
     of, both, forest = order.copy(), tile.min() != tile.max(), []
     for a in sorted(mine):
-        partner = np.unique(np.concatenate([at[starts[k] : ends[k]] for k in mine[a]]))
-        b = partner[(partner > a) & (of[partner] != of[a])]
+        near = np.concatenate([at[starts[k] : ends[k]] for k in mine[a]])
+        b = np.unique(near[(near > a) & (of[near] != of[a])])
         if both:
             b = b[tile[b] != tile[a]]
         b = b[100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])]
