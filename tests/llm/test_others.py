@@ -308,7 +308,7 @@ def test_pages(spark):
         ("<p data-x=it's>Hello all</p><p>Don't go</p>", "Hello all Don't go"),
         ('<article><p>The text.</p><div class="user-comments">A</div><div class="comment-thread">B</div><div class="cookiebanner">C</div><div class="advertisement-wide">D</div><div class="related">More.</div><div id="share">Share of all.</div></article>', "The text. More. Share of all."),
         ('<div data-id="nav" title="a > b">Kept <b>b</p>c</b> 1 < 2 <3 </ x> d</div><![CDATA[&amp;', "Kept b c 1 < 2 <3 d &amp;"),
-        ('<p>a<span hidden>no<b>no</span>b</b>c', "a b c"),
+        ('<p>a<span hidden>no<b>no</span>b</b>c', "a bc"),
         ('<div class="cookie-notice">We use cookies.</div><p hidden>no</p><p style="display: none">no</p>', ""),
     ],
 )
