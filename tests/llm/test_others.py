@@ -326,7 +326,7 @@ def test_hostile_pages_take_linear_time(html):
 def test_a_winner_is_weighed_against_the_page(spark):
     article = "<article><p>" + "word " * 180 + "</p></article>"
     assert html_text.extracted(f'<div class="teaser"><p>Teaser small.</p></div>{article}', ["body div.teaser"]) == ("word " * 180).strip()
-    assert html_text.extracted('<div class="a"><p>one two three</p></div><div class="b"><p>one two three four</p></div>', ["body div.a"]) == "one two three"
+    assert html_text.extracted('<div class="a"><p>one two three four</p></div><div class="b"><p>one two</p></div>', ["body div.a"]) == "one two three four"
 
 
 def generated_page(r, kind):
