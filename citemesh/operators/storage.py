@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast or crossed, whatever the input's size.
 SMALL = 100_000
+#: Bytes of its files that such a side may have.
+SMALL_BYTES = 128 << 20
 #: Spark's setting that deletes a query's shuffle files when the query ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that are still there, with their sessions.
@@ -72,6 +74,8 @@ def _sweep() -> None:
 
 
 def checked_small(df: DataFrame, rows: int = SMALL) -> DataFrame | None:
-    """df broadcast, if it has so few rows, else None: the caller takes another way."""
+    """df broadcast, if it has so few rows in files of SMALL_BYTES, else None: the caller takes another way."""
     df = stored(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    size = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(df) if size <= SMALL_BYTES and df.limit(rows + 1).count() <= rows else None
