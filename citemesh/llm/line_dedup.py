@@ -1,18 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line, by its hash, overlap; a line shorter than 25 characters counts together
-with the lines next to it, up to 25, as shorter blocks never go. A hash that at most 64 texts hold pairs
-each of them with all earlier holders. A more frequent one pairs each later holder with its first holder
-and with the first among the holders that fall into its own of 16 classes, so a group of any size costs
-its size, not its square, and each block of 25 characters that two texts share has a partner to be found
-in, at any frequency. Each pair is aligned by patience diff over its lines' hashes: common ends, then the
-longest increasing run of lines unique on both sides, then between them. Aligned blocks of at least 25
-characters go from the later document. Texts are judged as they came.
+Documents that share a line, by its hash, overlap; a line shorter than 25 characters counts together with
+the lines next to it, up to 25, as shorter blocks never go. The partner that a later text gets through a
+hash is the hash's first holder, rare or not, so the pairs grow with the lines that texts share, never with
+the square of a hash's holders. Each pair is aligned by patience diff over its lines' hashes: common ends,
+then the longest increasing run of lines unique on both sides, then between them. What a diff can't hold,
+as the block was moved or is repeated, is aligned by itself. Aligned blocks of at least 25 characters go
+from the later document, and blank lines with the lines on both sides of them.
+
+So a line goes if and only if it lies in a block of at least 25 characters that an earlier text has too:
+each line of a block lies in one of its shortest runs of that length, and the run's first holder is a
+partner. The same texts lose the same lines, however many others hold them. Texts are judged as they came.
 
 Texts move as 64-bit hashes and lengths of their lines. Equal texts are one text, its first holder's; their
 later copies go whole, if they have 25 characters, and count one partner.
 
-Edge cases: null and empty texts have no lines to share; blank lines share nothing, but align inside a
+Edge cases: null and empty texts have no lines to share; blank lines share nothing, but count inside a
 block; rows repeated with one id and text are one document and get the same result; several texts of one
 id, and of rows without an id, are documents of their own in the order of their hash; a null id comes
 last; extra columns are not read; an empty table gives no rows. A text of any length is one row of hashes,
@@ -34,9 +37,6 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, drop, slices
 
-#: Holders up to which a line is rare, and classes of holders of the others.
-RARE = 64
-CLASSES = 16
 MIN_CHARS = 25
 LAST_ID = (1 << 63) - 1
 KEY = "struct<id:bigint,a:bigint,b:bigint>"
@@ -123,6 +123,32 @@ def runs(size: Sequence, min_chars: int = MIN_CHARS) -> set[tuple[int, int]]:
     return {(a, b) for a, b in out if size[a] and size[b - 1]}
 
 
+def shared_lines(a: Sequence, a_sizes: Sequence, b: Sequence, sizes: Sequence, min_chars: int = MIN_CHARS) -> list[int]:
+    """Places of b's lines in blocks aligned with a: the diff's, then those that it can't hold in order."""
+    gone = {x for r in blocks(a, b, sizes, min_chars) for x in range(*r)}
+    in_a = set(a)
+    left = [(lo, hi) for lo, hi in runs(sizes, min_chars) if b[lo] in in_a and b[hi - 1] in in_a and not gone.issuperset(range(lo, hi))]
+    if left:
+        one, two = np.array(a, np.int64).tobytes(), np.array(b, np.int64).tobytes()
+        there = {one[8 * lo : 8 * hi] for lo, hi in runs(a_sizes, min_chars)}
+        gone.update(x for lo, hi in left if two[8 * lo : 8 * hi] in there for x in range(lo, hi))
+    return sorted(gone)
+
+
+def with_blanks(lines: Sequence[str], lost: set[int]) -> set[int]:
+    """The lost lines that aren't blank, and the blank ones between two of them that no other line parts."""
+    out, blank, before = set(), [], False
+    for i, line in enumerate(lines):
+        if not line.strip():
+            blank.append(i)
+            continue
+        if i in lost:
+            out.add(i)
+            out.update(blank if before else ())
+        before, blank = i in lost, []
+    return out
+
+
 def _signed(data: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
 
@@ -149,32 +175,25 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select("k", "text").mapInArrow(run, f"k {KEY}, lines array<bigint>, sizes array<int>, runs array<bigint>, total bigint")
 
 
-def partners(held: DataFrame, rare: int = RARE, classes: int = CLASSES) -> DataFrame:
-    """(later, first) keys of overlapping texts; held(k, r): the hashes that each holds."""
-    # written, so that the join below reads two shuffles and a frequent hash can be split over tasks
-    n = cut(held.groupBy("r").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    both = cut(held.join(n, "r"))
-    # texts that share several rare lines are mostly the same few: each set of holders gives its pairs once
-    sets = both.filter(f"n <= {rare}").groupBy("r").agg(F.sort_array(F.collect_set("k")).alias("ks")).select("ks").distinct()
-    among = sets.select(F.inline(F.expr("flatten(transform(sequence(1, size(ks) - 1), i -> transform(slice(ks, 1, i), x -> named_struct('later', ks[i], 'first', x))))")))
-    many = both.filter(f"n > {rare}").withColumn("c", F.pmod(F.xxhash64("k"), F.lit(classes)))
-    own = cut(many.groupBy("r", "c").agg(F.min("k").alias("own")))  # written for the same reason
-    firsts = many.filter("k <> first").select(F.col("k").alias("later"), "first")
-    seconds = many.join(own, ["r", "c"]).filter("k <> own").select(F.col("k").alias("later"), F.col("own").alias("first"))
-    return among.union(firsts).union(seconds).distinct()
+def partners(held: DataFrame) -> DataFrame:
+    """(later, first): the keys of each text and of the first holders of its hashes; held(k, r): the hashes
+    that each holds."""
+    # written, so that the join reads two shuffles and a frequent hash can be split over tasks
+    n = cut(held.groupBy("r").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").select("r", "first"))
+    return held.join(n, "r").filter("k <> first").select(F.col("k").alias("later"), "first").distinct()
 
 
 def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(k, gone) for each pair that leaves something to delete: places of lines of the later text k."""
-    one = texts.select(F.col("k").alias("first"), F.col("lines").alias("a"))
+    one = texts.select(F.col("k").alias("first"), F.col("lines").alias("a"), F.col("sizes").alias("a_sizes"))
     two = texts.select(F.col("k").alias("later"), F.col("lines").alias("b"), "sizes")
-    both = pairs.join(one, "first").join(two, "later").select(F.col("later").alias("k"), "a", "b", "sizes")
+    both = pairs.join(one, "first").join(two, "later").select(F.col("later").alias("k"), "a", "a_sizes", "b", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                gone = [[x for r in blocks(a.as_py(), b.as_py(), s.as_py()) for x in range(*r)] for a, b, s in zip(part.column(1), part.column(2), part.column(3), strict=True)]
+                gone = [shared_lines(*(x.as_py() for x in pair)) for pair in zip(*part.columns[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], ["k", "gone"])
 
     return both.mapInArrow(run, f"k {KEY}, gone array<int>").filter("size(gone) > 0")
@@ -182,7 +201,7 @@ def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def remove_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_lines, n_deleted, n_partners, kept_md5[, kept]) for each row; n_deleted counts lines, n_partners
-    the earlier texts that a block is aligned with."""
+    the earlier texts that a block is aligned with, the first holders of its hashes."""
     key = F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(7), text_col).alias("b"))
     docs = df.select(key.alias("k"), F.col(text_col).alias("text"))
     texts = cut(prepared(docs))
@@ -204,7 +223,7 @@ def remove_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part, out = batch.slice(lo, hi - lo), []
                 for text, places, whole in zip(texts[lo:hi], part.column(2).to_pylist(), part.column(4).to_pylist(), strict=True):
                     lines = text.split("\n") if text else []
-                    lost = set(range(len(lines)) if whole else places or ())
+                    lost = set(range(len(lines))) if whole else with_blanks(lines, set(places or ()))
                     kept = "\n".join(x for i, x in enumerate(lines) if i not in lost)
                     out.append((len(lines), len(lost), hashlib.md5(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
                 cols = [part.column(0), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), part.column(3), pa.array([r[2] for r in out])]

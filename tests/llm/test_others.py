@@ -422,6 +422,7 @@ def test_patience_is_a_common_subsequence():
         a = [r.choice("abcdefghij") for _ in range(r.randint(0, 15))]
         b = [r.choice("abcdefghij") for _ in range(r.randint(0, 15))]
         got = line_dedup.patience(a, b)
+        assert got == diff(a, b)
         assert all(a[i] == b[j] for i, j in got)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
     assert len(line_dedup.patience(list("abcdef"), list("xabcyef"))) == 5
@@ -459,37 +460,83 @@ def diff(a, b, i=0, j=0):
     return out
 
 
+def common_blocks(a, b):
+    """Places of b's lines in blocks of 25 characters that a has too, by comparing every two places."""
+    gone = set()
+    for j in range(len(b)):
+        for i in range(len(a)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(len(x.strip()) for x in b[j : j + n]) >= 25:
+                gone |= set(range(j, j + n))
+    return gone
+
+
 def brute_lines(rows):
-    """Every document against all earlier ones, each by its own diff."""
+    """Every document against all earlier ones, however many hold a line."""
     import hashlib
 
     import xxhash
 
     key = lambda i, t: (line_dedup.LAST_ID if i is None else i, (xxhash.xxh64_intdigest(t, 42) + (1 << 63)) % (1 << 64)) if t else None
     docs = sorted({(key(i, t), t) for i, t in rows if t})
+    first = {}
+    for _, t in docs:
+        lines = t.split("\n")
+        for lo, hi in line_dedup.runs([len(x.strip()) for x in lines]):
+            first.setdefault(tuple(lines[lo:hi]), t)
     out = []
     for i, t in rows:
         lines = t.split("\n") if t else []
-        gone, used = set(), set()
-        for k, other in docs:
-            if t and k < key(i, t):
-                run, last = [], None
-                for pair in [*diff(other.split("\n"), lines), None]:
-                    if last and pair != (last[0] + 1, last[1] + 1):
-                        if sum(len(lines[x].strip()) for x in run) >= 25:
-                            gone |= set(run)
-                            used.add(other)
-                        run = []
-                    if pair:
-                        run.append(pair[1])
-                    last = pair
-        if t in used:
-            used = {t}
+        earlier = {other for k, other in docs if t and k < key(i, t)}
+        found = set().union(*(common_blocks(x.split("\n"), lines) for x in earlier))
+        full = [j for j, x in enumerate(lines) if x.strip()]
+        gone = {j for j in full if j in found}
+        for x, y in zip(full, full[1:]):
+            if {x, y} <= gone:
+                gone |= set(range(x, y))
+        partners = {first[tuple(lines[lo:hi])] for lo, hi in line_dedup.runs([len(x.strip()) for x in lines])} & (earlier - {t})
+        if t in earlier:
+            long = sum(len(x.strip()) for x in lines) >= 25
+            gone, partners = (set(range(len(lines))), {t}) if long else (set(), set())
         kept = "\n".join(x for j, x in enumerate(lines) if j not in gone)
-        out.append((i, len(lines), len(gone), len(used), hashlib.md5(kept.encode()).hexdigest()))
+        out.append((i, len(lines), len(gone), len(partners), hashlib.md5(kept.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_in_blocks_of_either_order(seed):
+    r = random.Random(seed)
+    code = lambda lines: [zlib.crc32(x.encode()) for x in lines]
+    size = lambda lines: [len(x.strip()) for x in lines]
+    words = ["", " ", "x", "nine char", "twelve chars", "a line of twenty-five and more", "another long line, as long as that"]
+    for _ in range(300):
+        a, b = ([r.choice(words) for _ in range(r.randint(0, 14))] for _ in range(2))
+        got = line_dedup.with_blanks(b, set(line_dedup.shared_lines(code(a), size(a), code(b), size(b))))
+        assert {i for i in got if b[i].strip()} == {i for i in common_blocks(a, b) if b[i].strip()}
+        diffed = {i for lo, hi in line_dedup.blocks(code(a), code(b), size(b)) for i in range(lo, hi) if b[i].strip()}
+        assert diffed <= got
+
+
+@pytest.mark.parametrize("n", [20, 120])
+def test_lines_go_at_any_number_of_holders(spark, n):
+    x, us = "the one line x that is long enough", [f"line u{k} which is long enough too" for k in range(1, 7)]
+    rows = [(i, "\n".join([x, *us, f"own line {i} of this document here"])) for i in range(n)]
+    rows += [(5000, x + "\nown line of 5000"), (6000, "\n".join([*us, x, "own line of 6000"])), (7000, "\n".join([us[0], "?", us[0], "", x, " ", x, ""]))]
+    got = {r.doc_id: r.n_deleted for r in line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: 0} | dict.fromkeys(range(1, n), 7) | {5000: 1, 6000: 7, 7000: 6}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_lines_are_those_of_brute_force(spark, seed):
+    r = random.Random(seed)
+    hot = ["a frequent line that is long enough", "short hot", "another short", "a second frequent line of text", "", "third short"]
+    rows = [(i, "\n".join(r.choice([*hot, f"line {r.randrange(40)} which some documents hold"]) for _ in range(r.randint(1, 9)))) for i in range(220)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted((tuple(x) for x in line_dedup.remove_lines(df).collect()), key=str) == brute_lines(rows)
+
+
 def test_line_dedup(spark):
     r = random.Random(7)
     line = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(r.randint(1, 6)))
