@@ -110,7 +110,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, th, item_id, n_windows, coverage, verbatim) for each document and benchmark item in it; th
-    hashes the text."""
+    hashes the text; verbatim if the whole item stands in it, case and punctuation aside."""
     items = once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "tokens", tokens(F.col("text"))).select("item_id", "tokens")
     items = cut(items.filter(F.col("item_id").isNotNull() & (F.size("tokens") > 0)))
     of_items = cut(item_windows(items, window))
@@ -135,9 +135,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     slot = "substring(tokens[j], 1, 1) in ('#', '@', '~') or " + _AFTER_NUMBER.format("j", "tokens")
     lines = once(lines, "pairs", F.expr(f"array_distinct(transform(filter(p, j -> {slot}), j -> named_struct('mine', {_VALUE.format('tokens[j]')}, 'theirs', {_VALUE.format('theirs[j + shift]')})))"))
     lines = lines.filter("size(array_distinct(transform(pairs, x -> x.mine))) = size(pairs)")
-    lines = lines.withColumn("verbatim", F.expr("forall(pairs, x -> x.mine = x.theirs)"))
+    same = f"{_VALUE.format('tokens[j]')} <=> {_VALUE.format('get(theirs, j + shift)')}"
+    lines = lines.withColumn("verbatim", F.expr(f"forall(sequence(0, size(tokens) - 1), j -> {same})"))
     each = lines.select("doc", "th", "item_id", "n_windows", "verbatim", F.explode("at").alias("item_pos"))
-    out = each.groupBy("doc", "th", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("n"), F.bool_and("verbatim").alias("verbatim"))
+    out = each.groupBy("doc", "th", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("n"), F.bool_or("verbatim").alias("verbatim"))
     out = out.filter(F.col("n") >= F.col("n_windows") * coverage)
     return out.select(F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), "th", "item_id", "n_windows", (F.col("n") / F.col("n_windows")).alias("coverage"), "verbatim")
 
