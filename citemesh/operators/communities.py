@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cluster_label, cosine
-from .storage import checked_small, stored
+from .storage import SMALL, small_parts, stored
 
 
 def centroid(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None) -> DataFrame:
@@ -122,14 +122,17 @@ class Events:
         return out.select("label", F.coalesce("b", F.lit(False)).alias("born"), F.coalesce("d", F.lit(False)).alias("died"))
 
 
-def noise_to_cluster(noise: DataFrame, clusters: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """(key, cluster, similarity): each noise row's nearest centroid; ties go to the smallest cluster."""
-    c = checked_small(clusters.select("cluster", F.col("embedding").alias("__c")))
-    if c is None:
-        raise ValueError("more centroids than one task may hold: reduce them first")
-    s = noise.select(key, F.col(vector).alias("__v")).crossJoin(c).select(key, "cluster", cosine("__v", "__c").alias("similarity"))  # rows against a year's few centroids
-    best = s.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("cluster")).alias("c"))).alias("m"))
-    return best.select(key, (-F.col("m.c")).alias("cluster"), F.col("m.similarity").alias("similarity"))
+def noise_to_cluster(noise: DataFrame, clusters: DataFrame, key: str, vector: str = "embedding", part: int = SMALL) -> DataFrame:
+    """(key, cluster, similarity): each noise row's nearest centroid; ties go to the smallest cluster.
+    Centroids are broadcast, a bounded part at a time; each part leaves a row's best of it."""
+    found = None
+    rows = noise.select(key, F.col(vector).alias("__v"))
+    of = lambda d: d.groupBy(key).agg(F.max(F.struct("similarity", "c")).alias("m")).select(key, "m.similarity", "m.c")
+    for c in small_parts(clusters.select("cluster", F.col("embedding").alias("__c")), rows=part):
+        s = rows.crossJoin(c).select(key, cosine("__v", "__c").alias("similarity"), (-F.col("cluster")).alias("c"))  # rows against bounded centroids
+        best = stored(of(s))
+        found = best if found is None else found.union(best)
+    return of(found).select(key, (-F.col("c")).alias("cluster"), "similarity")
 
 
 def event_matrix(events: DataFrame, features: DataFrame, key: str, kinds: list[str]) -> DataFrame:
@@ -163,12 +166,15 @@ def network_match_count(similarity: DataFrame, a: str, threshold: float) -> Data
     return similarity.filter(F.col("score") >= threshold).groupBy(a).agg(F.count("*").alias("matches")).filter("matches = 1")
 
 
-def within_window(clusters: DataFrame, year: int) -> DataFrame:
-    a = clusters.filter(F.col("year") == year)
-    b = checked_small(a.select(F.col("cluster").alias("other"), F.col("embedding").alias("__e")))
-    if b is None:
-        raise ValueError("more clusters in a year than one task may hold")
-    return a.crossJoin(b).select("cluster", "other", cosine("embedding", "__e").alias("score"))
+def within_window(clusters: DataFrame, year: int, part: int = SMALL) -> DataFrame:
+    """(cluster, other, score) of all pairs of a year's clusters, which is the answer's size; one side is
+    broadcast a bounded part at a time."""
+    a = clusters.filter(F.col("year") == year).select("cluster", "embedding")
+    out = None
+    for b in small_parts(a.select(F.col("cluster").alias("other"), F.col("embedding").alias("__e")), rows=part):
+        got = stored(a.crossJoin(b).select("cluster", "other", cosine("embedding", "__e").alias("score")))
+        out = got if out is None else out.union(got)
+    return out
 
 
 def citation_interdisciplinarity(cites: DataFrame, clusters: DataFrame, year: int, primary: DataFrame | None = None) -> DataFrame:

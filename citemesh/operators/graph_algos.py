@@ -3,12 +3,14 @@ state to the folder that executors share."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import graph_indices
 from .relational import surrogate_ids
-from .storage import forget, stored
+from .storage import SMALL_BYTES, file_bytes, forget, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -262,13 +264,66 @@ def flagged(stats: DataFrame) -> DataFrame:
     return stats.withColumn("flags", F.array_compact(F.array(*tests)))
 
 
-def distance_counts(edges: DataFrame, sources: DataFrame | None = None, batch: int = 256, most: int | None = None) -> DataFrame:
-    """(distance, n): how many ordered pairs are so far apart, of distances up to `most` if given. Sources go in batches; in each, a node's state
+#: Edges of a graph that a task may hold whole (about 16 bytes each), if its files are within SMALL_BYTES.
+HELD = 4_000_000
+
+
+def _held_counts(e: DataFrame, start: DataFrame, most: int | None) -> DataFrame:
+    """distance_counts() of a graph that each task holds: tasks share out the sources, 64 at a time, and go
+    breadth first with one word of bits a node. The graph's size was checked before."""
+    spark = e.sparkSession
+    t = e.toArrow()
+    codes, ids = pd.factorize(np.concatenate([t["src"].to_pandas(), t["dst"].to_pandas()]))
+    src, dst = codes[: len(t)], codes[len(t) :].astype(np.int32)
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], np.arange(len(ids) + 1))
+    known = start.distinct().join(e.select(F.col("src").alias("id")).distinct(), "id", "left_semi").toArrow()["id"].to_pandas()
+    mine = np.sort(pd.Index(ids).get_indexer(known))
+    graph = spark.sparkContext.broadcast((first, dst[order], mine))
+    batches = -(-len(mine) // 64)
+
+    def count(frames):
+        first, dst, mine = graph.value
+        n = len(first) - 1
+        for frame in frames:
+            found: dict[int, int] = {}
+            for b in frame["id"]:
+                at = mine[b * 64 : b * 64 + 64]
+                bits = np.uint64(1) << np.arange(len(at), dtype=np.uint64)
+                seen, come = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                seen[at] = bits
+                k = 0
+                while len(at) and (most is None or k < most):
+                    k += 1
+                    out = first[at + 1] - first[at]
+                    edge = np.arange(out.sum()) + np.repeat(first[at] - np.cumsum(out) + out, out)
+                    to = dst[edge]
+                    np.bitwise_or.at(come, to, np.repeat(bits, out))
+                    at = np.unique(to) if len(to) * 8 < n else np.flatnonzero(come)
+                    bits = come[at] & ~seen[at]
+                    come[at] = 0
+                    at, bits = at[bits != 0], bits[bits != 0]
+                    seen[at] |= bits
+                    if len(at):
+                        found[k] = found.get(k, 0) + int(np.bitwise_count(bits).sum(dtype=np.int64))
+            yield pd.DataFrame({"distance": list(found), "n": list(found.values())}).astype({"distance": "int32", "n": "int64"})
+
+    some = spark.range(0, batches, 1, max(1, min(batches, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(count, "distance int, n bigint")
+    return stored(some.groupBy("distance").agg(F.sum("n").alias("n")))
+
+
+def distance_counts(edges: DataFrame, sources: DataFrame | None = None, batch: int = 256, most: int | None = None, held: int = HELD) -> DataFrame:
+    """(distance, n): how many ordered pairs are so far apart, of distances up to `most` if given. A graph of
+    at most `held` edges is broadcast and tasks share out the sources. Of a larger one, sources go in batches; in each, a node's state
     is one bit a source, so a level is one join of the nodes met last with the edges and one aggregate, and
     memory is a node's few bytes, not a row for each pair. Bits are counted while a level is written."""
     spark = edges.sparkSession
     e = stored(edges.select("src", "dst").filter("src <> dst").distinct())
     start = e.select(F.col("src").alias("id")) if sources is None else sources.select("id")
+    if file_bytes(e) <= SMALL_BYTES and e.limit(held + 1).count() <= held:
+        out = _held_counts(e, start, most)
+        forget(e)
+        return out
     found: dict[int, int] = {}
     zero = F.lit(0).cast("bigint")
     for own in _batches(start, batch):

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast or crossed, whatever the input's size.
@@ -73,9 +73,32 @@ def _sweep() -> None:
             return
 
 
-def checked_small(df: DataFrame, rows: int = SMALL) -> DataFrame | None:
-    """df broadcast, if it has so few rows in files of SMALL_BYTES, else None: the caller takes another way."""
+def file_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a table made by stored()."""
+    sc = table.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(table._stored_path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def small_parts(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES):
+    """df in parts that may each be broadcast, one at a time: as many as its rows and the bytes of its
+    largest row ask for. The caller writes down what it makes of a part before it takes the next."""
     df = stored(df)
-    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    size = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return F.broadcast(df) if size <= SMALL_BYTES and df.limit(rows + 1).count() <= rows else None
+    bytes_of = sum((_size_of(f) for f in df.schema), F.lit(8))
+    n, most = df.agg(F.count("*"), F.max(bytes_of)).first()
+    parts = max(1, -(-n // rows), -(-n * (most or 0) // size))
+    if parts == 1:
+        yield F.broadcast(df)
+    else:
+        from .relational import surrogate_ids
+
+        placed = surrogate_ids(df, [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))], 0, "__at")
+        for i in range(parts):
+            yield F.broadcast(placed.filter(F.expr(f"__at % {parts} = {i}")).drop("__at"))
+        forget(placed)
+    forget(df)
+
+
+def _size_of(f) -> Column:
+    kind = f.dataType.typeName()
+    return F.greatest(F.lit(0), F.size(f.name)) * 8 if kind == "array" else F.coalesce(F.octet_length(f.name), F.lit(0)) if kind in ("string", "binary") else F.lit(8)

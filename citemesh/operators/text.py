@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import top_n
+from .relational import surrogate_ids, top_n
 from .storage import stored
 
 SEPARATOR = " [SEP] "
@@ -39,18 +39,19 @@ def ngrams(c: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
 
 def cluster_ngrams(docs: DataFrame, cluster: str, text: str, order: str, sizes: tuple[int, ...] = (2, 3), stop: tuple[str, ...] | None = STOP_WORDS) -> DataFrame:
     """(cluster, term) of each n-gram of a cluster's text, which is its documents in order with a separator
-    between them: n-grams cross from one document to the next. Each document learns the first tokens of
-    those behind it from a slim window; whole texts are never gathered."""
+    between them: n-grams cross from one document to the next. Documents get their places by a sort over
+    ranges of (cluster, order), so a large cluster is many tasks'; then each sends its first tokens to the
+    few before it."""
     longest = max(sizes)
-    rows = stored(docs.select(cluster, F.col(order).alias("__o"), tokens(F.coalesce(F.col(text), F.lit("")), stop).alias("tok")).withColumn("__id", F.monotonically_increasing_id()))
+    rows = docs.select(cluster, F.col(order).alias("__o"), tokens(F.coalesce(F.col(text), F.lit("")), stop).alias("tok"))
+    rows = surrogate_ids(rows, [cluster, "__o"], 0, "__at").drop("__o")
     none, joint = F.array().cast("array<string>"), F.array(F.lit("[SEP]"))
-    w = Window.partitionBy(cluster).orderBy("__o", "__id")
-    slim = rows.select(cluster, "__o", "__id", F.slice("tok", 1, longest - 1).alias("h")).withColumn("more", F.lead("__id").over(w).isNotNull())
-    slim = slim.withColumn("h", F.slice(F.concat("h", F.when(F.col("more"), joint).otherwise(none)), 1, longest - 1))
-    slim = slim.select("__id", "more", *(F.lead("h", k).over(w).alias(f"h{k}") for k in range(1, longest)))
-    tail = F.flatten(F.array(*(F.coalesce(f"h{k}", none) for k in range(1, longest))))
-    both = rows.join(slim, "__id").withColumn("all", F.when(F.col("more"), F.concat("tok", joint, tail)).otherwise(F.col("tok")))
-    both = both.withColumn("own", F.size("tok") + F.col("more").cast("int"))
+    heads = rows.select("__at", F.col(cluster).alias("__c"), F.slice("tok", 1, longest).alias("h"))
+    sent = heads.select(F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("k"), "__at", "__c", "h").select((F.col("__at") - F.col("k")).alias("__at"), "k", "__c", "h")
+    behind = sent.groupBy("__at", "__c").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("behind"))  # one for each k at most
+    both = rows.join(behind, (rows["__at"] == behind["__at"]) & rows[cluster].eqNullSafe(F.col("__c")), "left").select(rows[cluster], "tok", "behind")
+    tail = F.flatten(F.transform("behind", lambda x: F.concat(joint, x["h"])))
+    both = both.withColumn("own", F.size("tok") + F.col("behind").isNotNull().cast("int")).withColumn("all", F.concat("tok", F.coalesce(tail, none)))
 
     def of(n: int) -> Column:
         last = F.least(F.col("own"), F.size("all") - n + 1)
