@@ -32,17 +32,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder; what is there when the session ends is deleted."""
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _THERE[path] = weakref.ref(spark)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and the shuffles behind it go."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     was = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, was or "false")
-    _THERE[path] = weakref.ref(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

@@ -53,3 +53,21 @@ def test_ngrams_of_a_cluster_in_many_tasks(spark):
     got = [tuple(x) for x in X.cluster_ngrams(df, "cluster", "text", "id").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert X.cluster_ngrams(df.limit(0), "cluster", "text", "id").count() == 0
+
+
+def test_bigrams_query(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    from citemesh.plans.catalog import QUERIES
+
+    r = random.Random(9)
+    docs = [(i % 30, None if i == 3 else " ".join(r.choice(["the", "Red", "fox", "a", "été", "[SEP]", "x_1", ","]) for _ in range(r.randint(0, 12)))) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n, held = Counter(), {}
+    for i, t in docs:
+        w = [x for x in re.findall(r"\w{2,}|\[SEP\]", t or "") if x not in X.STOP_WORDS]
+        for pair in zip(w, w[1:]):
+            n[" ".join(pair)] += 1
+            held.setdefault(" ".join(pair), set()).add(i)
+    assert {(x.term, x.n, x.docs) for x in QUERIES["bigrams"](spark, str(tmp_path)).collect()} == {(k, v, len(held[k])) for k, v in n.items()}
