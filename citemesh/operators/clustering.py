@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .relational import surrogate_ids
-from .storage import forget, stored
+from .storage import forget, stored, stored_model
 
 
 #: Rows of a group that one task compares with so many others at a time.
@@ -341,10 +341,10 @@ def soft_cluster(df: DataFrame, key: str, vector: str, label: str, train_share:
     pipe = Pipeline(stages=[StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), lr])
     if folds:
         grid = ParamGridBuilder().addGrid(lr.regParam, [10.0 ** (-4 + 8 * e / 24) for e in range(25)]).build()
-        fitted = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="__y", predictionCol="__q", metricName="accuracy"), numFolds=folds, seed=seed).fit(train)
+        fitted = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="__y", predictionCol="__q", metricName="accuracy"), numFolds=folds, seed=seed).fit(train).bestModel
     else:
         fitted = pipe.fit(train)
-    out = fitted.transform(rows).withColumn("membership", vector_to_array("__p"))
+    out = stored_model(df.sparkSession, fitted).transform(rows).withColumn("membership", vector_to_array("__p"))
     return out.withColumn("predicted", F.col("__q").cast("int")).withColumn("probability", F.array_max("membership")).drop("__raw", "__y", "__x", "__p", "__q", "__r")
 
 

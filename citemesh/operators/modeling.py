@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import distance_to_ones
 from .relational import minmax_scaled
+from .storage import stored_model
 
 
 def ideal_point(trials: DataFrame, criteria: dict[str, str], unbounded: list[str] | None = None) -> DataFrame:
@@ -70,6 +71,7 @@ def model_binary_events(train: DataFrame, test: DataFrame, features: list[str],
     tr, out, weights = prep.transform(train), prep.transform(test), {}
     for t in targets:
         m = RandomForestClassifier(featuresCol="__x", labelCol=t, predictionCol=f"{t}_pred", probabilityCol=f"__p_{t}", rawPredictionCol=f"__r_{t}", seed=7, **params).fit(tr)
+        m = stored_model(train.sparkSession, m)
         out = m.transform(out).withColumn(f"{t}_proba", vector_to_array(f"__p_{t}")[1])
         weights[t] = m.featureImportances.toArray().tolist()
     return out.drop("__raw", "__x", *(f"__{k}_{t}" for t in targets for k in ("p", "r"))), weights
