@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored_model
+
 
 class Embedder(Protocol):
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame: ...
@@ -123,6 +125,7 @@ def probe(train: DataFrame, test: DataFrame, vector: str, label: str, **params)
     index = StringIndexer(inputCol=label, outputCol="__y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
     tr, te = (index.transform(d.withColumn("__x", array_to_vector(F.col(vector).cast("array<double>")))) for d in (train, test))
     model = OneVsRest(classifier=LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=50, **params), featuresCol="__x", labelCol="__y", predictionCol="__q").fit(tr)
+    model = stored_model(train.sparkSession, model)
     return model.transform(te).agg(F.count("*").alias("rows"), F.avg((F.col("__q") == F.col("__y")).cast("double")).alias("micro_f1"))
 
 

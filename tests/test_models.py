@@ -5,6 +5,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from citemesh.operators.clustering import soft_cluster
+from citemesh.operators.embedding import probe
 from citemesh.operators.modeling import model_binary_events
 
 
@@ -16,6 +17,11 @@ def observed(spark):
     return spark
 
 
+def test_probe_after_observation(observed):
+    df = observed.createDataFrame([([float(i % 2), 1.0], "ab"[i % 2]) for i in range(40)], "v array<double>, y string")
+    assert tuple(probe(df, df, "v", "y").first()) == (40, 1.0)
+
+
 def test_forests_after_observation(observed):
     df = observed.createDataFrame([(float(i % 2), i % 2) for i in range(40)], "x double, y int")
     out, weights = model_binary_events(df, df, ["x"], ["y"], numTrees=3)
