@@ -27,14 +27,17 @@ def tokens(c: Column, stop: tuple[str, ...] | None = STOP_WORDS) -> Column:
     return found if not stop else F.filter(found, lambda x: ~x.isin(*stop))
 
 
-def ngrams(c: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
-    """All n-grams of a token array, joined by a space."""
-    def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), " "))
-        return F.when(F.size(c) >= n, grams).otherwise(F.array().cast("array<string>"))
+def _runs(c: Column, n: int, last: Column) -> Column:
+    """The n-grams at the first `last` places of a token array, which is a name or a lambda's variable: its
+    elements are read in place, where slices of it would each copy it."""
+    grams = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat_ws(" ", *(F.get(c, i + j) for j in range(n))))
+    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+
 
-    parts = [of(n) for n in sizes]
-    return F.concat(*parts)
+def ngrams(c: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
+    """All n-grams of a token array, joined by a space. The array is bound to a variable, so that what it is
+    made of is evaluated once a row, not at every place."""
+    return F.flatten(F.transform(F.array(c), lambda t: F.concat(*(_runs(t, n, F.size(t) - n + 1) for n in sizes))))
 
 
 def cluster_ngrams(docs: DataFrame, cluster: str, text: str, order: str, sizes: tuple[int, ...] = (2, 3), stop: tuple[str, ...] | None = STOP_WORDS) -> DataFrame:
@@ -53,12 +56,8 @@ def cluster_ngrams(docs: DataFrame, cluster: str, text: str, order: str, sizes:
     tail = F.flatten(F.transform("behind", lambda x: F.concat(joint, x["h"])))
     both = both.withColumn("own", F.size("tok") + F.col("behind").isNotNull().cast("int")).withColumn("all", F.concat("tok", F.coalesce(tail, none)))
 
-    def of(n: int) -> Column:
-        last = F.least(F.col("own"), F.size("all") - n + 1)
-        grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("all", i, F.lit(n)), " "))
-        return F.when(last >= 1, grams).otherwise(none)
-
-    return both.select(cluster, F.explode(F.concat(*map(of, sizes))).alias("term"))
+    grams = F.concat(*(_runs(F.col("all"), n, F.least(F.col("own"), F.size("all") - n + 1)) for n in sizes))
+    return both.select(cluster, F.explode(grams).alias("term"))
 
 
 def cluster_tfidf(docs: DataFrame, cluster: str, text: str, order: str, sizes: tuple[int, ...] = (2, 3), stop: tuple[str, ...] | None = STOP_WORDS, top: int | None = 30) -> DataFrame:
