@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from operator import add
 from typing import Protocol
 
 import numpy as np
@@ -28,9 +30,9 @@ class HashingEmbedder:
 
         v = np.zeros(self.width)
         t = f"  {(text or '').lower()} "
-        for i in range(len(t) - 2):
-            h = zlib.crc32(t[i : i + 3].encode())
-            v[h % self.width] += 1 if h >> 16 & 1 else -1
+        for gram, count in Counter(map(add, map(add, t, t[1:]), t[2:])).items():
+            h = zlib.crc32(gram.encode())
+            v[h % self.width] += count if h >> 16 & 1 else -count
         n = np.linalg.norm(v)
         return (v / n if n else v).tolist()
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import surrogate_ids, top_n
-from .storage import stored
+from .storage import SMALL, forget, stored
 
 SEPARATOR = " [SEP] "
 #: English stop words, and one publisher's name.
@@ -63,18 +63,30 @@ def cluster_ngrams(docs: DataFrame, cluster: str, text: str, order: str, sizes:
 def cluster_tfidf(docs: DataFrame, cluster: str, text: str, order: str, sizes: tuple[int, ...] = (2, 3), stop: tuple[str, ...] | None = STOP_WORDS, top: int | None = 30) -> DataFrame:
     """(cluster, term, tf, score, rank): idf is ln(int(mean number of n-grams of a cluster) / total of the
     term), rows have length 1; equal scores go by term. N-grams are counted once, in long form, so the
-    number of clusters doesn't matter; the best of a cluster are found in 32 slices of its terms first."""
+    number of clusters doesn't matter. Only terms of at least the least of the `top` largest maxima of 1,024
+    pieces of a cluster's terms are ranked, in 32 slices first."""
     tf = stored(cluster_ngrams(docs, cluster, text, order, sizes, stop).groupBy(cluster, "term").agg(F.count("*").alias("tf")))
     mean = tf.groupBy(cluster).agg(F.sum("tf").alias("n")).agg(F.floor(F.avg("n")).cast("double").alias("mean"))  # one row
-    total = tf.groupBy("term").agg(F.sum("tf").alias("total"))
-    raw = stored(tf.join(total, "term").crossJoin(F.broadcast(mean)).select(cluster, "term", "tf", (F.col("tf") * F.ln(F.col("mean") / F.col("total"))).alias("raw")))
-    length = raw.groupBy(cluster).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    out = raw.join(length, cluster).select(cluster, "term", "tf", F.try_divide("raw", "length").alias("score"))
+    total = F.sum("tf").over(Window.partitionBy("term"))  # a row for each cluster that has the term
+    raw = stored(tf.withColumn("total", total).crossJoin(F.broadcast(mean)).select(cluster, "term", "tf", (F.col("tf") * F.ln(F.col("mean") / F.col("total"))).alias("raw")))
+    forget(tf)
+    piece = F.pmod(F.xxhash64("term"), F.lit(1024)).alias("__s")
+    pieces = stored(raw.groupBy(cluster, piece).agg(F.max("raw").alias("most"), F.sum(F.col("raw") * F.col("raw")).alias("square")))
+    known = pieces.groupBy(cluster).agg(F.sqrt(F.sum("square")).alias("length"))
+    if top is not None:
+        # so many pieces hold a term of at least this value, so no smaller one is among the best
+        least = top_n(pieces, [cluster], [F.desc("most")], top).filter(F.col("rank") == top).select(cluster, F.col("most").alias("least"))
+        known = known.join(least, cluster, "left")
+    known = stored(known)
+    few = known.limit(SMALL + 1).count() <= SMALL
+    out = raw.join(F.broadcast(known) if few else known, cluster).withColumn("score", F.try_divide("raw", "length"))
     if top is None:
-        return out
-    order_by = [F.desc(F.round("score", 9)), "term"]
-    some = top_n(out.withColumn("__s", F.pmod(F.xxhash64("term"), F.lit(32))), [cluster, "__s"], order_by, top, "__r").drop("__s", "__r")
-    return top_n(some, [cluster], order_by, top)
+        return out.select(cluster, "term", "tf", "score")
+    out = out.filter(F.coalesce(F.col("score") >= F.try_divide("least", "length") - 2e-9, F.lit(True))).select(cluster, "term", "tf", "score")
+    order_by = [F.desc("__by"), "term"]  # a column: as an expression it would be rounded again in every comparison of the sort
+    sliced = out.withColumns({"__by": F.round("score", 9), "__s": F.pmod(F.xxhash64("term"), F.lit(32))})
+    some = top_n(sliced, [cluster, "__s"], order_by, top, "__r").drop("__s", "__r")
+    return top_n(some, [cluster], order_by, top).drop("__by")
 
 
 def mmr(doc: np.ndarray, words: np.ndarray, names: list[str], top_n: int = 5, diversity: float = 0.8) -> list[str]:
@@ -108,7 +120,7 @@ def keyphrases(docs: DataFrame, cluster: str, text: str, order: str, embedder, v
     below 0) is dropped."""
     from .communities import centroid
 
-    docs = docs.filter(F.col(cluster) > -1)
+    docs = stored(docs.filter(F.col(cluster) > -1))  # its vectors are made once, though three plans read them
     terms = cluster_tfidf(docs, cluster, text, order).select(cluster, "term")
     with_vec = embedder.embed(terms.select("term").distinct(), "term", "embedding")
     means = centroid(docs, [cluster], vector).select(cluster, F.col("embedding").alias("doc_embedding"))

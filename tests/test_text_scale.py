@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from citemesh.operators import text as X
+from citemesh.operators.embedding import HashingEmbedder
 
 
 def test_ngrams_read_a_long_text_once(spark):
@@ -14,3 +15,41 @@ def test_ngrams_read_a_long_text_once(spark):
     got = [r[0] for r in df.select(X.ngrams(X.tokens(F.col("text")), (2, 3))).collect()]
     assert got[0] == [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)] and got[1:] == [[], [], []]
     assert time.time() - start < 30  # minutes, if the text was taken apart again at every place
+
+
+def test_best_terms_against_all_ranked(spark):
+    docs = [(c, i, " ".join(f"t{(i * 7 + j * j * (c + 1)) % m}" for j in range(60))) for c, m in ((0, 5), (1, 997), (2, 40)) for i in range(30)]
+    df = spark.createDataFrame([*docs, (3, 0, "lone words"), (4, 0, "")], "cluster int, id int, text string")
+    everything = X.cluster_tfidf(df, "cluster", "text", "id", top=None).collect()
+    want = []
+    for c in range(5):
+        rows = sorted((r for r in everything if r.cluster == c), key=lambda r: (-round(r.score, 9), r.term))[:30]
+        want += [(c, r.term, r.tf, k + 1) for k, r in enumerate(rows)]
+    got = X.cluster_tfidf(df, "cluster", "text", "id").select("cluster", "term", "tf", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 61
+
+
+def test_hashed_trigrams(spark):
+    import zlib
+
+    import numpy as np
+
+    t = "Abc abcé漢 \U0001f600abc"
+    v, low = np.zeros(8), f"  {t.lower()} "
+    for i in range(len(low) - 2):
+        h = zlib.crc32(low[i : i + 3].encode())
+        v[h % 8] += 1 if h >> 16 & 1 else -1
+    assert HashingEmbedder(8).vector(t) == (v / np.linalg.norm(v)).tolist()
+
+
+def test_keyphrases_make_vectors_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(text):
+        made.add(1)
+        return HashingEmbedder(8).vector(text)
+
+    d = spark.range(40).select((F.col("id") % 2).cast("int").alias("cluster"), "id", F.concat_ws(" ", F.lit("red fox"), F.col("id").cast("string"), F.lit("runs home")).alias("text"))
+    out = X.keyphrases(d.withColumn("v", vector("text")), "cluster", "text", "id", HashingEmbedder(8), "v").collect()
+    assert len(out) == 2 and made.value == 40
