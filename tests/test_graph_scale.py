@@ -1,5 +1,7 @@
 """Graph loops take rounds by the hops of paths, not by their lengths or the number of sources."""
 
+from pyspark.sql import functions as F
+
 from citemesh.operators import graph_algos as A
 
 
@@ -11,3 +13,12 @@ def test_weighted_paths_take_steps_by_hops(spark, monkeypatch):
     got = A.weighted_paths(e, spark.createDataFrame([(0,)], "id int"), 1.0)
     assert {(r.dst, r.distance) for r in got.collect()} == {(1, 5000.0), (2, 9000.0), (3, 9000.0), (4, 1.0), (5, 18999.0)}
     assert len(written) < 30  # a bucket of width 1 each took as many steps as there are distances
+
+
+def test_near_counts_without_batches(spark, monkeypatch):
+    e = spark.range(400).select((F.xxhash64("id", F.lit(1)) % 90).alias("src"), (F.xxhash64("id", F.lit(2)) % 90).alias("dst"))
+    some = e.select(F.col("src").alias("id")).distinct().orderBy("id").limit(40)
+    want = [[tuple(r) for r in A.distance_counts(e, s, most=m).orderBy("distance").collect()] for s in (None, some) for m in (1, 2)]
+    monkeypatch.setattr(A, "_batches", None)
+    assert want == [[tuple(r) for r in A.distance_counts(e, s, most=m, held=0).orderBy("distance").collect()] for s in (None, some) for m in (1, 2)]
+    assert [len(w) for w in want] == [1, 2, 1, 2]
