@@ -12,18 +12,114 @@ from .storage import forget, stored, stored_model
 
 
 #: Rows of a group that one task compares with so many others at a time.
-BLOCK = 4096
+BLOCK = 2048
+#: Rows of which a task may hold a table of all pairs.
+TABLE = 4096
+#: Pairs that are compared at a time.
+AT_ONCE = 1 << 20
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; they are off by _slack() at most."""
+    out = x @ y.T
+    out *= -2
+    out += (x * x).sum(axis=1)[:, None]
+    out += (y * y).sum(axis=1)
+    return np.maximum(out, 0, out=out)
+
+
+def _slack(*parts: np.ndarray) -> float:
+    """How far _squares(), and the squares of exact distances, may be off."""
+    return 32 * (parts[0].shape[1] + 8) * np.finfo(float).eps * max((float((x * x).sum(axis=1).max(initial=0.0)) for x in parts), default=0.0)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact distances of the rows of x from those of y, one by one."""
+    return np.sqrt(((x - y) ** 2).sum(axis=1))
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k least distances of each row of x from rows of y, in rising order. Products tell which may be
+    among them, and those alone are measured exactly."""
+    k = min(k, len(y))
+    out, slack = np.empty((len(x), k)), 2 * _slack(x, y)
+    step = max(1, AT_ONCE // len(y))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        near = _squares(part, y)
+        row, col = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack)
+        d = np.concatenate([_apart(part[row[i : i + 65536]], y[col[i : i + 65536]]) for i in range(0, len(row), 65536)])
+        order = np.lexsort((d, row))
+        first = np.searchsorted(row, np.arange(len(part)))
+        out[at : at + step] = d[order[first[:, None] + np.arange(k)]]
+    return out
 
 
 def _core(x: np.ndarray, k: int) -> np.ndarray:
     """Distance to the k-th nearest row, itself being the first."""
-    return np.array([np.partition(np.sqrt(((x - p) ** 2).sum(axis=1)), k - 1)[k - 1] for p in x])
+    return _nearest(x, x, k)[:, k - 1]
+
+
+def _may_join(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ends of all edges that may be in the minimum spanning tree of mutual reachability: those that aren't
+    surely heavier than the way between their ends through the tree by rounded distances (Prim). None if they
+    are many, as with equal rows."""
+    n, slack = len(x), 2 * _slack(x)
+    far = _squares(x, x)
+    np.maximum(far, (core * core)[:, None], out=far)
+    np.maximum(far, core * core, out=far)
+    way = np.zeros((n, n))  # the heaviest edge between two rows met so far, in the order they are met
+    best, come, free = far[0].copy(), np.zeros(n, int), np.ones(n, bool)
+    place, order, left, right, many = np.zeros(n, int), np.zeros(n, int), [], [], 0
+    best[0], free[0] = np.inf, False
+    for i in range(1, n):
+        at = int(best.argmin())
+        w, p = best[at], place[come[at]]
+        heavy = np.maximum(way[p, :i], w)
+        way[i, :i], way[:i, i] = heavy, heavy
+        to = order[:i][far[at, order[:i]] <= heavy + slack]
+        many += len(to)
+        if many > 16 * n:
+            return None
+        left.append(to)
+        right.append(np.full(len(to), at))
+        order[i], place[at], free[at], best[at] = at, i, False, np.inf
+        nearer = (far[at] < best) & free
+        np.copyto(best, far[at], where=nearer)
+        come[nearer] = at
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _mst(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, a, b) of the minimum spanning tree of mutual reachability, a < b, by Prim with one row of
-    distances at a time. Of equal weights the edge with the smaller ends counts as lighter, so there is one
-    tree, and a part's tree holds all that the whole's tree has within the part."""
+    """(weights, a, b) of the minimum spanning tree of mutual reachability, a < b. Of equal weights the edge with
+    the smaller ends counts as lighter, so there is one tree, and a part's tree holds all that the whole's tree
+    has within the part. Of up to TABLE rows, the edges that may be in it are found by matrix products
+    and measured exactly; else, and where these are many, a row of exact distances is made at a time."""
+    n = len(x)
+    some = _may_join(x, core) if 2 < n <= TABLE else None
+    if some is None:
+        return _prim(x, core)
+    a, b = some
+    w = np.maximum(np.maximum(_apart(x[a], x[b]), core[a]), core[b])
+    order = np.lexsort((b, a, w))
+    a, b, w = a[order], b[order], w[order]
+    up, taken = list(range(n)), []
+    for e, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while up[p] != p:
+            up[p] = up[up[p]]
+            p = up[p]
+        while up[q] != q:
+            up[q] = up[up[q]]
+            q = up[q]
+        if p != q:
+            up[p] = q
+            taken.append(e)
+    return w[taken], a[taken], b[taken]
+
+
+def _prim(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_mst() by Prim with one row of exact distances at a time."""
     n = len(x)
     best, low, high, done = np.full(n, np.inf), np.full(n, n), np.full(n, n), np.zeros(n, bool)
     weight, a, b, at = np.empty(max(n - 1, 0)), np.empty(max(n - 1, 0), int), np.empty(max(n - 1, 0), int), 0
@@ -140,14 +236,21 @@ def density_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int |
     return out["labels"], out["probabilities"], out["persistence"]
 
 
-def _tiles(rows: DataFrame, within: bool = True) -> DataFrame:
-    """rows(g, i, p, v), i counting a group's rows: those of each two blocks of BLOCK, under (g, t1, t2)."""
+def _tiles(rows: DataFrame, block: int):
+    """rows(g, i, ...), i counting a group's rows: those of each two blocks of so many, under (g, t1, t2), dealt to as
+    many partitions as there are pairs of blocks (2,000 at most), whatever their bytes."""
     sizes = rows.groupBy("g").agg(F.max("i").alias("__last"))
-    block = F.floor(F.col("i") / BLOCK).cast("int")
-    each = rows.join(sizes, "g").withColumn("own", block)
-    other = F.explode(F.sequence(F.lit(0), F.floor(F.col("__last") / BLOCK).cast("int")))
-    each = each.select("*", other.alias("other")).drop("__last")
-    return each.select("g", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), *(c for c in rows.columns if c != "g"), "own")
+    last = F.floor(F.col("__last") / block).cast("int")
+    tiles = sizes.agg(F.sum((last + 1).cast("bigint") * (last + 2) / 2)).first()[0]
+    each = rows.join(sizes, "g").withColumn("own", F.floor(F.col("i") / block).cast("int"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other")).drop("__last")
+    each = each.select("g", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), *(c for c in rows.columns if c != "g"), "own")
+    return each.repartition(int(max(1, min(tiles or 1, 2000))), "g", "t1", "t2").groupBy("g", "t1", "t2")
+
+
+def _held(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Vectors of a tile, their blocks, and the tile's two blocks."""
+    return np.array(pdf["v"].tolist(), float), pdf["own"].to_numpy(), pdf["t1"].iloc[0], pdf["t2"].iloc[0]
 
 
 def core_distances(rows: DataFrame, k: int) -> DataFrame:
@@ -155,17 +258,12 @@ def core_distances(rows: DataFrame, k: int) -> DataFrame:
     least distances there; the k least of all are merged."""
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x, own, t1, t2 = np.array(pdf["v"].tolist(), float), pdf["own"].to_numpy(), pdf["t1"].iloc[0], pdf["t2"].iloc[0]
-        ids, out = pdf["i"].to_numpy(), []
+        (x, own, t1, t2), ids, out = _held(pdf), pdf["i"].to_numpy(), []
         for a, b in {(t1, t2), (t2, t1)}:
-            there = x[own == b]
-            for i, p in zip(ids[own == a], x[own == a], strict=True):
-                d = np.sqrt(((there - p) ** 2).sum(axis=1))
-                out.append((i, np.sort(np.partition(d, min(k, len(d)) - 1)[:k])))
+            out += zip(ids[own == a], _nearest(x[own == a], x[own == b], k), strict=True)
         return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(out), "i": [i for i, _ in out], "d": [d for _, d in out]})
 
-    found = _tiles(rows).groupBy("g", "t1", "t2").applyInPandas(near, "g bigint, i bigint, d array<double>")
+    found = _tiles(rows, 4 * BLOCK).applyInPandas(near, "g bigint, i bigint, d array<double>")
     merged = found.groupBy("g", "i").agg(F.flatten(F.collect_list("d")).alias("d"))  # k for each block of the group
     return merged.select("g", "i", F.element_at(F.array_sort("d"), F.least(F.lit(k), F.size("d"))).alias("core"))
 
@@ -180,7 +278,7 @@ def spanning_edges(rows: DataFrame) -> DataFrame:
         ids = pdf["i"].to_numpy()
         return pd.DataFrame({"g": np.full(len(w), pdf["g"].iloc[0]), "a": ids[a], "b": ids[b], "w": w})
 
-    return _tiles(rows).groupBy("g", "t1", "t2").applyInPandas(tree, "g bigint, a bigint, b bigint, w double").distinct()
+    return _tiles(rows, BLOCK).applyInPandas(tree, "g bigint, a bigint, b bigint, w double").distinct()
 
 
 def minimum_forest(edges: DataFrame) -> DataFrame:
@@ -219,7 +317,7 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
 
 def hdbscan(df: DataFrame, group: str, key: str, vector: str, min_cluster_size: int = 5, min_samples: int | None = None, scores: bool = False) -> DataFrame:
     """(group, key, label, probability), with scores also outlier_score and the cluster's persistence (null
-    for noise). Exact at any size: rows are numbered within their group; a group of up to BLOCK rows is one
+    for noise). Exact at any size: rows are numbered within their group; a group of up to 2 * BLOCK rows is one
     task's work; of larger ones, core distances and spanning trees are found by tasks of two blocks, and the
     group's tree by rounds of joins. What one task gets of such a group is its tree in rising order: three numbers
     a row, no vectors. A row without a vector is noise, with probability 0. Rows of one key are rows of
@@ -243,9 +341,9 @@ def hdbscan(df: DataFrame, group: str, key: str, vector: str, min_cluster_size:
         return finish(pdf, condensed(len(x), *_mst(x, core), core, min_cluster_size))
 
     schema = f"{group} {t[group]}, {key} {t[key]}, label int, probability double{extra}"
-    out = placed.filter(F.col("n") <= BLOCK).groupBy("g").applyInPandas(whole, schema).union(bare)
-    large = placed.filter(F.col("n") > BLOCK)
-    if not groups.filter(F.col("n") > BLOCK).isEmpty():
+    out = placed.filter(F.col("n") <= 2 * BLOCK).groupBy("g").applyInPandas(whole, schema).union(bare)
+    large = placed.filter(F.col("n") > 2 * BLOCK)
+    if not groups.filter(F.col("n") > 2 * BLOCK).isEmpty():
         # places in the order of the keys, over range partitions
         order = stored(surrogate_ids(large.select("g", "gk", "k", "v", "n"), ["g", "k", "v"], 0, "at"))
         first = order.groupBy("g").agg(F.min("at").alias("first"))
@@ -295,16 +393,128 @@ def validity_index(x: np.ndarray, labels: np.ndarray) -> tuple[float, dict[int,
     return float(sum((labels == c).sum() / len(x) * value[c] for c in names)) if len(names) > 1 else 0.0, value
 
 
+def _densities(rows: DataFrame) -> DataFrame:
+    """(g, i, core) of rows(g, i, n, v): validity_index()'s core distances, in sums over each two blocks."""
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, own, t1, t2 = _held(pdf)
+        ids, half, slack, made = pdf["i"].to_numpy(), x.shape[1] / 2, 1e6 * _slack(x), []
+        for a, b in {(t1, t2), (t2, t1)}:
+            mine, there, names, others = x[own == a], x[own == b], ids[own == a], ids[own == b]
+            if a == b and len(mine) < 2:
+                continue
+            step = max(1, AT_ONCE // len(there))
+            for at in range(0, len(mine), step):
+                far = _squares(mine[at : at + step], there)
+                row, col = np.nonzero(far < slack)  # too near for a rounded product
+                for i in range(0, len(row), 65536):
+                    r, c = row[i : i + 65536], col[i : i + 65536]
+                    far[r, c] = _apart(mine[at + r], there[c]) ** 2
+                far[names[at : at + step, None] == others] = np.inf
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    logs = -half * np.log(far)
+                    top = logs.max(axis=1)
+                    equal = np.isposinf(top)
+                    top[equal] = 0
+                    made.append(pd.DataFrame({"g": pdf["g"].iloc[0], "i": names[at : at + step], "top": top, "s": np.where(equal, np.inf, np.exp(logs - top[:, None]).sum(axis=1)), "d": 2 * half}))
+        return pd.concat(made) if made else pd.DataFrame({"g": [], "i": [], "top": [], "s": [], "d": []})
+
+    found = _tiles(rows.drop("n"), 4 * BLOCK).applyInPandas(part, "g bigint, i bigint, top double, s double, d double")
+    most = found.groupBy("g", "i").agg(F.max("top").alias("top"), F.max("d").alias("d"), F.max("s").alias("s"), F.collect_list(F.struct("top", "s")).alias("each"))  # one for each block
+    total = F.aggregate("each", F.lit(0.0), lambda t, x: t + x["s"] * F.exp(x["top"] - F.col("top")))
+    core = F.when(F.col("s") == float("inf"), 0.0).otherwise(F.exp(-(F.col("top") + F.ln(total / (F.col("n") - 1))) / F.col("d")))
+    return most.join(rows.select("g", "i", "n"), ["g", "i"]).select("g", "i", core.alias("core"))
+
+
+def _separations(rows: DataFrame) -> DataFrame:
+    """(h, apart) of rows(g, i, h, core, v), i in the order of the clusters h of a group g: the least mutual
+    reachability of a cluster's rows and those of the group's other clusters, over each two blocks."""
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x, own, t1, t2 = _held(pdf)
+        h, core, slack, found = pdf["h"].to_numpy(), pdf["core"].to_numpy(), 2 * _slack(x), {}
+        a, b = own == t1, own == t2
+        (p, q), (hp, hq), (cp, cq) = ((z[a], z[b]) for z in (x, h, core))
+        step = max(1, AT_ONCE // max(len(q), 1))
+
+        def lower(far: np.ndarray, names: np.ndarray, at: int, turned: bool) -> None:
+            least = far.min(axis=1)
+            for name in np.unique(names):
+                limit = least[names == name].min() + slack
+                if not np.isfinite(limit):
+                    continue
+                some = np.flatnonzero((names == name) & (least <= limit))
+                for r in some:
+                    c = np.flatnonzero(far[r] <= limit)
+                    i, j = (at + c, r) if turned else (at + r, c)
+                    d = np.sqrt(((p[i] - q[j]) ** 2).sum(axis=1))
+                    found[name] = min(found.get(name, np.inf), np.maximum(np.maximum(d, cp[i]), cq[j]).min())
+
+        for at in range(0, len(p) if len(q) else 0, step):
+            far = _squares(p[at : at + step], q)
+            np.maximum(np.maximum(far, (cp[at : at + step] ** 2)[:, None], out=far), cq**2, out=far)
+            far[hp[at : at + step, None] == hq] = np.inf
+            lower(far, hp[at : at + step], at, False)
+            lower(far.T, hq, at, True)
+        return pd.DataFrame({"h": list(found), "apart": list(found.values())}).astype({"h": "int64", "apart": "float64"})
+
+    return _tiles(rows, BLOCK).applyInPandas(part, "h bigint, apart double").groupBy("h").agg(F.min("apart").alias("apart"))
+
+
+def _large_validity(rows: DataFrame) -> DataFrame:
+    """(gk, dbcv) of rows(g, gk, n, label, v) of large groups: validity_index() by tasks of two blocks of rows, for
+    core distances and trees of a cluster and for how far clusters of a group are apart; trees of
+    large clusters come from minimum_forest()."""
+    inside = rows.filter("label >= 0")
+    clusters = stored(surrogate_ids(inside.groupBy("g", "label").agg(F.count("*").alias("size")).filter("size > 1"), ["g", "label"], 0, "h"))
+    at = stored(surrogate_ids(inside.join(clusters, ["g", "label"]).select("g", "h", F.col("size").alias("n"), "v", F.reverse("v").alias("r")), ["h", "r"], 0, "at").drop("r"))
+    first = at.groupBy("h").agg(F.min("at").alias("of_h"))
+    group = at.groupBy("g").agg(F.min("at").alias("of_g"))
+    points = stored(at.join(first, "h").join(group, "g").select(F.col("g").alias("group"), F.col("h").alias("g"), (F.col("at") - F.col("of_h")).alias("i"), (F.col("at") - F.col("of_g")).alias("j"), "n", "v"))
+    core = stored(_densities(points.select("g", "i", "n", "v")))
+    points2 = stored(points.join(core, ["g", "i"]))
+    edges = stored(spanning_edges(points2.select("g", "i", "core", "v")))
+    few = edges.join(clusters.select(F.col("h").alias("g"), "size"), "g")
+    tree = few.filter(F.col("size") <= BLOCK).select("g", "a", "b", "w")
+    many = few.filter(F.col("size") > BLOCK)
+    if not many.isEmpty():
+        tree = tree.union(minimum_forest(many.select("g", "a", "b", "w")).distinct())
+    tree = stored(tree)
+    degree = stored(tree.select("g", F.explode(F.array("a", "b")).alias("i")).groupBy("g", "i").agg((F.count("*") > 1).alias("inner")))
+    ends = tree.join(degree.toDF("g", "a", "ia"), ["g", "a"]).join(degree.toDF("g", "b", "ib"), ["g", "b"])
+    sparse = ends.groupBy("g").agg(F.coalesce(F.max(F.when(F.col("ia") & F.col("ib"), F.col("w"))), F.max("w")).alias("sparse"))
+    alone = degree.groupBy("g").agg((~F.bool_or("inner")).alias("all"))
+    chosen = points2.join(degree, ["g", "i"]).join(alone, "g").filter(F.col("inner") | F.col("all"))
+    apart = _separations(stored(chosen.select(F.col("group").alias("g"), F.col("j").alias("i"), F.col("g").alias("h"), "core", "v")))
+    found = clusters.join(sparse.withColumnRenamed("g", "h"), "h").join(apart, "h", "left")
+    most = F.greatest("apart", "sparse")
+    value = F.when(F.col("apart").isNotNull() & (most > 0), (F.col("apart") - F.col("sparse")) / most).otherwise(0.0)
+    total = found.groupBy("g").agg(F.sum(F.col("size") * value).alias("s"))
+    named = rows.groupBy("g", "n").agg(F.first("gk").alias("gk"))  # a row for each group
+    return named.join(total, "g", "left").select("gk", F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)).alias("dbcv"))
+
+
 def cluster_validity(df: DataFrame, group: str, vector: str, label: str) -> DataFrame:
-    """(group, dbcv, num_clusters, noise_share): the tuning scores of each group's clustering, in one task a
-    group, which holds its vectors and one row of distances."""
+    """(group, dbcv, num_clusters, noise_share): the tuning scores of each group's clustering. A group of up to
+    2 * BLOCK rows is one task's work; larger ones are dealt to tasks of two blocks of their rows."""
+    kind = df.schema[group].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = pdf[label].to_numpy()
-        score, _ = validity_index(np.array(pdf[vector].tolist(), float), labels)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "dbcv": [score], "num_clusters": [len(set(labels.tolist()) - {-1})], "noise_share": [float((labels == -1).mean())]})
+        labels = pdf["label"].to_numpy()
+        return pd.DataFrame({"gk": [pdf["gk"].iloc[0]], "dbcv": [validity_index(np.array(pdf["v"].tolist(), float), labels)[0]]})
 
-    return df.select(group, vector, label).groupBy(group).applyInPandas(one, f"{group} {df.schema[group].dataType.simpleString()}, dbcv double, num_clusters int, noise_share double")
+    rows = df.select(F.col(group).alias("gk"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    noise = F.col("label") == -1
+    groups = rows.groupBy("gk").agg(F.count("*").alias("n"), F.count_distinct(F.when(~noise, F.col("label"))).cast("int").alias("num_clusters"), F.avg(noise.cast("double")).alias("noise_share"))
+    groups = stored(surrogate_ids(groups, ["gk"], 0, "g"))
+    placed = stored(rows.join(groups.select("g", "n", F.col("gk").alias("__gk")), F.col("gk").eqNullSafe(F.col("__gk"))).drop("__gk"))
+    scores = placed.filter(F.col("n") <= 2 * BLOCK).groupBy("g").applyInPandas(one, f"gk {kind}, dbcv double")
+    large = placed.filter(F.col("n") > 2 * BLOCK)
+    if not groups.filter(F.col("n") > 2 * BLOCK).isEmpty():
+        scores = scores.union(_large_validity(large))
+    out = groups.join(scores.withColumnRenamed("gk", "__gk"), F.col("gk").eqNullSafe(F.col("__gk")))
+    return out.select(F.col("gk").alias(group), "dbcv", "num_clusters", "noise_share")
 
 
 def solution_scores(found: DataFrame, vectors: DataFrame, group: str, key: str, vector: str) -> DataFrame:

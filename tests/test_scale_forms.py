@@ -6,9 +6,11 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from citemesh.operators import clustering as K
 from citemesh.operators import communities as M
 from citemesh.operators import graph_algos as A
 from citemesh.operators import text as X
+from citemesh.operators.clustering import validity_index
 
 
 def rows(df):
@@ -71,3 +73,28 @@ def test_bigrams_query(spark, tmp_path):
             n[" ".join(pair)] += 1
             held.setdefault(" ".join(pair), set()).add(i)
     assert {(x.term, x.n, x.docs) for x in QUERIES["bigrams"](spark, str(tmp_path)).collect()} == {(k, v, len(held[k])) for k, v in n.items()}
+
+
+def test_validity_over_blocks(spark, monkeypatch):
+    """A large group's score is dealt over tasks of two blocks, and is that of one task: with ties, equal rows, noise,
+    a cluster of two rows and one of one."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0, 0.3, (90, 3)), r.normal(3, 0.3, (70, 3)), r.integers(8, 11, (60, 3)).astype(float), r.uniform(-5, 15, (13, 3))])
+    labels = np.concatenate([np.repeat([0, 1, 2], [90, 70, 60]), [3, 3, 4], np.full(10, -1)])
+    rows = [(2000, v.tolist(), c) for v, c in zip(x, labels.tolist())] + [(2001, v.tolist(), c % 2) for v, c in zip(x[:50], range(50))] + [(None, v.tolist(), 0) for v in x[:40]]
+    df = spark.createDataFrame(rows, "year int, v array<double>, label int").repartition(3)
+    monkeypatch.setattr(K, "BLOCK", 32)
+    got = {q.year: q for q in K.cluster_validity(df, "year", "v", "label").collect()}
+    assert abs(got[2000].dbcv - validity_index(x, labels)[0]) < 1e-9 and abs(got[2001].dbcv - validity_index(x[:50], np.arange(50) % 2)[0]) < 1e-9
+    assert got[None].dbcv == 0 and got[2000].num_clusters == 5 and abs(got[2000].noise_share - 10 / 233) < 1e-12
+
+
+def test_products_find_the_exact_tree():
+    """Core distances and trees by matrix products are those of exact distances, bit by bit, with near and equal rows."""
+    r = np.random.default_rng(4)
+    for k in range(20):
+        x = r.integers(0, 3 + k % 4, (60, 2)).astype(float) if k % 2 else 100 + r.normal(0, 1e-6 if k % 3 else 1, (60, 8))
+        core = K._core(x, 3)
+        assert (core == np.array([np.sort(np.sqrt(((x - p) ** 2).sum(axis=1)))[2] for p in x])).all()
+        for got, want in zip(K._mst(x, core), K._prim(x, core)):
+            assert (got == want).all()
