@@ -98,3 +98,14 @@ def test_products_find_the_exact_tree():
         assert (core == np.array([np.sort(np.sqrt(((x - p) ** 2).sum(axis=1)))[2] for p in x])).all()
         for got, want in zip(K._mst(x, core), K._prim(x, core)):
             assert (got == want).all()
+
+
+def test_cosines_within_groups_over_blocks(spark):
+    r = np.random.default_rng(6)
+    made = [(k % 3, k, r.normal(0, 1, 4).tolist()) for k in range(60)] + [(0, 60, [0.0] * 4), (1, 61, None), (None, 62, [1.0] * 4)]
+    df = spark.createDataFrame(made, "g int, k bigint, v array<double>").repartition(3)
+    got = {(q.a, q.b): q.score for q in M.cosine_within(df, ["g"], "k", "v", block=8).collect()}
+    assert set(got) == {(x[1], y[1]) for x in made for y in made if x[0] is not None and x[0] == y[0] and x[1] < y[1]}
+    vectors = {k: np.array(v) for _, k, v in made if v}
+    for (a, b), s in got.items():
+        assert s is None if {a, b} & {60, 61} else abs(s - vectors[a] @ vectors[b] / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b])) < 1e-12
