@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,28 +23,56 @@ def best_score(df: DataFrame, key: str, score: str, goal: str, threshold: float
     return top_n(found, [key], [F.desc(score), goal], 1, "__r").drop("__r")
 
 
+def _indel(x: str, y: str) -> float:
+    """1 - (insertions + deletions) / (both lengths). Bit-parallel, one big integer per text."""
+    if not x and not y:
+        return 1.0
+    masks: dict[str, int] = {}
+    for i, c in enumerate(x):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    s = full
+    for c in y:
+        u = s & masks.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return 2.0 * (len(x) - s.bit_count()) / (len(x) + len(y))
+
+
+def _indels(xs: list[str], ys: list[str]) -> np.ndarray:
+    """_indel() of many pairs, none over 63 characters: a pair's bits are one word of an array."""
+    codes = lambda t, n: np.array(t, dtype=f"U{max(1, n)}").view(np.uint32).reshape(len(t), -1)
+    nx, ny = np.array([len(t) for t in xs]), np.array([len(t) for t in ys])
+    x, y = codes(xs, nx.max()), codes(ys, ny.max())
+    one = np.uint64(1)
+    full = (one << nx.astype(np.uint64)) - one
+    s = full.copy()
+    for j in range(ny.max()):
+        mask = np.zeros(len(xs), np.uint64)
+        for i in range(nx.max()):
+            mask |= (x[:, i] == y[:, j]).astype(np.uint64) << np.uint64(i)
+        u = s & mask & full
+        s = np.where(j < ny, ((s + u) | (s - u)) & full, s)
+    total = nx + ny
+    return np.where(total == 0, 1.0, 2.0 * (nx - np.bitwise_count(s).astype(int)) / np.maximum(total, 1))
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - (insertions + deletions) / (both lengths), lower-cased: twice the longest common subsequence
-    over the lengths' sum. Bit-parallel, one big integer per text."""
-
-    def one(x, y):
+    over the lengths' sum. Pairs of short texts are scored together, by their lengths."""
+    out, lots = np.full(len(a), np.nan), {}
+    for i, (x, y) in enumerate(zip(a, b)):
         if x is None or y is None:
-            return None
+            continue
         x, y = x.lower(), y.lower()
-        if not x and not y:
-            return 1.0
-        masks: dict[str, int] = {}
-        for i, c in enumerate(x):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        s = full
-        for c in y:
-            u = s & masks.get(c, 0)
-            s = ((s + u) | (s - u)) & full
-        return 2.0 * (len(x) - s.bit_count()) / (len(x) + len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+        if max(len(x), len(y)) > 63:
+            out[i] = _indel(x, y)
+        else:
+            lots.setdefault((len(x) // 8, len(y) // 8), []).append((i, x, y))
+    for lot in lots.values():
+        at, xs, ys = zip(*lot)
+        out[list(at)] = _indels(list(xs), list(ys))
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("grams", T.ArrayType(T.StringType()))]))

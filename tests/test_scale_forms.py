@@ -109,3 +109,28 @@ def test_cosines_within_groups_over_blocks(spark):
     vectors = {k: np.array(v) for _, k, v in made if v}
     for (a, b), s in got.items():
         assert s is None if {a, b} & {60, 61} else abs(s - vectors[a] @ vectors[b] / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b])) < 1e-12
+
+
+def test_indel_ratios_of_many_pairs(spark):
+    """Texts of all lengths, scored together or alone, against a table of common subsequences."""
+    from citemesh.operators import linkage as L
+
+    r = random.Random(8)
+    texts = ["", "a", "x\0", "ÀB c", *("".join(r.choices("abÉ ", k=n)) for n in (3, 7, 8, 9, 30, 62, 63, 64, 65, 80))]
+
+    def want(x, y):
+        x, y = x.lower(), y.lower()
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = _next(row, a, y)
+        return 1.0 if not x and not y else 2 * row[-1] / (len(x) + len(y))
+
+    def _next(row, a, y):
+        out = [0]
+        for j, b in enumerate(y):
+            out.append(row[j] + 1 if a == b else max(out[-1], row[j + 1]))
+        return out
+
+    pairs = [(x, y) for x in texts for y in texts]
+    got = L.indel_ratio.func(*(__import__("pandas").Series([*t, None]) for t in zip(*pairs)))
+    assert [round(g, 12) for g in got[:-1]] == [round(want(x, y), 12) for x, y in pairs] and np.isnan(got.iloc[-1])
