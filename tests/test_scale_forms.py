@@ -134,3 +134,12 @@ def test_indel_ratios_of_many_pairs(spark):
     pairs = [(x, y) for x in texts for y in texts]
     got = L.indel_ratio.func(*(__import__("pandas").Series([*t, None]) for t in zip(*pairs)))
     assert [round(g, 12) for g in got[:-1]] == [round(want(x, y), 12) for x, y in pairs] and np.isnan(got.iloc[-1])
+
+
+def test_triangles_by_lists(spark):
+    e = spark.range(400).select((F.xxhash64("id", F.lit(3)) % 40).alias("src"), (F.xxhash64("id", F.lit(4)) % 40).alias("dst"))
+    near: dict = {}
+    for a, b in {(x, y) for r in e.collect() for x, y in ((r.src, r.dst), (r.dst, r.src)) if x != y}:
+        near.setdefault(a, set()).add(b)
+    got = {q.id: (q.degree, q.triangles) for q in A.clustering(e).collect()}
+    assert got == {a: (len(n), sum(c in near[b] for b in n for c in n) // 2) for a, n in near.items()} and max(t for _, t in got.values()) > 3
