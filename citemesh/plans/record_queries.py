@@ -11,6 +11,7 @@ from ..operators import communities as M
 from ..operators import embedding as E
 from ..operators import graph as G
 from ..operators import linkage as L
+from ..operators.storage import stored
 from ..sources import bibliographic as S
 from .queries import query, r6
 from .views import FLOW, MEMBERS, flow, members, table
@@ -39,7 +40,7 @@ def records(spark, sf):
 
 
 def _sets(spark, sf):
-    r = records(spark, sf)
+    r = stored(records(spark, sf))  # read by every set
     return r, B.author_nodes(r), B.publication_nodes(r, [{"old": "title", "new": "title", "type": "string"}]), *B.organisation_nodes(r)
 
 
@@ -91,13 +92,18 @@ def build_funding_edges(spark, sf):
 
 def publication_graph(spark, sf):
     r, people, papers, whole, *_ = _sets(spark, sf)
+    for n in (people, papers, whole):  # each is read by several edge sets
+        n.df = stored(n.df)
     g = G.PropertyGraph().add_nodes(people).add_nodes(papers).add_nodes(whole)
     return g.add_edges("Person", B.authorship_edges(r, people, papers), "Publication").add_edges("Publication", B.citation_edges(r, papers), "Publication").add_edges("Person", B.affiliation_edges(r, people, whole), "Institution").add_edges("Institution", B.funding_edges(r, whole, papers), "Publication")
 
 
 @query(f"WITH {RECORDS}, aff AS (SELECT DISTINCT author, inst FROM wrote) SELECT aff.inst AS institution, x.author::VARCHAR AS other, count(*) AS paths FROM aff JOIN wrote w ON w.author = aff.author JOIN cited c ON c.ref = w.paper AND c.ref <> c.paper JOIN wrote x ON x.paper = c.paper GROUP BY 1, 2")
 def multi_hop_path(spark, sf):
-    p = publication_graph(spark, sf).path_counts([("AFFILIATED_WITH", "in"), ("WROTE", "out"), ("CITED_BY", "out"), ("WROTE", "in")])
+    g = publication_graph(spark, sf)
+    wrote = g.edges["WROTE"][1]
+    wrote.df = stored(wrote.df.select("src", "dst"))  # two hops go along it
+    p = g.path_counts([("AFFILIATED_WITH", "in"), ("WROTE", "out"), ("CITED_BY", "out"), ("WROTE", "in")])
     return p.select(F.col("start_id").alias("institution"), F.col("end_id").alias("other"), "paths")
 
 
