@@ -188,52 +188,87 @@ class PropertyGraph:
 
     def _ends(self, rels: list[str], direction: str) -> list[tuple[str, str, str, str]]:
         """(from label, to label, type, out or in) of every way to go along the types."""
-        ways = ("out", "in") if direction == "both" else (direction,)
-        return [(a, b, r, way) if way == "out" else (b, a, r, way) for r in rels for a, _, b in (self.edges[r],) for way in ways]
+        return [w for w in self._ways(rels) if direction in (w[3], "both")]
+
+    def _ways(self, rels: list[str]) -> list[tuple[str, str, str, str]]:
+        """_ends() of both directions: a type's two ways are at 2n and 2n + 1."""
+        return [w for r in rels for a, _, b in (self.edges[r],) for w in ((a, b, r, "out"), (b, a, r, "in"))]
+
+    def _hops(self, rels: list[str], direction: str) -> DataFrame:
+        """(hop, from_id, to_id) of all single hops; hop is a place in _ways(). An edge that is gone both ways
+        is looked up once. Ends that are no nodes of their sets give none."""
+        parts = []
+        for i, r in enumerate(rels):
+            start, edges, end = self.edges[r]
+            e = edges.df.select("src", "dst")
+            for label, side in ((start, "src"), (end, "dst")):
+                e = e.join(self.nodes[label].df.select(F.col("id").alias(side)), side, "left_semi")
+            out, back = (F.struct(F.lit(2 * i + k).cast("tinyint").alias("hop"), F.col(x).alias("from_id"), F.col(y).alias("to_id")) for k, x, y in ((0, "src", "dst"), (1, "dst", "src")))
+            once = (F.col("src") == F.col("dst")) & F.lit(start == end)  # such a loop goes one way
+            both = F.explode(F.when(once, F.array(out)).otherwise(F.array(out, back)))
+            parts.append(e.select({"out": out, "in": back, "both": both}[direction].alias("h")).select("h.*"))
+        made = parts[0]
+        for p in parts[1:]:
+            made = made.union(p)
+        return made
 
     def steps(self, rels: list[str], direction: str) -> DataFrame:
         """(from_label, from_id, to_label, to_id, type, edge) of all single hops; edge names a relationship,
         whichever way it is gone. Ends that are no nodes of their sets give none."""
-        parts = []
-        for a, b, r, way in self._ends(rels, direction):
-            e = self.edges[r][1].df
-            loop = (F.col("src") == F.col("dst")) & F.lit(a == b and way == "in" and direction == "both")  # goes one way
-            e = e.filter(~loop).select("src", "dst", F.concat(F.lit(f"{r}:"), "src", F.lit(">"), "dst").alias("edge"))
-            ends = ("src", "dst") if way == "out" else ("dst", "src")
-            known = [self.nodes[n].df.select(F.col("id").alias(end)) for n, end in zip((a, b), ends, strict=True)]
-            e = e.join(known[0], ends[0], "left_semi").join(known[1], ends[1], "left_semi")
-            parts.append(e.select(F.lit(a).alias("from_label"), F.col(ends[0]).alias("from_id"), F.lit(b).alias("to_label"), F.col(ends[1]).alias("to_id"), F.lit(r).alias("type"), "edge"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+        ways = self._ways(rels)
+        a, b, r = (_chosen([w[i] for w in ways], F.col("hop")) for i in range(3))
+        edge = _edge_name(ways, F.col("hop"), F.col("from_id"), F.col("to_id"))
+        return self._hops(rels, direction).select(a.alias("from_label"), "from_id", b.alias("to_label"), "to_id", r.alias("type"), edge.alias("edge"))
 
     def expand(self, rels: str, starts: DataFrame, least: int = 1, most: int = 10, direction: str = "both") -> DataFrame:
         """(start_label, start_id, end_label, end_id, hops, types, edges, nodes): every path of `least` to
         `most` hops from starts(id, and label if ids aren't unique over labels) along edges of any of the
         types `A|B`, with no edge twice in a path; nodes may recur. Each hop joins the paths found last, read
-        from a table in the shared folder, with the hops there are; the last hop isn't written. A path
+        from a table in the shared folder, with the hops there are; the last hop isn't written. What is kept of
+        a path is its nodes and a small number for each hop; types and edges are made of them at the end. A path
         of 0 hops is the start itself. Starts that are no nodes have no hops."""
-        adjacent = stored(self.steps(rels.split("|"), direction))
+        rels = list(dict.fromkeys(rels.split("|")))
+        ways, ends = self._ways(rels), self._ends(rels, direction)
+        labels = sorted({x for w in ways for x in w[:2]})
+        here, there = ([labels.index(w[i]) for w in ways] for i in range(2))
+        ahead = {x: {labels.index(b) for a, b, *_ in ends if a == label} for x, label in enumerate(labels)}
+        reached = [set(range(len(labels)))]  # labels that a path of so many hops may end at
+        while reached[-1] and len(reached) <= max(most, len(labels)):
+            reached.append(set().union(*(ahead[x] for x in reached[-1])))
+        again = bool(reached[-1]) and len(reached) > len(labels)  # without a circle of labels no edge can recur
+        adjacent = stored(self._hops(rels, direction)).withColumn("from_kind", _chosen(here, F.col("hop")))
         if "label" not in starts.columns:
-            first = adjacent.select(F.col("from_id").alias("id"), F.col("from_label").alias("label")).distinct()
+            first = adjacent.select(F.col("from_id").alias("id"), _chosen(labels, F.col("from_kind")).alias("label")).distinct()
             starts = starts.select("id").join(first, "id", "left")
-        none = F.array().cast("array<string>")
-        at = starts.select(F.col("label").alias("start_label"), F.col("id").alias("start_id"), F.col("label").alias("end_label"), F.col("id").alias("end_id"), F.lit(0).alias("hops"), none.alias("types"), none.alias("edges"), F.array("id").alias("nodes"))
-        found = [at] if least == 0 else []
+        kind_of = F.coalesce(*(F.when(F.col("label") == x, i) for i, x in enumerate(labels)))
+        at = starts.select(F.col("label").alias("start_label"), F.array().cast("array<string>").alias("before"), F.array().cast("array<tinyint>").alias("gone"), F.col("id").alias("end_id"), kind_of.alias("end_kind"))
+        found = [(0, at)] if least == 0 else []
         for k in range(1, most + 1):
-            on = (F.col("end_id") == F.col("from_id")) & (F.col("end_label") == F.col("from_label"))
-            step = at.join(adjacent, on).filter(~F.array_contains("edges", F.col("edge")))
-            at = step.select("start_label", "start_id", F.col("to_label").alias("end_label"), F.col("to_id").alias("end_id"), F.lit(k).alias("hops"), F.array_append("types", F.col("type")).alias("types"), F.array_append("edges", F.col("edge")).alias("edges"), F.array_append("nodes", F.col("to_id")).alias("nodes"))
-            if k < most:
+            step = at.join(adjacent, (F.col("end_id") == F.col("from_id")) & (F.col("end_kind") == F.col("from_kind")))
+            for i in range(k - 1) if again else ():
+                past = F.get("gone", F.lit(i))
+                x, y = F.get("before", F.lit(i)), F.get("before", F.lit(i + 1)) if i < k - 2 else F.col("end_id")
+                same = (past == F.col("hop")) & (x == F.col("from_id")) & (y == F.col("to_id"))
+                back = (past == F.col("hop").bitwiseXOR(F.lit(1).cast("tinyint"))) & (x == F.col("to_id")) & (y == F.col("from_id"))
+                step = step.filter(~(same | back) if direction == "both" else ~same)
+            at = step.select("start_label", F.array_append("before", F.col("end_id")).alias("before"), F.array_append("gone", F.col("hop")).alias("gone"), F.col("to_id").alias("end_id"), _chosen(there, F.col("hop")).alias("end_kind"))
+            last = k == most or k + 1 < len(reached) and not reached[k + 1]
+            if not last:
                 at = stored(at)
                 if at.isEmpty():
                     break
             if k >= least:
-                found.append(at)
-        out = found[0] if found else at
-        for f in found[1:]:
-            out = out.union(f)
+                found.append((k, at))
+            if last:
+                break
+        out = None
+        for k, f in found or [(0, at.limit(0))]:
+            nodes = F.array_append("before", F.col("end_id"))
+            edges = F.zip_with(F.arrays_zip("gone", "before"), F.slice(nodes, 2, k + 1), lambda g, end: _edge_name(ways, g["gone"], g["before"], end))
+            types = F.transform("gone", lambda g: _chosen([w[2] for w in ways], g))
+            end = F.col("start_label") if k == 0 else _chosen(labels, F.col("end_kind"))
+            f = f.select("start_label", F.get(nodes, F.lit(0)).alias("start_id"), end.alias("end_label"), "end_id", F.lit(k).alias("hops"), types.alias("types"), edges.alias("edges"), nodes.alias("nodes"))
+            out = f if out is None else out.union(f)
         return out
 
     def path_counts(self, hops: list[tuple[str, str]], starts: DataFrame | None = None) -> DataFrame:
@@ -303,6 +338,16 @@ def is_directed(pattern: str) -> bool:
     return "->" in pattern or "<-" in pattern
 
 
+def _chosen(values: list, at: Column) -> Column:
+    """The value at a place of a list."""
+    return F.get(F.array(*(F.lit(v) for v in values)), at)
+
+
+def _edge_name(ways: list[tuple[str, str, str, str]], hop: Column, start: Column, end: Column) -> Column:
+    out = _chosen([w[3] == "out" for w in ways], hop)
+    return F.concat(_chosen([w[2] for w in ways], hop), F.lit(":"), F.when(out, start).otherwise(end), F.lit(">"), F.when(out, end).otherwise(start))
+
+
 def _prefixed(df: DataFrame, side: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
 

@@ -143,3 +143,18 @@ def test_triangles_by_lists(spark):
         near.setdefault(a, set()).add(b)
     got = {q.id: (q.degree, q.triangles) for q in A.clustering(e).collect()}
     assert got == {a: (len(n), sum(c in near[b] for b in n for c in n) // 2) for a, n in near.items()} and max(t for _, t in got.values()) > 3
+
+
+def test_paths_keep_nodes_and_small_numbers(spark, monkeypatch):
+    """What expand() writes of a path is its nodes and hops; an edge is known by its ends, not by a joint name."""
+    from citemesh.operators import graph as G
+
+    written = []
+    monkeypatch.setattr(G, "stored", lambda df, f=G.stored: written.append(df.columns) or f(df))
+    e = [("a>b", "c"), ("c", "a"), ("a", "b>c")]
+    nodes = G.NodeSet(spark.createDataFrame([(x,) for x in ("a>b", "c", "a", "b>c")], "id string"), "N")
+    g = G.PropertyGraph().add_nodes(nodes).add_edges("N", G.EdgeSet(spark.createDataFrame(e, "src string, dst string"), "R"), "N")
+    got = g.expand("R", nodes.df.filter("id = 'a>b'"), 1, 5, "out").collect()
+    assert sorted((x.hops, x.end_id) for x in got) == [(1, "c"), (2, "a"), (3, "b>c")]
+    assert [x.edges for x in got if x.hops == 3] == [["R:a>b>c", "R:c>a", "R:a>b>c"]]
+    assert written and not any({"edge", "edges", "types", "type"} & set(c) for c in written)
