@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .relational import keep_first, upsert
-from .storage import forget, stored
+from .storage import PARTITIONS, forget, stored
 
 
 @dataclass
@@ -352,21 +352,45 @@ def _prefixed(df: DataFrame, side: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
 
 
+#: Pairs that a task of reachable() may get, and neighbours in one row.
+TASK_PAIRS, ROW_NODES = 4_000_000, 100_000
+
+
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """(start, node, hops): shortest hop counts up to a depth. The nodes met last are a table in the shared
-    folder, so a hop costs one join with the edges, whatever came before; all that was met is the tables'
-    union."""
-    e = stored(edges.select(F.col("src").alias("node"), "dst").distinct())
-    seen = frontier = stored(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct())
+    """(start, node, hops): shortest hop counts up to a depth. A hop is one shuffle: neighbours go to the starts
+    as arrays (of 4 bytes a node, where ids are whole numbers that fit), with the pairs met before, and are
+    taken apart behind it, where each pair is kept once. Partitions follow the pairs; where a start could get
+    very many, its nodes are dealt to several by a hash. Edges without an end reach nothing."""
+    e = stored(edges.select(F.col("src").alias("node"), "dst").filter("node is not null and dst is not null").distinct())
+    first = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct()
+    degree = stored(e.groupBy("node").agg(F.count("*").alias("n")))
+    most = degree.agg(F.max("n")).first()[0] or 0
+    cuts = max(1, min(64, max(-(-(most**hops) // TASK_PAIRS), -(-most // ROW_NODES))))
+    kind = wire = e.schema["dst"].dataType.simpleString()
+    if kind == "bigint":
+        low, high = e.select("dst").union(first.select("node")).agg(F.min("dst"), F.max("dst")).first()
+        wire = "int" if low is not None and -(2**31) <= low and high < 2**31 else kind
+
+    def cut(c):
+        return F.pmod(F.xxhash64(c), F.lit(cuts)).cast("int").alias("cut")
+
+    near = stored(e.groupBy("node", cut("dst")).agg(F.collect_list(F.col("dst").cast(wire)).alias("to")))
+    forget(e)
+    seen = stored(first) if hops else first
     for k in range(1, hops + 1):
-        step = frontier.join(e, "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(k))
+        frontier = seen.filter(F.col("hops") == k - 1)
+        pairs = frontier.join(degree, "node").agg(F.sum("n")).first()[0]
+        if not pairs:
+            break
+        parts = max(int(e.sparkSession.conf.get(PARTITIONS)), -(-pairs // TASK_PAIRS))
+        step = frontier.join(near, "node").select("start", "cut", F.lit(k).alias("hops"), "to")
+        both = step.union(seen.select("start", cut("node"), "hops", F.array(F.col("node").cast(wire)))).repartition(parts, "start", "cut")
+        met = both.select("start", "cut", "hops", F.explode("to").alias("node"))
+        new = met.groupBy("start", "cut", "node").agg(F.min("hops").alias("hops")).select("start", F.col("node").cast(kind).alias("node"), "hops")
         if k < hops:
-            frontier = stored(frontier)
-            if frontier.isEmpty():
-                forget(frontier)
-                break
-        seen = seen.union(frontier)
+            new = stored(new)
+            forget(seen)
+        seen = new
     return seen.filter("hops > 0")
 
 

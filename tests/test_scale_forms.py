@@ -158,3 +158,36 @@ def test_paths_keep_nodes_and_small_numbers(spark, monkeypatch):
     assert sorted((x.hops, x.end_id) for x in got) == [(1, "c"), (2, "a"), (3, "b>c")]
     assert [x.edges for x in got if x.hops == 3] == [["R:a>b>c", "R:c>a", "R:a>b>c"]]
     assert written and not any({"edge", "edges", "types", "type"} & set(c) for c in written)
+
+
+def test_reachable_by_arrays(spark, monkeypatch):
+    """Shortest hop counts by brute force, with a hub, ids beyond 4 bytes and as text, and starts dealt to several tasks."""
+    from citemesh.operators import graph as G
+
+    r = random.Random(3)
+    monkeypatch.setattr(G, "ROW_NODES", 3)
+    for shift, kind in ((0, int), (2**40, int), (0, str)):
+        edges = [(kind(shift + r.randint(0, 30)), kind(shift + r.randint(0, 30))) for _ in range(60)] + [(kind(shift + 5), kind(shift + i)) for i in range(20)]
+        name = "string" if kind is str else "bigint"
+        df = spark.createDataFrame([*edges, (edges[0][0], None)], f"src {name}, dst {name}")
+        starts = [kind(shift + i) for i in range(0, 40, 3)]
+        want = []
+        for s in starts:
+            met, at = {s: 0}, {s}
+            for k in range(1, 4):
+                at = {b for a, b in edges if a in at} - met.keys()
+                met |= dict.fromkeys(at, k)
+            want += [(s, n, k) for n, k in met.items() if k]
+        assert rows(G.reachable(df, spark.createDataFrame([(s,) for s in starts], f"id {name}"), 3)) == sorted(want)
+
+
+def test_partitions_follow_the_edges(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(M, "TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(M, "stored", lambda df, parts=0, f=M.stored: asked.append(parts) or f(df, parts))
+    edges = spark.createDataFrame([(i, i % 7 + 100) for i in range(60)], "citing bigint, cited bigint")
+    clusters = spark.createDataFrame([(i + 100, i % 2) for i in range(7)] + [(0, 5)], "paper bigint, cluster int")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {(x.paper, x.cluster): x.fraction for x in M.citation_fractions(edges, clusters).collect()}
+    assert got == {**{(i, i % 7 % 2): 1.0 for i in range(60)}, (100, 5): 1.0}
+    assert max(asked) == 12 and spark.conf.get("spark.sql.shuffle.partitions") == was
