@@ -22,3 +22,22 @@ def test_near_counts_without_batches(spark, monkeypatch):
     monkeypatch.setattr(A, "_batches", None)
     assert want == [[tuple(r) for r in A.distance_counts(e, s, most=m, held=0).orderBy("distance").collect()] for s in (None, some) for m in (1, 2)]
     assert [len(w) for w in want] == [1, 2, 1, 2]
+
+
+def test_communities_by_lists_and_by_joins(spark, monkeypatch):
+    """Neighbours lie as lists by node, so rounds don't join edges; the labels are those of the joins, for any ids."""
+    pairs = [(5 * g + a, 5 * g + b) for g in range(6) for a in range(5) for b in range(a)] + [(5 * g, 5 * (g + 1) + 2) for g in range(5)]
+    rows = [(a, b, 1.0 + (a + b) % 3) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs[:9]] + [(3, 3, 2.0), (40, 40, 1.0), (None, None, 1.0)]
+    e = spark.createDataFrame(rows, "src int, dst int, weight double").repartition(3)
+    joined = []
+    monkeypatch.setattr(A, "_joined_louvain", lambda *a, f=A._joined_louvain: joined.append(1) or f(*a))
+    for df in (e, e.drop("weight")):
+        close = {r.id: r.community for r in A.louvain(df, 4, 2).collect()}
+        far = df.withColumns({c: F.lpad(F.col(c).cast("string"), 4, "0") for c in ("src", "dst")})
+        names = {int(r.id): int(r.community) for r in A.louvain(far, 4, 2).collect()}
+        assert not joined
+        with monkeypatch.context() as m:
+            m.setattr(A, "SMALL_BYTES", 24)
+            assert {r.id: r.community for r in A.louvain(df, 4, 2).collect()} == close == names
+        assert joined.pop() and len(close) == 31 and 2 <= len(set(close.values())) <= 12
+    assert A.louvain(e.limit(0)).count() == 0
