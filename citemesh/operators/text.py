@@ -146,13 +146,18 @@ def mmr_phrases(candidates: DataFrame, cluster: str, top_n: int = 5, diversity:
     return candidates.groupBy(cluster).applyInPandas(one, f"{cluster} {candidates.schema[cluster].dataType.simpleString()}, keyphrases array<string>")
 
 
-def keyphrases(docs: DataFrame, cluster: str, text: str, order: str, embedder, vector: str, top_n: int = 5) -> DataFrame:
+def keyphrases(docs: DataFrame, cluster: str, text: str, order: str, embedder, vector: str | None = None, top_n: int = 5) -> DataFrame:
     """Candidates by cluster TF-IDF, embedded, then MMR against the cluster's mean vector. Noise (label
-    below 0) is dropped."""
+    below 0) is dropped. Without a `vector` column the embedder makes those of the texts, of which only sums leave a task;
+    documents that have one are written down, so that it is made once."""
     from .communities import centroid
 
-    docs = stored(docs.filter(F.col(cluster) > -1))  # its vectors are made once, though three plans read them
-    terms = cluster_tfidf(docs, cluster, text, order).select(cluster, "term")
+    docs = docs.filter(F.col(cluster) > -1)
+    if vector is None:
+        vector, with_vectors = "__v", embedder.embed(docs.select(cluster, text), text, "__v")
+    else:
+        docs = with_vectors = stored(docs)
+    terms = stored(cluster_tfidf(docs, cluster, text, order).select(cluster, "term"))
     with_vec = embedder.embed(terms.select("term").distinct(), "term", "embedding")
-    means = centroid(docs, [cluster], vector).select(cluster, F.col("embedding").alias("doc_embedding"))
+    means = centroid(with_vectors, [cluster], vector).select(cluster, F.col("embedding").alias("doc_embedding"))
     return mmr_phrases(terms.join(with_vec, "term").join(means, cluster), cluster, top_n)

@@ -120,3 +120,24 @@ def test_best_terms_in_small_pieces(spark, monkeypatch):
         monkeypatch.setattr(K, name, 4)
     got = X.cluster_tfidf(df, "cluster", "text", "id").select("cluster", "term", "tf", F.round("score", 9), "rank").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 31
+
+
+def test_keyphrases_write_no_texts(spark):
+    d = spark.range(300).select((F.col("id") % 2).cast("int").alias("cluster"), "id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(999_983)).cast("string")))).alias("text"))
+    from citemesh.operators import text
+
+    written, was = [], text.stored
+
+    def stored(df, *args):
+        out = was(df, *args)
+        written.append(out.columns)
+        return out
+
+    text.stored = stored
+    try:
+        got = X.keyphrases(d, "cluster", "text", "id", HashingEmbedder(8)).collect()
+    finally:
+        text.stored = was
+    given = X.keyphrases(HashingEmbedder(8).embed(d, "text", "v"), "cluster", "text", "id", HashingEmbedder(8), "v").collect()
+    assert sorted(got) == sorted(given) and len(got) == 2
+    assert written and not any("text" in c or "v" in c for c in written)
