@@ -26,7 +26,9 @@ def author_nodes(records: DataFrame, id_col: str = "id") -> NodeSet:
     a = explode_unique(records, "authors", ["authorId"], [id_col])
     have = [c for c in ("name", "url") if c in a.columns]
     rules = [{"old": c, "new": "semanticScholarURL" if c == "url" else c, "type": "string"} for c in have]
-    return NodeSet.build(a, "Person", "authorId", rules, ("Author",))
+    people = NodeSet.build(a, "Person", "authorId", rules, ("Author",))
+    people.made = (people.df, records, "authors")
+    return people
 
 
 def publication_nodes(records: DataFrame, properties: list[dict] | None = None, id_col: str = "id", refs: str = "ref_ids", text: tuple[str, ...] = ()) -> NodeSet:
@@ -36,7 +38,8 @@ def publication_nodes(records: DataFrame, properties: list[dict] | None = None,
     own = NodeSet.build(clean, "Publication", id_col, properties)
     cited = records.select(F.explode(refs).alias("id")).select(F.col("id").cast("string")).filter("id is not null").distinct()
     new = cited.join(own.df.select("id"), "id", "left_anti")
-    return NodeSet(own.df.unionByName(new, allowMissingColumns=True), "Publication")
+    df = own.df.unionByName(new, allowMissingColumns=True)
+    return NodeSet(df, "Publication", made=(df, records, id_col, refs))
 
 
 def unique_funders(records: DataFrame, funding: str = "funding") -> DataFrame:
@@ -62,15 +65,17 @@ def organisation_nodes(records: DataFrame, authors: str = "authors", funding: st
 
 def citation_edges(records: DataFrame, papers: NodeSet, id_col: str = "id", refs: str = "ref_ids", date: str = "date") -> EdgeSet:
     """(reference)-[CITED_BY]->(paper) with the citing paper's date."""
-    r = records.select(F.explode(refs).alias("ref"), F.col(id_col).alias("paper"), F.col(date).alias("date")).distinct()
-    return EdgeSet.build(r, "CITED_BY", "ref", "paper", papers, papers, [{"old": "date", "new": "publicationDate", "type": "datetime"}])
+    r = records.select(F.explode(refs).alias("ref"), F.col(id_col).alias("paper"), F.col(date).alias("date"))
+    sure = ("src", "dst") if papers.holds(records, id_col, refs) else ()
+    return EdgeSet.build(r, "CITED_BY", "ref", "paper", papers, papers, [{"old": "date", "new": "publicationDate", "type": "datetime"}], sure=sure)
 
 
 def authorship_edges(records: DataFrame, people: NodeSet, papers: NodeSet, id_col: str = "id", authors: str = "authors", date: str = "date") -> EdgeSet:
     """(person)-[WROTE]->(paper) with the date and the author's place in the list."""
     rows = records.select(F.col(id_col).alias("__paper"), F.col(date).alias("__date"), F.posexplode(authors).alias("__pos", "a")).select("__paper", "__date", "__pos", "a.*").filter("authorId is not null")
+    sure = (*(["src"] if people.holds(records, authors) else []), *(["dst"] if papers.made[:3] == (papers.df, records, id_col) else []))
     rules = [{"old": "__date", "new": "publicationDate", "type": "datetime"}] + [{"old": c, "new": c, "type": t} for c, t in AUTHORSHIP.items() if c in rows.columns]
-    return EdgeSet.build(rows, "WROTE", "authorId", "__paper", people, papers, rules, order=["__pos"])
+    return EdgeSet.build(rows, "WROTE", "authorId", "__paper", people, papers, rules, order=["__pos"], sure=sure)
 
 
 def affiliation_edges(records: DataFrame, people: NodeSet, organisations: NodeSet, authors: str = "authors") -> EdgeSet:

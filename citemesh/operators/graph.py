@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .relational import keep_first, upsert
 from .storage import PARTITIONS, forget, stored
 
+#: Starts of paths that path_counts() gives a column each.
+WIDE = 64
+
 
 @dataclass
 class NodeSet:
@@ -20,6 +23,12 @@ class NodeSet:
     label: str
     extra_labels: tuple[str, ...] = ()
     id_col: str = "id"
+    #: df, and what all ids of were taken into it
+    made: tuple = ()
+
+    def holds(self, *source) -> bool:
+        """Whether all ids of these records and columns are nodes, as long as df is the one made of them."""
+        return self.made == (self.df, *source)
 
     @classmethod
     def build(cls, df: DataFrame, label: str, id_col: str, properties: list[dict] | None = None, extra_labels: tuple[str, ...] = (), order: list[str] | None = None) -> NodeSet:
@@ -56,21 +65,31 @@ class EdgeSet:
     df: DataFrame
     type: str
     same_set: bool = False
+    #: df, and the nodes that its ends were looked up in
+    known: tuple = ()
+
+    def written(self, *columns: str) -> EdgeSet:
+        """The same edges with these columns only, as a table in the shared folder."""
+        df = stored(self.df.select(*columns))
+        return EdgeSet(df, self.type, self.same_set, (df, *self.known[1:]) if self.known and self.known[0] is self.df else ())
 
     @classmethod
-    def build(cls, df: DataFrame, type: str, src: str, dst: str, start: NodeSet | None = None, end: NodeSet | None = None, properties: list[dict] | None = None, allow_unknown: bool = False, order: list[str] | None = None) -> EdgeSet:
+    def build(cls, df: DataFrame, type: str, src: str, dst: str, start: NodeSet | None = None, end: NodeSet | None = None, properties: list[dict] | None = None, allow_unknown: bool = False, order: list[str] | None = None, sure: tuple[str, ...] = ()) -> EdgeSet:
+        """`sure` names the sides (src, dst) whose ids are all nodes, so that they aren't looked up."""
         made = df.select(F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"), *_projected(properties or []), *(F.col(o).alias(f"__o{i}") for i, o in enumerate(order or [])))
         made = made.filter("src is not null and dst is not null")
         rest = [*(f"__o{i}" for i in range(len(order or []))), *(r["new"] for r in properties or [])]
         made = keep_first(made, ["src", "dst"], rest or ["src"]).drop(*(f"__o{i}" for i in range(len(order or []))))
         if not allow_unknown:
             for side, nodes in (("src", start), ("dst", end)):
-                if nodes is not None:
+                if nodes is not None and side not in sure:
                     made = made.join(nodes.df.select(F.col("id").alias(side)), side, "left_semi")
         same = start is not None and end is not None and start.label == end.label
         if same:
             made = made.filter("src <> dst")
-        return cls(made.select("src", "dst", *(r["new"] for r in properties or [])), type, same)
+        made = made.select("src", "dst", *(r["new"] for r in properties or []))
+        both = start is not None and end is not None and not allow_unknown
+        return cls(made, type, same, (made, start.df, end.df) if both else ())
 
     def merged(self, batch: EdgeSet, start: NodeSet, end: NodeSet) -> EdgeSet:
         """Batch edges whose two ends exist are merged on (src, dst)."""
@@ -201,7 +220,8 @@ class PropertyGraph:
         for i, r in enumerate(rels):
             start, edges, end = self.edges[r]
             e = edges.df.select("src", "dst")
-            for label, side in ((start, "src"), (end, "dst")):
+            looked_up = edges.known == (edges.df, self.nodes[start].df, self.nodes[end].df)
+            for label, side in () if looked_up else ((start, "src"), (end, "dst")):
                 e = e.join(self.nodes[label].df.select(F.col("id").alias(side)), side, "left_semi")
             out, back = (F.struct(F.lit(2 * i + k).cast("tinyint").alias("hop"), F.col(x).alias("from_id"), F.col(y).alias("to_id")) for k, x, y in ((0, "src", "dst"), (1, "dst", "src")))
             once = (F.col("src") == F.col("dst")) & F.lit(start == end)  # such a loop goes one way
@@ -273,17 +293,34 @@ class PropertyGraph:
 
     def path_counts(self, hops: list[tuple[str, str]], starts: DataFrame | None = None) -> DataFrame:
         """(start_id, end_id, paths): how many chains of hops path() would give for each two ends. Counts are
-        added up at every hop, so a state is a row for each start and node reached, not one for each path."""
-        at = None
+        added up at every hop, so a state is a row for each start and node reached, not one for each path. Of
+        up to 64 starts it is a row for each node, with a column for each start: it lies by node, where the next hop joins it."""
+        at, names = None, []
         for rel, way in hops:
             step = self.steps(rel.split("|"), way).select("from_label", "from_id", "to_label", "to_id")
+            ends = sorted({w[1] for w in self._ends(rel.split("|"), way)})
+            by = ["end_id"] if len(ends) == 1 else ["label", "end_id"]  # the columns by which the next hop joins
             if at is None:
                 first = step if starts is None else step.join(starts.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi")
                 at = first.select(F.col("from_id").alias("start_id"), F.col("to_label").alias("label"), F.col("to_id").alias("end_id"), F.lit(1).cast("bigint").alias("paths"))
-            else:
-                on = (F.col("end_id") == F.col("from_id")) & (F.col("label") == F.col("from_label"))
-                at = at.join(step, on).select("start_id", F.col("to_label").alias("label"), F.col("to_id").alias("end_id"), "paths")
-            at = at.groupBy("start_id", "label", "end_id").agg(F.sum("paths").alias("paths"))
+                at = at.groupBy("start_id", "label", "end_id").agg(F.sum("paths").alias("paths"))
+                if len(hops) > 1:
+                    at = stored(at)
+                    names = [x[0] for x in at.select("start_id").distinct().limit(WIDE + 1).collect()]
+                    names = names if len(names) <= WIDE else []
+                if names:
+                    at = at.groupBy(*by).agg(*(F.sum(F.when(F.col("start_id") == x, F.col("paths"))).alias(f"p{i}") for i, x in enumerate(names)))
+                    at = at.withColumn("label", F.lit(ends[0])) if len(ends) == 1 else at
+                continue
+            state = [f"p{i}" for i in range(len(names))] or ["paths"]
+            keys = [*([] if names else ["start_id"]), *by]
+            on = (F.col("end_id") == F.col("from_id")) & (F.col("label") == F.col("from_label"))
+            at = at.join(step, on).select(*(["start_id"] if not names else []), F.col("to_label").alias("label"), F.col("to_id").alias("end_id"), *state)
+            at = at.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in state))
+            at = at.withColumn("label", F.lit(ends[0])) if len(ends) == 1 else at
+        if names:
+            each = F.array(*(F.struct(F.lit(x).alias("start_id"), F.col(f"p{i}").alias("paths")) for i, x in enumerate(names)))
+            at = at.select("end_id", F.inline(F.filter(each, lambda x: x["paths"].isNotNull())))
         return at.groupBy("start_id", "end_id").agg(F.sum("paths").alias("paths"))
 
     def describe(self, full: bool = False, sources: int | None = None) -> dict:

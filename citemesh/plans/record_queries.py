@@ -11,7 +11,7 @@ from ..operators import communities as M
 from ..operators import embedding as E
 from ..operators import graph as G
 from ..operators import linkage as L
-from ..operators.storage import stored
+from ..operators.storage import SMALL, stored
 from ..sources import bibliographic as S
 from .queries import query, r6
 from .views import FLOW, MEMBERS, flow, members, table
@@ -25,18 +25,19 @@ paid AS (SELECT o_orderkey AS paper, CASE WHEN n_nationkey > 8 THEN n_name ELSE
 
 def records(spark, sf):
     t = lambda n: table(spark, sf, n)
-    l = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    refs = l.groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ref_ids"))
+    l = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").repartition("l_orderkey")  # keys only are shuffled
     place = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "n_name", "r_name")
-    a = l.select("l_orderkey", "l_suppkey").distinct().join(place, "l_suppkey")
-    a = a.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_suppkey", "s_name", F.array(F.struct(F.col("n_name").alias("institution"), F.col("r_name").alias("country"))).alias("inst")))).alias("a"))
+    few = t("supplier").limit(10 * SMALL + 1).count() <= 10 * SMALL  # rows of four short columns
+    l = l.join(F.broadcast(place) if few else place, "l_suppkey", "left")
+    author = F.when(F.col("n_name").isNotNull(), F.struct("l_suppkey", "s_name", F.array(F.struct(F.col("n_name").alias("institution"), F.col("r_name").alias("country"))).alias("inst")))
+    lines = l.groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ref_ids"), F.array_sort(F.collect_set(author)).alias("a"))
+    lines = lines.withColumn("a", F.when(F.size("a") > 0, F.col("a")))
     authors = F.transform("a", lambda x, i: F.struct(x["l_suppkey"].cast("string").alias("authorId"), x["s_name"].alias("name"), x["inst"].alias("institutions"), (i + 1).alias("authorListPosition"), (i - F.size("a")).alias("authorListPositionReversed")))
     c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     funder = F.when(F.col("n_nationkey") > 8, F.col("n_name")).otherwise(F.concat(F.lit("Fund "), "c_mktsegment"))
     o = t("orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     o = o.select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("date"), F.col("o_orderpriority").alias("title"), F.array(F.struct(F.col("c_custkey").cast("string").alias("grantId"), funder.alias("funder"))).alias("funding"))
-    o = o.join(refs, F.col("o_orderkey") == refs.l_orderkey, "left").drop("l_orderkey")
-    return o.join(a.select("l_orderkey", authors.alias("authors")), F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey", "o_orderkey")
+    return o.join(lines.select("l_orderkey", "ref_ids", authors.alias("authors")), F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey", "o_orderkey")
 
 
 def _sets(spark, sf):
@@ -100,9 +101,15 @@ def publication_graph(spark, sf):
 
 @query(f"WITH {RECORDS}, aff AS (SELECT DISTINCT author, inst FROM wrote) SELECT aff.inst AS institution, x.author::VARCHAR AS other, count(*) AS paths FROM aff JOIN wrote w ON w.author = aff.author JOIN cited c ON c.ref = w.paper AND c.ref <> c.paper JOIN wrote x ON x.paper = c.paper GROUP BY 1, 2")
 def multi_hop_path(spark, sf):
-    g = publication_graph(spark, sf)
-    wrote = g.edges["WROTE"][1]
-    wrote.df = stored(wrote.df.select("src", "dst"))  # two hops go along it
+    # what the paths go along: nobody funds, nodes and edges have no properties
+    none = F.array().cast("array<struct<grantId: string, funder: string>>").alias("funding")
+    authors = F.transform("authors", lambda x: F.struct(x["authorId"].alias("authorId"), x["institutions"].alias("institutions")))
+    r = stored(records(spark, sf).select("id", F.lit(None).cast("date").alias("date"), "ref_ids", authors.alias("authors"), none))
+    people, papers, (whole, _, _) = B.author_nodes(r), B.publication_nodes(r), B.organisation_nodes(r)
+    whole.df = stored(whole.df)
+    wrote = B.authorship_edges(r, people, papers).written("src", "dst")  # two hops go along it
+    g = G.PropertyGraph().add_nodes(people).add_nodes(papers).add_nodes(whole)
+    g.add_edges("Person", wrote, "Publication").add_edges("Publication", B.citation_edges(r, papers), "Publication").add_edges("Person", B.affiliation_edges(r, people, whole), "Institution")
     p = g.path_counts([("AFFILIATED_WITH", "in"), ("WROTE", "out"), ("CITED_BY", "out"), ("WROTE", "in")])
     return p.select(F.col("start_id").alias("institution"), F.col("end_id").alias("other"), "paths")
 
