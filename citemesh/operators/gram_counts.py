@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: N-grams that a task holds before it sends their counts, tokens it takes at once, n-grams for a bucket and fewest buckets.
-HELD, AT_ONCE, PER_BUCKET, BUCKETS = 1 << 22, 1 << 20, 1 << 21, 32
+HELD, AT_ONCE, PER_BUCKET, BUCKETS = 1 << 21, 1 << 20, 1 << 21, 32
 _MIX = tuple(np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 

@@ -49,7 +49,7 @@ def _borders(docs: DataFrame, cluster: str, text: str, order: str, longest: int,
     tok = tokens(F.coalesce(F.col(text), F.lit("")), stop)
     ends = lambda t: F.struct(F.size(t).alias("n"), F.slice(t, 1, longest).alias("head"), F.slice(t, F.greatest(F.lit(1), F.size(t) - longest + 2), longest - 1).alias("tail"))
     rows = docs.select(F.col(cluster).alias("cluster"), F.col(order).alias("__o"), F.transform(F.array(tok), ends)[0].alias("e")).select("cluster", "__o", "e.*")
-    rows = surrogate_ids(rows, ["cluster", "__o"], 0, "__at").drop("__o")
+    rows = surrogate_ids(stored(rows), ["cluster", "__o"], 0, "__at").drop("__o")  # the sort reads twice, texts are taken apart once
     sent = rows.select(F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("k"), "__at", F.col("cluster").alias("__c"), F.col("head").alias("h")).select((F.col("__at") - F.col("k")).alias("__at"), "k", "__c", "h")
     behind = sent.groupBy("__at", "__c").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("behind"))  # one for each k at most
     both = rows.join(behind, (rows["__at"] == behind["__at"]) & rows["cluster"].eqNullSafe(F.col("__c")), "left").select("cluster", "n", "tail", "behind")
